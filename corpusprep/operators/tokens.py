@@ -93,11 +93,11 @@ def encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens"
 
     Explodes, looks ids up through a broadcast join and regroups by ``key``;
     each group is one (already truncated) sequence."""
-    rows = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok"))
-    rows = encode_long(rows, vocab, "_tok", "_id")
+    rows = df.select(key, F.posexplode(tokens_col).alias("_pos", "_word"))
+    rows = encode_long(rows, vocab, "_word", "_wid")
     ids = rows.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_pairs"))
-    ids = ids.select(key, F.transform("_pairs", lambda p: p["_id"]).alias(out))
+        F.array_sort(F.collect_list(F.struct("_pos", "_wid"))).alias("_pairs"))
+    ids = ids.select(key, F.transform("_pairs", lambda p: p["_wid"]).alias(out))
     return df.join(ids, key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 
