@@ -117,16 +117,19 @@ def coordinate_noise(atoms: DataFrame, mol: str, t_col: str, schedule: DataFrame
     return j
 
 
-def random_topk_mask(probs: Column, mask_len: Column, temperature: float, key: Column,
-                     *, seed: int = 0, rng: str = "portable") -> Column:
+def with_random_topk_mask(df: DataFrame, probs: str, mask_len: Column, temperature: float, key: str,
+                          *, out: str = "mask", seed: int = 0, rng: str = "portable") -> DataFrame:
     """N8 per row: ``conf_k = ln(max(p_k,1e-20)) + T*g(u('gumbel', key, k))``;
-    cut-off = ``sorted(conf)[mask_len]``; returns the boolean mask array
+    cut-off = ``sorted(conf)[mask_len]``; ``out`` is the boolean array
     ``conf < cut-off`` (ties at the cut-off stay unmasked)."""
     from ..functions.rng import gumbel
     conf = F.transform(probs, lambda p, k: F.log(F.greatest(p.cast("double"), F.lit(1e-20)))
                        + F.lit(float(temperature)) * gumbel(uniform("gumbel", key, k, seed=seed, rng=rng)))
-    cut = F.get(F.array_sort(conf), mask_len)
-    return F.transform(conf, lambda c: c < cut)
+    from ..functions.arrays import map_with
+    return (df.withColumn("_conf", conf)
+            .withColumn(out, map_with(F.col("_conf"), F.get(F.array_sort("_conf"), mask_len),
+                                      lambda c, cut: c < cut))
+            .drop("_conf"))
 
 
 def loss_weight(t: Column, mask: Column, min_val: float = 0.3) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import map_with
 from .ordering import dense_index
 
 N_BUCKETS = 10
@@ -34,18 +35,20 @@ def entropy(p: Column) -> Column:
     return -F.aggregate(p, F.lit(0.0), lambda acc, v: acc + F.when(v > 0, v * F.log(v)).otherwise(F.lit(0.0)))
 
 
-def log_softmax(x: Column) -> Column:
-    m = F.array_max(x)
-    lse = F.log(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))) + m
-    return F.transform(x, lambda v: v - lse)
+def with_log_softmax(df: DataFrame, x: str, out: str = "lp") -> DataFrame:
+    """Log-softmax of an array column (log-sum-exp materialised first)."""
+    shifted = map_with(F.col(x), F.array_max(x), lambda v, m: v - m)
+    lse = F.log(F.aggregate("_sh", F.lit(0.0), lambda acc, v: acc + F.exp(v)))
+    return (df.withColumn("_sh", shifted)
+            .withColumn(out, map_with(F.col("_sh"), lse, lambda v, s: v - s))
+            .drop("_sh"))
 
 
-def smoothed_ce(logits: Column, target: Column, eps: float) -> Column:
-    """A5 per position: ``(1-eps)*(-log p_target) + eps/V * sum_k(-log p_k)``."""
-    lp = log_softmax(logits)
-    V = F.size(logits)
+def smoothed_ce(lp: Column, target: Column, eps: float) -> Column:
+    """A5 per position from log-probs: ``(1-eps)*(-lp[target]) + eps/V *
+    sum_k(-lp_k)``."""
     nll = -F.get(lp, target)
-    smooth = -F.aggregate(lp, F.lit(0.0), lambda acc, v: acc + v) / V
+    smooth = -F.aggregate(lp, F.lit(0.0), lambda acc, v: acc + v) / F.size(lp)
     return F.lit(1.0 - eps) * nll + F.lit(eps) * smooth
 
 

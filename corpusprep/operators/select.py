@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import map_with
 from ..functions.rng import gumbel, uniform
 
 
-def softmax(x: Column) -> Column:
-    """K7: numerically stable softmax of an ``array<double>``."""
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / s)
+def with_softmax(df: DataFrame, x: str, out: str = "p") -> DataFrame:
+    """K7: numerically stable softmax of an ``array<double>`` column.
+
+    The max and the normaliser reach the lambdas through ``map_with`` so
+    each is evaluated once per row, not once per element."""
+    e = map_with(F.col(x), F.array_max(x), lambda v, m: F.exp(v - m))
+    return (df.withColumn("_e", e)
+            .withColumn(out, map_with(F.col("_e"), F.aggregate("_e", F.lit(0.0), lambda acc, v: acc + v),
+                                      lambda v, s: v / s))
+            .drop("_e"))
 
 
 def argmax(x: Column) -> Column:
