@@ -34,4 +34,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_text, queries_chat, queries_logits, queries_mol  # noqa: F401
+    from . import queries_text, queries_chat, queries_logits, queries_mol, queries_prompts  # noqa: F401
