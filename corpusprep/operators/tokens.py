@@ -87,17 +87,19 @@ def encode_long(token_rows: DataFrame, vocab: DataFrame, token_col: str = "token
             .drop("_tok", "_id"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str = "tokens",
+def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], tokens_col: str = "tokens",
            out: str = "ids") -> DataFrame:
     """T5 (dense form): array of tokens -> array of ids, order kept.
 
-    Explodes, looks ids up through a broadcast join and regroups by ``key``;
-    each group is one (already truncated) sequence."""
-    rows = df.select(key, F.posexplode(tokens_col).alias("_pos", "_word"))
+    Explodes, looks ids up through a broadcast join and regroups by ``key``
+    (which must identify rows); each group is one row's own token array."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df.select(*keys, F.posexplode(tokens_col).alias("_pos", "_word"))
     rows = encode_long(rows, vocab, "_word", "_wid")
-    ids = rows.groupBy(key).agg(
+    ids = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_wid"))).alias("_pairs"))
-    ids = ids.select(key, F.transform("_pairs", lambda p: p["_wid"]).alias(out))
+    ids = ids.select(*keys, F.transform("_pairs", lambda p: p["_wid"]).alias(out))
+    key = keys
     return df.join(ids, key, "left").withColumn(
         out, F.coalesce(F.col(out), F.array().cast("array<int>")))
 

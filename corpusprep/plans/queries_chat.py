@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..session import table
 from . import sqlkit as Q
-from .chat_feed import chat_feed
+from ..operators import tokens as TK
+from .chat_feed import chat_feed, chat_vocab
 from .registry import register
 
 CHAT_LEN = 512
@@ -69,3 +70,119 @@ def n5_chat_mask(spark, sf_dir, rng: str = "portable"):
         F.col("noisy_id").cast("bigint"), F.col("label").cast("bigint"),
         F.col("prompt_mask").cast("bigint"), F.round("p_mask", 6).alias("p_mask"),
         F.col("answer_len").cast("bigint"))
+
+
+# ---------------------------------------------------------------- P1 ----
+P1_SQL = f"""
+WITH seg AS (SELECT conv_id, 0 AS g, turn, {Q.segment()} AS segment FROM conversations
+             UNION ALL SELECT conv_id, 1 AS g, max(turn) + 1 AS turn,
+             '{K.START_HEADER_TOKEN}assistant{K.END_HEADER_TOKEN}' || chr(10) AS segment FROM conversations GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY g, turn) AS rn FROM seg)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(rn - 1 AS BIGINT) AS piece_no,
+       CASE WHEN rn = 1 THEN '{K.BOS_TOKEN}' || segment ELSE segment END AS piece
+FROM r
+"""
+
+
+@register("p1_chat_render", P1_SQL)
+def p1_chat_render(spark, sf):
+    from .chat_feed import render_chat_segments
+    r = render_chat_segments(table(spark, sf, "conversations"), add_generation_prompt=True)
+    return r.select(F.col("conv_id").cast("bigint"), F.col("piece_no").cast("bigint"), "piece")
+
+
+# ---------------------------------------------------------------- P7 ----
+P7_SQL = f"""
+WITH {_chat_positions_sql(CHAT_LEN)},
+vocab AS {_chat_vocab_sql()},
+enc AS (SELECT p.conv_id, p.pos, coalesce(v.id, {K.UNK_ID}) AS token_id FROM positions p LEFT JOIN vocab v ON p.token = v.token)
+SELECT CAST(conv_id AS BIGINT) AS conv_id,
+       CAST(coalesce(max(CASE WHEN token_id = {K.END_HEADER_ID} THEN pos END) + 1, 0) AS BIGINT) AS prompt_len,
+       CAST(count(*) AS BIGINT) AS seq_len
+FROM enc GROUP BY conv_id
+"""
+
+
+@register("p7_lm_chat_prompt", P7_SQL)
+def p7_lm_chat_prompt(spark, sf):
+    conv = table(spark, sf, "conversations")
+    df = chat_feed(conv, max_seq_len=CHAT_LEN)
+    return df.groupBy("conv_id").agg(
+        F.sum("prompt_mask").cast("bigint").alias("prompt_len"),
+        F.count(F.lit(1)).cast("bigint").alias("seq_len")).select(
+        F.col("conv_id").cast("bigint"), "prompt_len", "seq_len")
+
+
+# ---------------------------------------------------------------- T8 ----
+T8_SQL = f"""
+WITH n5 AS ({N5_SQL}),
+words AS (SELECT token, id FROM {_chat_vocab_sql()} v WHERE id < {K.MAX_WORD_VOCAB})
+SELECT n5.conv_id, n5.pos, CASE WHEN n5.noisy_id = {K.MASK_ID} THEN 'MASK' ELSE 'GEN' END AS kind,
+       CASE WHEN n5.noisy_id = {K.MASK_ID} THEN '[MASK]' ELSE coalesce(w.token, '') END AS token
+FROM n5 LEFT JOIN words w ON n5.noisy_id = w.id
+WHERE n5.prompt_mask = 0
+"""
+
+
+@register("t8_label_positions", T8_SQL)
+def t8_label_positions(spark, sf, rng="portable"):
+    conv = table(spark, sf, "conversations")
+    vocab = chat_vocab(conv)
+    df = chat_feed(conv, max_seq_len=CHAT_LEN, vocab=vocab, rng=rng).where(F.col("prompt_mask") == 0)
+    words = F.broadcast(vocab.where(F.col("id") < K.MAX_WORD_VOCAB)
+                        .select(F.col("id").alias("_id"), F.col("token").alias("_w")))
+    masked = F.col("noisy_id") == K.MASK_ID
+    out = df.join(words, F.col("noisy_id") == F.col("_id"), "left")
+    return out.select(F.col("conv_id").cast("bigint"), F.col("pos").cast("bigint"),
+                      F.when(masked, "MASK").otherwise("GEN").alias("kind"),
+                      F.when(masked, "[MASK]").otherwise(F.coalesce(F.col("_w"), F.lit(""))).alias("token"))
+
+
+# ---------------------------------------------------------------- C8 ----
+_PREFIX_SQL = "'" + K.THINKING_PREFIX.rstrip("\n") + "' || chr(10)"
+
+
+@register("c8_thinking_prefix", f"""
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       CASE WHEN role = 'user' THEN {_PREFIX_SQL} || text ELSE text END AS text
+FROM conversations
+""")
+def c8_thinking_prefix(spark, sf):
+    from ..operators.clean import thinking_prefix
+    c = table(spark, sf, "conversations")
+    return c.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
+                    thinking_prefix(F.col("text"), F.col("role") == "user").alias("text"))
+
+
+# ---------------------------------------------------------------- P2 ----
+P2_SQL = f"""
+WITH vocab AS {_chat_vocab_sql()},
+q AS (SELECT conv_id, turn, {Q.tokens(f"'{K.START_HEADER_TOKEN}user{K.END_HEADER_TOKEN}' || chr(10) || text || '{K.EOT_TOKEN}{K.START_HEADER_TOKEN}assistant{K.END_HEADER_TOKEN}' || chr(10)")} AS toks
+      FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn, unnest(range(len(toks))) AS i, unnest(toks) AS token FROM q),
+e AS (SELECT r.conv_id, r.turn, list(coalesce(v.id, {K.UNK_ID}) ORDER BY r.i) AS ids
+      FROM r LEFT JOIN vocab v ON r.token = v.token GROUP BY r.conv_id, r.turn)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       array_to_string(list_concat([{K.BOS_ID}], ids), ',') AS ids FROM e
+"""
+
+
+def question_ids(conv, vocab, close_tag: str = K.EOT_TOKEN):
+    """Each user question wrapped in user/assistant headers (close tag is
+    a parameter), tokenised, encoded, bos id prepended."""
+    from ..operators import prompts as PR
+    from ..functions import text as TX
+    q = conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", TX.tokens(F.concat(F.lit(K.START_HEADER_TOKEN + "user" + K.END_HEADER_TOKEN + "\n"),
+                                              F.col("text"), F.lit(close_tag + K.START_HEADER_TOKEN + "assistant"
+                                                                   + K.END_HEADER_TOKEN + "\n"))).alias("tokens"))
+    enc = TK.encode(q, vocab, ["conv_id", "turn"])
+    return enc.withColumn("ids", PR.chat_wrap(F.col("ids")))
+
+
+@register("p2_question_wrap", P2_SQL)
+def p2_question_wrap(spark, sf):
+    conv = table(spark, sf, "conversations")
+    q = question_ids(conv, chat_vocab(conv))
+    return q.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"),
+                    F.array_join(F.transform("ids", lambda v: v.cast("string")), ",").alias("ids"))
