@@ -8,7 +8,7 @@ specials, which is what makes the broadcast joins below safe.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -47,17 +47,19 @@ def build_vocab(token_rows: DataFrame, token_col: str = "token", *,
     """Word vocabulary ``(token, id, count)`` by descending frequency
     (ties by token), at most ``max_size`` words. Special markers are left out.
 
-    Counting is a partial (map-side combined) aggregate; the top ``max_size``
-    is a distributed take-ordered, so the single-partition numbering below
-    only ever sees ``max_size`` rows.
+    Counting is a partial (map-side combined) aggregate. Ranking goes
+    through the distributed dense index, so neither the distinct-token table
+    (which grows with the corpus) nor ``partitions x max_size`` top-k
+    candidates ever pass through a single task.
     """
+    from .ordering import dense_index
     max_size = min(max_size, K.MAX_WORD_VOCAB)
     counts = (token_rows.where(~T.is_marker(F.col(token_col)))
               .groupBy(F.col(token_col).alias("token"))
               .agg(F.count(F.lit(1)).alias("count")))
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_size)
-    w = Window.orderBy(F.desc("count"), F.asc("token"))
-    return top.withColumn("id", (F.row_number().over(w) - 1).cast("int"))
+    ranked = dense_index(counts, [F.desc("count"), F.asc("token")], out="_rank")
+    return (ranked.where(F.col("_rank") < max_size)
+            .select("token", "count", F.col("_rank").cast("int").alias("id")))
 
 
 def with_specials(vocab: DataFrame) -> DataFrame:
@@ -71,9 +73,10 @@ def extend_vocab(vocab: DataFrame, alphabet: DataFrame, token_col: str = "token"
     the current maximum id in token order. Returns the new rows only."""
     missing = (alphabet.select(F.col(token_col).alias("token")).distinct()
                .join(vocab.select("token"), "token", "left_anti"))
+    from .ordering import dense_index
     base = vocab.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]  # one scalar
-    w = Window.orderBy("token")  # new symbols only: bounded by the alphabet
-    return missing.withColumn("id", (F.lit(int(base)) + F.row_number().over(w)).cast("int"))
+    ranked = dense_index(missing, ["token"], out="_r")
+    return ranked.select("token", (F.lit(int(base)) + 1 + F.col("_r")).cast("int").alias("id"))
 
 
 def encode_long(token_rows: DataFrame, vocab: DataFrame, token_col: str = "token",
@@ -94,14 +97,15 @@ def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], tokens_col: st
     Explodes, looks ids up through a broadcast join and regroups by ``key``
     (which must identify rows); each group is one row's own token array."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = df.select(*keys, F.posexplode(tokens_col).alias("_pos", "_word"))
+    rest = [c for c in df.columns if c not in keys and c != tokens_col]
+    # posexplode_outer keeps rows with no tokens (their null entry is not
+    # collected), so no join back to the input is needed.
+    rows = df.select(*keys, *rest, F.posexplode_outer(tokens_col).alias("_pos", "_word"))
     rows = encode_long(rows, vocab, "_word", "_wid")
-    ids = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_wid"))).alias("_pairs"))
-    ids = ids.select(*keys, F.transform("_pairs", lambda p: p["_wid"]).alias(out))
-    key = keys
-    return df.join(ids, key, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_wid"))
+    ids = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest],
+                                  F.array_sort(F.collect_list(entry)).alias("_pairs"))
+    return ids.select(*keys, *rest, F.transform("_pairs", lambda p: p["_wid"]).alias(out))
 
 
 def decode_long(id_rows: DataFrame, vocab: DataFrame, id_col: str = "token_id",

@@ -37,6 +37,34 @@ def doc_token_rows(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> Data
     return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
 
 
+def _explode_encode(spark, sf, seq) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", seq.alias("_s"))
+    rows = docs.select("doc_id", F.posexplode("_s").alias("pos", "token"))
+    return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
+
+
+def doc_lm_rows(spark: SparkSession, sf: str, seq_len: int, max_len: int = DOC_LEN) -> DataFrame:
+    """P6 sequences in long form ``(doc_id, pos, token, token_id)``, built on
+    the token strings and encoded once: ``([bos] + tokens + [eos] + [eos]*)[:L]``
+    with bos prepended unless already first. No regrouping shuffle."""
+    toks = F.slice(T.tokens(F.col("text")), 1, max_len)
+    bos, eos = F.array(F.lit(K.BOS_TOKEN)), F.array(F.lit(K.EOS_TOKEN))
+    t = F.when(F.size(toks) == 0, bos).when(F.get(toks, 0) != F.lit(K.BOS_TOKEN), F.concat(bos, toks)) \
+         .otherwise(toks)
+    t = F.concat(t, eos)
+    seq = F.slice(F.concat(t, F.array_repeat(F.lit(K.EOS_TOKEN), F.greatest(F.lit(seq_len) - F.size(t), F.lit(0)))),
+                  1, seq_len)
+    return _explode_encode(spark, sf, seq)
+
+
+def doc_padded_rows(spark: SparkSession, sf: str, seq_len: int = DOC_LEN) -> DataFrame:
+    """Truncated token sequences right-padded with ``[iPAD]`` to ``seq_len``,
+    long form (the pad token encodes to the pad id through the specials)."""
+    toks = F.slice(T.tokens(F.col("text")), 1, seq_len)
+    seq = F.concat(toks, F.array_repeat(F.lit("[iPAD]"), F.lit(seq_len) - F.size(toks)))
+    return _explode_encode(spark, sf, seq)
+
+
 def doc_ids(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> DataFrame:
     """(doc_id, ids): dense id arrays (T5) of the truncated texts."""
     docs = TK.tokenise(table(spark, sf, "documents").select("doc_id", "text"), "text", max_len=max_len)

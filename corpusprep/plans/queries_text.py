@@ -239,11 +239,8 @@ FROM m
 
 @register("n3_exact_count_mask", N3_SQL)
 def n3_exact_count_mask(spark, sf, rng="portable"):
-    d = I.doc_ids(spark, sf)
-    padded = d.select("doc_id", F.concat("ids", F.array_repeat(F.lit(K.PAD_ID), F.lit(I.DOC_LEN) - F.size("ids")))
-                      .alias("s"))
-    rows = padded.select("doc_id", F.posexplode("s").alias("pos", "token_id")) \
-                 .withColumn("t", N.timestep("doc_id", TSTEPS, rng=rng))
+    rows = I.doc_padded_rows(spark, sf).select("doc_id", "pos", "token_id") \
+            .withColumn("t", N.timestep("doc_id", TSTEPS, rng=rng))
     ratio = S.selfies_ratio("linear", F.col("t"), TSTEPS, 0.0, 1.0)
     r = N.exact_count_mask(rows, "doc_id", ratio, pad_id=K.PAD_ID, rng=rng)
     return r.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"),
@@ -270,8 +267,7 @@ FROM m
 
 
 def lm_rows(spark, sf, L=LM_LEN):
-    d = I.doc_ids(spark, sf).select("doc_id", P.lm_prompt(F.col("ids"), L)["input_ids"].alias("s"))
-    return d.select("doc_id", F.posexplode("s").alias("pos", "token_id"))
+    return I.doc_lm_rows(spark, sf, L).select("doc_id", "pos", "token_id")
 
 
 @register("n4_lm_mask", N4_SQL)
