@@ -79,7 +79,9 @@ def top_k_per_group(df: DataFrame, group_by: Sequence[str],
     ``salts * k`` survivors.
     """
     order_cols = _cols(order_by)
-    salt = F.pmod(F.xxhash64(*(order_cols if salt_key is None else [salt_key])), F.lit(salts))
+    # Salt only spreads rows; the result does not depend on it (every salt
+    # keeps its own top k). Row position spreads even identical rows.
+    salt = F.pmod(F.monotonically_increasing_id() if salt_key is None else F.xxhash64(salt_key), F.lit(salts))
     pre = df.withColumn("_salt", salt)
     w1 = Window.partitionBy(*group_by, "_salt").orderBy(*order_cols)
     pre = pre.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
