@@ -35,4 +35,4 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import queries_text, queries_chat, queries_logits, queries_mol, queries_prompts  # noqa: F401
-    from . import queries_metric, queries_io, queries_stream, queries_udf  # noqa: F401
+    from . import queries_metric, queries_io, queries_stream, queries_udf, queries_tar  # noqa: F401
