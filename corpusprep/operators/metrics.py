@@ -142,6 +142,42 @@ def ema_series(df: DataFrame, series: str, step: str, val: str, **decay_kw) -> D
 CHUNK = 65536  # steps folded per task in the EMA scan
 
 
+def coords_loss(atoms: DataFrame, true_xyz: list[str], pred_xyz: list[str], mask: str | None = None) -> DataFrame:
+    """``sum over masked atoms of |pred - true|^2 / (n_masked + 1e-5)``."""
+    m = F.lit(1.0) if mask is None else F.col(mask).cast("double")
+    sq = sum((F.col(p).cast("double") * m - F.col(t).cast("double") * m) ** 2 for t, p in zip(true_xyz, pred_xyz))
+    return atoms.agg((F.sum(sq) / (F.sum(m) + F.lit(1e-5))).alias("value")).select(
+        F.lit("coords_loss").alias("loss"), "value")
+
+
+def class_ce_loss(rows: DataFrame, logits: str, target: str, ignore: int, name: str) -> DataFrame:
+    """Mean cross-entropy over rows whose target is not ``ignore``."""
+    d = with_log_softmax(rows.where(F.col(target) != ignore), logits, "_lp")
+    return d.agg(F.avg(-F.get(F.col("_lp"), F.col(target))).alias("value")).select(F.lit(name).alias("loss"), "value")
+
+
+def alignment_loss(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean squared difference over all elements of two embeddings."""
+    e = rows.select(F.explode(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))).alias("_d"))
+    return e.agg(F.avg("_d").alias("value")).select(F.lit("alignment_loss").alias("loss"), "value")
+
+
+def evaluate(losses: list[DataFrame], coeffs: dict[str, float]) -> DataFrame:
+    """Long table ``(loss, value)`` of the individual losses plus
+    ``total_loss = sum(coeff * loss)``; a missing coefficient counts 1.0 and
+    an empty loss list is an error."""
+    if not losses:
+        raise ValueError("no loss calculated")
+    parts = losses[0]
+    for p in losses[1:]:
+        parts = parts.unionByName(p)
+    coeff = F.lit(1.0)
+    for name, c in coeffs.items():
+        coeff = F.when(F.col("loss") == name.replace("_coeff", "_loss"), F.lit(float(c))).otherwise(coeff)
+    total = parts.agg(F.sum(coeff * F.col("value")).alias("value")).select(F.lit("total_loss").alias("loss"), "value")
+    return parts.unionByName(total)
+
+
 def norm_per_numel(df: DataFrame, group: list[str], vec: str) -> DataFrame:
     """``||v||_2 / numel`` over all values of each group."""
     e = df.select(*group, F.explode(vec).alias("_v"))

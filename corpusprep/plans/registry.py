@@ -36,3 +36,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import queries_text, queries_chat, queries_logits, queries_mol, queries_prompts  # noqa: F401
     from . import queries_metric, queries_io, queries_stream, queries_udf, queries_tar  # noqa: F401
+    from . import queries_eval  # noqa: F401
