@@ -17,6 +17,23 @@ def attach_captions(samples: DataFrame, captions: DataFrame, key: str) -> DataFr
     return samples.join(captions, key, "inner")
 
 
+MAX_QUESTIONS = 1024
+
+
+def ask_questions(samples: DataFrame, questions: list[str]) -> DataFrame:
+    """Every configured question for every sample, ``(…, q_idx,
+    question)``. The questions are a job parameter (a short list, checked
+    against ``MAX_QUESTIONS``), not a table: each sample row is repeated by
+    a generator, so the output grows linearly with the samples and no join
+    is planned."""
+    if not questions:
+        raise ValueError("no questions")
+    if len(questions) > MAX_QUESTIONS:
+        raise ValueError(f"{len(questions)} questions > {MAX_QUESTIONS}; join a question table by key instead")
+    qs = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(q).alias("question")) for i, q in enumerate(questions)])
+    return samples.withColumn("_q", F.explode(qs)).select("*", "_q.q_idx", "_q.question").drop("_q")
+
+
 def orphans(samples: DataFrame, captions: DataFrame, key: str) -> DataFrame:
     """Keys present on one side only: ``(side, key)`` with side 'sample'
     (no caption) or 'caption' (no sample). Two anti joins."""

@@ -132,6 +132,12 @@ def r2i_prompt(image: Column, ids: Column, max_text_len: int) -> Column:
     return F.struct(seq.alias("input_ids"), mask.alias("mask"), seq.alias("labels"))
 
 
+def molecule_question(selfies_ids: Column, question_ids: Column) -> Column:
+    """``[mmu][som] selfies [eom][sot] question``."""
+    return F.concat(_lit_arr(K.MMU_ID, K.SOM_ID), selfies_ids.cast("array<int>"),
+                    _lit_arr(K.EOM_ID, K.BOS_ID), question_ids.cast("array<int>"))
+
+
 def chat_wrap(ids: Column) -> Column:
     """P2 on already tokenised ids: bos id prepended."""
     return F.concat(_lit_arr(K.BOS_ID), ids.cast("array<int>"))

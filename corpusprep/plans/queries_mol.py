@@ -7,7 +7,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import normal, uniform
+from ..functions import constants as K
+from ..functions.rng import uniform
 from ..functions import schedules as S
 from ..operators import clean as C
 from ..operators import masking as N
@@ -313,3 +314,52 @@ def t4_extend_vocab(spark, sf):
     alpha = TK.tokenise_selfies(li, "selfies").select(F.explode("tokens").alias("token"))
     new = TK.extend_vocab(I.doc_vocab(spark, sf), alpha)
     return new.select("token", F.col("id").cast("bigint"))
+
+
+# ------------------------------------------------------------ J1 + P12 ----
+# Job parameter: the questions asked of every molecule.
+QUESTIONS = ["What is the molecular formula of this molecule?",
+             "Describe the structure of this molecule in detail.",
+             "Which functional groups does it contain?"]
+
+
+def _q_values_sql() -> str:
+    rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
+    return f"(SELECT * FROM (VALUES {rows}) AS q(q_idx, question))"
+
+
+J1_SQL = f"""
+WITH {I.DOC_SQL()}, {I.MOL_SQL},
+sym AS (SELECT mol, list('[' || symbol || ']' ORDER BY atom_idx) AS toks FROM atoms GROUP BY mol),
+alpha AS (SELECT DISTINCT unnest(toks) AS token FROM sym),
+missing AS (SELECT token FROM alpha WHERE token NOT IN (SELECT token FROM vocab)),
+ext AS (SELECT token, (SELECT max(id) FROM vocab) + row_number() OVER (ORDER BY token) AS id FROM missing),
+v2 AS (SELECT token, id FROM vocab UNION ALL SELECT token, id FROM ext),
+su AS (SELECT mol, unnest(toks) AS token, unnest(range(len(toks))) AS i FROM sym),
+sel AS (SELECT su.mol, list(coalesce(v2.id, {K.UNK_ID}) ORDER BY su.i) AS ids FROM su LEFT JOIN v2 ON su.token = v2.token GROUP BY su.mol),
+qt AS (SELECT q_idx, {Q.tokens('question')} AS toks FROM {_q_values_sql()} qv),
+qu AS (SELECT q_idx, unnest(toks) AS token, unnest(range(len(toks))) AS i FROM qt),
+qi AS (SELECT qu.q_idx, list(coalesce(v2.id, {K.UNK_ID}) ORDER BY qu.i) AS ids FROM qu LEFT JOIN v2 ON qu.token = v2.token GROUP BY qu.q_idx)
+SELECT CAST(sel.mol AS BIGINT) AS mol, CAST(qi.q_idx AS BIGINT) AS q_idx,
+       array_to_string(list_concat([{K.MMU_ID}, {K.SOM_ID}], sel.ids, [{K.EOM_ID}, {K.BOS_ID}], qi.ids), ',') AS ids
+FROM sel CROSS JOIN qi
+"""
+
+
+@register("j1_molecule_questions", J1_SQL)
+def j1_molecule_questions(spark, sf):
+    from ..operators.joins import ask_questions
+    from ..operators.prompts import molecule_question
+    atoms = I.mol_atoms(spark, sf)
+    sym = atoms.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "symbol"))).alias("_s"))
+    sym = sym.select("mol", F.transform("_s", lambda s: F.concat(F.lit("["), s["symbol"], F.lit("]"))).alias("tokens"))
+    base = I.doc_vocab(spark, sf)
+    ext = TK.extend_vocab(base, sym.select(F.explode("tokens").alias("token")))
+    vocab = base.unionByName(ext)
+    sel = TK.encode(sym, vocab, "mol", out="selfies_ids")
+    qs = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "q_idx int, question string")
+    q_ids = TK.encode(TK.tokenise(qs, "question"), vocab, "q_idx", out="question_ids").select("q_idx", "question_ids")
+    asked = ask_questions(sel, QUESTIONS).join(F.broadcast(q_ids), "q_idx")  # <= MAX_QUESTIONS rows
+    seq = molecule_question(F.col("selfies_ids"), F.col("question_ids"))
+    return asked.select(F.col("mol").cast("bigint"), F.col("q_idx").cast("bigint"),
+                        F.array_join(F.transform(seq, lambda v: v.cast("string")), ",").alias("ids"))
