@@ -213,3 +213,33 @@ def p11_t2i_plus_lm(spark, sf, rng="portable"):
                      .otherwise(F.lit("lm")))
     r = P.build_sequences(d, "task", max_text_len=TEXT_LEN, max_seq_len=SEQ_LEN)
     return r.select(F.col("doc_id").cast("bigint"), "task", _ints(F.col("seq.input_ids")).alias("input_ids"))
+
+
+# --------------------------------------------------------------- N6 ----
+N6_SQL = f"""
+WITH {PAIRS_SQL},
+a AS (SELECT doc_id, image, list_concat({with_bos('ids')}, [{K.EOS_ID}]) AS t FROM pairs),
+b AS (SELECT doc_id, image, {pad_or_cut('t', TEXT_LEN, True)} AS text FROM a),
+c AS (SELECT doc_id, text, list_concat([{K.MMU_ID}, {K.SOI_ID}], image, [{K.EOI_ID}]) AS head,
+      {last_pos('text', K.END_HEADER_ID)} AS eh FROM b),
+d AS (SELECT doc_id, list_concat(head, text) AS seq, len(head) + CASE WHEN eh >= 0 THEN eh + 1 ELSE 0 END AS plen FROM c),
+r AS (SELECT doc_id, plen, len(seq) AS n, unnest(range(len(seq))) AS pos, unnest(seq) AS token_id FROM d),
+m AS (SELECT *, CAST(0.999 AS DOUBLE) * {Q.u('t', 'doc_id')} + CAST(0.001 AS DOUBLE) AS p_mask FROM r)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id,
+       CAST(CASE WHEN {Q.u('mask', 'doc_id', 'pos')} < p_mask AND pos >= plen THEN {K.MASK_ID} ELSE token_id END AS BIGINT)
+       AS noisy_id, round(p_mask, 6) AS p_mask, CAST(n - plen AS BIGINT) AS answer_len
+FROM m
+"""
+
+
+@register("n6_mmu_mask", N6_SQL)
+def n6_mmu_mask(spark, sf, rng="portable"):
+    from ..operators import masking as N
+    d = _pairs(spark, sf).withColumn("r", P.mmu_prompt(F.col("image"), F.col("ids"), TEXT_LEN, with_labels=False))
+    rows = d.select("doc_id", F.posexplode(F.arrays_zip(F.col("r.input_ids").alias("t"), F.col("r.mask").alias("m")))
+                    .alias("pos", "z")).select("doc_id", "pos", F.col("z.t").alias("token_id"),
+                                                F.col("z.m").alias("prompt_mask"))
+    m = N.diffusion_mask(rows, "doc_id", prompt_mask="prompt_mask", clamp_min=False, rng=rng)
+    return m.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"), F.col("token_id").cast("bigint"),
+                    F.col("noisy_id").cast("bigint"), F.round("p_mask", 6).alias("p_mask"),
+                    F.col("answer_len").cast("bigint"))
