@@ -9,7 +9,7 @@ which is evaluated once per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,19 @@ def map_with(arr: Column, scalar: Column, fn) -> Column:
     return F.zip_with(arr, F.array_repeat(scalar, F.size(arr)), fn)
 
 
+def explode_rows(df: DataFrame, keep: list, arr, *, pos: str = "pos", out: str = "value",
+                 keep_pos: bool = True) -> DataFrame:
+    """One row per array element: ``(*keep, pos, out)``.
+
+    ``posexplode_outer`` plus a filter on the generated position. A plain
+    explode makes Catalyst infer ``size(arr) > 0`` and push that filter below
+    the projection that computes ``arr`` — re-running a costly array
+    expression (tokeniser, softmax, sequence builder) a second time."""
+    d = (df.select(*keep, F.posexplode_outer(arr).alias(pos, out))
+         .where(F.col(pos).isNotNull()))
+    return d if keep_pos else d.drop(pos)
+
+
 def true_positions(mask: Column) -> Column:
     """0-based indices of the true entries of a boolean array."""
     return F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())

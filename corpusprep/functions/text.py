@@ -20,9 +20,13 @@ EDGE_WS_RE = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace word tokens with special markers split out."""
-    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), MARKER_RE, " $1 ")
-    return F.filter(F.split(spaced, WS_RE), lambda x: x != F.lit(""))
+    """Whitespace word tokens with special markers split out.
+
+    All built-ins (code-generated): the marker regex only runs on texts that
+    contain ``<|``, and empty pieces are dropped with ``array_remove``."""
+    t = F.coalesce(text, F.lit(""))
+    spaced = F.when(t.contains("<|"), F.regexp_replace(t, MARKER_RE, " $1 ")).otherwise(t)
+    return F.array_remove(F.split(spaced, WS_RE), "")
 
 
 def selfies_tokens(text: Column) -> Column:
@@ -31,7 +35,8 @@ def selfies_tokens(text: Column) -> Column:
 
 
 def is_marker(tok: Column) -> Column:
-    return tok.rlike(MARKER_FULL_RE)
+    """Whole token is a special marker (cheap prefix test before the regex)."""
+    return tok.startswith("<|") & tok.rlike(MARKER_FULL_RE)
 
 
 def strip_ws(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import map_with
+from ..functions.arrays import explode_rows, map_with
 from .ordering import dense_index
 
 N_BUCKETS = 10
@@ -158,7 +158,7 @@ def class_ce_loss(rows: DataFrame, logits: str, target: str, ignore: int, name:
 
 def alignment_loss(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Mean squared difference over all elements of two embeddings."""
-    e = rows.select(F.explode(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))).alias("_d"))
+    e = explode_rows(rows, [], F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), out="_d")
     return e.agg(F.avg("_d").alias("value")).select(F.lit("alignment_loss").alias("loss"), "value")
 
 
@@ -180,5 +180,5 @@ def evaluate(losses: list[DataFrame], coeffs: dict[str, float]) -> DataFrame:
 
 def norm_per_numel(df: DataFrame, group: list[str], vec: str) -> DataFrame:
     """``||v||_2 / numel`` over all values of each group."""
-    e = df.select(*group, F.explode(vec).alias("_v"))
+    e = explode_rows(df, list(group), vec, out="_v")
     return e.groupBy(*group).agg((F.sqrt(F.sum(F.col("_v") * F.col("_v"))) / F.count(F.lit(1))).alias("norm"))

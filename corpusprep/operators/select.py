@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import map_with
+from ..functions.arrays import explode_rows, map_with
 from ..functions.rng import gumbel, uniform
 
 
@@ -48,7 +48,7 @@ def gumbel_argmax(x: Column, key: Column, temperature: float, *, mode: str = "di
 
 def explode_scores(df: DataFrame, key: str, scores: str = "logits") -> DataFrame:
     """Long form ``(key, k, x)``."""
-    return df.select(key, F.posexplode(scores).alias("k", "x"))
+    return explode_rows(df, [key], scores, pos="k", out="x")
 
 
 def top_k_rows(long: DataFrame, key: str, k: int) -> DataFrame:

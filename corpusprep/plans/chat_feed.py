@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import text as T
 from ..functions.rng import uniform
@@ -58,8 +59,8 @@ def render_chat_segments(conv: DataFrame, *, add_generation_prompt: bool = True,
 def chat_vocab(conv: DataFrame, *, max_size: int = K.MAX_WORD_VOCAB,
                close_tag: str = K.EOT_TOKEN) -> DataFrame:
     """T3 over the rendered turns of the whole chat corpus, plus specials."""
-    segs = turn_segments(conv, close_tag=close_tag)
-    toks = segs.select(F.explode(T.tokens(F.col("segment"))).alias("token"))
+    segs = turn_segments(conv, close_tag=close_tag).select(T.tokens(F.col("segment")).alias("_st"))
+    toks = AR.explode_rows(segs, [], "_st", out="token", keep_pos=False)
     return TK.with_specials(TK.build_vocab(toks, max_size=max_size))
 
 
@@ -73,10 +74,10 @@ def chat_positions(conv: DataFrame, max_seq_len: int, *, add_generation_prompt:
     # Only the first L turns can contribute (each turn has >= 1 token).
     segs = top_k_per_group(segs, ["conv_id"], ["_g", "turn"], L, salts=salts)
     w = Window.partitionBy("conv_id").orderBy("_g", "turn")
-    toks = T.tokens(F.col("segment"))
+    segs = segs.withColumn("_st", T.tokens(F.col("segment"))).drop("segment")  # tokenised once per turn
     segs = (segs.withColumn("_first", F.row_number().over(w) == 1)
-            .withColumn("_toks", F.when(F.col("_first"), F.concat(F.array(F.lit(K.BOS_TOKEN)), toks))
-                        .otherwise(toks))
+            .withColumn("_toks", F.when(F.col("_first"), F.concat(F.array(F.lit(K.BOS_TOKEN)), F.col("_st")))
+                        .otherwise(F.col("_st")))
             .withColumn("_n", F.size("_toks")))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     segs = (segs.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
@@ -90,8 +91,8 @@ def chat_positions(conv: DataFrame, max_seq_len: int, *, add_generation_prompt:
         F.transform(F.sequence(F.col("_total").cast("int"), F.lit(L - 1)),
                     lambda p: F.struct(p.alias("pos"), F.lit(K.EOS_TOKEN).alias("token"))),
     ).otherwise(F.array().cast("array<struct<pos:int,token:string>>"))
-    return (segs.select("conv_id", F.explode(F.concat(own, pad)).alias("_t"))
-            .select("conv_id", F.col("_t.pos").alias("pos"), F.col("_t.token").alias("token")))
+    rows = AR.explode_rows(segs, ["conv_id"], F.concat(own, pad), pos="_i", out="_t", keep_pos=False)
+    return rows.select("conv_id", F.col("_t.pos").alias("pos"), F.col("_t.token").alias("token"))
 
 
 def chat_feed(conv: DataFrame, *, max_seq_len: int = 512, eps: float = 1e-3,

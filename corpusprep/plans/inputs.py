@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import tokens as TK
@@ -23,23 +24,33 @@ MAX_ATOMS = 32         # molecule gate and padding width for the MOL stand-in
 
 # ---------------------------------------------------------------- TEXT ----
 def doc_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    toks = docs.select(F.explode(T.tokens(F.col("text"))).alias("token"))
-    return TK.with_specials(TK.build_vocab(toks))
+    """T3 over the whole texts of the corpus, plus the special tokens."""
+    rows = explode_rows(doc_tokens(spark, sf), "doc_id", "_toks")
+    return TK.with_specials(TK.build_vocab(rows))
 
 
 def doc_token_rows(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> DataFrame:
     """(doc_id, pos, token, token_id): first ``max_len`` tokens of each text,
     ids from the vocabulary of the whole corpus."""
-    docs = table(spark, sf, "documents")
-    rows = docs.select("doc_id", F.posexplode(F.slice(T.tokens(F.col("text")), 1, max_len))
-                       .alias("pos", "token"))
+    rows = explode_rows(doc_tokens(spark, sf, max_len), "doc_id", "_toks")
     return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
 
 
-def _explode_encode(spark, sf, seq) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", seq.alias("_s"))
-    rows = docs.select("doc_id", F.posexplode("_s").alias("pos", "token"))
+def explode_rows(df: DataFrame, key: str, arr: str, pos: str = "pos", out: str = "token") -> DataFrame:
+    """``(key, pos, out)`` rows of an array column (see ``arrays.explode_rows``)."""
+    return AR.explode_rows(df, [key], arr, pos=pos, out=out)
+
+
+def doc_tokens(spark: SparkSession, sf: str, max_len: int | None = None) -> DataFrame:
+    """``(doc_id, _toks)``: the token array, computed once per document."""
+    toks = T.tokens(F.col("text"))
+    if max_len is not None:
+        toks = F.slice(toks, 1, max_len)
+    return table(spark, sf, "documents").select("doc_id", toks.alias("_toks"))
+
+
+def _explode_encode(spark, sf, docs: DataFrame, seq) -> DataFrame:
+    rows = explode_rows(docs.select("doc_id", seq.alias("_s")), "doc_id", "_s")
     return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
 
 
@@ -47,22 +58,23 @@ def doc_lm_rows(spark: SparkSession, sf: str, seq_len: int, max_len: int = DOC_L
     """P6 sequences in long form ``(doc_id, pos, token, token_id)``, built on
     the token strings and encoded once: ``([bos] + tokens + [eos] + [eos]*)[:L]``
     with bos prepended unless already first. No regrouping shuffle."""
-    toks = F.slice(T.tokens(F.col("text")), 1, max_len)
+    docs = doc_tokens(spark, sf, max_len)
+    toks = F.col("_toks")
     bos, eos = F.array(F.lit(K.BOS_TOKEN)), F.array(F.lit(K.EOS_TOKEN))
     t = F.when(F.size(toks) == 0, bos).when(F.get(toks, 0) != F.lit(K.BOS_TOKEN), F.concat(bos, toks)) \
          .otherwise(toks)
     t = F.concat(t, eos)
     seq = F.slice(F.concat(t, F.array_repeat(F.lit(K.EOS_TOKEN), F.greatest(F.lit(seq_len) - F.size(t), F.lit(0)))),
                   1, seq_len)
-    return _explode_encode(spark, sf, seq)
+    return _explode_encode(spark, sf, docs, seq)
 
 
 def doc_padded_rows(spark: SparkSession, sf: str, seq_len: int = DOC_LEN) -> DataFrame:
     """Truncated token sequences right-padded with ``[iPAD]`` to ``seq_len``,
     long form (the pad token encodes to the pad id through the specials)."""
-    toks = F.slice(T.tokens(F.col("text")), 1, seq_len)
-    seq = F.concat(toks, F.array_repeat(F.lit("[iPAD]"), F.lit(seq_len) - F.size(toks)))
-    return _explode_encode(spark, sf, seq)
+    docs = doc_tokens(spark, sf, seq_len)
+    seq = F.concat("_toks", F.array_repeat(F.lit("[iPAD]"), F.lit(seq_len) - F.size("_toks")))
+    return _explode_encode(spark, sf, docs, seq)
 
 
 def doc_ids(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> DataFrame:

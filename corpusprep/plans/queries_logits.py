@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import true_positions
+from ..functions.arrays import explode_rows, true_positions
 from ..functions.rng import uniform
 from ..operators import masking as N
 from ..operators import metrics as A
@@ -229,7 +229,7 @@ FROM buckets LEFT JOIN b ON buckets.bucket = b.bucket
 
 @register("a4_image_entropy_bucket", A4_SQL)
 def a4_image_entropy_bucket(spark, sf, rng="portable"):
-    d = _masked(spark, sf, rng).where("masked").select("label", "bucket", F.posexplode("p").alias("k", "q"))
+    d = explode_rows(_masked(spark, sf, rng).where("masked"), ["label", "bucket"], "p", pos="k", out="q")
     m = d.groupBy("label", "k").agg(F.first("bucket").alias("bucket"), F.avg("q").alias("q"))
     s = m.groupBy("label").agg(F.first("bucket").alias("bucket"),
                                (-F.sum(F.when(F.col("q") > 0, F.col("q") * F.log("q")).otherwise(0.0))).alias("v"))
@@ -272,7 +272,7 @@ def a6_token_distribution_bucket(spark, sf, rng="portable"):
     first_sample = d.groupBy("bucket").agg(F.min("label").alias("label"))
     cand = d.where("masked").join(first_sample, ["bucket", "label"])
     rep = cand.groupBy("bucket").agg(F.min_by("p", "vec_id").alias("p"))
-    r = rep.select("bucket", F.posexplode("p").alias("k", "prob"))
+    r = explode_rows(rep, ["bucket"], "p", pos="k", out="prob")
     return r.select(F.col("bucket").cast("bigint"), F.col("k").cast("bigint"), R6(F.col("prob")).alias("prob"))
 
 

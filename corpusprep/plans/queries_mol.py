@@ -238,7 +238,7 @@ FROM a LEFT JOIN {_elements_sql()} e ON a.symbol = e.symbol
 @register("m2_parse_records", M2_SQL)
 def m2_parse_records(spark, sf, rng="portable"):
     ok, _ = C.split_quarantine(_gated(spark, sf, rng))
-    a = ok.select("mol", F.posexplode("atom_vec").alias("atom_idx", "symbol"))
+    a = I.explode_rows(ok, "mol", "atom_vec", pos="atom_idx", out="symbol")
     z = M.atom_numbers(a)
     return z.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"), F.col("atomic_num").cast("bigint"))
 
@@ -311,7 +311,7 @@ SELECT token, CAST(b + row_number() OVER (ORDER BY token) AS BIGINT) AS id FROM
 @register("t4_extend_vocab", T4_SQL)
 def t4_extend_vocab(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("selfies", _selfies_str())
-    alpha = TK.tokenise_selfies(li, "selfies").select(F.explode("tokens").alias("token"))
+    alpha = I.explode_rows(TK.tokenise_selfies(li, "selfies"), "l_orderkey", "tokens")
     new = TK.extend_vocab(I.doc_vocab(spark, sf), alpha)
     return new.select("token", F.col("id").cast("bigint"))
 
@@ -354,7 +354,7 @@ def j1_molecule_questions(spark, sf):
     sym = atoms.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "symbol"))).alias("_s"))
     sym = sym.select("mol", F.transform("_s", lambda s: F.concat(F.lit("["), s["symbol"], F.lit("]"))).alias("tokens"))
     base = I.doc_vocab(spark, sf)
-    ext = TK.extend_vocab(base, sym.select(F.explode("tokens").alias("token")))
+    ext = TK.extend_vocab(base, I.explode_rows(sym, "mol", "tokens"))
     vocab = base.unionByName(ext)
     sel = TK.encode(sym, vocab, "mol", out="selfies_ids")
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "q_idx int, question string")

@@ -236,9 +236,9 @@ FROM m
 def n6_mmu_mask(spark, sf, rng="portable"):
     from ..operators import masking as N
     d = _pairs(spark, sf).withColumn("r", P.mmu_prompt(F.col("image"), F.col("ids"), TEXT_LEN, with_labels=False))
-    rows = d.select("doc_id", F.posexplode(F.arrays_zip(F.col("r.input_ids").alias("t"), F.col("r.mask").alias("m")))
-                    .alias("pos", "z")).select("doc_id", "pos", F.col("z.t").alias("token_id"),
-                                                F.col("z.m").alias("prompt_mask"))
+    d = d.select("doc_id", F.arrays_zip(F.col("r.input_ids").alias("t"), F.col("r.mask").alias("m")).alias("_z"))
+    rows = I.explode_rows(d, "doc_id", "_z", out="z").select(
+        "doc_id", "pos", F.col("z.t").alias("token_id"), F.col("z.m").alias("prompt_mask"))
     m = N.diffusion_mask(rows, "doc_id", prompt_mask="prompt_mask", clamp_min=False, rng=rng)
     return m.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"), F.col("token_id").cast("bigint"),
                     F.col("noisy_id").cast("bigint"), F.round("p_mask", 6).alias("p_mask"),

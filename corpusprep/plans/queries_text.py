@@ -126,7 +126,7 @@ FROM c QUALIFY id < {K.MAX_WORD_VOCAB}
 
 @register("t3_build_vocab", T3_SQL)
 def t3_build_vocab(spark, sf):
-    toks = _docs(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    toks = I.explode_rows(I.doc_tokens(spark, sf), "doc_id", "_toks")
     v = TK.build_vocab(toks)
     return v.select("token", BIG("id").alias("id"), BIG("count").alias("count"))
 
@@ -161,7 +161,7 @@ FROM r JOIN words w ON r.tid = w.id
 @register("t6_decode", T6_SQL)
 def t6_decode(spark, sf):
     d = I.doc_ids(spark, sf).select("doc_id", P.lm_prompt(F.col("ids"), LM_LEN)["input_ids"].alias("s"))
-    rows = d.select("doc_id", F.posexplode("s").alias("pos", "tid"))
+    rows = I.explode_rows(d, "doc_id", "s", out="tid")
     out = TK.decode_long(rows, I.doc_vocab(spark, sf), "tid", "token")
     return out.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"), "token")
 

@@ -74,6 +74,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _row_groups(path: str) -> int | None:
+    """Row-group count from the Parquet footer (local files), else None."""
+    try:
+        import pyarrow.parquet as pq
+        return pq.ParquetFile(path).metadata.num_row_groups
+    except Exception:  # remote path or not a single file: leave the scan as is
+        return None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table (`<sf_dir>/<name>.parquet`)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One fixture table (`<sf_dir>/<name>.parquet`).
+
+    A Parquet scan cannot split a row group, and the fixture files hold a
+    single one; such a table is spread round-robin over the cores right
+    after the scan (projections and filters are still pushed below it) so
+    row-local work does not run in one task. Real shard sets have many row
+    groups and are read with ``sources.shards.read_shards`` unchanged."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    groups = _row_groups(path)
+    par = spark.sparkContext.defaultParallelism
+    if groups is not None and groups < par:
+        df = df.repartition(2 * par)
+    return df

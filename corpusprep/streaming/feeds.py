@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import text as T
 from ..functions.rng import uniform
@@ -34,14 +35,16 @@ def read_shard_stream(spark: SparkSession, path: str, schema: str, *, max_files_
 def lm_token_rows(docs: DataFrame, vocab: DataFrame, seq_len: int, max_len: int) -> DataFrame:
     """C1 + T1 + P6 + T5 in long form: ``(doc_id, pos, token_id)``; works on
     batch and streaming frames alike (no aggregation)."""
-    toks = F.slice(T.tokens(F.col("text")), 1, max_len)
+    docs = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.slice(T.tokens(F.col("text")), 1, max_len).alias("_toks"))  # tokenised once
+    toks = F.col("_toks")
     bos, eos = F.array(F.lit(K.BOS_TOKEN)), F.array(F.lit(K.EOS_TOKEN))
     t = F.when(F.size(toks) == 0, bos).when(F.get(toks, 0) != F.lit(K.BOS_TOKEN), F.concat(bos, toks)) \
          .otherwise(toks)
     t = F.concat(t, eos)
     seq = F.slice(F.concat(t, F.array_repeat(F.lit(K.EOS_TOKEN), F.greatest(F.lit(seq_len) - F.size(t), F.lit(0)))),
                   1, seq_len)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(seq).alias("pos", "token"))
+    rows = AR.explode_rows(docs, ["doc_id"], seq, out="token")
     return TK.encode_long(rows, vocab, "token", "token_id").drop("token")
 
 
