@@ -55,14 +55,20 @@ def timestep_mask(rows: DataFrame, key: str, *, timesteps: int = 1000, schedule:
 
 def exact_count_mask(rows: DataFrame, key: str, ratio: Column, *, pos: str = "pos",
                      tok: str = "token_id", pad_id: int = 0, mask_id: int = K.MASK_ID,
-                     seed: int = 0, rng: str = "portable") -> DataFrame:
+                     n_col: str | None = None, seed: int = 0, rng: str = "portable") -> DataFrame:
     """``k = int(n*ratio)`` of the n non-pad positions, chosen without
     replacement by ascending ``u('select', key, pos)``; labels -100 on every
-    other position (pads included)."""
+    other position (pads included).
+
+    One window per sequence (bounded by its length). When the rows come from
+    exploding sequences that were hash-partitioned by ``key``, the window
+    needs no exchange; ``n_col`` (non-pad count known per sequence) saves the
+    counting window."""
     w_all = Window.partitionBy(key)
     w_ord = Window.partitionBy(key).orderBy(F.col("_nonpad").desc(), F.col("_u"), F.col(pos))
+    n = F.col(n_col) if n_col else F.sum(F.col("_nonpad").cast("int")).over(w_all)
     res = (rows.withColumn("_nonpad", F.col(tok) != F.lit(pad_id))
-           .withColumn("_n", F.sum(F.col("_nonpad").cast("int")).over(w_all))
+           .withColumn("_n", n)
            .withColumn("_k", F.floor(F.col("_n").cast("double") * ratio).cast("int"))
            .withColumn("_u", uniform("select", key, pos, seed=seed, rng=rng))
            .withColumn("_r", F.row_number().over(w_ord))
@@ -72,6 +78,28 @@ def exact_count_mask(rows: DataFrame, key: str, ratio: Column, *, pos: str = "po
             .drop("_nonpad", "_n", "_k", "_u", "_r", "_m"))
 
 
+def exact_count_mask_array(seq: Column, key: str, ratio: Column, *, is_pad=None, seed: int = 0,
+                           rng: str = "portable") -> Column:
+    """N3 on one row's own array (no shuffle): boolean mask of the
+    ``floor(n * ratio)`` non-pad positions with the smallest
+    ``u('select', key, pos)`` (ties by position). ``is_pad(elem)`` marks pads.
+
+    Sorts ``(pad, u, pos)`` structs, inverts the permutation with a second
+    sort on position, and compares each rank with ``k`` — O(L log L) per row.
+    """
+    pad = (lambda e: F.lit(False)) if is_pad is None else is_pad
+    keyed = F.transform(seq, lambda e, i: F.struct(pad(e).alias("p"),
+                                                  uniform("select", key, i, seed=seed, rng=rng).alias("u"),
+                                                  i.alias("i")))
+    ranked = F.transform(F.array_sort(keyed), lambda s, r: F.struct(s["i"].alias("i"), r.alias("r"),
+                                                                     s["p"].alias("p")))
+    by_pos = F.array_sort(ranked)
+    n = F.size(F.filter(seq, lambda e: ~pad(e)))
+    k = F.floor(n.cast("double") * ratio).cast("int")
+    from ..functions.arrays import map_with
+    return map_with(by_pos, k, lambda s, kk: ~s["p"] & (s["r"] < kk))
+
+
 def diffusion_mask(rows: DataFrame, key: str, *, pos: str = "pos", tok: str = "token_id",
                    prompt_mask: str | None = None, eps: float = 1e-3,
                    answer_len: str = "non_prompt", clamp_min: bool = True, seq_len: int | None = None,

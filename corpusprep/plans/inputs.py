@@ -41,12 +41,20 @@ def explode_rows(df: DataFrame, key: str, arr: str, pos: str = "pos", out: str =
     return AR.explode_rows(df, [key], arr, pos=pos, out=out)
 
 
-def doc_tokens(spark: SparkSession, sf: str, max_len: int | None = None) -> DataFrame:
-    """``(doc_id, _toks)``: the token array, computed once per document."""
+def doc_tokens(spark: SparkSession, sf: str, max_len: int | None = None, *,
+               cluster_by_id: bool = False) -> DataFrame:
+    """``(doc_id, _toks)``: the token array, computed once per document.
+    ``cluster_by_id`` hash-partitions the documents by id first, so later
+    per-document windows over their exploded tokens need no exchange."""
     toks = T.tokens(F.col("text"))
     if max_len is not None:
         toks = F.slice(toks, 1, max_len)
-    return table(spark, sf, "documents").select("doc_id", toks.alias("_toks"))
+    docs = table(spark, sf, "documents")
+    if cluster_by_id:
+        # explicit count: the text is small next to the rows it explodes
+        # into, and AQE must not coalesce it into a few tasks
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return docs.select("doc_id", toks.alias("_toks"))
 
 
 def _explode_encode(spark, sf, docs: DataFrame, seq) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import schedules as S
 from ..functions import text as T
@@ -239,10 +240,18 @@ FROM m
 
 @register("n3_exact_count_mask", N3_SQL)
 def n3_exact_count_mask(spark, sf, rng="portable"):
-    rows = I.doc_padded_rows(spark, sf).select("doc_id", "pos", "token_id") \
-            .withColumn("t", N.timestep("doc_id", TSTEPS, rng=rng))
+    # Documents are hash-partitioned by id before tokenising: exploding and
+    # the broadcast vocabulary join keep that partitioning, so the
+    # per-document selection window needs no exchange of the token rows.
+    docs = I.doc_tokens(spark, sf, I.DOC_LEN, cluster_by_id=True)
+    seq = F.concat("_toks", F.array_repeat(F.lit("[iPAD]"), F.lit(I.DOC_LEN) - F.size("_toks")))
+    d = docs.select("doc_id", seq.alias("_s"),
+                    F.size(F.array_remove("_toks", "[iPAD]")).alias("_n"))  # non-pad count per document
+    rows = AR.explode_rows(d, ["doc_id", "_n"], "_s", out="token")
+    rows = TK.encode_long(rows, I.doc_vocab(spark, sf), "token", "token_id") \
+             .withColumn("t", N.timestep("doc_id", TSTEPS, rng=rng))
     ratio = S.selfies_ratio("linear", F.col("t"), TSTEPS, 0.0, 1.0)
-    r = N.exact_count_mask(rows, "doc_id", ratio, pad_id=K.PAD_ID, rng=rng)
+    r = N.exact_count_mask(rows, "doc_id", ratio, pad_id=K.PAD_ID, n_col="_n", rng=rng)
     return r.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"),
                     BIG("input_id").alias("input_id"), BIG("label").alias("label"))
 
