@@ -26,6 +26,9 @@ def shuffle(df: DataFrame, key: str, *, epoch_col: str | None = None, mode: str
     ``buffer_size`` rows shuffled inside the buffer (the reference's
     bounded-memory shuffle), i.e. order by (u(file), buffer no, u(row)).
     With ``epoch_col`` positions restart per epoch.
+
+    The rows are range-partitioned and checkpointed: pass the key (and what
+    must travel with it) only, and join payloads back by key.
     """
     keys = ([epoch_col] if epoch_col else []) + [key]
     if mode == "global":

@@ -421,7 +421,8 @@ def d4_noise_schedule(spark, sf, rng="portable"):
 
 # ----------------------------------------------- shuffle/shard/batch ----
 def _shuffled(spark, sf, rng="portable"):
-    return B.shuffle(_docs(spark, sf).select("doc_id", "text"), "doc_id", rng=rng)
+    # only the key is shuffled (and checkpointed); payloads join back by key
+    return B.shuffle(_docs(spark, sf).select("doc_id"), "doc_id", rng=rng)
 
 
 SHUF_SQL = f"(SELECT doc_id, text, row_number() OVER (ORDER BY {Q.u('shuffle', 'doc_id')}, doc_id) - 1 AS idx FROM documents)"
