@@ -1,5 +1,5 @@
-"""End-to-end jobs: the molecule convert job (E1/M9) and the chat training
-feed (E3).
+"""End-to-end jobs: the molecule convert job (E1/M9), the molecule training
+feed (E2) and the chat training feed (E3).
 
 Each job is a plan of library operators; writing is the caller's choice
 (``out`` path) and counters come from aggregates, never from a driver loop.
@@ -65,6 +65,49 @@ def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, max_a
     return records, C.reason_counts(gated)
 
 
+def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: int = 256,
+                           max_selfies_len: int = 256, timesteps: int = 1000, schedule: str = "cosine",
+                           batch_size: int = 2, seed: int = 0, rng: str = "fast") -> DataFrame:
+    """Converted molecule records -> one training row per molecule.
+
+    C1 (SELFIES present) -> M2 parse + C2 gate -> T2 SELFIES tokens, T5 ids
+    and the N2 timestep mask in long form (broadcast vocabulary and schedule)
+    -> regrouped per molecule (bounded by ``max_selfies_len``) -> M1 atom
+    numbers, M7 padding -> I1 shuffle -> B4 batch. The ungrouped work is
+    row-local; the shuffles are the per-molecule regroup and the shuffle index.
+    """
+    from ..functions import arrays as AR
+    from ..operators import masking as N
+    from ..operators import tokens as TK
+
+    recs = C.drop_empty(records, "selfies_string")
+    parsed = M.parse_record(recs).withColumn("reason", C.validity(F.col("atom_vec"), F.col("coordinates"),
+                                                                  max_atoms))
+    ok = parsed.where(F.col("reason") == "ok").select(
+        F.col("id"), "selfies_string", "atom_vec", "coordinates")
+    toks = TK.tokenise_selfies(ok.select("id", "selfies_string"), "selfies_string", max_len=max_selfies_len)
+    rows = TK.encode_long(AR.explode_rows(toks, ["id"], "tokens", out="token"), vocab, "token", "token_id")
+    rows = rows.withColumn("id_key", F.xxhash64("id"))
+    masked = N.timestep_mask(rows, "id_key", timesteps=timesteps, schedule=schedule, seed=seed, rng=rng)
+    seqs = masked.groupBy("id").agg(
+        F.first("t").alias("timestep"),
+        F.array_sort(F.collect_list(F.struct("pos", "input_id", "label"))).alias("_s"))
+    seqs = seqs.select("id", "timestep",
+                       F.transform("_s", lambda s: s["input_id"]).alias("selfies_input_ids"),
+                       F.transform("_s", lambda s: s["label"]).alias("true_selfies_labels"),
+                       F.array_repeat(F.lit(1), F.size("_s")).alias("selfies_attention_mask"))
+    z = M.atom_numbers(AR.explode_rows(ok, ["id"], "atom_vec", pos="atom_idx", out="symbol"))
+    zarr = z.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "atomic_num"))).alias("_z"))
+    feats = ok.select("id", "coordinates").join(zarr, "id").withColumn(
+        "atom_ids", F.transform("_z", lambda s: s["atomic_num"]))
+    ids, xyz, mask = M.pad_atoms(F.col("atom_ids"), F.col("coordinates"), max_atoms)
+    feats = feats.select("id", ids.alias("atom_vec"), xyz.alias("coordinates"), mask.alias("atoms_mask"))
+    samples = seqs.join(feats, "id")
+    order = B.batch_id(B.shuffle(samples.select("id", F.xxhash64("id").alias("id_key")), "id_key", seed=seed,
+                                 rng=rng), batch_size)
+    return samples.join(order.select("id", "idx", "batch_id"), "id")
+
+
 def chat_training_feed(conv: DataFrame, *, max_seq_len: int = 512, batch_size: int = 8,
                        rng: str = "fast", out: str | None = None) -> DataFrame:
     """Masked chat rows (flagship) with a shuffled batch id per
@@ -79,4 +122,4 @@ def chat_training_feed(conv: DataFrame, *, max_seq_len: int = 512, batch_size: i
     return res
 
 
-__all__ = ["convert_molecules", "chat_training_feed"]
+__all__ = ["convert_molecules", "molecule_training_feed", "chat_training_feed"]

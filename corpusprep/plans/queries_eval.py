@@ -16,7 +16,7 @@ from ..session import table
 from ..sources.shards import read_shards
 from . import inputs as I
 from . import sqlkit as Q
-from .jobs import convert_molecules
+from .jobs import convert_molecules, molecule_training_feed
 from .registry import register
 
 T_NOISE = 1000
@@ -101,3 +101,21 @@ def b2_buffer_shuffle(spark, sf, rng="portable"):
     d = read_shards(spark, f"{sf}/documents.parquet", with_file=True).select("doc_id", "source_file")
     s = B.shuffle(d, "doc_id", mode="buffer", buffer_size=B2_BUFFER, rng=rng)
     return s.select(F.col("doc_id").cast("bigint"), F.col("idx").cast("bigint"))
+
+
+@register("e2_molecule_feed")
+def e2_molecule_feed(spark, sf, rng="portable"):
+    """E2 end to end on converted MOL records (rows-only: the feed is a
+    composition of operators that each have their own oracle)."""
+    from ..operators import tokens as TK
+    from ..functions import arrays as AR
+    records = m9_convert_job(spark, sf)
+    base = I.doc_vocab(spark, sf)
+    alpha = AR.explode_rows(TK.tokenise_selfies(records.select("id", "selfies_string"), "selfies_string"),
+                            ["id"], "tokens", out="token")
+    vocab = base.unionByName(TK.extend_vocab(base, alpha))
+    feed = molecule_training_feed(records, vocab, max_atoms=I.MAX_ATOMS, max_selfies_len=64, rng=rng)
+    return feed.select("id", "idx", "batch_id", "timestep",
+                       F.array_join(F.transform("selfies_input_ids", lambda v: v.cast("string")), ",").alias("ids"),
+                       F.array_join(F.transform("true_selfies_labels", lambda v: v.cast("string")), ",").alias("labels"),
+                       F.array_join(F.transform("atom_vec", lambda v: v.cast("string")), ",").alias("atom_vec"))

@@ -180,13 +180,16 @@ def k5_release_step(spark, sf, rng="portable"):
 
 # ---------------------------------------------------- bucket metrics ----
 def _masked(spark, sf, rng="portable"):
-    """Positions with their sample (label), mask flag and sample bucket."""
+    """Positions with their sample (label), mask flag and sample bucket.
+
+    Per-sample counts are a partial aggregate joined back (one row per
+    sample), not a window: a sample's positions never meet in one task."""
     d = _probs(spark, sf).withColumn(
         "masked", uniform("mask", "vec_id", rng=rng) < uniform("ratio", "label", rng=rng))
-    w = Window.partitionBy("label")
-    d = (d.withColumn("n_masked", F.sum(F.col("masked").cast("int")).over(w))
-         .withColumn("n", F.count(F.lit(1)).over(w)))
-    return d.withColumn("bucket", A.masked_bucket(F.col("n_masked"), F.col("n")))
+    per = d.groupBy("label").agg(F.sum(F.col("masked").cast("int")).alias("n_masked"),
+                                 F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("bucket", A.masked_bucket(F.col("n_masked"), F.col("n")))
+    return d.join(per, "label")
 
 
 MASKED_SQL = f"""{SOFTMAX_SQL},

@@ -131,6 +131,19 @@ def test_top_p_ties_and_min_keep(spark):
     assert sorted(tk["k"].tolist()) == [0, 1]               # ties at the k-th value are kept
 
 
+def test_molecule_feed_invariants(spark, smoke_dir):
+    from corpusprep.plans.queries_eval import e2_molecule_feed
+    f = e2_molecule_feed(spark, smoke_dir).toPandas()
+    assert f["id"].is_unique
+    assert sorted(f["idx"]) == list(range(len(f)))
+    assert (f["batch_id"] == f["idx"] // 2).all()
+    for ids, labels, atoms in zip(f["ids"], f["labels"], f["atom_vec"]):
+        ids, labels = [int(x) for x in ids.split(",")], [int(x) for x in labels.split(",")]
+        assert len(atoms.split(",")) == I.MAX_ATOMS
+        for i, lab in zip(ids, labels):
+            assert (i == K.MASK_ID and lab != K.IGNORE_ID) or (lab == K.IGNORE_ID)
+
+
 def test_random_topk_mask_ties_not_masked(spark):
     df = spark.createDataFrame([(1, [0.25, 0.25, 0.25, 0.25], 2)], "id long, p array<double>, n int")
     out = N.with_random_topk_mask(df, "p", F.col("n"), 0.0, "id").first()["mask"]
