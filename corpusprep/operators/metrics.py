@@ -92,51 +92,73 @@ def ema_series(df: DataFrame, series: str, step: str, val: str, **decay_kw) -> D
     warm-up decay of update ``t`` (``d_0 = d_1 = 0``: the average starts at
     the first values).
 
-    A linear recurrence, computed as a two-level scan so no series has to
-    sit in one task: chunks of ``CHUNK`` consecutive steps are folded in
-    parallel (``applyInPandas`` per (series, chunk), bounded size) into an
-    affine map ``ema_out = A*ema_in + B``; the per-series carries are a scan
-    over the chunk maps (one row per chunk); then every step adds
-    ``A_prefix * carry`` back.
+    Each step is the affine map ``x -> d_t x + (1-d_t) v_t``; the EMA is the
+    prefix composition of those maps, computed by ``affine_scan`` so no
+    series ever sits in one task.
+    """
+    d = df.select(series, F.col(step).cast("long").alias("_i"), F.col(val).cast("double").alias("_x")) \
+          .withColumn("_a", ema_decay(F.col("_i"), **decay_kw))
+    d = d.withColumn("_b", (F.lit(1.0) - F.col("_a")) * F.col("_x")).drop("_x")
+    s = affine_scan(d, series, "_i", "_a", "_b")
+    # value after step i = a_i * (value entering i) + b_i
+    return s.select(series, F.col("_i").alias(step), (F.col("_a") * F.col("_in") + F.col("_b")).alias("ema"))
+
+
+def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk: int | None = None) -> DataFrame:
+    """Prefix composition of affine maps ``x -> a x + b`` applied in ``idx``
+    order within each series, starting from 0: adds ``_in`` = the value
+    entering each row.
+
+    Blocked parallel scan: rows are cut into chunks of ``chunk`` consecutive
+    indices; each chunk is folded in one task (``applyInPandas``, at most
+    ``chunk`` rows) into local prefixes and one composed map; the composed
+    maps (one per chunk) are scanned the same way, recursively, until a
+    series has at most ``chunk`` of them. Every task sees at most ``chunk``
+    rows at every level; the folded chunks are checkpointed once and reused.
     """
     import numpy as np
     import pandas as pd
 
-    chunk = CHUNK
-    d = df.select(series, F.col(step).cast("long").alias("_s"), F.col(val).cast("double").alias("_x")) \
-          .withColumn("_d", ema_decay(F.col("_s"), **decay_kw)) \
-          .withColumn("_c", F.floor(F.col("_s") / F.lit(chunk)).cast("long"))
+    from ..session import checkpoint
+
+    chunk = int(chunk or CHUNK)
+    d = maps.withColumn("_c", F.floor(F.col(idx) / F.lit(chunk)).cast("long"))
+    stype = dict(maps.dtypes)[series]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s")
-        dd, xx = pdf["_d"].to_numpy(), pdf["_x"].to_numpy()
-        local = np.empty(len(dd))
-        pref = np.empty(len(dd))
-        e, a = 0.0, 1.0
-        for i in range(len(dd)):
-            e = dd[i] * e + (1.0 - dd[i]) * xx[i]
-            a = a * dd[i]
-            local[i], pref[i] = e, a
-        return pd.DataFrame({series: pdf[series].to_numpy(), "_s": pdf["_s"].to_numpy(), "_c": pdf["_c"].to_numpy(),
-                             "_local": local, "_pref": pref})
-
-    schema = f"{series} string, _s long, _c long, _local double, _pref double"
-    folded = d.groupBy(series, "_c").applyInPandas(fold, schema)
-    # Chunk maps (A = last prefix product, B = last local value), one row per chunk.
-    maps = folded.groupBy(series, "_c").agg(F.max_by("_pref", "_s").alias("_A"), F.max_by("_local", "_s").alias("_B"))
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        out, c = np.empty(len(pdf)), 0.0
-        for i, (a, b) in enumerate(zip(pdf["_A"].to_numpy(), pdf["_B"].to_numpy())):
-            out[i] = c
-            c = a * c + b
-        return pd.DataFrame({series: pdf[series].to_numpy(), "_c": pdf["_c"].to_numpy(), "_carry": out})
-
-    carries = maps.groupBy(series).applyInPandas(carry, f"{series} string, _c long, _carry double")
+        pdf = pdf.sort_values(idx)
+        aa, bb = pdf[a].to_numpy(), pdf[b].to_numpy()
+        q, p = np.empty(len(aa)), np.empty(len(aa))
+        val, prod = 0.0, 1.0
+        for i in range(len(aa)):           # value and product *before* row i
+            q[i], p[i] = val, prod
+            val = aa[i] * val + bb[i]
+            prod = prod * aa[i]
+        out = pdf[[series, idx, "_c", a, b]].copy()
+        out["_q"], out["_p"] = q, p
+        out["_ma"], out["_mb"] = prod, val   # the chunk's composed map, on every row
+        return out
+
+    schema = f"{series} {stype}, {idx} long, _c long, {a} double, {b} double, _q double, _p double, _ma double, _mb double"
+    folded = checkpoint(d.select(series, idx, "_c", a, b).groupBy(series, "_c").applyInPandas(fold, schema))
+    summary = folded.select(series, "_c", "_ma", "_mb").dropDuplicates([series, "_c"])
+    n_chunks = summary.groupBy(series).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if n_chunks <= chunk:
+        def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_c")
+            out, c = np.empty(len(pdf)), 0.0
+            for i, (ca, cb) in enumerate(zip(pdf["_ma"].to_numpy(), pdf["_mb"].to_numpy())):
+                out[i] = c
+                c = ca * c + cb
+            return pd.DataFrame({series: pdf[series].to_numpy(), "_c": pdf["_c"].to_numpy(), "_carry": out})
+        carries = summary.groupBy(series).applyInPandas(carry, f"{series} {stype}, _c long, _carry double")
+    else:
+        inner = affine_scan(summary.select(series, F.col("_c").alias("_ci"), F.col("_ma").alias("_ca"),
+                                           F.col("_mb").alias("_cb")),
+                            series, "_ci", "_ca", "_cb", chunk=chunk)
+        carries = inner.select(series, F.col("_ci").alias("_c"), F.col("_in").alias("_carry"))
     res = folded.join(carries, [series, "_c"])
-    return res.select(series, F.col("_s").alias(step),
-                      (F.col("_local") + F.col("_pref") * F.col("_carry")).alias("ema"))
+    return res.select(series, idx, a, b, (F.col("_p") * F.col("_carry") + F.col("_q")).alias("_in"))
 
 
 CHUNK = 65536  # steps folded per task in the EMA scan

@@ -20,7 +20,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..functions.rng import uniform
 from ..operators import tokens as TK
-from ..operators.ordering import top_k_per_group
+from ..operators.ordering import dense_index, top_k_per_group
 
 
 def turn_segments(conv: DataFrame, *, add_generation_prompt: bool = False,
@@ -48,11 +48,12 @@ def render_chat_segments(conv: DataFrame, *, add_generation_prompt: bool = True,
     (bos text on the first turn). Kept as rows so a very long conversation
     never has to be one value."""
     rows = turn_segments(conv, add_generation_prompt=add_generation_prompt, close_tag=close_tag)
-    w = Window.partitionBy("conv_id").orderBy("_g", "turn")
-    rn = F.row_number().over(w)
+    # piece number = dense position of the turn in its conversation, via the
+    # skew-safe grouped index (a huge conversation is split across tasks)
+    rows = dense_index(rows, ["_g", "turn"], group_by=["conv_id"], out="piece_no")
     return rows.select(
-        "conv_id", (rn - 1).cast("bigint").alias("piece_no"),
-        F.when(rn == 1, F.concat(F.lit(K.BOS_TOKEN), F.col("segment")))
+        "conv_id", F.col("piece_no").cast("bigint"),
+        F.when(F.col("piece_no") == 0, F.concat(F.lit(K.BOS_TOKEN), F.col("segment")))
         .otherwise(F.col("segment")).alias("piece"))
 
 
