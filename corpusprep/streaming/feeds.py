@@ -75,7 +75,9 @@ def windowed_meters(events: DataFrame, *, window: str = "1 hour", watermark: str
                     series: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
     """R2: per (series, event-time window) count, sum, mean and last value.
     ``ts`` without zone is read as UTC (watermarks need a zoned timestamp)."""
-    e = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
+    # zone-less wall clock read as UTC whatever the session zone is
+    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
+    e = events.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz)).withWatermark("_ts", watermark)
     g = e.groupBy(F.col(series).alias("series"), F.window("_ts", window).alias("w"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"), F.avg(value).alias("avg"),
                  F.max_by(F.col(value), F.struct("_ts", "event_id")).alias("last")) \
