@@ -243,7 +243,22 @@ def m2_parse_records(spark, sf, rng="portable"):
     return z.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"), F.col("atomic_num").cast("bigint"))
 
 
-@register("m3_serialize_records")
+M3_SQL = f"""
+WITH {ATOMS_Z_SQL},
+pair AS (SELECT a.mol, a.atom_idx AS i, b.atom_idx AS j,
+         sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d
+         FROM atoms a JOIN atoms b ON a.mol = b.mol),
+drow AS (SELECT mol, i, list(d ORDER BY j) AS r FROM pair GROUP BY mol, i),
+dm AS (SELECT mol, list(r ORDER BY i) AS dist FROM drow GROUP BY mol),
+av AS (SELECT mol, list(atomic_num ORDER BY atom_idx) AS v, list([x, y, z] ORDER BY atom_idx) AS c
+       FROM atoms_z GROUP BY mol)
+SELECT CAST(av.mol AS BIGINT) AS mol, CAST(to_json(v) AS VARCHAR) AS atom_vec_str,
+       CAST(to_json(c) AS VARCHAR) AS coords_str, CAST(to_json(dist) AS VARCHAR) AS dist_str
+FROM av JOIN dm ON av.mol = dm.mol
+"""
+
+
+@register("m3_serialize_records", M3_SQL)
 def m3_serialize_records(spark, sf):
     m = M.molecule_arrays(_atoms_z(spark, sf)).withColumn("dist", M.distance_matrix(F.col("coords")))
     return M.to_json_record(m, ["atom_vec", "coords", "dist"]).select(
