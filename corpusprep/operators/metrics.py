@@ -52,12 +52,22 @@ def smoothed_ce(lp: Column, target: Column, eps: float) -> Column:
     return F.lit(1.0 - eps) * nll + F.lit(eps) * smooth
 
 
+EXACT = "decimal(38,12)"
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum accumulated in DECIMAL: exact, so the result does not depend on
+    partitioning or the order partial aggregates are merged in."""
+    return F.sum(c.cast(EXACT))
+
+
 def meter(df: DataFrame, group: list[str], val: str, n: str | None, step: str) -> DataFrame:
-    """A10: last value (by step), sum(val*n), count(n), weighted mean."""
+    """A10: last value (by step), sum(val*n), count(n), weighted mean (the
+    reference divides blindly; an empty count gives NULL here)."""
     w = F.col(n) if n else F.lit(1)
     return df.groupBy(*group).agg(
         F.max_by(F.col(val), F.col(step)).alias("last"),
-        F.sum(F.col(val) * w).alias("sum"),
+        exact_sum(F.col(val) * w).cast("double").alias("sum"),
         F.sum(w).alias("count"),
     ).withColumn("avg", F.try_divide(F.col("sum"), F.col("count")))
 

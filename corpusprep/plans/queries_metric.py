@@ -23,8 +23,8 @@ STEP_SQL = ("SELECT event_type AS series, ts, event_id, value, "
 
 
 @register("a10_meter", """
-SELECT event_type AS series, round(last(value ORDER BY ts, event_id), 6) AS last, round(sum(value), 6) AS sum,
-       CAST(count(*) AS BIGINT) AS count, round(avg(value), 6) AS avg
+SELECT event_type AS series, round(last(value ORDER BY ts, event_id), 6) AS last, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE), 6) AS sum,
+       CAST(count(*) AS BIGINT) AS count, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*), 6) AS avg
 FROM events GROUP BY event_type
 """)
 def a10_meter(spark, sf):
@@ -37,7 +37,7 @@ def a10_meter(spark, sf):
 A11_SQL = f"""
 WITH s AS ({STEP_SQL})
 SELECT series, CAST(step // {LOG_EVERY} AS BIGINT) AS log_window, round(last(value ORDER BY step), 6) AS last,
-       round(sum(value), 6) AS sum, CAST(count(*) AS BIGINT) AS count, round(avg(value), 6) AS avg
+       round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE), 6) AS sum, CAST(count(*) AS BIGINT) AS count, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*), 6) AS avg
 FROM s GROUP BY series, step // {LOG_EVERY}
 """
 
@@ -55,8 +55,9 @@ def a11_windowed_meter(spark, sf):
 
 A12_SQL = f"""
 WITH s AS ({STEP_SQL}),
-w AS (SELECT series, step // {LOG_EVERY} AS log_window, avg(value) AS loss, count(*) AS n FROM s GROUP BY series, step // {LOG_EVERY})
-SELECT CAST(log_window AS BIGINT) AS log_window, round(sum(loss * n) / sum(n), 6) AS weighted_loss, CAST(sum(n) AS BIGINT) AS n
+w AS (SELECT series, step // {LOG_EVERY} AS log_window, CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) AS loss_sum, count(*) AS n FROM s GROUP BY series, step // {LOG_EVERY})
+SELECT CAST(log_window AS BIGINT) AS log_window,
+       round(CAST(sum(CAST(loss_sum AS DECIMAL(38,12))) AS DOUBLE) / sum(n), 6) AS weighted_loss, CAST(sum(n) AS BIGINT) AS n
 FROM w GROUP BY log_window
 """
 
@@ -66,7 +67,8 @@ def a12_weighted_mean(spark, sf):
     """Per log window: mean of the per-series losses weighted by their
     sample counts (the gather-then-mean over processes)."""
     m = _windowed(spark, sf)
-    out = m.groupBy("window").agg((F.sum(F.col("avg") * F.col("count")) / F.sum("count")).alias("weighted_loss"),
+    # sum(loss * n) / sum(n) with loss * n = the window's exact loss sum
+    out = m.groupBy("window").agg((A.exact_sum(F.col("sum")).cast("double") / F.sum("count")).alias("weighted_loss"),
                                   F.sum("count").alias("n"))
     return out.select(F.col("window").cast("bigint").alias("log_window"), R6(F.col("weighted_loss")).alias("weighted_loss"),
                       F.col("n").cast("bigint"))

@@ -275,7 +275,7 @@ sab AS (SELECT t, sqrt(exp(sum(ln(1.0 - beta)) OVER (ORDER BY t ROWS BETWEEN UNB
 a AS (SELECT *, CAST(least(floor({float(T7)} * {Q.u('t', 'mol')}), {T7 - 1}) AS INTEGER) AS t FROM atoms),
 j AS (SELECT a.*, sab.sa FROM a JOIN sab ON a.t = sab.t)
 SELECT CAST(mol AS BIGINT) AS mol, CAST(atom_idx AS BIGINT) AS atom_idx,
-  {', '.join(f"round((sa * CAST({c} AS DOUBLE) + sqrt(greatest(1.0 - sa * sa, 0.0)) * sqrt(-2.0 * ln(greatest({Q.u(f'coord{i}:bm1', 'mol', 'atom_idx')}, 1e-20))) * cos(2.0 * {math.pi!r} * {Q.u(f'coord{i}:bm2', 'mol', 'atom_idx')})) * 1.0, 6) AS {c}_t" for i, c in enumerate('xyz'))}
+  {', '.join(f"round((sa * CAST({c} AS DOUBLE) + sqrt(greatest(1.0 - sa * sa, 0.0)) * sqrt(-2.0 * ln(greatest({Q.u(f'coord{i}:bm1', 'mol', 'atom_idx')}, 1e-20))) * cos(2.0 * {math.pi!r} * {Q.u(f'coord{i}:bm2', 'mol', 'atom_idx')})) * 1.0, 6) + 0.0 AS {c}_t" for i, c in enumerate('xyz'))}
 FROM j
 """
 
@@ -286,7 +286,7 @@ def n7_coord_noise(spark, sf, rng="portable"):
     a = I.mol_atoms(spark, sf).withColumn("t", N.timestep("mol", T7, rng=rng))
     r = N.coordinate_noise(a, "mol", "t", sched, rng=rng)
     return r.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"),
-                    *[R6(F.col(f"{c}_t")).alias(f"{c}_t") for c in "xyz"])
+                    *[(R6(F.col(f"{c}_t")) + F.lit(0.0)).alias(f"{c}_t") for c in "xyz"])  # no -0.0
 
 
 # ----------------------------------------------------------- T2, T4 ----

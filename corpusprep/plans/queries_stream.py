@@ -37,7 +37,7 @@ def r1_stream_featurise(spark, sf, rng="portable"):
 
 R2_SQL = """
 SELECT event_type AS series, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start,
-       CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS sum, round(avg(value), 6) AS avg,
+       CAST(count(*) AS BIGINT) AS n, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE), 6) AS sum, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*), 6) AS avg,
        round(last(value ORDER BY ts, event_id), 6) AS last
 FROM events GROUP BY 1, 2
 """

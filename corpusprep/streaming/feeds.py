@@ -79,9 +79,10 @@ def windowed_meters(events: DataFrame, *, window: str = "1 hour", watermark: str
     tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
     e = events.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz)).withWatermark("_ts", watermark)
     g = e.groupBy(F.col(series).alias("series"), F.window("_ts", window).alias("w"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"), F.avg(value).alias("avg"),
+    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(38,12)")).cast("double").alias("sum"),
                  F.max_by(F.col(value), F.struct("_ts", "event_id")).alias("last")) \
-            .select("series", F.unix_timestamp(F.col("w.start")).alias("window_start"), "n", "sum", "avg", "last")
+            .select("series", F.unix_timestamp(F.col("w.start")).alias("window_start"), "n", "sum",
+                    (F.col("sum") / F.col("n")).alias("avg"), "last")
 
 
 def start_windowed_meters(spark: SparkSession, src: str, out: str, checkpoint: str, *, window: str = "1 hour",
