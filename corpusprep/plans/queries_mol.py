@@ -47,10 +47,6 @@ def m1_atom_to_id(spark, sf):
     return a.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"), F.col("atomic_num").cast("bigint"))
 
 
-def _coord_fmt_sql(a: str) -> str:
-    return f"printf('%.4f,%.4f,%.4f', {a}.x, {a}.y, {a}.z)"
-
-
 M4_SQL = f"""
 WITH {ATOMS_Z_SQL}
 SELECT CAST(mol AS BIGINT) AS mol, CAST(count(*) AS BIGINT) AS n_atoms,

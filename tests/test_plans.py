@@ -2,7 +2,6 @@
 read only the columns they need, filters reach the Parquet scan."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from corpusprep.session import table

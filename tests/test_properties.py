@@ -69,6 +69,16 @@ def test_exact_count_mask(spark):
     assert (full["input_id"] == K.MASK_ID).sum() == 7
 
 
+def test_exact_count_mask_array_equals_window(spark):
+    seqs = [(k, [10 + ((k * 7 + i) % 5) for i in range(n)] + [0] * (12 - n)) for k, n in enumerate([0, 1, 5, 12, 9])]
+    df = spark.createDataFrame(seqs, "k long, s array<int>")
+    arr = df.select("k", N.exact_count_mask_array(F.col("s"), "k", F.lit(0.4), is_pad=lambda e: e == 0).alias("m"))
+    got = {(r["k"], i) for r in arr.collect() for i, m in enumerate(r["m"]) if m}
+    rows = df.select("k", F.posexplode("s").alias("pos", "token_id"))
+    win = N.exact_count_mask(rows, "k", F.lit(0.4), pad_id=0).where(F.col("input_id") == K.MASK_ID)
+    assert got == {(r["k"], r["pos"]) for r in win.collect()}
+
+
 def test_quota_sums(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 10, 37, 512)], "n int")
     q = df.select("n", S.transfer_quota(F.col("n"), 4).alias("q")).collect()
