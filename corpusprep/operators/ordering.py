@@ -74,11 +74,20 @@ def top_k_per_group(df: DataFrame, group_by: Sequence[str],
     """Keep the first ``k`` rows of every group in ``order_by`` order
     (ties broken by the order key itself, which should be unique).
 
-    Two-stage: first within (group, salt) — a hot group is spread over
-    ``salts`` window partitions — then within the group on at most
+    For ``k`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark
+    plans a partial ``WindowGroupLimit`` on the map side, before the
+    exchange: every task forwards at most ``k`` rows per group, so a hot
+    group reaches its window partition already cut to ``tasks * k`` rows —
+    one shuffle. Beyond the threshold the cut is made explicit in two
+    stages: first within (group, salt), then within the group on at most
     ``salts * k`` survivors.
     """
     order_cols = _cols(order_by)
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k <= threshold:
+        w = Window.partitionBy(*group_by).orderBy(*order_cols)
+        res = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+        return res.withColumnRenamed("_r", rank_col) if rank_col else res.drop("_r")
     # Salt only spreads rows; the result does not depend on it (every salt
     # keeps its own top k). Row position spreads even identical rows.
     salt = F.pmod(F.monotonically_increasing_id() if salt_key is None else F.xxhash64(salt_key), F.lit(salts))
