@@ -46,6 +46,9 @@ def timestep_mask(rows: DataFrame, key: str, *, timesteps: int = 1000, schedule:
                   seed: int = 0, rng: str = "portable", **kw) -> DataFrame:
     """``t = floor(T*u('t', key))``, ratio looked up in the schedule
     dimension (broadcast equi-join, J2), then N1 with that ratio."""
+    if callable(schedule):  # U2: a user Column -> Column schedule of the integer timestep
+        schedule_df = rows.sparkSession.range(timesteps).select(F.col("id").cast("int").alias("t")) \
+                          .withColumn("mask_ratio", schedule(F.col("t")))
     sched = schedule_df if schedule_df is not None else schedule_table(
         rows.sparkSession, schedule, timesteps, start, end)
     with_t = rows.withColumn("t", timestep(key, timesteps, seed=seed, rng=rng))

@@ -11,9 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import udf as U
 from ..operators import batching as B
 from ..session import table
+from . import inputs as I
 from . import sqlkit as Q
 from .registry import register
 
@@ -31,6 +33,30 @@ def u1_pluggable_tokenizer(spark, sf):
     return d.select(F.col("doc_id").cast("bigint"), F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
+U2_T = 1000
+U2_SQL = f"""
+WITH {I.DOC_SQL()},
+t AS (SELECT doc_id, pos, token_id, CAST(least(floor({float(U2_T)} * {Q.u('t', 'doc_id')}), {U2_T - 1}) AS INTEGER) AS t
+      FROM doc_rows),
+m AS (SELECT *, least(greatest(1.0 - pow(CAST(t AS DOUBLE) / {float(U2_T - 1)}, 3.0), 1e-6), 1.0) AS mask_ratio FROM t),
+k AS (SELECT *, {Q.u('mask', 'doc_id', 'pos')} < mask_ratio AS mk FROM m)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS pos, round(mask_ratio, 6) AS mask_ratio,
+       CAST(CASE WHEN mk THEN {K.MASK_ID} ELSE token_id END AS BIGINT) AS input_id
+FROM k
+"""
+
+
+@register("u2_pluggable_schedule", U2_SQL)
+def u2_pluggable_schedule(spark, sf, rng="portable"):
+    """N2 with a user schedule: the pow3 ratio function of t / (T - 1)."""
+    from ..functions import schedules as S
+    from ..operators import masking as N
+    user = lambda t: U.schedule_column(lambda c: S.ratio("pow3", c / F.lit(float(U2_T - 1))), t)
+    r = N.timestep_mask(I.doc_token_rows(spark, sf), "doc_id", timesteps=U2_T, schedule=user, rng=rng)
+    return r.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"),
+                    F.round("mask_ratio", 6).alias("mask_ratio"), F.col("input_id").cast("bigint"))
+
+
 def _batch_summary(t: pa.Table) -> pa.Table:
     lens = pc.utf8_length(t.column("text"))
     return pa.table({"batch_id": pa.array([t.column("batch_id")[0].as_py()], pa.int64()),

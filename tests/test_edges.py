@@ -118,6 +118,18 @@ def test_read_questions_keeps_corrupt(spark):
     assert sum(r["_corrupt_record"] is not None for r in rows) == 1
 
 
+def test_report_sink_groups_in_order(spark):
+    d = tempfile.mkdtemp(prefix="corpusprep-report-", dir="/tmp") + "/r"
+    df = spark.createDataFrame([("a", i, f"q{i} <x>", f"r{i}") for i in range(30)] + [("b", 0, "only", None)],
+                               "grp string, ord int, prompt string, response string")
+    FS.write_report(FS.report_rows(df, "grp", "ord", "prompt", "response"), d, "grp", "ord")
+    got = spark.read.text(d + "/grp=a").collect()
+    assert len(got) == 30 and "q0 &lt;x&gt;" in got[0]["value"]
+    lines = [r["value"] for r in spark.read.text(d + "/grp=a").collect()]
+    assert lines == sorted(lines, key=lambda s: int(s.split("<p>q")[1].split(" ")[0]))
+    assert spark.read.text(d + "/grp=b").count() == 1
+
+
 def test_ensure_id_keeps_existing_and_numbers_copies(spark):
     df = spark.createDataFrame([("x",), ("x",), ("y",)], "text string")
     ids = sorted(r["id"] for r in C.ensure_id(df, ["text"]).collect())
