@@ -138,11 +138,15 @@ def write_tar_shards(members: DataFrame, folder: str, *, shard: str = "shard", i
     """Write member rows as tar files ``<folder>/shard-<n>.tar`` (one task per
     shard, members in ``idx`` order); returns ``(shard, path, members)``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, out, tf, n, path = None, None, None, 0, None
+        import uuid
+        cur, out, tf, n, path, filesystem, inner, tmp = None, None, None, 0, None, None, None, None
 
         def close():
+            # a retried or speculative attempt writes its own temp file; the
+            # rename publishes a complete shard (same content every attempt)
             tf.close()
             out.close()
+            filesystem.move(tmp, inner)
             return pd.DataFrame({"shard": [int(cur)], "path": [path], "members": [n]})
 
         # rows arrive sorted by (shard, idx); a shard may span several batches
@@ -155,7 +159,8 @@ def write_tar_shards(members: DataFrame, folder: str, *, shard: str = "shard", i
                     path = f"{folder.rstrip('/')}/shard-{int(s):05d}.tar"
                     filesystem, inner = _arrow_fs(path)
                     filesystem.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-                    out = filesystem.open_output_stream(inner)
+                    tmp = f"{inner}.{uuid.uuid4().hex}.tmp"
+                    out = filesystem.open_output_stream(tmp)
                     tf = tarfile.open(fileobj=out, mode="w|")
                 info = tarfile.TarInfo(name)
                 info.size = len(payload)

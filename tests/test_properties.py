@@ -57,6 +57,22 @@ def test_chat_prompt_positions_never_masked(spark, smoke_dir):
     assert (f["answer_len"] >= 1).all()
 
 
+@pytest.mark.parametrize("L,gen", [(1200, False), (64, True)])
+def test_chat_positions_match_sql(spark, smoke_dir, L, gen):
+    """Long sequences (salted top-k path) and the generation prompt."""
+    from corpusprep.plans.chat_feed import chat_positions
+    from corpusprep.plans.queries_chat import _chat_positions_sql
+    from tests.oracle_check import duck
+    got = chat_positions(table(spark, smoke_dir, "conversations"), L, add_generation_prompt=gen).toPandas()
+    want = duck(smoke_dir).execute(f"WITH {_chat_positions_sql(L, gen)} SELECT conv_id, pos, token FROM positions").df()
+    key = ["conv_id", "pos"]
+    got = got.sort_values(key).reset_index(drop=True)
+    want = want.sort_values(key).reset_index(drop=True)
+    assert len(got) == len(want) == got["conv_id"].nunique() * L
+    assert (got["token"].values == want["token"].values).all()
+    assert (got["pos"].values == want["pos"].values).all()
+
+
 def test_exact_count_mask(spark):
     rows = spark.createDataFrame([(1, p, 0 if p >= 7 else 10 + p) for p in range(10)],
                                  "k long, pos int, token_id int")
