@@ -42,6 +42,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, *, executors: int, cores_per_executor: int,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings for a cluster run over ``input_bytes`` of Parquet.
+
+    Shuffle partitions are sized so one partition of the largest shuffle
+    (the exploded token rows, ~4x the compressed text) stays near the target
+    and there are at least 3 waves of tasks; AQE then coalesces small ones
+    and splits skewed join partitions. Broadcasts are left to the explicit,
+    size-bounded hints in the library plus Spark's own runtime size check.
+    """
+    slots = executors * cores_per_executor
+    shuffle_parts = max(3 * slots, (4 * input_bytes) // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, configuring it from the
     session's ``spark.checkpoint.dir`` when the context has none yet.
