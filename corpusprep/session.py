@@ -53,7 +53,8 @@ def scale_conf(input_bytes: int, *, executors: int, cores_per_executor: int,
     size-bounded hints in the library plus Spark's own runtime size check.
     """
     slots = executors * cores_per_executor
-    shuffle_parts = max(3 * slots, (4 * input_bytes) // target_partition_bytes)
+    # beyond ~250k reducers the map-output metadata dominates: partitions grow instead
+    shuffle_parts = min(250_000, max(3 * slots, (4 * input_bytes) // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(shuffle_parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
