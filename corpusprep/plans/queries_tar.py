@@ -70,7 +70,9 @@ def s8_filter_keys(spark, sf):
 @register("s7_read_tar_shards", S7_SQL)
 def s7_read_tar_shards(spark, sf):
     folder = scratch_path(spark, "tars")
-    TR.write_tar_shards(_members(spark, sf), folder).collect()  # one small row per shard written
+    # the shard manifest (shard, path, members) is written next to the tars,
+    # not collected: its size grows with the number of shards
+    TR.write_tar_shards(_members(spark, sf), folder).write.parquet(folder + "/_manifest")
     s = TR.read_tar_samples(spark, folder + "/*.tar")
     return s.select(F.regexp_extract("url", r"shard-[0-9]+", 0).alias("url"), F.col("sample_no").cast("bigint"),
                     "key", F.array_join("suffixes", ",").alias("suffixes"))
