@@ -73,6 +73,35 @@ def test_chat_positions_match_sql(spark, smoke_dir, L, gen):
     assert (got["pos"].values == want["pos"].values).all()
 
 
+def test_chat_feed_partition_independent(spark, smoke_dir):
+    conv = table(spark, smoke_dir, "conversations")
+    cols = ["conv_id", "pos", "token_id", "noisy_id", "prompt_mask", "answer_len"]
+    base = None
+    for parts in (1, 3, 16):
+        got = chat_feed(conv.repartition(parts), max_seq_len=96).select(cols).toPandas() \
+            .sort_values(["conv_id", "pos"]).reset_index(drop=True)
+        if base is None:
+            base = got
+        else:
+            pd.testing.assert_frame_equal(base, got)
+
+
+def test_chat_feed_hot_conversation(spark):
+    """One conversation with most of the turns: positions stay exact and
+    only the first max_seq_len positions are produced."""
+    turns = [(0, t, "user" if t % 2 == 0 else "assistant", f"w{t} x{t}") for t in range(3000)]
+    turns += [(c, t, "user", f"q{c}") for c in range(1, 40) for t in range(2)]
+    conv = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    from corpusprep.plans.chat_feed import chat_positions
+    got = chat_positions(conv, 64).where("conv_id = 0").orderBy("pos").toPandas()
+    want = [K.BOS_TOKEN]
+    for t in range(3000):
+        want += [K.START_HEADER_TOKEN, "user" if t % 2 == 0 else "assistant", K.END_HEADER_TOKEN,
+                 f"w{t}", f"x{t}", K.EOT_TOKEN]
+    assert got["pos"].tolist() == list(range(64))
+    assert got["token"].tolist() == want[:64]
+
+
 def test_exact_count_mask(spark):
     rows = spark.createDataFrame([(1, p, 0 if p >= 7 else 10 + p) for p in range(10)],
                                  "k long, pos int, token_id int")
