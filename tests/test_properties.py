@@ -142,6 +142,17 @@ def test_batches_cover_each_id_once_per_epoch(spark, smoke_dir):
         assert g.groupby("batch_id").size().max() <= 8
 
 
+def test_combine_modes(spark):
+    a = spark.range(5).select(F.col("id").alias("batch_id"))
+    b = spark.range(2).select(F.col("id").alias("batch_id"))
+    cyc = {(r["step"], r["source"]): r["batch_id"] for r in B.combine(a, {"b": b}).collect()}
+    assert len(cyc) == 10 and cyc[(4, "b")] == 0 and cyc[(3, "b")] == 1      # short source wraps
+    mn = B.combine(a, {"b": b}, mode="min_size").collect()
+    assert sorted({r["step"] for r in mn}) == [0, 1] and len(mn) == 4
+    seq = sorted((r["step"], r["source"], r["batch_id"]) for r in B.combine(a, {"b": b}, mode="sequential").collect())
+    assert [s[0] for s in seq] == list(range(7)) and seq[5] == (5, "b", 0)
+
+
 def test_dense_index_with_hot_group(spark):
     # one group holds ~1/3 of the rows; indices must stay dense per group
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
