@@ -52,6 +52,27 @@ def s6_read_prompt_lines(spark, sf):
     return FS.read_prompt_lines(spark, path)
 
 
+S5_SQL = """
+SELECT CAST(page_id AS VARCHAR) || '.html' AS file_name, CAST(0 AS BIGINT) AS turn, 'user' AS role, url AS text FROM pages
+UNION ALL
+SELECT CAST(page_id AS VARCHAR) || '.html' AS file_name, CAST(1 AS BIGINT) AS turn, 'assistant' AS role, html AS text FROM pages
+"""
+
+
+@register("s5_read_chat_json", S5_SQL)
+def s5_read_chat_json(spark, sf):
+    """Each page becomes one chat item (file name + two messages built from
+    that row alone), written as JSON and read back as turns."""
+    path = FS.scratch_path(spark, "chat-json")
+    p = table(spark, sf, "pages")
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content")),
+                   F.struct(F.lit("assistant").alias("role"), F.col("html").alias("content")))
+    p.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"),
+             msgs.alias("messages")).write.json(path)
+    r = FS.read_chat_json(spark, path, multi_line=False)
+    return r.select("file_name", F.col("turn").cast("bigint"), "role", "text")
+
+
 @register("s9_write_records", """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents
 """)

@@ -8,7 +8,8 @@ from corpusprep.session import table
 
 # These write derived files or run streams while being built; their plans
 # are checked through the operators they wrap.
-SIDE_EFFECTS = {"s3_read_raw_csv", "s4_read_questions", "s6_read_prompt_lines", "s9_write_records",
+SIDE_EFFECTS = {"s3_read_raw_csv", "s4_read_questions", "s5_read_chat_json", "s6_read_prompt_lines",
+                "s9_write_records", "s7_read_tar_shards",
                 "r1_stream_featurise", "r2_stream_windowed_meters"}
 KEYS = sorted(k for k in E.queries() if k not in SIDE_EFFECTS)
 
