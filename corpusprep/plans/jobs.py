@@ -35,8 +35,9 @@ def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, max_a
     ``atoms``: ``(mol, atom_idx, symbol, x, y, z)``; ``bonds``: ``(mol, i, j,
     bond)`` or consecutive-atom bonds when absent. Molecules over
     ``max_atoms`` are rejected from a partial count before anything is
-    collected. Returns ``(records, reason_counts)``; writes Parquet to
-    ``out`` when given."""
+    collected. Returns ``(records, reason_counts, written)``; with ``out`` the
+    records are written as Parquet and ``written`` is the ``Observation``
+    whose count comes from that write (else None)."""
     counts = atoms.groupBy("mol").agg(F.count(F.lit(1)).alias("n"))
     reason = F.when(F.col("n") == 0, "no_atoms").when(F.col("n") > max_atoms, "too_many_atoms").otherwise("ok")
     gated = counts.withColumn("reason", reason)
@@ -60,9 +61,12 @@ def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, max_a
         F.to_json("bond_type").alias("bond_type_str"),
         F.to_json("dist").alias("dist_str"),
         F.lit("[]").alias("rdmol2selfies_str"))
+    written = None
     if out:
-        write_records(records, out, mode="overwrite")
-    return records, C.reason_counts(gated)
+        from pyspark.sql import Observation
+        written = Observation("converted")   # .get -> {"written": n}, counted by the write itself
+        write_records(records, out, mode="overwrite", observation=written)
+    return records, C.reason_counts(gated), written
 
 
 def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: int = 256,

@@ -84,7 +84,7 @@ def m9_convert_job(spark, sf):
         F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"),
         F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
     atoms = I.atom_index(li, I.MAX_ATOMS)
-    records, _counts = convert_molecules(atoms, max_atoms=I.MAX_ATOMS)
+    records, _counts, _written = convert_molecules(atoms, max_atoms=I.MAX_ATOMS)
     return records
 
 

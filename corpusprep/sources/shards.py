@@ -61,8 +61,13 @@ def limit_rows(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataF
 
 
 def write_records(df: DataFrame, path: str, *, mode: str = "errorifexists",
-                  partition_by: Sequence[str] = (), max_records_per_file: int | None = None) -> None:
-    """Parquet sink; optional ``partitionBy`` and file sizing."""
+                  partition_by: Sequence[str] = (), max_records_per_file: int | None = None,
+                  observation=None, metrics: Sequence[Column] = ()) -> None:
+    """Parquet sink; optional ``partitionBy`` and file sizing. With an
+    ``Observation``, ``metrics`` (default: the row count) are computed by the
+    write itself — counters without a second pass over the data."""
+    if observation is not None:
+        df = df.observe(observation, *(metrics or [F.count(F.lit(1)).alias("written")]))
     w = df.write.mode(mode)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))

@@ -118,6 +118,25 @@ def test_read_questions_keeps_corrupt(spark):
     assert sum(r["_corrupt_record"] is not None for r in rows) == 1
 
 
+def test_convert_job_writes_and_counts(spark, smoke_dir):
+    from corpusprep.plans import inputs as I
+    from corpusprep.plans.jobs import convert_molecules
+    from corpusprep.session import table
+    li = table(spark, smoke_dir, "lineitem").select(
+        F.col("l_orderkey").alias("mol"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"),
+        F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
+    atoms = I.atom_index(li, 64)
+    out = tempfile.mkdtemp(prefix="corpusprep-convert-", dir="/tmp") + "/records"
+    records, counts, written = convert_molecules(atoms, max_atoms=4, out=out)
+    by_reason = {r["reason"]: r["n"] for r in counts.collect()}
+    back = spark.read.parquet(out)
+    assert written.get["written"] == back.count() == by_reason["ok"]
+    assert by_reason.get("too_many_atoms", 0) > 0
+    row = back.first()
+    assert len(json.loads(row["dist_str"])) == len(json.loads(row["atom_vec_str"]))
+
+
 def test_report_sink_groups_in_order(spark):
     d = tempfile.mkdtemp(prefix="corpusprep-report-", dir="/tmp") + "/r"
     df = spark.createDataFrame([("a", i, f"q{i} <x>", f"r{i}") for i in range(30)] + [("b", 0, "only", None)],
