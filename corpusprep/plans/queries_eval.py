@@ -19,6 +19,8 @@ from . import sqlkit as Q
 from .jobs import convert_molecules, molecule_training_feed
 from .registry import register
 
+from ..operators.molecules import ELEMENTS as M_ELEMENTS  # noqa: E402
+
 T_NOISE = 1000
 COEFFS = {"coords_coeff": 1.0, "atom_type_coeff": 0.5, "selfies_coeff": 1.0, "alignment_coeff": 0.1}
 
@@ -77,7 +79,35 @@ def a8_evaluation_losses(spark, sf, rng="portable"):
     return out.select("loss", F.round("value", 6).alias("value"))
 
 
-@register("m9_convert_job")
+def _bond_sql(i: str, j: str) -> str:
+    code = lambda a: f"(CASE {a} % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END)"
+    return f"(CASE WHEN {j} = {i} + 1 THEN {code(i)} WHEN {i} = {j} + 1 THEN {code(j)} ELSE 0 END)"
+
+
+M9_SQL = f"""
+WITH {I.MOL_SQL},
+z AS (SELECT a.*, coalesce(CASE WHEN regexp_full_match(a.symbol, '[0-9]+') THEN CAST(a.symbol AS INTEGER) END, e.z, 0) AS zn
+      FROM atoms a LEFT JOIN (SELECT * FROM (VALUES {", ".join(f"('{s}', {k + 1})" for k, s in enumerate(M_ELEMENTS))})
+      AS el(symbol, z)) e ON a.symbol = e.symbol),
+pair AS (SELECT a.mol, a.atom_idx AS i, b.atom_idx AS j,
+         sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d,
+         CASE WHEN abs(a.atom_idx - b.atom_idx) = 1 THEN 1 ELSE 0 END AS edge, {_bond_sql('a.atom_idx', 'b.atom_idx')} AS bond
+         FROM atoms a JOIN atoms b ON a.mol = b.mol),
+prow AS (SELECT mol, i, list(d ORDER BY j) AS d, list(edge ORDER BY j) AS e, list(bond ORDER BY j) AS b
+         FROM pair GROUP BY mol, i),
+mats AS (SELECT mol, list(d ORDER BY i) AS dist, list(e ORDER BY i) AS edge, list(b ORDER BY i) AS bond
+         FROM prow GROUP BY mol),
+av AS (SELECT mol, list(zn ORDER BY atom_idx) AS v, list([x, y, z] ORDER BY atom_idx) AS c,
+       string_agg('[' || symbol || ']', '' ORDER BY atom_idx) AS selfies FROM z GROUP BY mol)
+SELECT CAST(av.mol AS VARCHAR) AS id, selfies AS selfies_string, '' AS text_description,
+       CAST(to_json(v) AS VARCHAR) AS atom_vec_str, CAST(to_json(c) AS VARCHAR) AS coordinates_str,
+       CAST(to_json(edge) AS VARCHAR) AS edge_type_str, CAST(to_json(bond) AS VARCHAR) AS bond_type_str,
+       CAST(to_json(dist) AS VARCHAR) AS dist_str, '[]' AS rdmol2selfies_str
+FROM av JOIN mats ON av.mol = mats.mol
+"""
+
+
+@register("m9_convert_job", M9_SQL)
 def m9_convert_job(spark, sf):
     li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("mol"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
