@@ -29,15 +29,15 @@ def _as_col(k) -> Column:
 
 
 def uniform(tag: str, *keys, seed: int = DEFAULT_SEED, rng: str = "portable") -> Column:
-    """Deterministic U[0,1) from integer-valued key columns."""
+    """Deterministic U[0,1) from integer or string key columns (integers of
+    any width give the same value; never use floating-point keys)."""
     cols = [_as_col(k) for k in keys]
     if rng == "portable":
-        text = F.concat_ws("|", F.lit(str(seed)), F.lit(tag),
-                           *[c.cast("bigint").cast("string") for c in cols])
+        text = F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[c.cast("string") for c in cols])
         bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
         return bits.cast("double") / F.lit(TWO_52)
     if rng == "fast":
-        h = F.xxhash64(F.lit(seed), F.lit(tag), *[c.cast("bigint") for c in cols])
+        h = F.xxhash64(F.lit(seed), F.lit(tag), *[c.cast("string") for c in cols])
         return F.shiftrightunsigned(h, 11).cast("double") / F.lit(TWO_53)
     raise ValueError(f"unknown rng {rng!r}")
 

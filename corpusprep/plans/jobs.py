@@ -91,8 +91,7 @@ def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: i
         F.col("id"), "selfies_string", "atom_vec", "coordinates")
     toks = TK.tokenise_selfies(ok.select("id", "selfies_string"), "selfies_string", max_len=max_selfies_len)
     rows = TK.encode_long(AR.explode_rows(toks, ["id"], "tokens", out="token"), vocab, "token", "token_id")
-    rows = rows.withColumn("id_key", F.xxhash64("id"))
-    masked = N.timestep_mask(rows, "id_key", timesteps=timesteps, schedule=schedule, seed=seed, rng=rng)
+    masked = N.timestep_mask(rows, "id", timesteps=timesteps, schedule=schedule, seed=seed, rng=rng)
     seqs = masked.groupBy("id").agg(
         F.first("t").alias("timestep"),
         F.array_sort(F.collect_list(F.struct("pos", "input_id", "label"))).alias("_s"))
@@ -107,8 +106,7 @@ def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: i
     ids, xyz, mask = M.pad_atoms(F.col("atom_ids"), F.col("coordinates"), max_atoms)
     feats = feats.select("id", ids.alias("atom_vec"), xyz.alias("coordinates"), mask.alias("atoms_mask"))
     samples = seqs.join(feats, "id")
-    order = B.batch_id(B.shuffle(samples.select("id", F.xxhash64("id").alias("id_key")), "id_key", seed=seed,
-                                 rng=rng), batch_size)
+    order = B.batch_id(B.shuffle(samples.select("id"), "id", seed=seed, rng=rng), batch_size)
     return samples.join(order.select("id", "idx", "batch_id"), "id")
 
 

@@ -19,6 +19,7 @@ from . import sqlkit as Q
 from .jobs import convert_molecules, molecule_training_feed
 from .registry import register
 
+from ..functions import constants as K  # noqa: E402
 from ..operators.molecules import ELEMENTS as M_ELEMENTS  # noqa: E402
 
 T_NOISE = 1000
@@ -133,10 +134,40 @@ def b2_buffer_shuffle(spark, sf, rng="portable"):
     return s.select(F.col("doc_id").cast("bigint"), F.col("idx").cast("bigint"))
 
 
-@register("e2_molecule_feed")
+def _e2_sql() -> str:
+    from .queries_text import _cos_sched_sql
+    t_expr = f"CAST(least(floor(1000.0 * {Q.u('t', 'id')}), 999) AS INTEGER)"
+    return f"""
+WITH {I.DOC_SQL()}, {I.MOL_SQL},
+z AS (SELECT a.*, CAST(a.mol AS VARCHAR) AS id,
+      coalesce(CASE WHEN regexp_full_match(a.symbol, '[0-9]+') THEN CAST(a.symbol AS INTEGER) END, e.z, 0) AS zn
+      FROM atoms a LEFT JOIN (SELECT * FROM (VALUES {", ".join(f"('{s}', {k + 1})" for k, s in enumerate(M_ELEMENTS))})
+      AS el(symbol, z)) e ON a.symbol = e.symbol),
+alpha AS (SELECT DISTINCT '[' || symbol || ']' AS token FROM z),
+missing AS (SELECT token FROM alpha WHERE token NOT IN (SELECT token FROM vocab)),
+ext AS (SELECT token, (SELECT max(id) FROM vocab) + row_number() OVER (ORDER BY token) AS id FROM missing),
+v2 AS (SELECT token, id FROM vocab UNION ALL SELECT token, id FROM ext),
+tok AS (SELECT z.id, z.atom_idx AS pos, coalesce(v2.id, {K.UNK_ID}) AS token_id
+        FROM z LEFT JOIN v2 ON '[' || z.symbol || ']' = v2.token WHERE z.atom_idx < 64),
+tt AS (SELECT *, {t_expr} AS t FROM tok),
+mr AS (SELECT *, {_cos_sched_sql('t', 1000, 0.0, 1.0)} AS ratio FROM tt),
+mk AS (SELECT *, {Q.u('mask', 'id', 'pos')} < ratio AS m FROM mr),
+seqs AS (SELECT id, any_value(t) AS timestep,
+         list(CASE WHEN m THEN {K.MASK_ID} ELSE token_id END ORDER BY pos) AS ids,
+         list(CASE WHEN m THEN token_id ELSE {K.IGNORE_ID} END ORDER BY pos) AS labels FROM mk GROUP BY id),
+av AS (SELECT id, list(zn ORDER BY atom_idx) AS v FROM z GROUP BY id),
+ord AS (SELECT id, row_number() OVER (ORDER BY {Q.u('shuffle', 'id')}, id) - 1 AS idx FROM av)
+SELECT s.id, CAST(o.idx AS BIGINT) AS idx, CAST(o.idx // 2 AS BIGINT) AS batch_id, CAST(s.timestep AS BIGINT) AS timestep,
+       array_to_string(s.ids, ',') AS ids, array_to_string(s.labels, ',') AS labels,
+       array_to_string(list_concat(a.v, list_transform(range({I.MAX_ATOMS} - len(a.v)), lambda q: 0)), ',') AS atom_vec
+FROM seqs s JOIN av a ON s.id = a.id JOIN ord o ON s.id = o.id
+"""
+
+
+@register("e2_molecule_feed", _e2_sql())
 def e2_molecule_feed(spark, sf, rng="portable"):
-    """E2 end to end on converted MOL records (rows-only: the feed is a
-    composition of operators that each have their own oracle)."""
+    """E2 end to end on converted MOL records: parse, gate, SELFIES ids with
+    the timestep mask, padded atoms, shuffled batches."""
     from ..operators import tokens as TK
     from ..functions import arrays as AR
     records = m9_convert_job(spark, sf)
@@ -145,7 +176,8 @@ def e2_molecule_feed(spark, sf, rng="portable"):
                             ["id"], "tokens", out="token")
     vocab = base.unionByName(TK.extend_vocab(base, alpha))
     feed = molecule_training_feed(records, vocab, max_atoms=I.MAX_ATOMS, max_selfies_len=64, rng=rng)
-    return feed.select("id", "idx", "batch_id", "timestep",
+    return feed.select("id", F.col("idx").cast("bigint"), F.col("batch_id").cast("bigint"),
+                       F.col("timestep").cast("bigint"),
                        F.array_join(F.transform("selfies_input_ids", lambda v: v.cast("string")), ",").alias("ids"),
                        F.array_join(F.transform("true_selfies_labels", lambda v: v.cast("string")), ",").alias("labels"),
                        F.array_join(F.transform("atom_vec", lambda v: v.cast("string")), ",").alias("atom_vec"))

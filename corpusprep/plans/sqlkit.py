@@ -17,7 +17,7 @@ EDGE_WS = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
 
 def u(tag: str, *keys: str, seed: int = 0) -> str:
     """Portable uniform: first 52 bits of md5('seed|tag|k1|...')."""
-    parts = ", ".join([f"'{seed}'", f"'{tag}'"] + [f"CAST(CAST({k} AS BIGINT) AS VARCHAR)" for k in keys])
+    parts = ", ".join([f"'{seed}'", f"'{tag}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
     return (f"(CAST(CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 13)) AS BIGINT) AS DOUBLE)"
             f" / 4503599627370496.0)")
 
