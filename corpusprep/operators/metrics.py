@@ -135,6 +135,22 @@ def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk
     d = maps.withColumn("_c", F.floor(F.col(idx) / F.lit(chunk)).cast("long"))
     stype = dict(maps.dtypes)[series]
 
+    # Size check (one number): if every series fits in one chunk, one bounded
+    # fold per series is the whole scan.
+    if (maps.agg(F.max(idx)).first()[0] or 0) < chunk:
+        def single(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(idx)
+            aa, bb = pdf[a].to_numpy(), pdf[b].to_numpy()
+            entering, val = np.empty(len(aa)), 0.0
+            for i in range(len(aa)):
+                entering[i] = val
+                val = aa[i] * val + bb[i]
+            out = pdf[[series, idx, a, b]].copy()
+            out["_in"] = entering
+            return out
+        return maps.select(series, idx, a, b).groupBy(series).applyInPandas(
+            single, f"{series} {stype}, {idx} long, {a} double, {b} double, _in double")
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         aa, bb = pdf[a].to_numpy(), pdf[b].to_numpy()
