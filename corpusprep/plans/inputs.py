@@ -14,6 +14,7 @@ from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import tokens as TK
+from ..operators.ordering import top_k_per_group
 from ..session import table
 from . import sqlkit as Q
 
@@ -144,12 +145,16 @@ def mol_atoms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def atom_index(li: DataFrame, max_atoms: int) -> DataFrame:
-    counts = li.groupBy("mol").agg(F.count(F.lit(1)).alias("n_atoms"))
-    ok = counts.where(F.col("n_atoms") <= max_atoms).select("mol")
-    kept = li.join(ok, "mol", "left_semi")
-    w = Window.partitionBy("mol").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return kept.withColumn("atom_idx", (F.row_number().over(w) - 1).cast("int")).select(
-        "mol", "atom_idx", "symbol", "x", "y", "z")
+    """Atom index per molecule and the size gate in one shuffle: keep the
+    first ``max_atoms + 1`` atoms of every molecule (map-side partial limit,
+    so a huge molecule is cut before the exchange), then a molecule is
+    rejected when it still has more than ``max_atoms`` (count over the same
+    partitioning, at most ``max_atoms + 1`` rows)."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    first = top_k_per_group(li, ["mol"], order, max_atoms + 1, rank_col="_rn")
+    n = F.count(F.lit(1)).over(Window.partitionBy("mol"))
+    return (first.withColumn("_n", n).where(F.col("_n") <= max_atoms)
+            .select("mol", (F.col("_rn") - 1).cast("int").alias("atom_idx"), "symbol", "x", "y", "z"))
 
 
 MOL_SQL = f"""
