@@ -8,9 +8,10 @@ None of them puts a whole group or the whole table into one task:
   partition, checkpoints the frame so partition ids and positions are frozen,
   then adds per-(partition, group) offsets computed from a small statistics
   table (a prefix sum over at most ``P`` rows per group).
-* ``top_k_per_group`` pre-selects k rows per (group, salt) before the
-  per-group selection, so no group feeds more than ``salts * k`` rows into a
-  single window partition.
+* ``top_k_per_group`` cuts every group to k rows on the map side before the
+  exchange (Spark's partial window-group limit, or an explicit (group, salt)
+  pre-selection for large k), so a hot group reaches its window partition
+  already cut.
 """
 
 from __future__ import annotations

@@ -2,12 +2,13 @@
 
 Built in long form (one row per token position) so that no conversation is
 ever gathered into one row: a conversation holding a third of all turns is
-first cut to the turns that can still reach ``max_seq_len`` (salted top-k,
-each turn yields at least one token), after which every per-conversation
-window sees at most ``max_seq_len`` turns / positions.
+first cut to the turns that can still reach ``max_seq_len`` (top-k per
+conversation, limited on the map side; each turn yields at least one token),
+after which every per-conversation window sees at most ``max_seq_len``
+turns / positions.
 
-Shuffles: one for the salted pre-selection, one for the per-conversation
-window; the vocabulary is a separate bounded aggregate that is broadcast.
+Shuffles: one by conversation (the later windows reuse its partitioning);
+the vocabulary is a separate bounded aggregate that is broadcast.
 """
 
 from __future__ import annotations
