@@ -29,20 +29,25 @@ def _dense(edges: DataFrame, value: str, sizes: DataFrame) -> DataFrame:
 
 
 def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, max_atoms: int = 256,
-                      out: str | None = None) -> tuple[DataFrame, DataFrame]:
+                      out: str | None = None) -> tuple:
     """M9: atom (and bond) tables -> gated molecule records with JSON fields.
 
     ``atoms``: ``(mol, atom_idx, symbol, x, y, z)``; ``bonds``: ``(mol, i, j,
     bond)`` or consecutive-atom bonds when absent. Molecules over
-    ``max_atoms`` are rejected from a partial count before anything is
-    collected. Returns ``(records, reason_counts, written)``; with ``out`` the
+    ``max_atoms`` are rejected before anything is collected (at most
+    ``max_atoms + 1`` of their atoms ever meet in a task). Returns ``(records, reason_counts, written)``; with ``out`` the
     records are written as Parquet and ``written`` is the ``Observation``
     whose count comes from that write (else None)."""
-    counts = atoms.groupBy("mol").agg(F.count(F.lit(1)).alias("n"))
-    reason = F.when(F.col("n") == 0, "no_atoms").when(F.col("n") > max_atoms, "too_many_atoms").otherwise("ok")
-    gated = counts.withColumn("reason", reason)
+    # Gate in one shuffle: only the first max_atoms + 1 atoms of a molecule
+    # meet in a task; more than max_atoms of them means "too many".
+    from pyspark.sql import Window
+    from ..operators.ordering import top_k_per_group
+    capped = top_k_per_group(atoms, ["mol"], ["atom_idx"], max_atoms + 1)
+    capped = capped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mol")))
+    kept = capped.where(F.col("n") <= max_atoms).drop("n")
+    gated = capped.groupBy("mol").agg(F.first("n").alias("n")).withColumn(
+        "reason", F.when(F.col("n") > max_atoms, "too_many_atoms").otherwise("ok"))
     ok = gated.where(F.col("reason") == "ok").select("mol", "n")
-    kept = atoms.join(ok.select("mol"), "mol", "left_semi")
     arrays = M.molecule_arrays(M.atom_numbers(kept))
     syms = kept.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "symbol"))).alias("_s"))
     edges = M.bond_edges(bonds if bonds is not None else M.chain_bonds(kept))
