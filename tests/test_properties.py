@@ -153,6 +153,25 @@ def test_combine_modes(spark):
     assert [s[0] for s in seq] == list(range(7)) and seq[5] == (5, "b", 0)
 
 
+def test_updates_per_epoch_and_scale_conf(spark):
+    df = spark.createDataFrame([(0,), (1,), (7,), (8,)], "n int")
+    got = [r[0] for r in df.select(B.updates_per_epoch(F.col("n"), 4)).collect()]
+    assert got == [0, 1, 2, 2]
+    from corpusprep.session import scale_conf
+    conf = scale_conf(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(conf["spark.sql.shuffle.partitions"]) >= 3 * 8000
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_chat_training_feed_batches(spark, smoke_dir):
+    from corpusprep.plans.jobs import chat_training_feed
+    f = chat_training_feed(table(spark, smoke_dir, "conversations"), max_seq_len=32, batch_size=4).toPandas()
+    per_conv = f.groupby("conv_id")["batch_id"].nunique()
+    assert (per_conv == 1).all()                                     # a conversation sits in one batch
+    assert f.groupby("batch_id")["conv_id"].nunique().max() <= 4
+    assert (f.groupby("conv_id").size() == 32).all()
+
+
 def test_dense_index_with_hot_group(spark):
     # one group holds ~1/3 of the rows; indices must stay dense per group
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
