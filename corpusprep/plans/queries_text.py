@@ -472,9 +472,14 @@ FROM m
 
 @register("b5_collate", B5_SQL)
 def b5_collate(spark, sf, rng="portable"):
+    # Documents move once, partitioned by batch; exploding, the broadcast
+    # vocabulary join, the regroup by (batch, document) and the batch-max
+    # window all reuse that partitioning, so token rows never shuffle.
     s = B.batch_id(_shuffled(spark, sf, rng), 8).select("doc_id", "batch_id")
-    d = I.doc_ids(spark, sf).join(s, "doc_id").withColumn("labels", F.col("ids"))
-    c = B.collate(d, "batch_id", ids="ids", labels="labels")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = I.doc_tokens(spark, sf, I.DOC_LEN).join(s, "doc_id").repartition(n, "batch_id")
+    d = TK.encode(docs, I.doc_vocab(spark, sf), ["batch_id", "doc_id"], tokens_col="_toks", out="ids")
+    c = B.collate(d.withColumn("labels", F.col("ids")), "batch_id", ids="ids", labels="labels")
     return c.select(BIG("doc_id").alias("doc_id"), "batch_id", BIG("padded_len").alias("padded_len"),
                     F.array_join("ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"))
 
