@@ -74,10 +74,10 @@ def chat_positions(conv: DataFrame, max_seq_len: int, *, add_generation_prompt:
     L = int(max_seq_len)
     segs = turn_segments(conv, add_generation_prompt=add_generation_prompt, close_tag=close_tag)
     # Only the first L turns can contribute (each turn has >= 1 token).
-    segs = top_k_per_group(segs, ["conv_id"], ["_g", "turn"], L, salts=salts)
+    segs = top_k_per_group(segs, ["conv_id"], ["_g", "turn"], L, salts=salts, rank_col="_rank")
     w = Window.partitionBy("conv_id").orderBy("_g", "turn")
     segs = segs.withColumn("_st", T.tokens(F.col("segment"))).drop("segment")  # tokenised once per turn
-    segs = (segs.withColumn("_first", F.row_number().over(w) == 1)
+    segs = (segs.withColumn("_first", F.col("_rank") == 1).drop("_rank")
             .withColumn("_toks", F.when(F.col("_first"), F.concat(F.array(F.lit(K.BOS_TOKEN)), F.col("_st")))
                         .otherwise(F.col("_st")))
             .withColumn("_n", F.size("_toks")))
