@@ -97,6 +97,30 @@ def test_read_shards_range(spark):
     assert got.where(F.col("source_file").contains("shard-001")).count() == 1
 
 
+def test_read_shards_corrupt_file_and_missing_pattern(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="corpusprep-bad-", dir="/tmp")
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{d}/shard-000")
+    with open(f"{d}/shard-001.parquet", "wb") as f:
+        f.write(b"not a parquet file")
+    schema = "doc_id long, text string"
+    got = read_shards(spark, [f"{d}/shard-000", f"{d}/shard-001.parquet"], schema=schema, ignore_corrupt=True)
+    assert [r["doc_id"] for r in got.collect()] == [1]                     # unreadable shard skipped
+    with pytest.raises(Exception):
+        read_shards(spark, [f"{d}/shard-000", f"{d}/shard-001.parquet"], schema=schema).collect()
+    with pytest.raises(Exception):
+        read_shards(spark, f"{d}/nothing-{{0..3}}", schema=schema).collect()  # nothing matches
+
+
+def test_limit_rows_needs_an_order(spark):
+    import pytest
+    from corpusprep.sources.shards import limit_rows
+    df = spark.range(10)
+    with pytest.raises(ValueError):
+        limit_rows(df, 3, [])
+    assert [r[0] for r in limit_rows(df, 3, [F.desc("id")]).collect()] == [9, 8, 7]
+
+
 def test_read_chat_json(spark):
     d = tempfile.mkdtemp(prefix="corpusprep-chat-", dir="/tmp")
     items = [{"file_name": "a.jpg", "messages": [{"role": "user", "content": "<image>\nWhat is it?"},
