@@ -52,11 +52,14 @@ def read_prompt_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "prompt")
 
 
-def report_rows(df: DataFrame, group: str, order: str, prompt: str, response: str) -> DataFrame:
-    """Escaped prompt/response fragments, one row per item, keyed by
-    ``(group, order)``; a group's report is its fragments in order."""
-    frag = F.concat(F.lit("<div><h4>Prompt</h4><p>"), T.html_escape(F.col(prompt)),
-                    F.lit("</p><h4>Response</h4><p>"), T.html_escape(F.coalesce(F.col(response), F.lit(""))),
+def report_rows(df: DataFrame, group: str, order: str, prompt: str, response: str, *,
+                escape: bool = True) -> DataFrame:
+    """prompt/response fragments (HTML-escaped unless ``escape=False``),
+    one row per item, keyed by ``(group, order)``; a group's report is its
+    fragments in order."""
+    esc = T.html_escape if escape else (lambda c: c)
+    frag = F.concat(F.lit("<div><h4>Prompt</h4><p>"), esc(F.col(prompt)),
+                    F.lit("</p><h4>Response</h4><p>"), esc(F.coalesce(F.col(response), F.lit(""))),
                     F.lit("</p></div>"))
     return df.select(group, order, frag.alias("fragment"))
 

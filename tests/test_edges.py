@@ -171,6 +171,8 @@ def test_report_sink_groups_in_order(spark):
     lines = [r["value"] for r in spark.read.text(d + "/grp=a").collect()]
     assert lines == sorted(lines, key=lambda s: int(s.split("<p>q")[1].split(" ")[0]))
     assert spark.read.text(d + "/grp=b").count() == 1
+    raw = FS.report_rows(df, "grp", "ord", "prompt", "response", escape=False).where("ord = 0 AND grp = 'a'")
+    assert "q0 <x>" in raw.first()["fragment"]
 
 
 def test_ensure_id_keeps_existing_and_numbers_copies(spark):
