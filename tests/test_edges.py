@@ -82,6 +82,25 @@ def test_bond_edges_symmetric(spark):
     assert dense == [[0, 2, 0], [2, 0, 0], [0, 0, 0]]
 
 
+def test_tar_grouping_edges(spark):
+    from corpusprep.sources import tar as TR
+    names = ["a.jpg", "a.txt", "a.JPG", "a.json", "a.json", "b.jpg", "noext", "a.txt", "dir/c.tar.gz"]
+    members = [("u", n, n.encode()) for n in names]
+    got = [(s["key"], s["suffixes"]) for s in TR.fold_members(members)]
+    assert got == [("a", ["jpg", "txt"]),        # upper-case JPG repeats jpg -> new sample
+                   ("a", ["jpg", "json"]),
+                   ("a", ["json"]),              # json repeated inside the key run
+                   ("b", ["jpg"]),               # name without extension skipped
+                   ("a", ["txt"]),               # key re-appearing after another key
+                   ("dir/c", ["tar.gz"])]
+    only = [(s["key"], s["suffixes"]) for s in TR.fold_members(members, suffixes={"txt"})]
+    assert only[0] == ("a", ["txt"]) and len(only) == 4   # ignored suffixes never split a sample
+    df = spark.createDataFrame([("u", i, n, n.encode()) for i, n in enumerate(names)],
+                               "url string, idx long, fname string, data binary")
+    rows = TR.group_samples(df).orderBy("sample_no").collect()
+    assert [(r["key"], r["suffixes"]) for r in rows] == got
+
+
 def test_brace_ranges():
     assert expand_pattern("/d/shard-{00..02}.parquet") == ["/d/shard-00.parquet", "/d/shard-01.parquet",
                                                           "/d/shard-02.parquet"]
