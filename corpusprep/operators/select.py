@@ -101,9 +101,18 @@ def transfer_quota(n: Column, steps: int) -> Column:
 
 
 def release(long: DataFrame, key: str, quota: Column, *, conf: str = "conf",
-            candidate: str = "candidate", pos: str = "pos") -> DataFrame:
+            candidate: str = "candidate", pos: str = "pos", skew_safe: bool = False) -> DataFrame:
     """K5: mark the ``min(quota, candidates)`` highest-confidence candidate
-    positions of each row as released (ties by lower position)."""
+    positions of each row as released (ties by lower position).
+
+    A sequence is bounded by its generation length, so a window per key is
+    the default; ``skew_safe`` ranks through the grouped dense index instead
+    (for keys that may hold a large share of the rows)."""
+    if skew_safe:
+        from .ordering import dense_index
+        d = long.withColumn("_nc", ~F.col(candidate))
+        d = dense_index(d, ["_nc", F.desc(conf), F.asc(pos)], group_by=[key], out="_r")
+        return d.withColumn("released", F.col(candidate) & (F.col("_r") < quota)).drop("_r", "_nc")
     w = Window.partitionBy(key).orderBy(F.col(candidate).desc(), F.desc(conf), F.asc(pos))
     return (long.withColumn("_r", F.row_number().over(w))
             .withColumn("released", F.col(candidate) & (F.col("_r") <= quota)).drop("_r"))

@@ -124,6 +124,15 @@ def test_exact_count_mask_array_equals_window(spark):
     assert got == {(r["k"], r["pos"]) for r in win.collect()}
 
 
+def test_release_skew_safe_equals_window(spark):
+    rows = [(k % 3, k, float((k * 37) % 11), (k * 7) % 5 != 0) for k in range(300)]
+    df = spark.createDataFrame(rows, "seq int, pos int, conf double, candidate boolean")
+    q = F.lit(17)
+    a = {(r["seq"], r["pos"]) for r in S.release(df, "seq", q).where("released").collect()}
+    b = {(r["seq"], r["pos"]) for r in S.release(df, "seq", q, skew_safe=True).where("released").collect()}
+    assert a == b and len(a) == 3 * 17
+
+
 def test_quota_sums(spark):
     df = spark.createDataFrame([(n,) for n in (0, 1, 10, 37, 512)], "n int")
     q = df.select("n", S.transfer_quota(F.col("n"), 4).alias("q")).collect()
