@@ -9,6 +9,8 @@ a range.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -24,12 +26,16 @@ def range_count(df: DataFrame) -> int:
     return RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _literal(value) -> Column:
+def _type(value) -> str:
     if isinstance(value, Row):
-        return F.struct(*[_literal(value[k]).alias(k) for k in value.__fields__])
-    if isinstance(value, int) and not isinstance(value, bool):
-        return F.lit(value).cast("long")
-    return F.lit(value)
+        return "struct<" + ", ".join(f"{k}: {_type(value[k])}" for k in value.__fields__) + ">"
+    return {bool: "boolean", int: "bigint", str: "string"}[type(value)]
+
+
+def _table(cuts: list[Row]) -> Column:
+    """The splitters as one constant."""
+    rows = json.dumps([c.asDict(recursive=True) for c in cuts])
+    return F.from_json(F.lit(rows), f"array<{_type(cuts[0])}>")
 
 
 def splitters(keys: DataFrame, key: Column, ranges: int) -> list[Row]:
@@ -48,7 +54,7 @@ def range_of(cuts: list[Row], key: Column) -> Column:
     """How many splitters are at or below the key (binary search)."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[_literal(c) for c in cuts])
+    table = _table(cuts)
 
     def step(k):
         def narrow(s, _):
