@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality_rules, ranking, sharding, simhash, toxicity
+from . import bpe, fingerprints, language, mixing, quality_rules, ranking, sharding, simhash, toxicity
 from .common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
