@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, quality_rules, ranking, sharding, simhash, toxicity
+from . import bpe, fingerprints, language, mixing, passages, quality_rules, ranking, sharding, simhash, toxicity
 from .common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.passages(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op9_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
