@@ -1,12 +1,33 @@
-"""A training corpus from raw documents, stage by stage."""
+"""A training corpus from raw documents, stage by stage.
+
+Each stage is a function (spark, docs, sf_dir) over all that its predecessor
+kept; its result is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusprep.llm import bpe, mixing
+from corpusprep.llm import bpe, mixing, passages, simhash, toxicity
 from corpusprep.llm.common import n_words, read
+from corpusprep.session import ensure_checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.representatives(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of passages that stand in an earlier document go; every document stays."""
+    return passages.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +36,30 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, beside the bytes that they decode to."""
+    """The token ids of every text, and the bytes that they decode to."""
     return bpe.encode(docs)
 
 
-STAGES = [("mixing sources to target weights", mix), ("byte-level BPE", tokenise)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("suffix-array dedup", cut_passages),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", tokenise),
+]
 
 #: SQL cannot express learning from labels, joining components or merging tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, in order."""
+    """All stages over `documents`; each but the last is written to the shared
+    checkpoint folder and read again, so that none is computed twice."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if at < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{at}")
+            docs = spark.read.parquet(f"{folder}/{at}")
     return docs

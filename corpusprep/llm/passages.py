@@ -289,7 +289,7 @@ def _cut(buckets: int, keep_text: bool):
                     left.append(data[end:a])
                     end = b
                 kept = b"".join([*left, data[end:]])
-                out.append((key, int(chunk.order[i]), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+                out.append((key, int(chunk.order[i]), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if keep_text else None))
         return pd.DataFrame(out, columns=["key", "first", "n_removed", "n_spans", "kept_sha256", "kept"])
     return cut
 
@@ -314,7 +314,8 @@ def _first_texts(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """``doc`` (the row's columns but its text), ``n_bytes``, ``n_removed``,
-    ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (binary).
+    ``n_spans``, ``kept_sha256`` (of the bytes that stay) and, if asked for,
+    ``kept``: these bytes as text, less characters that lost a part.
 
     A byte goes if it is covered by a string of LENGTH bytes that also starts
     in a document of smaller id; strings are judged on the input. Null texts
@@ -341,11 +342,20 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     strings_asked = here().cogroup(first.groupBy("chunk")).applyInPandas(_ask_strings(chunks), REQUEST)
     second = strings_asked.groupBy("bucket").applyInPandas(_answer_strings, ANSWER)
     cut = here().cogroup(first.unionByName(second).groupBy("chunk")).applyInPandas(
-        _cut(chunks, keep_text), "key string, first long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _cut(chunks, keep_text), "key string, first long, n_removed long, n_spans long, kept_sha256 string, kept string")
     copy = (F.col("ord") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     out = rows.drop("text").join(cut, "key").select(
         "doc", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(copy, F.lit(_EMPTY)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"))
     return out if keep_text else out.drop("kept")
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated passages cut out of the text, all rows and
+    columns kept; a column n_chars counts the characters anew. A text that was
+    nothing but a repeat is empty, a null one becomes empty."""
+    found = passages(docs, id_col=id_col, text_col=text_col, keep_text=True)
+    new = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -72,7 +72,7 @@ class Index:
         starts = np.cumsum([0, *map(len, lists)])
         edges = np.arange(self.blocks + 1) * BLOCK
         self.place = np.array([start + np.searchsorted(self.example[start:start + len(x)], edges)
-                               for start, x in zip(starts, lists, strict=False)], np.int64).reshape(len(lists), -1)
+                               for start, x in zip(starts, lists, strict=False)], np.int64).reshape(len(lists), self.blocks + 1)
         self.most = np.zeros((len(lists), self.blocks))
         for t, x in enumerate(lists):
             for e, w in x:
