@@ -21,11 +21,13 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 
+from .common import ids_as_text, ids_back
+
 #: The rank file; a path that the driver can read.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces whose ids a task remembers before it starts anew; bounds memory only.
 CACHED_PIECES = 200_000
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -236,11 +238,11 @@ def encode(docs: DataFrame, ranks_file: str = RANKS_FILE, *, id_col: str = "doc_
                 back = encoder.decode(ids)
                 out.append((doc_id, len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(),
                             hashlib.sha256(back).hexdigest()) if digest else (doc_id, ids, back))
-            yield pd.DataFrame(out, columns=columns).astype({columns[0]: "Int64"})
+            yield pd.DataFrame(out, columns=columns)
 
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
-    schema = RESULT if digest else "doc_id long, ids array<int>, decoded binary"
-    return docs.select(id_col, text_col).mapInPandas(rows, schema)
+    schema = RESULT if digest else "doc_id string, ids array<int>, decoded binary"
+    return ids_back(docs.select(ids_as_text(docs, id_col), text_col).mapInPandas(rows, schema))
 
 
 def digests(docs: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:

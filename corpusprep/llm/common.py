@@ -39,3 +39,12 @@ def null_last(name: str, fill) -> Column:
     """A struct that orders like the column, nulls after all values."""
     c = F.col(name)
     return F.struct(c.isNull().alias("n"), F.coalesce(c, F.lit(fill)).alias("v"))
+
+
+def ids_as_text(docs: DataFrame, id_col: str = "doc_id") -> Column:
+    """The id for a trip through pandas, where a null among integers would turn all to floats."""
+    return F.col(id_col).cast("string").alias("doc_id")
+
+
+def ids_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))

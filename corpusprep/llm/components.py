@@ -37,6 +37,7 @@ def components(links: DataFrame) -> DataFrame:
         star = checkpoint(star)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
-            return star.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            ends = star.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
         seen = now
         edges = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))

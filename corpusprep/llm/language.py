@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, ids_as_text, ids_back
 
 #: Training texts of each language, those whose ids have the smallest hashes.
 TEXTS_PER_LANGUAGE = 1_000
@@ -149,7 +149,7 @@ class Mixture:
         return out
 
 
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
+RESULT = "doc_id string, held_out boolean, lang_pred string, score double, languages string"
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -172,9 +172,9 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             some = [i for i, x in enumerate(lettered) if x and mixture.names]
             for i, got in zip(some, mixture.predict([texts.iloc[i].encode() for i in some]), strict=True):
                 told[i] = got
-            yield pd.DataFrame({"doc_id": ids.astype("Int64"), "held_out": held, "lang_pred": [x[0] for x in told],
+            yield pd.DataFrame({"doc_id": ids, "held_out": held, "lang_pred": [x[0] for x in told],
                                 "score": [x[1] for x in told], "languages": [x[2] for x in told]})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"),
+    return ids_back(docs.select(ids_as_text(docs, id_col), held_out(id_col).alias("held_out"),
                         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), F.col(text_col).alias("text"))
-            .mapInPandas(rows, RESULT))
+                    .mapInPandas(rows, RESULT))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import SPACES, let, null_last, words
+from .common import SPACES, ids_as_text, ids_back, let, null_last, words
 from .components import components
 
 SHINGLE, DISTANCE, BITS = 3, 2, 64
@@ -67,11 +67,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     number of shingles."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "fp": _majority(batch["h"])})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": _majority(batch["h"])})
 
-    return (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-                        shingle_hashes(F.col(text_col), shingle).alias("h"))
-            .mapInPandas(rows, "doc_id long, text_hash long, fp long"))
+    return ids_back(docs.select(ids_as_text(docs, id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+                                shingle_hashes(F.col(text_col), shingle).alias("h"))
+                    .mapInPandas(rows, "doc_id string, text_hash long, fp long"))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:

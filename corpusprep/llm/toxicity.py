@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import held_out
+from .common import held_out, ids_as_text, ids_back
 
 #: Labelled examples at most (smallest id hashes) and terms at most: bounds on the index, which is broadcast.
 EXAMPLES, TERMS = 20_000, 4_096
@@ -200,7 +200,7 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
     return index
 
 
-RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
+RESULT = "doc_id string, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
 
 
 def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
@@ -217,10 +217,10 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             told = [index.value.score(text or "") for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": [x[0] for x in told],
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [x[0] for x in told],
                                 "predicted": [int(x[0] >= CUT) for x in told], "neighbours": [x[1] for x in told], "cosines": [x[2] for x in told]})
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(rows, RESULT)
+    return ids_back(docs.select(ids_as_text(docs), held_out().alias("held_out"), "text").mapInPandas(rows, RESULT))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
