@@ -39,12 +39,6 @@ def tokenise_with(df: DataFrame, text_col: str, make_tokenizer, *, out: str = "t
     return df.withColumn(out, toks)
 
 
-def schedule_column(fn: Callable[[Column], Column], t: Column) -> Column:
-    """Any ``Column -> Column`` schedule (e.g. ``schedules.ratio`` with
-    other parameters) evaluated on the timestep column."""
-    return fn(t)
-
-
 def apply_per_batch(df: DataFrame, batch_col: str, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """A user collate-like function over each batch as an Arrow table
     (``groupBy(batch).applyInArrow``); a batch is bounded by the batch size."""

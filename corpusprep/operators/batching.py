@@ -106,7 +106,8 @@ def combine(primary: DataFrame, others: dict[str, DataFrame], *, mode: str = "ma
 
     ``max_size_cycle``: steps of the longest source, shorter sources wrap
     (``step mod n_source``); ``min_size``: steps below the shortest count;
-    ``sequential``: sources one after another. Inputs are batch tables with
+    ``sequential``: sources one after another. An empty source gives no
+    rows (and makes ``min_size`` empty). Inputs are batch tables with
     a dense ``step_col`` (0..n-1)."""
     sources = {"primary": primary, **others}
     counts = {k: v.agg(F.max(step_col) + 1).first()[0] or 0 for k, v in sources.items()}  # scalars
@@ -123,8 +124,12 @@ def combine(primary: DataFrame, others: dict[str, DataFrame], *, mode: str = "ma
         steps = sources[longest].select(F.col(step_col).alias("step")).where(F.col("step") < n_steps)
         for name in sources:
             n = counts[name]
+            if not n:  # an empty source has nothing to give
+                continue
             parts.append(steps.select("step", F.lit(name).alias("source"),
                                       F.pmod(F.col("step"), F.lit(n)).alias("batch_id")))
+    if not parts:  # every source is empty
+        return primary.select(F.col(step_col).alias("step"), F.lit("primary").alias("source"), F.col(step_col).alias("batch_id")).limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -29,16 +29,25 @@ def drop_missing(df: DataFrame, col: str) -> DataFrame:
 
 def ensure_id(df: DataFrame, content_cols: Sequence[str], id_col: str = "id") -> DataFrame:
     """Keep ``id_col`` when present; otherwise ``sha256(content) + '#' +
-    n`` where n numbers rows of equal content 1, 2, ... The numbering goes
-    through the skew-safe grouped index, so a document copied a million
-    times is still spread over many tasks."""
+    n`` where n numbers rows of equal content 1, 2, ..., in the order of
+    their other columns, whatever the partitioning. Only rows that are
+    copies in every column are sorted, by the skew-safe grouped index."""
     if id_col in df.columns:
         return df
     content = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in content_cols])
-    d = df.withColumn("_h", F.sha2(content, 256)).withColumn("_scan", F.monotonically_increasing_id())
-    d = dense_index(d, ["_scan"], group_by=["_h"], out="_n")
+    hashed = df.withColumn("_h", F.sha2(content, 256)).withColumn("_all", F.xxhash64(*df.columns))
+    # Only hashes are sorted and written; rows with the same content and the
+    # same other columns are the same row, so any of them may have any number.
+    keys = hashed.groupBy("_h", "_all").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_h").orderBy("_all").rowsBetween(Window.unboundedPreceding, -1)
+    keys = keys.withColumn("_base", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    single, many = keys.where("_c = 1"), keys.where("_c > 1")
+    one = hashed.join(single, ["_h", "_all"]).withColumn("_n", F.col("_base"))
+    more = dense_index(hashed.join(many.select("_h", "_all", "_base"), ["_h", "_all"]),
+                       [F.monotonically_increasing_id()], group_by=["_h", "_all"], out="_i")
+    d = one.drop("_c").unionByName(more.withColumn("_n", F.col("_base") + F.col("_i")).drop("_i"))
     return d.withColumn(id_col, F.concat(F.col("_h"), F.lit("#"), (F.col("_n") + 1).cast("string"))) \
-            .drop("_h", "_scan", "_n")
+            .select(id_col, *df.columns)
 
 
 def thinking_prefix(text: Column, flag: Column, prefix: str = K.THINKING_PREFIX) -> Column:
@@ -54,6 +63,11 @@ def vq_to_tokens(codes: Column, offset: int = K.IMAGE_OFFSET) -> Column:
 REASONS = ("parse_error", "no_atoms", "too_many_atoms", "shape_mismatch", "ok")
 
 
+def _triple(c: Column) -> Column:
+    """Three coordinates, none NULL."""
+    return F.coalesce((F.size(c) == 3) & F.forall(c, lambda x: x.isNotNull()), F.lit(False))
+
+
 def validity(atom_vec: Column, coords: Column, max_atoms: int) -> Column:
     """C2 reason column for a parsed molecule: ``parse_error`` (NULL after
     parsing), ``no_atoms``, ``too_many_atoms``, ``shape_mismatch`` (not one
@@ -62,7 +76,7 @@ def validity(atom_vec: Column, coords: Column, max_atoms: int) -> Column:
     return (F.when(atom_vec.isNull() | coords.isNull(), F.lit("parse_error"))
             .when(n == 0, F.lit("no_atoms"))
             .when(n > F.lit(int(max_atoms)), F.lit("too_many_atoms"))
-            .when((F.size(coords) != n) | ~F.forall(coords, lambda c: F.size(c) == 3), F.lit("shape_mismatch"))
+            .when((F.size(coords) != n) | ~F.forall(coords, _triple), F.lit("shape_mismatch"))
             .otherwise(F.lit("ok")))
 
 

@@ -53,12 +53,20 @@ def smoothed_ce(lp: Column, target: Column, eps: float) -> Column:
 
 
 EXACT = "decimal(38,12)"
+#: Below this size every value has its full precision in EXACT or is finer than it needs.
+_COARSEST, _LARGEST = 1e-6, 1e20
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum accumulated in DECIMAL: exact, so the result does not depend on
-    partitioning or the order partial aggregates are merged in."""
-    return F.sum(c.cast(EXACT))
+    """Sum as a double. Ordinary values are accumulated in DECIMAL, so the
+    result does not depend on partitioning or merge order; what DECIMAL cannot
+    hold (NaN, infinities, very large and very small values) is added as
+    doubles, so nothing is lost and a NaN or infinity shows."""
+    d = c.cast("double")
+    ordinary = ~F.isnan(d) & ((d == 0) | ((F.abs(d) >= _COARSEST) & (F.abs(d) < _LARGEST)))
+    exact = F.sum(F.when(ordinary, d.cast(EXACT))).cast("double")
+    rest = F.sum(F.when(~ordinary, d))
+    return F.when(exact.isNull(), rest).when(rest.isNull(), exact).otherwise(exact + rest)
 
 
 def meter(df: DataFrame, group: list[str], val: str, n: str | None, step: str) -> DataFrame:

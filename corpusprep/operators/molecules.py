@@ -8,6 +8,8 @@ every matrix at most ``max_atoms``^2 cells.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +33,11 @@ def elements(spark: SparkSession) -> DataFrame:
 
 def atom_numbers(atoms: DataFrame, symbol: str = "symbol", out: str = "atomic_num") -> DataFrame:
     """M1: symbol -> atomic number by broadcast left join (118 rows), unknown
-    -> 0; an all-digit entry is already a number (X1: accept both)."""
+    -> 0; an all-digit entry is already a number (X1: accept both), one beyond
+    the integers is unknown."""
     dim = F.broadcast(elements(atoms.sparkSession).select(F.col("symbol").alias("_sym"), F.col("z").alias("_z")))
     j = atoms.join(dim, F.col(symbol) == F.col("_sym"), "left")
-    num = F.when(F.col(symbol).rlike("^[0-9]+$"), F.col(symbol).cast("int"))
+    num = F.when(F.col(symbol).rlike("^[0-9]+$"), F.coalesce(F.col(symbol).try_cast("int"), F.lit(0)))
     return j.withColumn(out, F.coalesce(num, F.col("_z"), F.lit(0))).drop("_sym", "_z")
 
 
@@ -75,10 +78,11 @@ def chain_bonds(atoms: DataFrame, mol: str = "mol") -> DataFrame:
 
 def bond_edges(bonds: DataFrame, mol: str = "mol") -> DataFrame:
     """M6: bond list -> symmetric sparse adjacency ``(mol, i, j, edge=1,
-    bond_type)``, each unordered pair once per direction."""
+    bond_type)``, each unordered pair once per direction; a pair listed more
+    than once has its largest code."""
     e = bonds.select(mol, "i", "j", bond_code(F.col("bond")).alias("bond_type"))
     both = e.unionByName(e.select(mol, F.col("j").alias("i"), F.col("i").alias("j"), "bond_type"))
-    return both.dropDuplicates([mol, "i", "j"]).withColumn("edge", F.lit(1))
+    return both.groupBy(mol, "i", "j").agg(F.max("bond_type").alias("bond_type")).withColumn("edge", F.lit(1))
 
 
 def pad_atoms(atom_vec: Column, coords: Column, max_atoms: int) -> tuple[Column, Column, Column]:
@@ -92,17 +96,30 @@ def pad_atoms(atom_vec: Column, coords: Column, max_atoms: int) -> tuple[Column,
     return ids, xyz, mask
 
 
-def densify(edges: DataFrame, value: str, max_atoms: int, mol: str = "mol") -> DataFrame:
+def densify(edges: DataFrame, value: str, max_atoms: int, mol: str = "mol", *,
+            molecules: DataFrame | None = None) -> DataFrame:
     """M8: sparse ``(mol, i, j, value)`` -> dense ``max_atoms x max_atoms``
-    matrix per molecule (zeros elsewhere; cells beyond the width dropped)."""
+    matrix per molecule (zeros elsewhere; cells beyond the width dropped).
+    Molecules listed in ``molecules`` that have no edge get a matrix of zeros.
+
+    Cells are gathered into rows first and rows into the matrix, on one
+    partitioning by molecule, so the work is that of the matrix."""
     m = int(max_atoms)
-    keyed = edges.where((F.col("i") < m) & (F.col("j") < m)).select(
-        mol, (F.col("i") * m + F.col("j")).alias("_k"), F.col(value).alias("_v"))
-    g = keyed.groupBy(mol).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))
-    rows = F.sequence(F.lit(0), F.lit(m - 1))
-    dense = F.transform(rows, lambda i: F.transform(rows, lambda j: F.coalesce(
-        F.try_element_at(F.col("_m"), i * m + j), F.lit(0))))
-    return g.select(mol, dense.alias(value))
+    kept = edges.where((F.col("i") < m) & (F.col("j") < m)).select(mol, "i", "j", F.col(value).alias("_v")).repartition(mol)
+    line = F.sequence(F.lit(0), F.lit(m - 1))
+    rows = kept.groupBy(mol, "i").agg(F.map_from_entries(F.collect_list(F.struct("j", "_v"))).alias("_r"))
+    rows = rows.select(mol, F.struct("i", F.transform(line, lambda j: F.coalesce(F.try_element_at(F.col("_r"), j), F.lit(0))).alias("_r")).alias("_e"))
+    whole = rows.groupBy(mol).agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
+    if molecules is not None:
+        whole = molecules.select(mol).distinct().join(whole, mol, "left")
+    empty = F.array_repeat(F.lit(0), m)
+    return whole.select(mol, F.transform(line, lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), empty)).alias(value))
+
+
+def _number_of(symbol: Column) -> Column:
+    """Atomic number of a symbol or of a number given as text, without a join."""
+    table = F.from_json(F.lit(json.dumps({s: i + 1 for i, s in enumerate(ELEMENTS)})), "map<string, int>")
+    return F.coalesce(F.try_element_at(table, symbol), F.when(symbol.rlike("^[0-9]+$"), symbol.try_cast("int")), F.lit(0))
 
 
 def to_json_record(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -67,10 +67,10 @@ def top_k_top_p(long: DataFrame, key: str, *, top_k: int = 0, top_p: float = 1.0
     with ``min_tokens_to_keep = m > 1`` the first m+1 are protected."""
     d = long
     if top_k > 0:
-        V = vocab_size
-        kk = max(top_k, min_tokens_to_keep) if V is None else min(max(top_k, min_tokens_to_keep), V)
+        kk = max(top_k, min_tokens_to_keep) if vocab_size is None else min(max(top_k, min_tokens_to_keep), vocab_size)
+        # the least score among the first kk: of a narrower row, its least score
         d = (d.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("x"), F.asc("k"))))
-             .withColumn("_kth", F.max(F.when(F.col("_rn") == kk, F.col("x"))).over(Window.partitionBy(key)))
+             .withColumn("_kth", F.min(F.when(F.col("_rn") <= kk, F.col("x"))).over(Window.partitionBy(key)))
              .where(F.col("x") >= F.col("_kth")).drop("_rn", "_kth"))
     if top_p < 1.0:
         w_all = Window.partitionBy(key)

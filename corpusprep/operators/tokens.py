@@ -43,9 +43,12 @@ def special_tokens(spark: SparkSession) -> DataFrame:
 
 
 def build_vocab(token_rows: DataFrame, token_col: str = "token", *,
-                max_size: int = K.MAX_WORD_VOCAB) -> DataFrame:
+                max_size: int | None = K.MAX_WORD_VOCAB,
+                id_space: int | None = None) -> DataFrame:
     """Word vocabulary ``(token, id, count)`` by descending frequency
-    (ties by token), at most ``max_size`` words. Special markers are left out.
+    (ties by token), at most ``max_size`` words (None: all). Special markers
+    are left out. ``id_space`` is the first id that is taken; asking for more
+    words than fit below it is an error.
 
     Counting is a partial (map-side combined) aggregate. Ranking goes
     through the distributed dense index, so neither the distinct-token table
@@ -53,12 +56,13 @@ def build_vocab(token_rows: DataFrame, token_col: str = "token", *,
     candidates ever pass through a single task.
     """
     from .ordering import dense_index
-    max_size = min(max_size, K.MAX_WORD_VOCAB)
+    if id_space is not None and (max_size is None or max_size > id_space):
+        raise ValueError(f"{max_size or 'all'} words do not fit below id {id_space}")
     counts = (token_rows.where(~T.is_marker(F.col(token_col)))
               .groupBy(F.col(token_col).alias("token"))
               .agg(F.count(F.lit(1)).alias("count")))
     ranked = dense_index(counts, [F.desc("count"), F.asc("token")], out="_rank")
-    return (ranked.where(F.col("_rank") < max_size)
+    return ((ranked if max_size is None else ranked.where(F.col("_rank") < max_size))
             .select("token", "count", F.col("_rank").cast("int").alias("id")))
 
 

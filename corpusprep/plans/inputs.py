@@ -14,12 +14,11 @@ from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import tokens as TK
-from ..operators.ordering import top_k_per_group
+from ..operators.ordering import dense_index, top_k_per_group
 from ..session import table
 from . import sqlkit as Q
 
 DOC_LEN = 512          # text truncation for document sequences
-IMG_TOKENS = 16        # image code ids taken from each embedding
 MAX_ATOMS = 32         # molecule gate and padding width for the MOL stand-in
 
 
@@ -30,9 +29,9 @@ def doc_vocab(spark: SparkSession, sf: str) -> DataFrame:
     return TK.with_specials(TK.build_vocab(rows))
 
 
-def doc_token_rows(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> DataFrame:
-    """(doc_id, pos, token, token_id): first ``max_len`` tokens of each text,
-    ids from the vocabulary of the whole corpus."""
+def doc_token_rows(spark: SparkSession, sf: str, max_len: int | None = DOC_LEN) -> DataFrame:
+    """(doc_id, pos, token, token_id): first ``max_len`` tokens of each text
+    (None: all), ids from the vocabulary of the whole corpus."""
     rows = explode_rows(doc_tokens(spark, sf, max_len), "doc_id", "_toks")
     return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
 
@@ -58,12 +57,13 @@ def doc_tokens(spark: SparkSession, sf: str, max_len: int | None = None, *,
     return docs.select("doc_id", toks.alias("_toks"))
 
 
-def _explode_encode(spark, sf, docs: DataFrame, seq) -> DataFrame:
+def _explode_encode(spark, sf, docs: DataFrame, seq, vocab: DataFrame | None = None) -> DataFrame:
     rows = explode_rows(docs.select("doc_id", seq.alias("_s")), "doc_id", "_s")
-    return TK.encode_long(rows, doc_vocab(spark, sf), "token", "token_id")
+    return TK.encode_long(rows, doc_vocab(spark, sf) if vocab is None else vocab, "token", "token_id")
 
 
-def doc_lm_rows(spark: SparkSession, sf: str, seq_len: int, max_len: int = DOC_LEN) -> DataFrame:
+def doc_lm_rows(spark: SparkSession, sf: str, seq_len: int, max_len: int = DOC_LEN, *,
+                vocab: DataFrame | None = None) -> DataFrame:
     """P6 sequences in long form ``(doc_id, pos, token, token_id)``, built on
     the token strings and encoded once: ``([bos] + tokens + [eos] + [eos]*)[:L]``
     with bos prepended unless already first. No regrouping shuffle."""
@@ -75,7 +75,7 @@ def doc_lm_rows(spark: SparkSession, sf: str, seq_len: int, max_len: int = DOC_L
     t = F.concat(t, eos)
     seq = F.slice(F.concat(t, F.array_repeat(F.lit(K.EOS_TOKEN), F.greatest(F.lit(seq_len) - F.size(t), F.lit(0)))),
                   1, seq_len)
-    return _explode_encode(spark, sf, docs, seq)
+    return _explode_encode(spark, sf, docs, seq, vocab)
 
 
 def doc_padded_rows(spark: SparkSession, sf: str, seq_len: int = DOC_LEN) -> DataFrame:
@@ -86,20 +86,21 @@ def doc_padded_rows(spark: SparkSession, sf: str, seq_len: int = DOC_LEN) -> Dat
     return _explode_encode(spark, sf, docs, seq)
 
 
-def doc_ids(spark: SparkSession, sf: str, max_len: int = DOC_LEN) -> DataFrame:
+def doc_ids(spark: SparkSession, sf: str, max_len: int | None = DOC_LEN) -> DataFrame:
     """(doc_id, ids): dense id arrays (T5) of the truncated texts."""
     docs = TK.tokenise(table(spark, sf, "documents").select("doc_id", "text"), "text", max_len=max_len)
     return TK.encode(docs.select("doc_id", "tokens"), doc_vocab(spark, sf), "doc_id").select("doc_id", "ids")
 
 
-def DOC_SQL(max_len: int = DOC_LEN) -> str:
+def DOC_SQL(max_len: int | None = DOC_LEN) -> str:
     """CTEs doc_tok, vocab, doc_rows(doc_id,pos,token_id), doc_arr(doc_id, ids)."""
+    last = "len(toks)" if max_len is None else f"least(len(toks), {max_len})"
     return f"""
-doc_tok AS (SELECT doc_id, {Q.tokens('text')} AS toks FROM documents),
-vocab AS {Q.vocab_from('SELECT unnest(toks) AS token FROM doc_tok')},
+doc_tok AS MATERIALIZED (SELECT doc_id, {Q.tokens('text')} AS toks FROM documents),
+vocab AS MATERIALIZED {Q.vocab_from('SELECT unnest(toks) AS token FROM doc_tok')},
 doc_pos AS (SELECT doc_id, i AS pos, toks[i + 1] AS token
-            FROM (SELECT doc_id, toks, unnest(range(least(len(toks), {max_len}))) AS i FROM doc_tok) x),
-doc_rows AS (SELECT d.doc_id, d.pos, d.token, coalesce(v.id, {K.UNK_ID}) AS token_id
+            FROM (SELECT doc_id, toks, unnest(range({last})) AS i FROM doc_tok) x),
+doc_rows AS MATERIALIZED (SELECT d.doc_id, d.pos, d.token, coalesce(v.id, {K.UNK_ID}) AS token_id
              FROM doc_pos d LEFT JOIN vocab v ON d.token = v.token),
 doc_arr AS (SELECT t.doc_id, coalesce(a.ids, CAST([] AS INTEGER[])) AS ids FROM doc_tok t LEFT JOIN
             (SELECT doc_id, list(token_id ORDER BY pos) AS ids FROM doc_rows GROUP BY doc_id) a
@@ -108,13 +109,13 @@ doc_arr AS (SELECT t.doc_id, coalesce(a.ids, CAST([] AS INTEGER[])) AS ids FROM
 
 # -------------------------------------------------------------- IMAGES ----
 def image_ids_col(emb_col: str = "embedding"):
-    """C9 stand-in: 16 VQ codes from the embedding, shifted by the offset."""
-    return F.transform(F.slice(F.col(emb_col), 1, IMG_TOKENS),
+    """C9 stand-in: a VQ code from every value of the embedding, shifted by the offset."""
+    return F.transform(F.col(emb_col),
                        lambda x: F.lit(K.IMAGE_OFFSET) + F.least(F.greatest(
                            F.floor((x.cast("double") + 1.0) * 4096.0).cast("int"), F.lit(0)), F.lit(8191)))
 
 
-IMAGE_SQL = (f"list_transform(embedding[1:{IMG_TOKENS}], lambda x: {K.IMAGE_OFFSET} + "
+IMAGE_SQL = (f"list_transform(embedding, lambda x: {K.IMAGE_OFFSET} + "
              f"least(greatest(CAST(floor((CAST(x AS DOUBLE) + 1.0) * 4096.0) AS INTEGER), 0), 8191))")
 
 
@@ -133,37 +134,62 @@ LOGITS_SQL = "logits AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS lo
 
 
 # ----------------------------------------------------------------- MOL ----
+_ATOM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def mol_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The atoms as they come, one row each, without an index."""
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("mol"), *_ATOM_ORDER, F.col("l_returnflag").alias("symbol"),
+        F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
+
+
+def mol_atoms_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Long atom table (mol, atom_idx, symbol, x, y, z) of every molecule,
+    whatever its size: the index within a molecule is the skew-safe one."""
+    atoms = dense_index(mol_lines(spark, sf), _ATOM_ORDER, group_by=["mol"], out="_i")
+    return atoms.select("mol", F.col("_i").cast("int").alias("atom_idx"), "symbol", "x", "y", "z")
+
+
 def mol_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """Long atom table (mol, atom_idx, symbol, x, y, z) of the molecules
-    that pass the size gate (<= MAX_ATOMS atoms). The gate uses a partial
-    count per molecule first, so only bounded groups reach the window."""
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("mol"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"),
-        F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
-    return atom_index(li, MAX_ATOMS)
+    """The same for forms that need whole molecules in a row: those of at most
+    MAX_ATOMS atoms. ``mol_rejects`` has the others."""
+    return atom_index(mol_lines(spark, sf), MAX_ATOMS)
+
+
+def mol_rejects(spark: SparkSession, sf: str, max_atoms: int = MAX_ATOMS) -> DataFrame:
+    """(mol, n): molecules over the gate, from a partial count."""
+    return mol_lines(spark, sf).groupBy("mol").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_atoms)
 
 
 def atom_index(li: DataFrame, max_atoms: int) -> DataFrame:
     """Atom index per molecule and the size gate in one shuffle: keep the
     first ``max_atoms + 1`` atoms of every molecule (map-side partial limit,
     so a huge molecule is cut before the exchange), then a molecule is
-    rejected when it still has more than ``max_atoms`` (count over the same
+    left out when it still has more than ``max_atoms`` (count over the same
     partitioning, at most ``max_atoms + 1`` rows)."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    first = top_k_per_group(li, ["mol"], order, max_atoms + 1, rank_col="_rn")
+    first = top_k_per_group(li, ["mol"], _ATOM_ORDER, max_atoms + 1, rank_col="_rn")
     n = F.count(F.lit(1)).over(Window.partitionBy("mol"))
     return (first.withColumn("_n", n).where(F.col("_n") <= max_atoms)
             .select("mol", (F.col("_rn") - 1).cast("int").alias("atom_idx"), "symbol", "x", "y", "z"))
 
 
-MOL_SQL = f"""
+MOL_ALL_SQL = """
 mol_raw AS (SELECT l_orderkey AS mol, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
             l_returnflag AS symbol, l_quantity AS x, l_discount AS y, l_tax AS z FROM lineitem),
-mol_ok AS (SELECT mol FROM mol_raw GROUP BY mol HAVING count(*) <= {MAX_ATOMS}),
 atoms AS (SELECT mol, CAST(row_number() OVER (PARTITION BY mol ORDER BY l_linenumber, l_partkey,
-          l_suppkey, l_extendedprice) - 1 AS INTEGER) AS atom_idx, symbol, x, y, z
-          FROM mol_raw WHERE mol IN (SELECT mol FROM mol_ok))"""
+          l_suppkey, l_extendedprice) - 1 AS INTEGER) AS atom_idx, symbol, x, y, z FROM mol_raw)"""
+
+
+def MOL_SQL_UP_TO(max_atoms: int) -> str:
+    """The same, molecules of at most ``max_atoms`` atoms; mol_large has the others."""
+    return MOL_ALL_SQL.replace("FROM mol_raw)", "FROM mol_raw WHERE mol IN (SELECT mol FROM mol_ok))").replace(
+        "atoms AS (", f"""mol_ok AS (SELECT mol FROM mol_raw GROUP BY mol HAVING count(*) <= {max_atoms}),
+mol_large AS (SELECT mol, count(*) AS n FROM mol_raw GROUP BY mol HAVING count(*) > {max_atoms}),
+atoms AS (""")
+
+
+MOL_SQL = MOL_SQL_UP_TO(MAX_ATOMS)
 
 
 # -------------------------------------------------------------- METRIC ----

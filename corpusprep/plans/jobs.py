@@ -16,55 +16,60 @@ from ..operators import molecules as M
 from ..sources.shards import write_records
 
 
-def _dense(edges: DataFrame, value: str, sizes: DataFrame) -> DataFrame:
-    """Per-molecule N x N matrix of ``value`` (0 where no edge)."""
-    g = edges.groupBy("mol").agg(F.map_from_entries(F.collect_list(
-        F.struct((F.col("i") * 1_000_000 + F.col("j")).alias("k"), F.col(value).alias("v")))).alias("_m"))
-    s = sizes.join(g, "mol", "left")
-    rows = F.sequence(F.lit(0), F.col("n") - 1)
-    dense = F.when(F.col("n") == 0, F.array().cast("array<array<int>>")).otherwise(
-        F.transform(rows, lambda i: F.transform(rows, lambda j: F.coalesce(
-            F.try_element_at(F.col("_m"), i * 1_000_000 + j), F.lit(0)))))
-    return s.select("mol", dense.alias(value))
-
-
-def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, max_atoms: int = 256,
-                      out: str | None = None) -> tuple:
+def _matrix(n, bonds, value):
+    """N x N matrix of ``value(bond)`` from an array of directed bonds (i, j,
+    bond_type): each row looks only at its own bonds."""
+    def row(i):
+        own = F.filter(bonds, lambda b: b["i"] == i)
+        return F.transform(F.array(own), lambda mine: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.coalesce(
+            F.get(F.transform(F.filter(mine, lambda b: b["j"] == j), value), 0), F.lit(0))))[0]
+    return F.transform(F.sequence(F.lit(0), n - 1), row)
+
+
+def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, descriptions: DataFrame | None = None,
+                      max_atoms: int = 256, out: str | None = None) -> tuple:
     """M9: atom (and bond) tables -> gated molecule records with JSON fields.
 
-    ``atoms``: ``(mol, atom_idx, symbol, x, y, z)``; ``bonds``: ``(mol, i, j,
-    bond)`` or consecutive-atom bonds when absent. Molecules over
-    ``max_atoms`` are rejected before anything is collected (at most
-    ``max_atoms + 1`` of their atoms ever meet in a task). Returns ``(records, reason_counts, written)``; with ``out`` the
-    records are written as Parquet and ``written`` is the ``Observation``
-    whose count comes from that write (else None)."""
-    # Gate in one shuffle: only the first max_atoms + 1 atoms of a molecule
-    # meet in a task; more than max_atoms of them means "too many".
-    from pyspark.sql import Window
+    ``atoms``: ``(mol, atom_idx, symbol, x, y, z)``, where ``atom_idx`` may be
+    of any type that orders a molecule's atoms; ``bonds``: ``(mol, i, j,
+    bond)`` by position, or consecutive-atom bonds when absent;
+    ``descriptions``: ``(mol, text_description)``, missing ones are empty.
+
+    Molecules over ``max_atoms`` are counted, never gathered: of each at most
+    ``max_atoms + 1`` atoms meet in a task. Atom numbers, SELFIES, coordinates,
+    matrices of consecutive bonds and distances all come from one grouping.
+    Returns ``(records, reason_counts, written)``; with ``out`` the records are
+    written as Parquet and ``written`` is the ``Observation`` whose count comes
+    from that write (else None)."""
     from ..operators.ordering import top_k_per_group
     capped = top_k_per_group(atoms, ["mol"], ["atom_idx"], max_atoms + 1)
-    capped = capped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mol")))
-    kept = capped.where(F.col("n") <= max_atoms).drop("n")
-    gated = capped.groupBy("mol").agg(F.first("n").alias("n")).withColumn(
-        "reason", F.when(F.col("n") > max_atoms, "too_many_atoms").otherwise("ok"))
-    ok = gated.where(F.col("reason") == "ok").select("mol", "n")
-    arrays = M.molecule_arrays(M.atom_numbers(kept))
-    syms = kept.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "symbol"))).alias("_s"))
-    edges = M.bond_edges(bonds if bonds is not None else M.chain_bonds(kept))
-    rec = (arrays.join(syms, "mol")
-           .join(_dense(edges, "edge", ok), "mol")
-           .join(_dense(edges, "bond_type", ok), "mol")
-           .withColumn("dist", M.distance_matrix(F.col("coords"))))
+    entry = F.struct("atom_idx", "symbol", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
+    grouped = capped.groupBy("mol").agg(F.array_sort(F.collect_list(entry)).alias("_a"))
+    gated = grouped.select("mol", "_a", F.when(F.size("_a") > max_atoms, "too_many_atoms").otherwise("ok").alias("reason"))
+    rec = gated.where(F.col("reason") == "ok").withColumn("n", F.size("_a"))
+    if bonds is None:
+        names = F.array(*[F.lit(x) for x in ("SINGLE", "DOUBLE", "TRIPLE", "AROMATIC", "DATIVE")])
+        code = lambda i: M.bond_code(F.get(names, F.pmod(i, F.lit(5))))
+        pair = lambda i, j, t: F.struct(i.alias("i"), j.alias("j"), t.alias("bond_type"))
+        chain = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 2),
+                                      lambda i: F.array(pair(i, i + 1, code(i)), pair(i + 1, i, code(i)))))
+        rec = rec.withColumn("_b", F.when(F.col("n") > 1, chain).otherwise(F.array().cast("array<struct<i:int,j:int,bond_type:int>>")))
+    else:
+        mine = M.bond_edges(bonds).groupBy("mol").agg(F.collect_list(F.struct("i", "j", "bond_type")).alias("_b"))
+        rec = rec.join(mine, "mol", "left").withColumn("_b", F.coalesce("_b", F.array().cast("array<struct<i:int,j:int,bond_type:int>>")))
+    if descriptions is not None:
+        rec = rec.join(descriptions.select("mol", "text_description"), "mol", "left")
+    text = F.coalesce(F.col("text_description"), F.lit("")) if descriptions is not None else F.lit("")
+    rec = rec.withColumn("coords", F.transform("_a", lambda a: F.array(a["x"], a["y"], a["z"])))
     records = rec.select(
         F.col("mol").cast("string").alias("id"),
-        F.array_join(F.transform("_s", lambda s: F.concat(F.lit("["), s["symbol"], F.lit("]"))), "")
-        .alias("selfies_string"),
-        F.lit("").alias("text_description"),
-        F.to_json("atom_vec").alias("atom_vec_str"),
+        F.array_join(F.transform("_a", lambda a: F.concat(F.lit("["), a["symbol"], F.lit("]"))), "").alias("selfies_string"),
+        text.alias("text_description"),
+        F.to_json(F.transform("_a", lambda a: M._number_of(a["symbol"]))).alias("atom_vec_str"),
         F.to_json("coords").alias("coordinates_str"),
-        F.to_json("edge").alias("edge_type_str"),
-        F.to_json("bond_type").alias("bond_type_str"),
-        F.to_json("dist").alias("dist_str"),
+        F.to_json(_matrix(F.col("n"), F.col("_b"), lambda b: F.lit(1))).alias("edge_type_str"),
+        F.to_json(_matrix(F.col("n"), F.col("_b"), lambda b: b["bond_type"])).alias("bond_type_str"),
+        F.to_json(M.distance_matrix(F.col("coords"))).alias("dist_str"),
         F.lit("[]").alias("rdmol2selfies_str"))
     written = None
     if out:

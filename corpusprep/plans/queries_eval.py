@@ -28,7 +28,7 @@ COEFFS = {"coords_coeff": 1.0, "atom_type_coeff": 0.5, "selfies_coeff": 1.0, "al
 
 def _noised_atoms(spark, sf, rng="portable"):
     sched = S.noise_schedule(spark, "linear", 0.0001, 0.02, T_NOISE)
-    a = I.mol_atoms(spark, sf).withColumn("t", N.timestep("mol", T_NOISE, rng=rng))
+    a = I.mol_atoms_all(spark, sf).withColumn("t", N.timestep("mol", T_NOISE, rng=rng))
     return N.coordinate_noise(a, "mol", "t", sched, rng=rng)
 
 
@@ -85,8 +85,11 @@ def _bond_sql(i: str, j: str) -> str:
     return f"(CASE WHEN {j} = {i} + 1 THEN {code(i)} WHEN {i} = {j} + 1 THEN {code(j)} ELSE 0 END)"
 
 
+# Gate of the convert job: some molecules of every scale are over it.
+CONVERT_GATE = 6
+
 M9_SQL = f"""
-WITH {I.MOL_SQL},
+WITH {I.MOL_SQL_UP_TO(CONVERT_GATE)},
 z AS (SELECT a.*, coalesce(CASE WHEN regexp_full_match(a.symbol, '[0-9]+') THEN CAST(a.symbol AS INTEGER) END, e.z, 0) AS zn
       FROM atoms a LEFT JOIN (SELECT * FROM (VALUES {", ".join(f"('{s}', {k + 1})" for k, s in enumerate(M_ELEMENTS))})
       AS el(symbol, z)) e ON a.symbol = e.symbol),
@@ -100,23 +103,32 @@ mats AS (SELECT mol, list(d ORDER BY i) AS dist, list(e ORDER BY i) AS edge, lis
          FROM prow GROUP BY mol),
 av AS (SELECT mol, list(zn ORDER BY atom_idx) AS v, list([x, y, z] ORDER BY atom_idx) AS c,
        string_agg('[' || symbol || ']', '' ORDER BY atom_idx) AS selfies FROM z GROUP BY mol)
-SELECT CAST(av.mol AS VARCHAR) AS id, selfies AS selfies_string, '' AS text_description,
+SELECT CAST(av.mol AS VARCHAR) AS id, selfies AS selfies_string, coalesce(o.o_orderpriority, '') AS text_description,
        CAST(to_json(v) AS VARCHAR) AS atom_vec_str, CAST(to_json(c) AS VARCHAR) AS coordinates_str,
        CAST(to_json(edge) AS VARCHAR) AS edge_type_str, CAST(to_json(bond) AS VARCHAR) AS bond_type_str,
        CAST(to_json(dist) AS VARCHAR) AS dist_str, '[]' AS rdmol2selfies_str
-FROM av JOIN mats ON av.mol = mats.mol
+FROM av JOIN mats ON av.mol = mats.mol LEFT JOIN orders o ON av.mol = o.o_orderkey
 """
 
 
+def _convert(spark, sf, max_atoms):
+    """The convert job over all molecules; a molecule's description stands in its order."""
+    text = table(spark, sf, "orders").select(F.col("o_orderkey").alias("mol"), F.col("o_orderpriority").alias("text_description"))
+    atoms = I.mol_lines(spark, sf).withColumn("atom_idx", F.struct(*I._ATOM_ORDER))  # any type that orders the atoms
+    return convert_molecules(atoms, descriptions=text, max_atoms=max_atoms)
+
+
 @register("m9_convert_job", M9_SQL)
 def m9_convert_job(spark, sf):
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("mol"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"),
-        F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
-    atoms = I.atom_index(li, I.MAX_ATOMS)
-    records, _counts, _written = convert_molecules(atoms, max_atoms=I.MAX_ATOMS)
-    return records
+    return _convert(spark, sf, CONVERT_GATE)[0]
+
+
+@register("m9_convert_counts", f"""
+SELECT CASE WHEN n > {CONVERT_GATE} THEN 'too_many_atoms' ELSE 'ok' END AS reason, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) m GROUP BY 1
+""")
+def m9_convert_counts(spark, sf):
+    return _convert(spark, sf, CONVERT_GATE)[1].select("reason", F.col("n").cast("bigint"))
 
 
 B2_BUFFER = 100
@@ -170,7 +182,7 @@ def e2_molecule_feed(spark, sf, rng="portable"):
     the timestep mask, padded atoms, shuffled batches."""
     from ..operators import tokens as TK
     from ..functions import arrays as AR
-    records = m9_convert_job(spark, sf)
+    records = _convert(spark, sf, I.MAX_ATOMS)[0]
     base = I.doc_vocab(spark, sf)
     alpha = AR.explode_rows(TK.tokenise_selfies(records.select("id", "selfies_string"), "selfies_string"),
                             ["id"], "tokens", out="token")

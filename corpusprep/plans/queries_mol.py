@@ -29,9 +29,16 @@ def _elements_sql() -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS e(symbol, z))"
 
 
-ATOMS_Z_SQL = f"""{I.MOL_SQL},
+_Z = f"""
 atoms_z AS (SELECT a.*, coalesce(CASE WHEN regexp_full_match(a.symbol, '[0-9]+') THEN CAST(a.symbol AS INTEGER) END,
             e.z, 0) AS atomic_num FROM atoms a LEFT JOIN {_elements_sql()} e ON a.symbol = e.symbol)"""
+ATOMS_Z_SQL = f"{I.MOL_SQL},{_Z}"
+LARGE = "UNION ALL BY NAME SELECT CAST(mol AS BIGINT) AS mol FROM mol_large"
+
+
+def _with_rejects(df, spark, sf):
+    """Molecules over the gate stay visible: a row each, without values."""
+    return df.unionByName(I.mol_rejects(spark, sf).select(F.col("mol").cast("bigint")), allowMissingColumns=True)
 
 
 def _atoms_z(spark, sf):
@@ -39,11 +46,11 @@ def _atoms_z(spark, sf):
 
 
 @register("m1_atom_to_id", f"""
-WITH {ATOMS_Z_SQL}
+WITH {I.MOL_ALL_SQL},{_Z}
 SELECT CAST(mol AS BIGINT) AS mol, CAST(atom_idx AS BIGINT) AS atom_idx, CAST(atomic_num AS BIGINT) AS atomic_num FROM atoms_z
 """)
 def m1_atom_to_id(spark, sf):
-    a = _atoms_z(spark, sf)
+    a = M.atom_numbers(I.mol_atoms_all(spark, sf))
     return a.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"), F.col("atomic_num").cast("bigint"))
 
 
@@ -53,6 +60,7 @@ SELECT CAST(mol AS BIGINT) AS mol, CAST(count(*) AS BIGINT) AS n_atoms,
        string_agg(CAST(atomic_num AS VARCHAR), ',' ORDER BY atom_idx) AS atom_vec,
        string_agg(printf('%.4f,%.4f,%.4f', x, y, z), ';' ORDER BY atom_idx) AS coords
 FROM atoms_z GROUP BY mol
+{LARGE}
 """
 
 
@@ -63,9 +71,10 @@ def _coord_str(c):
 @register("m4_atom_features", M4_SQL)
 def m4_atom_features(spark, sf):
     m = M.molecule_arrays(_atoms_z(spark, sf))
-    return m.select(F.col("mol").cast("bigint"), F.size("atom_vec").cast("bigint").alias("n_atoms"),
-                    F.array_join(F.transform("atom_vec", lambda v: v.cast("string")), ",").alias("atom_vec"),
-                    F.array_join(F.transform("coords", _coord_str), ";").alias("coords"))
+    m = m.select(F.col("mol").cast("bigint"), F.size("atom_vec").cast("bigint").alias("n_atoms"),
+                 F.array_join(F.transform("atom_vec", lambda v: v.cast("string")), ",").alias("atom_vec"),
+                 F.array_join(F.transform("coords", _coord_str), ";").alias("coords"))
+    return _with_rejects(m, spark, sf)
 
 
 M5_SQL = f"""
@@ -74,6 +83,7 @@ p AS (SELECT a.mol, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) +
       FROM atoms a JOIN atoms b ON a.mol = b.mol)
 SELECT CAST(mol AS BIGINT) AS mol, CAST(count(*) AS BIGINT) AS cells, round(sum(d), 6) AS dist_sum, round(max(d), 6) AS dist_max
 FROM p GROUP BY mol
+{LARGE}
 """
 
 
@@ -81,13 +91,14 @@ FROM p GROUP BY mol
 def m5_pairwise_distance(spark, sf):
     m = M.molecule_arrays(_atoms_z(spark, sf)).withColumn("dist", M.distance_matrix(F.col("coords")))
     flat = F.flatten("dist")
-    return m.select(F.col("mol").cast("bigint"), F.size(flat).cast("bigint").alias("cells"),
-                    R6(F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)).alias("dist_sum"),
-                    R6(F.array_max(flat)).alias("dist_max"))
+    m = m.select(F.col("mol").cast("bigint"), F.size(flat).cast("bigint").alias("cells"),
+                 R6(F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)).alias("dist_sum"),
+                 R6(F.array_max(flat)).alias("dist_max"))
+    return _with_rejects(m, spark, sf)
 
 
 M6_SQL = f"""
-WITH {I.MOL_SQL},
+WITH {I.MOL_ALL_SQL},
 b AS (SELECT a.mol, a.atom_idx AS i, c.atom_idx AS j,
       CASE (a.atom_idx % 5) WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS bond_type
       FROM atoms a JOIN atoms c ON a.mol = c.mol AND c.atom_idx = a.atom_idx + 1),
@@ -98,7 +109,7 @@ SELECT CAST(mol AS BIGINT) AS mol, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS
 
 
 def _edges(spark, sf):
-    return M.bond_edges(M.chain_bonds(I.mol_atoms(spark, sf)))
+    return M.bond_edges(M.chain_bonds(I.mol_atoms_all(spark, sf)))
 
 
 @register("m6_bond_edges", M6_SQL)
@@ -115,6 +126,7 @@ SELECT CAST(mol AS BIGINT) AS mol,
        array_to_string(list_transform(range({MAXA}), lambda i: CASE WHEN i < len(v) THEN 1 ELSE 0 END), '') AS atoms_mask,
        CAST(len(v) AS BIGINT) AS n_atoms, round(list_sum(c), 6) AS coord_sum
 FROM g
+{LARGE}
 """
 
 
@@ -123,11 +135,12 @@ def m7_pad_atoms(spark, sf):
     m = M.molecule_arrays(_atoms_z(spark, sf))
     ids, xyz, mask = M.pad_atoms(F.col("atom_vec"), F.col("coords"), MAXA)
     m = m.select("mol", ids.alias("ids"), xyz.alias("xyz"), mask.alias("mask"))
-    return m.select(F.col("mol").cast("bigint"), F.array_join(F.transform("ids", lambda v: v.cast("string")), ",")
+    m = m.select(F.col("mol").cast("bigint"), F.array_join(F.transform("ids", lambda v: v.cast("string")), ",")
                     .alias("atom_vec"),
                     F.array_join(F.transform("mask", lambda b: F.when(b, "1").otherwise("0")), "").alias("atoms_mask"),
                     F.size(F.filter("mask", lambda b: b)).cast("bigint").alias("n_atoms"),
                     R6(F.aggregate("xyz", F.lit(0.0), lambda a, p: a + p[0] + 2 * p[1] + 3 * p[2])).alias("coord_sum"))
+    return _with_rejects(m, spark, sf)
 
 
 M8_SQL = f"""
@@ -136,35 +149,32 @@ b AS (SELECT a.mol, a.atom_idx AS i, c.atom_idx AS j,
       CASE (a.atom_idx % 5) WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS bond_type
       FROM atoms a JOIN atoms c ON a.mol = c.mol AND c.atom_idx = a.atom_idx + 1),
 e AS (SELECT mol, i, j, bond_type FROM b UNION SELECT mol, j AS i, i AS j, bond_type FROM b)
-SELECT CAST(mol AS BIGINT) AS mol, CAST({MAXA * MAXA} AS BIGINT) AS cells,
+SELECT CAST(m.mol AS BIGINT) AS mol, CAST({MAXA * MAXA} AS BIGINT) AS cells,
        CAST(count(*) FILTER (WHERE bond_type <> 0) AS BIGINT) AS nnz,
-       CAST(sum((i * {MAXA} + j) * bond_type) AS BIGINT) AS weighted
-FROM e GROUP BY mol
+       CAST(coalesce(sum((i * {MAXA} + j) * bond_type), 0) AS BIGINT) AS weighted
+FROM mol_ok m LEFT JOIN e ON m.mol = e.mol GROUP BY m.mol
+{LARGE}
 """
 
 
 @register("m8_densify", M8_SQL)
 def m8_densify(spark, sf):
-    d = M.densify(_edges(spark, sf), "bond_type", MAXA)
+    atoms = I.mol_atoms(spark, sf)
+    d = M.densify(M.bond_edges(M.chain_bonds(atoms)), "bond_type", MAXA, molecules=atoms.where("atom_idx = 0").select("mol"))
     flat = F.flatten("bond_type")
-    return d.select(F.col("mol").cast("bigint"), F.size(flat).cast("bigint").alias("cells"),
+    d = d.select(F.col("mol").cast("bigint"), F.size(flat).cast("bigint").alias("cells"),
                     F.size(F.filter(flat, lambda v: v != 0)).cast("bigint").alias("nnz"),
                     F.aggregate(F.transform(flat, lambda v, k: v.cast("long") * k), F.lit(0).cast("long"),
                                 lambda a, v: a + v).alias("weighted"))
+    return _with_rejects(d, spark, sf)
 
 
 # ------------------------------------------ JSON records, gate, reasons ----
 def records(spark, sf, rng="portable"):
-    """Converted-record stand-in: per molecule JSON strings, with some rows
-    corrupted (malformed JSON, no atoms, a ragged coordinate) chosen by
-    ``u('corrupt', mol)``. A record keeps at most ``GATE + 1`` atoms — enough
-    for the gate to reject larger molecules — so no molecule is ever
-    collected whole, however many atoms it has."""
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("mol"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        F.col("l_returnflag").alias("symbol"), F.col("l_quantity").alias("x"),
-        F.col("l_discount").alias("y"), F.col("l_tax").alias("z"))
-    li = top_k_per_group(li, ["mol"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], GATE + 1)
+    """Converted-record stand-in: the JSON strings of every molecule of at
+    most GATE atoms, whole, with some rows corrupted (malformed JSON, no atoms,
+    a ragged coordinate) chosen by ``u('corrupt', mol)``."""
+    li = I.mol_lines(spark, sf).join(I.mol_rejects(spark, sf, GATE).select("mol"), "mol", "left_anti")
     g = li.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "symbol", "x", "y", "z"))).alias("a"))
     u = uniform("corrupt", "mol", rng=rng)
@@ -184,13 +194,13 @@ C2_SQL = f"""
 WITH raw AS (SELECT l_orderkey AS mol, list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s,
              list([l_quantity, l_discount, l_tax] ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS c
              FROM lineitem GROUP BY l_orderkey),
-u AS (SELECT mol, s, c, {Q.u('corrupt', 'mol')} AS uu FROM raw),
-r AS (SELECT mol, CASE WHEN uu < 0.02 THEN NULL WHEN uu < 0.04 THEN [] ELSE s END AS s,
+u AS (SELECT mol, len(s) AS n, s, c, {Q.u('corrupt', 'mol')} AS uu FROM raw),
+r AS (SELECT mol, n, CASE WHEN uu < 0.02 THEN NULL WHEN uu < 0.04 THEN [] ELSE s END AS s,
       CASE WHEN uu >= 0.02 AND uu < 0.04 THEN c
            WHEN uu >= 0.04 AND uu < 0.06 THEN list_concat(c[1:len(c) - 1], [list_concat(c[len(c)], [1.0])]) ELSE c END AS c FROM u)
 SELECT CAST(mol AS BIGINT) AS mol,
-  CASE WHEN s IS NULL OR c IS NULL THEN 'parse_error' WHEN len(s) = 0 THEN 'no_atoms'
-       WHEN len(s) > {GATE} THEN 'too_many_atoms'
+  CASE WHEN n > {GATE} THEN 'too_many_atoms'
+       WHEN s IS NULL OR c IS NULL THEN 'parse_error' WHEN len(s) = 0 THEN 'no_atoms'
        WHEN len(c) <> len(s) OR NOT list_bool_and(list_transform(c, lambda t: len(t) = 3)) THEN 'shape_mismatch'
        ELSE 'ok' END AS reason
 FROM r
@@ -198,8 +208,11 @@ FROM r
 
 
 def _gated(spark, sf, rng="portable"):
+    """Every molecule with its reason: too large by a partial count, else from the parsed record."""
     p = M.parse_record(records(spark, sf, rng))
-    return p.withColumn("reason", C.validity(F.col("atom_vec"), F.col("coordinates"), GATE))
+    p = p.withColumn("reason", C.validity(F.col("atom_vec"), F.col("coordinates"), GATE))
+    large = I.mol_rejects(spark, sf, GATE).select("mol", F.lit("too_many_atoms").alias("reason"))
+    return p.unionByName(large, allowMissingColumns=True)
 
 
 @register("c2_validity_gate", C2_SQL)
@@ -251,20 +264,21 @@ av AS (SELECT mol, list(atomic_num ORDER BY atom_idx) AS v, list([x, y, z] ORDER
 SELECT CAST(av.mol AS BIGINT) AS mol, CAST(to_json(v) AS VARCHAR) AS atom_vec_str,
        CAST(to_json(c) AS VARCHAR) AS coords_str, CAST(to_json(dist) AS VARCHAR) AS dist_str
 FROM av JOIN dm ON av.mol = dm.mol
+{LARGE}
 """
 
 
 @register("m3_serialize_records", M3_SQL)
 def m3_serialize_records(spark, sf):
     m = M.molecule_arrays(_atoms_z(spark, sf)).withColumn("dist", M.distance_matrix(F.col("coords")))
-    return M.to_json_record(m, ["atom_vec", "coords", "dist"]).select(
-        "mol", "atom_vec_str", "coords_str", "dist_str")
+    m = M.to_json_record(m, ["atom_vec", "coords", "dist"]).select(F.col("mol").cast("bigint"), "atom_vec_str", "coords_str", "dist_str")
+    return _with_rejects(m, spark, sf)
 
 
 # ------------------------------------------------------------ N7 ----
 T7 = 1000
 N7_SQL = f"""
-WITH {I.MOL_SQL},
+WITH {I.MOL_ALL_SQL},
 s AS (SELECT CAST(range AS INTEGER) AS t FROM range({T7})),
 b AS (SELECT t, 0.0001 + CAST(t AS DOUBLE) * {(0.02 - 0.0001) / (T7 - 1)!r} AS beta FROM s),
 sab AS (SELECT t, sqrt(exp(sum(ln(1.0 - beta)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS sa FROM b),
@@ -279,7 +293,7 @@ FROM j
 @register("n7_coord_noise", N7_SQL)
 def n7_coord_noise(spark, sf, rng="portable"):
     sched = S.noise_schedule(spark, "linear", 0.0001, 0.02, T7)
-    a = I.mol_atoms(spark, sf).withColumn("t", N.timestep("mol", T7, rng=rng))
+    a = I.mol_atoms_all(spark, sf).withColumn("t", N.timestep("mol", T7, rng=rng))
     r = N.coordinate_noise(a, "mol", "t", sched, rng=rng)
     return r.select(F.col("mol").cast("bigint"), F.col("atom_idx").cast("bigint"),
                     *[(R6(F.col(f"{c}_t")) + F.lit(0.0)).alias(f"{c}_t") for c in "xyz"])  # no -0.0

@@ -1,5 +1,5 @@
 """Sequence-builder queries (P0, P3-P6, P8-P11, C9) over TEXT ids and the
-image-code stand-in (16 codes per embedding row, paired with the document
+image-code stand-in (a code for every value of an embedding, paired with the document
 of the same id)."""
 
 from __future__ import annotations
@@ -62,18 +62,18 @@ pairs AS (SELECT a.doc_id, a.ids, {I.IMAGE_SQL} AS image FROM doc_arr a JOIN emb
 @register("c9_vq_offset", f"SELECT CAST(vec_id AS BIGINT) AS vec_id, {s(I.IMAGE_SQL)} AS image FROM embeddings")
 def c9_vq_offset(spark, sf):
     e = table(spark, sf, "embeddings")
-    codes = F.transform(F.slice("embedding", 1, I.IMG_TOKENS), lambda x: F.least(F.greatest(
+    codes = F.transform("embedding", lambda x: F.least(F.greatest(
         F.floor((x.cast("double") + 1.0) * 4096.0).cast("int"), F.lit(0)), F.lit(8191)))
     return e.select(F.col("vec_id").cast("bigint"), _ints(C.vq_to_tokens(codes)).alias("image"))
 
 
 # --------------------------------------------------------------- P0 ----
 @register("p0_bos_normalise", f"""
-WITH {I.DOC_SQL()}
+WITH {I.DOC_SQL(None)}
 SELECT CAST(doc_id AS BIGINT) AS doc_id, {s(with_bos('ids'))} AS ids FROM doc_arr
 """)
 def p0_bos_normalise(spark, sf):
-    d = I.doc_ids(spark, sf)
+    d = I.doc_ids(spark, sf, None)
     return d.select(F.col("doc_id").cast("bigint"), _ints(P.with_bos(F.col("ids"))).alias("ids"))
 
 
@@ -131,11 +131,10 @@ def p5_t2i_gen_prompt(spark, sf):
 
 
 @register("p4_cond_dropout", f"""
-WITH {PAIRS_SQL}
-SELECT CAST(doc_id AS BIGINT) AS doc_id, {Q.u('drop', 'doc_id')} < {DROP_P} AS dropped FROM pairs
+SELECT CAST(doc_id AS BIGINT) AS doc_id, {Q.u('drop', 'doc_id')} < {DROP_P} AS dropped FROM documents
 """)
 def p4_cond_dropout(spark, sf, rng="portable"):
-    d = _pairs(spark, sf)
+    d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").cast("bigint"), (uniform("drop", "doc_id", rng=rng) < DROP_P).alias("dropped"))
 
 
@@ -196,8 +195,9 @@ BATCH = 8
 
 @register("p11_t2i_plus_lm", f"""
 WITH {PAIRS_SQL},
-ix AS (SELECT *, row_number() OVER (ORDER BY {Q.u('shuffle', 'doc_id')}, doc_id) - 1 AS idx FROM pairs),
-tk AS (SELECT *, CASE WHEN idx % {BATCH} < {T2I_PER_BATCH} THEN 't2i' ELSE 'lm' END AS task FROM ix),
+al AS (SELECT a.doc_id, a.ids, p.image FROM doc_arr a LEFT JOIN pairs p ON a.doc_id = p.doc_id),
+ix AS (SELECT *, row_number() OVER (ORDER BY {Q.u('shuffle', 'doc_id')}, doc_id) - 1 AS idx FROM al),
+tk AS (SELECT *, CASE WHEN image IS NOT NULL AND idx % {BATCH} < {T2I_PER_BATCH} THEN 't2i' ELSE 'lm' END AS task FROM ix),
 t2i AS (SELECT doc_id, task, list_concat([{K.T2I_ID}], {with_bos('ids')}, [{K.EOS_ID}]) AS t, image FROM tk WHERE task = 't2i'),
 t2i_seq AS (SELECT doc_id, task, list_concat(
       CASE WHEN len(t) <= {TEXT_LEN + 1} THEN list_concat({rep(K.PAD_ID, f'{TEXT_LEN + 1} - len(t)')}, t)
@@ -208,8 +208,11 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, task, {s('seq')} AS input_ids FROM t2i_
 UNION ALL SELECT CAST(doc_id AS BIGINT) AS doc_id, task, {s('seq')} AS input_ids FROM lm_seq
 """)
 def p11_t2i_plus_lm(spark, sf, rng="portable"):
-    d = B.shuffle(_pairs(spark, sf), "doc_id", rng=rng)
-    d = d.withColumn("task", F.when(F.pmod(F.col("idx"), F.lit(BATCH)) < T2I_PER_BATCH, F.lit("t2i"))
+    keys = B.shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id", rng=rng)  # keys only
+    pictures = I.images(spark, sf).withColumnRenamed("vec_id", "doc_id")
+    d = I.doc_ids(spark, sf).join(keys, "doc_id").join(pictures, "doc_id", "left")
+    # a text without an image can only be a language-model sample
+    d = d.withColumn("task", F.when(F.col("image").isNotNull() & (F.pmod(F.col("idx"), F.lit(BATCH)) < T2I_PER_BATCH), F.lit("t2i"))
                      .otherwise(F.lit("lm")))
     r = P.build_sequences(d, "task", max_text_len=TEXT_LEN, max_seq_len=SEQ_LEN)
     return r.select(F.col("doc_id").cast("bigint"), "task", _ints(F.col("seq.input_ids")).alias("input_ids"))

@@ -133,14 +133,14 @@ def t3_build_vocab(spark, sf):
 
 
 T5_SQL = f"""
-WITH {I.DOC_SQL()}
+WITH {I.DOC_SQL(None)}
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id FROM doc_rows
 """
 
 
 @register("t5_encode", T5_SQL)
 def t5_encode(spark, sf):
-    r = I.doc_token_rows(spark, sf)
+    r = I.doc_token_rows(spark, sf, None)
     return r.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"), BIG("token_id").alias("token_id"))
 
 
@@ -148,28 +148,38 @@ LM_LEN = 512
 
 T6_SQL = f"""
 WITH {I.DOC_SQL()},
-lm AS (SELECT doc_id, CASE WHEN len(ids) = 0 THEN [{K.BOS_ID}] WHEN ids[1] <> {K.BOS_ID}
-              THEN list_concat([{K.BOS_ID}], ids) ELSE ids END || [{K.EOS_ID}] AS t FROM doc_arr),
-seq AS (SELECT doc_id, CASE WHEN len(t) <= {LM_LEN} THEN list_concat(t, list_transform(range({LM_LEN} - len(t)), lambda x: {K.EOS_ID}))
-               ELSE t[1:{LM_LEN}] END AS s FROM lm),
-r AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS tid FROM seq),
-words AS (SELECT token, id FROM vocab WHERE id < {K.MAX_WORD_VOCAB})
-SELECT CAST(r.doc_id AS BIGINT) AS doc_id, CAST(r.pos AS BIGINT) AS pos, w.token
-FROM r JOIN words w ON r.tid = w.id
+lens AS (SELECT doc_id, least(len(toks), {I.DOC_LEN}) AS n,
+         CASE WHEN len(toks) = 0 THEN 0 WHEN toks[1] = '{K.BOS_TOKEN}' THEN 0 ELSE 1 END AS shift FROM doc_tok)
+SELECT CAST(r.doc_id AS BIGINT) AS doc_id, CAST(r.pos + l.shift AS BIGINT) AS pos, r.token
+FROM doc_rows r JOIN lens l ON r.doc_id = l.doc_id JOIN vocab v ON r.token = v.token
+WHERE v.id < {K.MAX_WORD_VOCAB} AND r.pos + l.shift < {LM_LEN}
 """
 
 
 @register("t6_decode", T6_SQL)
 def t6_decode(spark, sf):
-    d = I.doc_ids(spark, sf).select("doc_id", P.lm_prompt(F.col("ids"), LM_LEN)["input_ids"].alias("s"))
-    rows = I.explode_rows(d, "doc_id", "s", out="tid")
-    out = TK.decode_long(rows, I.doc_vocab(spark, sf), "tid", "token")
+    vocab = I.doc_vocab(spark, sf)
+    rows = I.doc_lm_rows(spark, sf, LM_LEN, vocab=vocab).select("doc_id", "pos", F.col("token_id").alias("tid"))
+    out = TK.decode_long(rows, vocab, "tid", "token")
     return out.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"), "token")
 
 
+@register("t7_special_tokens", f"""
+SELECT s.token, CAST(s.id AS BIGINT) AS id, CAST(coalesce(c.n, 0) AS BIGINT) AS uses
+FROM {Q.specials_values()} s LEFT JOIN
+     (SELECT token, count(*) AS n FROM (SELECT unnest({Q.tokens('text')}) AS token FROM documents) t GROUP BY token) c ON s.token = c.token
+""")
+def t7_special_tokens(spark, sf):
+    """The special tokens with their ids and how often the texts hold them."""
+    rows = I.explode_rows(I.doc_tokens(spark, sf), "doc_id", "_toks")
+    special = F.broadcast(TK.special_tokens(spark))  # a fixed list
+    uses = rows.join(special.select("token"), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return special.join(uses, "token", "left").select("token", BIG("id").alias("id"), F.coalesce(BIG("n"), F.lit(0).cast("bigint")).alias("uses"))
+
+
 # ------------------------------------------------------------ masking ----
 N1_SQL = f"""
-WITH {I.DOC_SQL()},
+WITH {I.DOC_SQL(None)},
 m AS (SELECT doc_id, pos, token_id, {Q.u('mask', 'doc_id', 'pos')} < 0.15 AS mk FROM doc_rows)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS pos,
        CAST(CASE WHEN mk THEN {K.MASK_ID} ELSE token_id END AS BIGINT) AS input_id,
@@ -180,7 +190,7 @@ FROM m
 
 @register("n1_bernoulli_mask", N1_SQL)
 def n1_bernoulli_mask(spark, sf, rng="portable"):
-    r = N.bernoulli_mask(I.doc_token_rows(spark, sf), "doc_id", 0.15, rng=rng)
+    r = N.bernoulli_mask(I.doc_token_rows(spark, sf, None), "doc_id", 0.15, rng=rng)
     return r.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"),
                     BIG("input_id").alias("input_id"), BIG("label").alias("label"))
 
@@ -288,7 +298,7 @@ def n4_lm_mask(spark, sf, rng="portable"):
 
 
 N9_SQL = f"""
-WITH {I.DOC_SQL()},
+WITH {I.DOC_SQL(None)},
 m AS (SELECT doc_id, pos, {Q.u('mask', 'doc_id', 'pos')} < 0.15 AS mk, {Q.u('t', 'doc_id')} AS t FROM doc_rows)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(pos AS BIGINT) AS pos,
        round(1.0 - (1.0 - CAST(mk AS DOUBLE)) * ((1.0 - t) * 0.7), 6) AS loss_weight
@@ -298,7 +308,7 @@ FROM m
 
 @register("n9_loss_weight", N9_SQL)
 def n9_loss_weight(spark, sf, rng="portable"):
-    r = N.bernoulli_mask(I.doc_token_rows(spark, sf), "doc_id", 0.15, rng=rng)
+    r = N.bernoulli_mask(I.doc_token_rows(spark, sf, None), "doc_id", 0.15, rng=rng)
     w = N.loss_weight(uniform("t", "doc_id", rng=rng), (F.col("label") != K.IGNORE_ID).cast("int"), 0.3)
     return r.select(BIG("doc_id").alias("doc_id"), BIG("pos").alias("pos"), R6(w).alias("loss_weight"))
 

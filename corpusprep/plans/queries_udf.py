@@ -35,7 +35,7 @@ def u1_pluggable_tokenizer(spark, sf):
 
 U2_T = 1000
 U2_SQL = f"""
-WITH {I.DOC_SQL()},
+WITH {I.DOC_SQL(None)},
 t AS (SELECT doc_id, pos, token_id, CAST(least(floor({float(U2_T)} * {Q.u('t', 'doc_id')}), {U2_T - 1}) AS INTEGER) AS t
       FROM doc_rows),
 m AS (SELECT *, least(greatest(1.0 - pow(CAST(t AS DOUBLE) / {float(U2_T - 1)}, 3.0), 1e-6), 1.0) AS mask_ratio FROM t),
@@ -51,8 +51,8 @@ def u2_pluggable_schedule(spark, sf, rng="portable"):
     """N2 with a user schedule: the pow3 ratio function of t / (T - 1)."""
     from ..functions import schedules as S
     from ..operators import masking as N
-    user = lambda t: U.schedule_column(lambda c: S.ratio("pow3", c / F.lit(float(U2_T - 1))), t)
-    r = N.timestep_mask(I.doc_token_rows(spark, sf), "doc_id", timesteps=U2_T, schedule=user, rng=rng)
+    user = lambda t: S.ratio("pow3", t / F.lit(float(U2_T - 1)))
+    r = N.timestep_mask(I.doc_token_rows(spark, sf, None), "doc_id", timesteps=U2_T, schedule=user, rng=rng)
     return r.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"),
                     F.round("mask_ratio", 6).alias("mask_ratio"), F.col("input_id").cast("bigint"))
 
@@ -70,7 +70,9 @@ SELECT CAST(idx // 8 AS BIGINT) AS batch_id, CAST(count(*) AS BIGINT) AS n, CAST
 FROM s GROUP BY idx // 8
 """)
 def u3_per_batch_function(spark, sf, rng="portable"):
-    d = B.batch_id(B.shuffle(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", rng=rng), 8)
+    docs = table(spark, sf, "documents")
+    keys = B.batch_id(B.shuffle(docs.select("doc_id"), "doc_id", rng=rng), 8)  # keys only; texts move once
+    d = docs.select("doc_id", "text").join(keys.select("doc_id", "batch_id"), "doc_id")
     return U.apply_per_batch(d.select("batch_id", "text"), "batch_id", _batch_summary,
                              "batch_id long, n long, max_chars long")
 

@@ -58,7 +58,7 @@ def report_rows(df: DataFrame, group: str, order: str, prompt: str, response: st
     one row per item, keyed by ``(group, order)``; a group's report is its
     fragments in order."""
     esc = T.html_escape if escape else (lambda c: c)
-    frag = F.concat(F.lit("<div><h4>Prompt</h4><p>"), esc(F.col(prompt)),
+    frag = F.concat(F.lit("<div><h4>Prompt</h4><p>"), esc(F.coalesce(F.col(prompt), F.lit(""))),
                     F.lit("</p><h4>Response</h4><p>"), esc(F.coalesce(F.col(response), F.lit(""))),
                     F.lit("</p></div>"))
     return df.select(group, order, frag.alias("fragment"))

@@ -1,130 +1,139 @@
 """Tar shards -> samples (S7) and sample key filtering.
 
-A tar file is not splittable, so one task streams one shard: members are
-read with ``tarfile`` in stream mode through ``pyarrow.fs`` (local, HDFS,
-S3 ... paths) and grouped on the fly. Grouping rule: consecutive members
-form a sample; a new sample starts when the key changes or when a suffix
-already present in the current sample appears again. Names without an
-extension are skipped; suffixes are lower-cased; suffixes outside an
-allow-list are dropped and never split a sample.
+Only unpacking a tar file needs Python: one task streams a shard's members, a
+bounded batch at a time. Grouping members into samples is a plan over the
+member table. A sample is a run of neighbouring members of one key, cut again
+where a suffix comes back. Names without an extension are skipped; suffixes
+are lower-cased; suffixes outside an allow-list are dropped and cut nothing.
 """
 
 from __future__ import annotations
 
 import io
-import re
 import tarfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Split "dir/name.ext.more" into ("dir/name", "ext.more").
+# FIXED VALUE: "dir/name.ext.more" is the key "dir/name" and the suffix "ext.more".
 NAME_RE = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
-_NAME = re.compile(NAME_RE)
+#: Bytes of members that a task hands on at once.
+BATCH_BYTES = 32 << 20
 
-SAMPLE_SCHEMA = "url string, sample_no long, key string, suffixes array<string>, data map<string,binary>"
 
+def split_name(fname: Column) -> tuple[Column, Column]:
+    """Key and suffix of a member name (NULL key: no extension)."""
+    named = fname.rlike(NAME_RE)
+    return (F.when(named, F.regexp_extract(fname, NAME_RE, 1)), F.when(named, F.regexp_extract(fname, NAME_RE, 2)))
 
-def split_name(fname: str) -> tuple[str | None, str | None]:
-    m = _NAME.match(fname or "")
-    return (m.group(1), m.group(2)) if m else (None, None)
 
+def _cut_numbers(suffixes: Column) -> Column:
+    """For each member of a run, how many suffixes came back up to it, counting
+    anew from every cut. A NULL suffix (not wanted) cuts nothing."""
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("out"))
 
-def fold_members(members: Iterable[tuple[str, str, bytes]], *, lcase: bool = True,
-                 suffixes: set[str] | None = None) -> Iterator[dict]:
-    """Group an ordered member stream ``(url, fname, data)`` of one shard."""
-    cur, n = None, 0
-    for url, fname, data in members:
-        key, suffix = split_name(fname)
-        if key is None:
-            continue
-        if lcase:
-            suffix = suffix.lower()
-        if cur is None or key != cur["key"] or suffix in cur["data"]:
-            if cur is not None:
-                yield cur
-                n += 1
-            cur = {"url": url, "sample_no": n, "key": key, "suffixes": [], "data": {}}
-        if suffixes is None or suffix in suffixes:
-            cur["suffixes"].append(suffix)
-            cur["data"][suffix] = data
-    if cur is not None:
-        yield cur
+    def step(s, x):
+        again = F.coalesce(F.array_contains(s["seen"], x), F.lit(False))
+        n = s["n"] + again.cast("int")
+        here = F.when(x.isNull(), F.array().cast("array<string>")).otherwise(F.array(x))
+        return F.struct(n.alias("n"), F.when(again, here).otherwise(F.concat(s["seen"], here)).alias("seen"),
+                        F.concat(s["out"], F.array(n)).alias("out"))
+
+    return F.aggregate(suffixes, start, step)["out"]
 
 
 def group_samples(members: DataFrame, *, url: str = "url", idx: str = "idx", fname: str = "fname",
                   data: str = "data", lcase: bool = True, suffixes: Iterable[str] | None = None) -> DataFrame:
-    """S7 over a member table ``(url, idx, fname, data)``: each shard's
-    members are clustered into one task in ``idx`` order and folded there
-    (a shard is one tar file: one task reads it in any case)."""
-    allow = set(suffixes) if suffixes is not None else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buf = []
-
-        def flush(rows):
-            out = list(fold_members(rows, lcase=lcase, suffixes=allow))
-            return pd.DataFrame(out, columns=["url", "sample_no", "key", "suffixes", "data"])
-
-        last = None
-        for b in batches:
-            for u, f, d in zip(b[url], b[fname], b[data]):
-                if last is not None and u != last:
-                    yield flush(buf)
-                    buf = []
-                buf.append((u, f, d))
-                last = u
-        if buf:
-            yield flush(buf)
+    """S7 over a member table ``(url, idx, fname, data)`` -> ``(url,
+    sample_no, key, suffixes, data map)``.
+
+    Members are partitioned by shard once; runs (gaps and islands over the
+    key), cuts within a run and sample numbers all use that partitioning. A
+    run is gathered into one row, so a row holds the members of one key run."""
+    key, suffix = split_name(F.col(fname))
+    if lcase:
+        suffix = F.lower(suffix)
+    if suffixes is not None:
+        suffix = F.when(suffix.isin(*suffixes), suffix)
+    named = members.select(F.col(url).alias("url"), F.col(idx).alias("_i"), key.alias("key"), suffix.alias("_s"),
+                           F.col(data).alias("_d")).where(F.col("key").isNotNull())
+    along = Window.partitionBy("url").orderBy("_i")
+    opens = F.coalesce(F.lag("key").over(along) != F.col("key"), F.lit(True))
+    runs = (named.withColumn("_new", opens.cast("long"))
+            .withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("url", "_run", "key").agg(F.array_sort(F.collect_list(F.struct("_i", "_s", "_d"))).alias("_m")))
+    runs = runs.withColumn("_k", _cut_numbers(F.transform("_m", lambda m: m["_s"])))
+    earlier = Window.partitionBy("url").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_n", F.array_max("_k") + 1).withColumn("_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    each = runs.select("url", "key", "_first", F.arrays_zip("_m", "_k").alias("_z"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_c"))
+    own = F.transform(F.filter("_z", lambda z: (z["_k"] == F.col("_c")) & z["_m"]["_s"].isNotNull()), lambda z: z["_m"])
+    each = each.withColumn("_own", own)
+    return each.select("url", (F.col("_first") + F.col("_c")).cast("long").alias("sample_no"), "key",
+                       F.transform("_own", lambda m: m["_s"]).alias("suffixes"),
+                       F.map_from_entries(F.transform("_own", lambda m: F.struct(m["_s"], m["_d"]))).alias("data"))
+
+
+def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Tar files -> ``(url, idx, fname, data, damaged)``, members in file order.
+
+    Files are listed without their contents and dealt to one partition each.
+    A damaged tail ends its shard with one row that has ``damaged`` set; an
+    error of the storage fails the task, which Spark tries again."""
+    listing = spark.read.format("binaryFile").load(paths).select("path")
+    files = max(1, len(listing.inputFiles()))
+    urls = listing.repartition(files, "path")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                filesystem, inner = _arrow_fs(path)
+                held, size = [], 0
+                with filesystem.open_input_stream(inner) as raw:
+                    for row in _members(raw, path):
+                        held.append(row)
+                        size += len(row[3] or b"")
+                        if size >= BATCH_BYTES:
+                            yield pd.DataFrame(held, columns=columns)
+                            held, size = [], 0
+                yield pd.DataFrame(held, columns=columns)
 
-    ordered = members.select(url, idx, fname, data).repartition(url).sortWithinPartitions(url, idx)
-    return ordered.select(url, fname, data).mapInPandas(run, SAMPLE_SCHEMA)
+    columns = ["url", "idx", "fname", "data", "damaged"]
+    return urls.mapInPandas(unpack, "url string, idx long, fname string, data binary, damaged boolean")
 
 
 def read_tar_samples(spark: SparkSession, paths: str | list[str], *, lcase: bool = True,
                      suffixes: Iterable[str] | None = None) -> DataFrame:
-    """S7 end to end: list tar files (paths only; contents are not loaded
-    by the listing), then one task per shard streams and groups members."""
-    allow = set(suffixes) if suffixes is not None else None
-    listing = (spark.read.format("binaryFile").load(paths).select("path")
-               .repartition(F.col("path")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                filesystem, inner = _arrow_fs(p)
-                with filesystem.open_input_stream(inner) as raw:
-                    rows = _tar_members(raw, p)
-                    out = list(fold_members(rows, lcase=lcase, suffixes=allow))
-                yield pd.DataFrame(out, columns=["url", "sample_no", "key", "suffixes", "data"])
-
-    return listing.mapInPandas(run, SAMPLE_SCHEMA)
+    """S7 end to end; shards that end early are listed by ``read_members``."""
+    return group_samples(read_members(spark, paths).where("NOT damaged"), lcase=lcase, suffixes=suffixes)
 
 
 def _arrow_fs(path: str):
-    """(filesystem, path) for a Hadoop-style or plain path via pyarrow.fs."""
+    """(filesystem, path) of a full URI via pyarrow.fs."""
     from pyarrow import fs as pafs
-    if path.startswith("file:") and not path.startswith("file://"):
+    if path.startswith("file:/") and not path.startswith("file://"):
         path = "file://" + path[len("file:"):]
-    elif "://" not in path:
-        path = "file://" + path
     return pafs.FileSystem.from_uri(path)
 
 
-def _tar_members(raw, url: str) -> Iterator[tuple[str, str, bytes]]:
-    """Stream regular-file members of one tar; a damaged tail ends the
-    shard instead of failing the job (the reference's "nothrow")."""
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path as a URI; without a scheme it lies in the cluster's default file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def _members(raw, url: str) -> Iterator[tuple[str, int, str, bytes | None, bool]]:
+    """The regular files of one tar stream."""
+    n = 0
     try:
-        with tarfile.open(fileobj=io.BufferedReader(raw), mode="r|*") as tf:
-            for m in tf:
-                if not m.isfile():
-                    continue
-                f = tf.extractfile(m)
-                yield url, m.name, f.read() if f is not None else b""
-    except (tarfile.TarError, OSError, EOFError):
-        return
+        with tarfile.open(fileobj=io.BufferedReader(raw), mode="r|*") as tar:
+            for info in tar:
+                if info.isfile():
+                    yield url, n, info.name, tar.extractfile(info).read(), False
+                    n += 1
+    except (tarfile.TarError, EOFError):
+        yield url, n, "", None, True
 
 
 def filter_keys(sample_map: Column, keys: Iterable[str]) -> Column:
@@ -169,5 +178,6 @@ def write_tar_shards(members: DataFrame, folder: str, *, shard: str = "shard", i
         if cur is not None:
             yield close()
 
+    folder = _qualified(members.sparkSession, folder)
     ordered = members.select(shard, idx, fname, data).repartition(shard).sortWithinPartitions(shard, idx)
     return ordered.mapInPandas(run, "shard long, path string, members long")

@@ -33,9 +33,9 @@ def read_shard_stream(spark: SparkSession, path: str, schema: str, *, max_files_
 
 
 def lm_token_rows(docs: DataFrame, vocab: DataFrame, seq_len: int, max_len: int) -> DataFrame:
-    """C1 + T1 + P6 + T5 in long form: ``(doc_id, pos, token_id)``; works on
+    """T1 + P6 + T5 in long form: ``(doc_id, pos, token_id)``; works on
     batch and streaming frames alike (no aggregation)."""
-    docs = docs.where(F.col("text").isNotNull()).select(
+    docs = docs.select(
         "doc_id", F.slice(T.tokens(F.col("text")), 1, max_len).alias("_toks"))  # tokenised once
     toks = F.col("_toks")
     bos, eos = F.array(F.lit(K.BOS_TOKEN)), F.array(F.lit(K.EOS_TOKEN))

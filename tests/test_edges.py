@@ -85,20 +85,35 @@ def test_bond_edges_symmetric(spark):
 def test_tar_grouping_edges(spark):
     from corpusprep.sources import tar as TR
     names = ["a.jpg", "a.txt", "a.JPG", "a.json", "a.json", "b.jpg", "noext", "a.txt", "dir/c.tar.gz"]
-    members = [("u", n, n.encode()) for n in names]
-    got = [(s["key"], s["suffixes"]) for s in TR.fold_members(members)]
+    df = spark.createDataFrame([("u", i, n, n.encode()) for i, n in enumerate(names)],
+                               "url string, idx long, fname string, data binary")
+    samples = lambda **kw: [(r["key"], r["suffixes"]) for r in TR.group_samples(df, **kw).orderBy("sample_no").collect()]
+    got = samples()
     assert got == [("a", ["jpg", "txt"]),        # upper-case JPG repeats jpg -> new sample
                    ("a", ["jpg", "json"]),
                    ("a", ["json"]),              # json repeated inside the key run
                    ("b", ["jpg"]),               # name without extension skipped
                    ("a", ["txt"]),               # key re-appearing after another key
                    ("dir/c", ["tar.gz"])]
-    only = [(s["key"], s["suffixes"]) for s in TR.fold_members(members, suffixes={"txt"})]
+    only = samples(suffixes={"txt"})
     assert only[0] == ("a", ["txt"]) and len(only) == 4   # ignored suffixes never split a sample
-    df = spark.createDataFrame([("u", i, n, n.encode()) for i, n in enumerate(names)],
-                               "url string, idx long, fname string, data binary")
-    rows = TR.group_samples(df).orderBy("sample_no").collect()
-    assert [(r["key"], r["suffixes"]) for r in rows] == got
+    assert samples(lcase=False)[0] == ("a", ["jpg", "txt", "JPG", "json"])
+
+
+def test_tars_are_read_apart(spark, tmp_path, monkeypatch):
+    """A file is a partition, a large shard comes in several batches, a damaged one ends early."""
+    from corpusprep.sources import tar as TR
+    monkeypatch.setattr(TR, "BATCH_BYTES", 3000)
+    rows = [(s, i, f"k{i // 2}.{'a' if i % 2 else 'b'}", bytes(500)) for s in range(16) for i in range(40)]
+    df = spark.createDataFrame(rows, "shard long, idx long, fname string, data binary")
+    assert TR.write_tar_shards(df, f"{tmp_path}/t").agg(F.sum("members")).first()[0] == 640
+    got = TR.read_members(spark, f"{tmp_path}/t/*.tar")
+    assert got.count() == 640 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert TR.read_tar_samples(spark, f"{tmp_path}/t/*.tar").count() == 320
+    with open(f"{tmp_path}/t/shard-00000.tar", "r+b") as f:
+        f.truncate(5000)
+    again = TR.read_members(spark, f"{tmp_path}/t/*.tar")
+    assert again.where("damaged").count() == 1 and 600 <= again.where("NOT damaged").count() < 640
 
 
 def test_brace_ranges():
@@ -200,3 +215,59 @@ def test_ensure_id_keeps_existing_and_numbers_copies(spark):
     assert len(set(ids)) == 3 and sum(i.endswith("#2") for i in ids) == 1
     with_id = spark.createDataFrame([("a", "x")], "id string, text string")
     assert C.ensure_id(with_id, ["text"]).first()["id"] == "a"
+
+
+def test_inputs_that_used_to_lose_data(spark):
+    from corpusprep.operators import batching as B
+    from corpusprep.operators import metrics as A
+    from corpusprep.operators import select as K
+    from corpusprep.operators import tokens as TK
+    from corpusprep.sources.files import report_rows
+    p = spark.createDataFrame([(["C", "O"], [[0.0, 0.0, 0.0], None]), (["C", "O"], [[0.0, 0.0, 0.0], [0.0, None, 1.0]])],
+                              "a array<string>, c array<array<double>>")
+    assert {r[0] for r in p.select(C.validity(F.col("a"), F.col("c"), 9)).collect()} == {"shape_mismatch"}
+    atoms = spark.createDataFrame([("99999999999",), ("7",), ("N",), (None,)], "symbol string")
+    assert [r.atomic_num for r in M.atom_numbers(atoms).collect()] == [0, 7, 7, 0]
+    assert [r[0] for r in atoms.select(M._number_of(F.col("symbol"))).collect()] == [0, 7, 7, 0]
+    row = spark.createDataFrame([(1, k, float(k)) for k in range(5)], "id int, k int, x double")
+    assert K.top_k_top_p(row, "id", top_k=9).count() == 5
+    losses = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), ("a", 1e-13, 3), ("b", float("nan"), 1), ("b", 1.0, 2),
+                                    ("c", float("inf"), 1), ("c", 1.0, 2)], "s string, v double, step int")
+    got = {r.s: r for r in A.meter(losses, ["s"], "v", None, "step").collect()}
+    assert got["a"].sum == 4.0000000000001 and got["b"].sum != got["b"].sum and got["c"].sum == float("inf")
+    one, none = spark.range(3).withColumnRenamed("id", "batch_id"), spark.range(0).withColumnRenamed("id", "batch_id")
+    assert B.combine(one, {"x": none}).count() == 3 and B.combine(one, {"x": none}, mode="min_size").count() == 0
+    assert B.combine(none, {"x": none}).count() == 0
+    said = spark.createDataFrame([("g", 1, None, "yes")], "g string, o int, p string, r string")
+    assert "yes" in report_rows(said, "g", "o", "p", "r").first().fragment
+    twice = spark.createDataFrame([(1, 0, 1, "SINGLE"), (1, 0, 1, "TRIPLE")], "mol int, i int, j int, bond string")
+    assert {r.bond_type for r in M.bond_edges(twice).collect()} == {3}
+    words = spark.createDataFrame([(w,) for w in "a b b c c c".split()], "token string")
+    assert TK.build_vocab(words, max_size=None).count() == 3 and TK.build_vocab(words, max_size=2).count() == 2
+    import pytest
+    with pytest.raises(ValueError):
+        TK.build_vocab(words, max_size=3, id_space=2)
+
+
+def test_ids_of_copies_do_not_depend_on_partitions(spark):
+    rows = [("x", i % 3) for i in range(12)] + [("y", 1)]
+    ids = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "text string, extra int").repartition(parts)
+        ids.append(sorted((r.id, r.text, r.extra) for r in C.ensure_id(df, ["text"]).collect()))
+    assert ids[0] == ids[1] and len({i for i, _, _ in ids[0]}) == 13
+
+
+def test_molecules_over_the_gate(spark):
+    from corpusprep.plans.jobs import convert_molecules
+    atoms = spark.createDataFrame([(1, i, "C", 0.0, float(i), 0.0) for i in range(9)] + [(2, 0, "N", 1.0, 1.0, 1.0)]
+                                  + [(3, i, "O", 0.0, 0.0, float(i)) for i in range(3)], "mol int, atom_idx int, symbol string, x double, y double, z double")
+    text = spark.createDataFrame([(2, "nitrogen")], "mol int, text_description string")
+    records, counts, _ = convert_molecules(atoms, descriptions=text, max_atoms=4)
+    got = {r.id: r for r in records.collect()}
+    assert set(got) == {"2", "3"} and {r.reason: r.n for r in counts.collect()} == {"ok": 2, "too_many_atoms": 1}
+    assert got["2"].text_description == "nitrogen" and got["3"].text_description == ""
+    assert got["2"].edge_type_str == "[[0]]" and got["3"].bond_type_str == "[[0,1,0],[1,0,2],[0,2,0]]"
+    edges = M.bond_edges(M.chain_bonds(atoms.where("mol <> 1")))
+    dense = {r.mol: r.bond_type for r in M.densify(edges, "bond_type", 3, molecules=atoms.where("mol <> 1").select("mol")).collect()}
+    assert dense == {2: [[0, 0, 0]] * 3, 3: [[0, 1, 0], [1, 0, 2], [0, 2, 0]]}

@@ -4,9 +4,11 @@
 import pytest
 
 import __spark_entry__ as E
+from corpusprep.plans import registry
 from tests.oracle_check import duck, frame_digest
 
-KEYS = sorted(E.queries())
+registry.load_all()
+KEYS = sorted(registry.QUERIES)
 ORACLES = E.oracle_sql()
 
 

@@ -4,6 +4,7 @@ read only the columns they need, filters reach the Parquet scan."""
 import pytest
 
 import __spark_entry__ as E
+from corpusprep.plans import registry
 from corpusprep.session import table
 
 # These write derived files or run streams while being built; their plans
@@ -11,7 +12,8 @@ from corpusprep.session import table
 SIDE_EFFECTS = {"s3_read_raw_csv", "s4_read_questions", "s5_read_chat_json", "s6_read_prompt_lines",
                 "s9_write_records", "s7_read_tar_shards",
                 "r1_stream_featurise", "r2_stream_windowed_meters"}
-KEYS = sorted(k for k in E.queries() if k not in SIDE_EFFECTS)
+registry.load_all()
+KEYS = sorted(k for k in registry.QUERIES if k not in SIDE_EFFECTS)
 
 
 def _plan(df):
