@@ -27,7 +27,11 @@ from .common import held_out, ids_as_text, ids_back
 EXAMPLES, TERMS = 20_000, 4_096
 #: Rows a term must be in, and how strongly it must go with a label (the G statistic).
 LEAST_ROWS, LEAST_G = 3, 10.8
+#: The share of label 1 among a term's rows must be this many times the usual share, or the usual share this many times it.
+LEAST_LIFT = 2
 NEIGHBOURS, BLOCK, PREFIX = 15, 64, 5
+#: Blocks scored at once, and examples that votes are calibrated on at most.
+STEP, CALIBRATED = 4, 2_000
 CUT = 0.3
 #: Votes whose result a task remembers; bounds memory only.
 REMEMBERED = 50_000
@@ -90,25 +94,32 @@ class Index:
         return at, w / np.sqrt(w @ w)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        """The NEIGHBOURS examples of greatest cosine above 0, best first
-        (ties: the earlier example), exactly."""
+        """The NEIGHBOURS examples of greatest cosine above 0, best first,
+        exactly. Of equal cosines those stay that were scored first."""
         bounds = weights @ self.most[at]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        step = 4  # blocks scored at once
-        for k in range(0, len(order), step):
-            some = order[k:k + step]
-            some = some[bounds[some] > 0]
-            if not len(some) or len(best) == NEIGHBOURS and bounds[some[0]] < best[-1][0] - 1e-9:
+        order = order[:np.count_nonzero(bounds > 0)]
+        best, who = np.zeros(0), np.zeros(0, np.int64)
+        row = np.empty(self.blocks, np.int64)
+        for k in range(0, len(order), STEP):
+            some = order[k:k + STEP]
+            if len(best) == NEIGHBOURS and bounds[some[0]] <= best[-1]:
                 break
             starts, ends = self.place[at][:, some], self.place[at][:, some + 1]
             sizes = (ends - starts).ravel()
             posting = np.repeat(starts.ravel() - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            found, slot = np.unique(self.example[posting], return_inverse=True)
-            scores = np.bincount(slot, np.repeat(np.repeat(weights, len(some)), sizes) * self.weight[posting])
-            best += [(float(s), int(e)) for s, e in zip(scores, found, strict=True) if e != without]
-            best = sorted(best, key=lambda x: (-round(x[0], 9), x[1]))[:NEIGHBOURS]
-        return best
+            found = self.example[posting]
+            row[some] = np.arange(len(some))
+            scores = np.bincount(row[found // BLOCK] * BLOCK + found % BLOCK,
+                                 np.repeat(np.repeat(weights, len(some)), sizes) * self.weight[posting], len(some) * BLOCK)
+            if without >= 0 and without // BLOCK in some:
+                scores[row[without // BLOCK] * BLOCK + without % BLOCK] = 0
+            seen = np.flatnonzero(scores)
+            best = np.concatenate([best, scores[seen]])
+            who = np.concatenate([who, some[seen // BLOCK] * BLOCK + seen % BLOCK])
+            top = np.argsort(-best, kind="stable")[:NEIGHBOURS]
+            best, who = best[top], who[top]
+        return list(zip(best.tolist(), who.tolist(), strict=True))
 
     def share(self, near: list[tuple[float, int]]) -> float:
         """The vote for label 1, each neighbour weighted by one over its distance."""
@@ -116,13 +127,15 @@ class Index:
         return float(w @ self.labels[[e for _, e in near]] / w.sum())
 
     def calibrate(self, empty_labels: list[float]) -> None:
-        """From left-out votes to the share of label 1 among like votes: isotonic
-        regression. Texts without a known term get the share among such examples."""
+        """From left-out votes to the share of label 1 among like votes, by
+        isotonic regression over CALIBRATED examples spread evenly over the
+        index. Texts without a known term get the share among such examples."""
         seen, lists = [], [[] for _ in self.labels]
         for t in range(len(self.place)):
             for p in range(self.place[t, 0], self.place[t, -1]):
                 lists[self.example[p]].append((t, self.weight[p]))
-        for e, x in enumerate(lists):
+        for e in range(0, len(lists), -(-len(lists) // CALIBRATED) or 1):
+            x = lists[e]
             near = self.nearest(np.array([t for t, _ in x]), np.array([w for _, w in x]), e)
             if near:
                 seen.append((self.share(near), self.labels[e]))
@@ -178,7 +191,8 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
     table = (by_term.where(F.col("a") + F.col("b") >= LEAST_ROWS).orderBy(uneven.desc(), "term").limit(2 * TERMS).toPandas()
              if ones and zeros else pd.DataFrame({"term": [], "a": [], "b": []}))
     table["g"] = _g(table["a"], table["b"], ones, zeros) if len(table) else []
-    table = table[table["g"] >= LEAST_G].sort_values(["g", "term"], ascending=[False, True]).head(TERMS)
+    share = (table["a"] + 0.5) / (table["a"] + table["b"] + 1)
+    table = table[(table["g"] >= LEAST_G) & ((share >= LEAST_LIFT * rate) | (LEAST_LIFT * share <= rate))].sort_values(["g", "term"], ascending=[False, True]).head(TERMS)
     vocabulary = table["term"].tolist()
     idf = np.log((1 + ones + zeros) / (1 + table["a"].to_numpy(float) + table["b"].to_numpy(float))) + 1
     at = {t: i for i, t in enumerate(vocabulary)}

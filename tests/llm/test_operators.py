@@ -263,10 +263,12 @@ def test_nearest_is_exact():
         q = rng.random(len(at)) + 0.1
         q /= np.sqrt(q @ q)
         cos = dense[:, at] @ q
-        want = [(round(-c, 9), e) for c, e in zip(cos, range(700), strict=True) if c > 0]
+        want = np.sort(cos[cos > 0])[::-1][:toxicity.NEIGHBOURS]
         got = index.nearest(at, q)
-        assert [e for _, e in got] == [e for _, e in sorted(want)][:toxicity.NEIGHBOURS]
-        assert [s for s, _ in got] == pytest.approx([-c for c, _ in sorted(want)][:toxicity.NEIGHBOURS])
+        assert [x for x, _ in got] == pytest.approx(want.tolist())
+        assert [x for x, _ in got] == pytest.approx([cos[e] for _, e in got]) and len({e for _, e in got}) == len(got)
+        near = index.nearest(at, q, without=got[0][1])
+        assert got[0][1] not in {e for _, e in near}
 
 
 def toxic_table(spark):
