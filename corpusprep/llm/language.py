@@ -9,16 +9,17 @@ by the duality gap of the (concave) likelihood and need no iterations.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, ids_as_text, ids_back
 
-#: Training texts of each language, those whose ids have the smallest hashes.
+#: Training texts of each language, about: those whose ids have small hashes.
 TEXTS_PER_LANGUAGE = 1_000
 #: N-grams are hashed to this many counts (a power of two).
 BUCKETS_LOG2 = 16
@@ -53,10 +54,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     used, ``texts`` of each language. Counts are summed in Spark; the driver
     gets BUCKETS numbers for each language."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = (usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-              .withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= texts).select("id", "lang").distinct())
-    sample = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(picked, ["id", "lang"])
+    rows = {r.lang: r.n for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not rows:
+        return [], np.zeros((BUCKETS, 1), np.float32)
+    # of each language the share of hashes that gives about ``texts`` rows: no language is gathered anywhere
+    share = F.element_at(F.from_json(F.lit(json.dumps({k: min(1.0, texts / n) for k, n in rows.items()})), "map<string, double>"), F.col(lang_col))
+    drawn = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / float(2**53)
+    sample = usable.where(drawn < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
