@@ -20,20 +20,28 @@ def attach_captions(samples: DataFrame, captions: DataFrame, key: str) -> DataFr
 MAX_QUESTIONS = 1024
 
 
-def ask_questions(samples: DataFrame, questions: list[str]) -> DataFrame:
+def ask_questions(samples: DataFrame, questions: list[str], *, most: int = MAX_QUESTIONS) -> DataFrame:
     """Every configured question for every sample, ``(…, q_idx,
-    question)``. The questions are a job parameter (a short list, checked
-    against ``MAX_QUESTIONS``), not a table: each sample row is repeated by
+    question)``. The questions are a job parameter (a short list, at
+    most ``most`` of them), not a table: each sample row is repeated by
     a generator, so the output grows linearly with the samples and no join
     is planned."""
     if not questions:
         raise ValueError("no questions")
-    if len(questions) > MAX_QUESTIONS:
-        raise ValueError(f"{len(questions)} questions > {MAX_QUESTIONS}; join a question table by key instead")
+    if len(questions) > most:
+        raise ValueError(f"{len(questions)} questions, at most {most}: join a question table by key instead")
     qs = F.array(*[F.struct(F.lit(i).alias("q_idx"), F.lit(q).alias("question")) for i, q in enumerate(questions)])
     return samples.withColumn("_q", F.explode(qs)).select("*", "_q.q_idx", "_q.question").drop("_q")
 
 
+def answers_by_sample(answers: DataFrame, key: str, *, order: str = "q_idx", answer: str = "answer") -> DataFrame:
+    """A sample's answers in the order of the questions; samples without
+    one are left out. A row gathers as many answers as questions were asked."""
+    return (answers.where(F.col(answer).isNotNull()).groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct(order, answer))).alias("_a"))
+            .select(key, F.transform("_a", lambda a: a[answer]).alias("answers")))
+
+
 def orphans(samples: DataFrame, captions: DataFrame, key: str) -> DataFrame:
     """Keys present on one side only: ``(side, key)`` with side 'sample'
     (no caption) or 'caption' (no sample). Two anti joins."""

@@ -134,6 +134,8 @@ def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk
     series has at most ``chunk`` of them. Every task sees at most ``chunk``
     rows at every level; the folded chunks are checkpointed once and reused.
     """
+    from itertools import accumulate
+
     import numpy as np
     import pandas as pd
 
@@ -143,34 +145,14 @@ def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk
     d = maps.withColumn("_c", F.floor(F.col(idx) / F.lit(chunk)).cast("long"))
     stype = dict(maps.dtypes)[series]
 
-    # Size check (one number): if every series fits in one chunk, one bounded
-    # fold per series is the whole scan.
-    if (maps.agg(F.max(idx)).first()[0] or 0) < chunk:
-        def single(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(idx)
-            aa, bb = pdf[a].to_numpy(), pdf[b].to_numpy()
-            entering, val = np.empty(len(aa)), 0.0
-            for i in range(len(aa)):
-                entering[i] = val
-                val = aa[i] * val + bb[i]
-            out = pdf[[series, idx, a, b]].copy()
-            out["_in"] = entering
-            return out
-        return maps.select(series, idx, a, b).groupBy(series).applyInPandas(
-            single, f"{series} {stype}, {idx} long, {a} double, {b} double, _in double")
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
-        aa, bb = pdf[a].to_numpy(), pdf[b].to_numpy()
-        q, p = np.empty(len(aa)), np.empty(len(aa))
-        val, prod = 0.0, 1.0
-        for i in range(len(aa)):           # value and product *before* row i
-            q[i], p[i] = val, prod
-            val = aa[i] * val + bb[i]
-            prod = prod * aa[i]
+        maps_ = zip(pdf[a].tolist(), pdf[b].tolist(), strict=True)
+        q = list(accumulate(maps_, lambda v, m: m[0] * v + m[1], initial=0.0))  # values before each row, and after the last
+        p = np.cumprod(np.append(1.0, pdf[a].to_numpy()))
         out = pdf[[series, idx, "_c", a, b]].copy()
-        out["_q"], out["_p"] = q, p
-        out["_ma"], out["_mb"] = prod, val   # the chunk's composed map, on every row
+        out["_q"], out["_p"] = q[:-1], p[:-1]
+        out["_ma"], out["_mb"] = p[-1], q[-1]   # the chunk's composed map, on every row
         return out
 
     schema = f"{series} {stype}, {idx} long, _c long, {a} double, {b} double, _q double, _p double, _ma double, _mb double"
@@ -180,11 +162,8 @@ def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk
     if n_chunks <= chunk:
         def carry(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_c")
-            out, c = np.empty(len(pdf)), 0.0
-            for i, (ca, cb) in enumerate(zip(pdf["_ma"].to_numpy(), pdf["_mb"].to_numpy())):
-                out[i] = c
-                c = ca * c + cb
-            return pd.DataFrame({series: pdf[series].to_numpy(), "_c": pdf["_c"].to_numpy(), "_carry": out})
+            before = accumulate(zip(pdf["_ma"].tolist(), pdf["_mb"].tolist(), strict=True), lambda v, m: m[0] * v + m[1], initial=0.0)
+            return pd.DataFrame({series: pdf[series].to_numpy(), "_c": pdf["_c"].to_numpy(), "_carry": list(before)[:-1]})
         carries = summary.groupBy(series).applyInPandas(carry, f"{series} {stype}, _c long, _carry double")
     else:
         inner = affine_scan(summary.select(series, F.col("_c").alias("_ci"), F.col("_ma").alias("_ca"),
@@ -235,6 +214,7 @@ def evaluate(losses: list[DataFrame], coeffs: dict[str, float]) -> DataFrame:
 
 
 def norm_per_numel(df: DataFrame, group: list[str], vec: str) -> DataFrame:
-    """``||v||_2 / numel`` over all values of each group."""
-    e = explode_rows(df, list(group), vec, out="_v")
-    return e.groupBy(*group).agg((F.sqrt(F.sum(F.col("_v") * F.col("_v"))) / F.count(F.lit(1))).alias("norm"))
+    """``||v||_2 / numel`` over all values of each group: squares are
+    summed within the row, then by a partial aggregate."""
+    squares = F.aggregate(F.col(vec), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    return df.groupBy(*group).agg((F.sqrt(F.sum(squares)) / F.sum(F.size(vec))).alias("norm"))

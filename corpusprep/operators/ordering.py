@@ -8,10 +8,8 @@ None of them puts a whole group or the whole table into one task:
   partition, checkpoints the frame so partition ids and positions are frozen,
   then adds per-(partition, group) offsets computed from a small statistics
   table (a prefix sum over at most ``P`` rows per group).
-* ``top_k_per_group`` cuts every group to k rows on the map side before the
-  exchange (Spark's partial window-group limit, or an explicit (group, salt)
-  pre-selection for large k), so a hot group reaches its window partition
-  already cut.
+* ``top_k_per_group`` cuts every group to k rows within (group, salt) first,
+  so a hot group reaches its own window already cut.
 """
 
 from __future__ import annotations
@@ -23,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-# Offsets tables up to this many rows are broadcast; beyond it they are
+# Offsets tables up to this many bytes are broadcast; beyond it they are
 # joined with a shuffle (never broadcast without a known bound).
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 16 << 20
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -61,8 +59,11 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], *,
                  .drop("_c")
     if not group_by:
         stats = F.broadcast(stats)  # exactly one row per partition: <= n rows
-    elif stats.count() <= BROADCAST_ROWS:
-        stats = F.broadcast(stats)
+    else:
+        stats = checkpoint(stats)  # a row for each partition and group: small next to the data, sized and used
+        width = sum((F.coalesce(F.octet_length(F.col(g).cast("string")), F.lit(0)) for g in group_by), F.lit(64))
+        if (stats.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+            stats = F.broadcast(stats)
     joined = ranged.join(stats, ["_pid", *group_by])
     return joined.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_m0")) \
                  .drop("_pid", "_mid", "_m0", "_off")
@@ -70,25 +71,16 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], *,
 
 def top_k_per_group(df: DataFrame, group_by: Sequence[str],
                     order_by: Sequence[str | Column], k: int, *,
-                    salts: int = 16, salt_key: Column | None = None,
+                    salts: int | None = None, salt_key: Column | None = None,
                     rank_col: str | None = None) -> DataFrame:
     """Keep the first ``k`` rows of every group in ``order_by`` order
     (ties broken by the order key itself, which should be unique).
 
-    For ``k`` up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark
-    plans a partial ``WindowGroupLimit`` on the map side, before the
-    exchange: every task forwards at most ``k`` rows per group, so a hot
-    group reaches its window partition already cut to ``tasks * k`` rows —
-    one shuffle. Beyond the threshold the cut is made explicit in two
-    stages: first within (group, salt), then within the group on at most
-    ``salts * k`` survivors.
-    """
+    Two steps for every ``k``: first within (group, salt), then within the
+    group on what is left, at most ``salts * k`` rows. There are as many salts
+    as shuffle partitions, so a hot group's rows are spread over all of them."""
     order_cols = _cols(order_by)
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k <= threshold:
-        w = Window.partitionBy(*group_by).orderBy(*order_cols)
-        res = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-        return res.withColumnRenamed("_r", rank_col) if rank_col else res.drop("_r")
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Salt only spreads rows; the result does not depend on it (every salt
     # keeps its own top k). Row position spreads even identical rows.
     salt = F.pmod(F.monotonically_increasing_id() if salt_key is None else F.xxhash64(salt_key), F.lit(salts))
@@ -97,6 +89,4 @@ def top_k_per_group(df: DataFrame, group_by: Sequence[str],
     pre = pre.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(*group_by).orderBy(*order_cols)
     res = pre.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k)
-    if rank_col:
-        return res.withColumnRenamed("_r", rank_col)
-    return res.drop("_r")
+    return res.withColumnRenamed("_r", rank_col) if rank_col else res.drop("_r")

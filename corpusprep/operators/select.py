@@ -91,6 +91,46 @@ def top_k_top_p(long: DataFrame, key: str, *, top_k: int = 0, top_p: float = 1.0
     return d
 
 
+def ranked(x: Column) -> Column:
+    """A row's scores as (n, k, x), greatest first, ties by lower index."""
+    return F.sort_array(F.transform(x, lambda v, i: F.struct((-v).alias("n"), i.alias("k"), v.alias("x"))))
+
+
+def top_k_entries(x: Column, k: int) -> Column:
+    """K2 within the row: the k largest scores of an array."""
+    return F.slice(ranked(x), 1, k)
+
+
+def top_k_top_p_entries(x: Column, *, top_k: int = 0, top_p: float = 1.0, min_tokens_to_keep: int = 1) -> Column:
+    """K3 within the row: the entries that ``top_k_top_p`` keeps. Both filters
+    keep a prefix of the ranked scores, so two passes find where it ends."""
+    def cut(r):
+        if top_k <= 0:
+            return r
+        kth = F.get(r, F.least(F.lit(max(top_k, min_tokens_to_keep)), F.size(r)) - 1)["x"]
+        return F.transform(F.array(kth), lambda least: F.filter(r, lambda e: e["x"] >= least))[0]
+
+    def nucleus(r):
+        if top_p >= 1.0:
+            return r
+        top = F.get(r, 0)["x"]
+        protect = min_tokens_to_keep + 1 if min_tokens_to_keep > 1 else 1
+
+        def prefix(mass):
+            start = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"))
+            return F.aggregate(r, start, lambda s, e: F.struct(
+                (s["before"] + F.exp(e["x"] - mass["top"]) / mass["sum"]).alias("before"),
+                (s["n"] + (s["before"] <= F.lit(float(top_p))).cast("int")).alias("n")))["n"]
+
+        def total(t):
+            return F.struct(t.alias("top"), F.aggregate(r, F.lit(0.0), lambda s, e: s + F.exp(e["x"] - t)).alias("sum"))
+        mass = F.transform(F.array(top), total)
+        return F.slice(r, F.lit(1), F.greatest(F.transform(mass, prefix)[0], F.lit(protect)))
+
+    kept = F.transform(F.array(ranked(x)), cut)
+    return F.transform(kept, lambda r: F.when(F.size(r) == 0, r).otherwise(nucleus(r)))[0]
+
+
 def transfer_quota(n: Column, steps: int) -> Column:
     """K4: ``n`` masked tokens over ``steps`` steps: ``n div s`` each, one
     more for the first ``n mod s`` steps."""
@@ -100,22 +140,38 @@ def transfer_quota(n: Column, steps: int) -> Column:
                        + F.when(i < F.pmod(n, F.lit(s)), F.lit(1)).otherwise(F.lit(0)))
 
 
+def confidence(strategy: str, low_confidence: Column, *keys, seed: int = 0, rng: str = "fast") -> Column:
+    """K5: what positions are released by: the chosen token's probability
+    (``low_confidence``) or a uniform draw (``random``)."""
+    strategies = {"low_confidence": lambda: low_confidence, "random": lambda: uniform("release", *keys, seed=seed, rng=rng)}
+    if strategy not in strategies:
+        raise ValueError(f"release strategy {strategy!r} is none of {sorted(strategies)}")
+    return strategies[strategy]()
+
+
+def block_steps(gen_length: int, block_length: int, steps: int) -> int:
+    """K5: steps for each block; the lengths must divide evenly."""
+    if block_length <= 0 or gen_length % block_length:
+        raise ValueError(f"{gen_length} positions are no whole number of blocks of {block_length}")
+    blocks = gen_length // block_length
+    if steps % blocks:
+        raise ValueError(f"{steps} steps cannot be shared by {blocks} blocks")
+    return steps // blocks
+
+
 def release(long: DataFrame, key: str, quota: Column, *, conf: str = "conf",
-            candidate: str = "candidate", pos: str = "pos", skew_safe: bool = False) -> DataFrame:
+            candidate: str = "candidate", pos: str = "pos", block: tuple[int, int] | None = None) -> DataFrame:
     """K5: mark the ``min(quota, candidates)`` highest-confidence candidate
-    positions of each row as released (ties by lower position).
-
-    A sequence is bounded by its generation length, so a window per key is
-    the default; ``skew_safe`` ranks through the grouped dense index instead
-    (for keys that may hold a large share of the rows)."""
-    if skew_safe:
-        from .ordering import dense_index
-        d = long.withColumn("_nc", ~F.col(candidate))
-        d = dense_index(d, ["_nc", F.desc(conf), F.asc(pos)], group_by=[key], out="_r")
-        return d.withColumn("released", F.col(candidate) & (F.col("_r") < quota)).drop("_r", "_nc")
-    w = Window.partitionBy(key).orderBy(F.col(candidate).desc(), F.desc(conf), F.asc(pos))
-    return (long.withColumn("_r", F.row_number().over(w))
-            .withColumn("released", F.col(candidate) & (F.col("_r") <= quota)).drop("_r"))
+    positions of each row as released (ties by lower position). With ``block =
+    (start, end)`` only positions from start up to end are candidates. Ranks
+    come from the grouped dense index: a key may hold any share of the rows."""
+    from .ordering import dense_index
+    able = F.coalesce(F.col(candidate), F.lit(False))
+    if block is not None:
+        able = able & (F.col(pos) >= block[0]) & (F.col(pos) < block[1])
+    d = long.withColumn("_nc", ~able)
+    d = dense_index(d, ["_nc", F.desc(conf), F.asc(pos)], group_by=[key], out="_r")
+    return d.withColumn("released", ~F.col("_nc") & (F.col("_r") < quota)).drop("_r", "_nc")
 
 
 def guidance(cond: Column, uncond: Column, scale: float) -> Column:

@@ -87,9 +87,10 @@ def doc_padded_rows(spark: SparkSession, sf: str, seq_len: int = DOC_LEN) -> Dat
 
 
 def doc_ids(spark: SparkSession, sf: str, max_len: int | None = DOC_LEN) -> DataFrame:
-    """(doc_id, ids): dense id arrays (T5) of the truncated texts."""
-    docs = TK.tokenise(table(spark, sf, "documents").select("doc_id", "text"), "text", max_len=max_len)
-    return TK.encode(docs.select("doc_id", "tokens"), doc_vocab(spark, sf), "doc_id").select("doc_id", "ids")
+    """(doc_id, ids): dense id arrays (T5) of the texts. Documents are dealt by
+    id before they are tokenised, so regrouping their ids needs no exchange."""
+    docs = doc_tokens(spark, sf, max_len, cluster_by_id=True).withColumnRenamed("_toks", "tokens")
+    return TK.encode(docs, doc_vocab(spark, sf), "doc_id").select("doc_id", "ids")
 
 
 def DOC_SQL(max_len: int | None = DOC_LEN) -> str:

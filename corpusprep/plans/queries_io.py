@@ -104,6 +104,36 @@ def s11_report_rows(spark, sf):
     return r.select("host", F.col("page_id").cast("bigint"), "fragment")
 
 
+_FRAGMENT = (f"'<div><h4>Prompt</h4><p>' || {_esc_sql('url')} || '</p><h4>Response</h4><p>' || "
+             f"""{_esc_sql("coalesce(html, '')")} || '</p></div>'""")
+
+
+@register("s11_reports", f"""
+SELECT host, CAST(count(*) AS BIGINT) AS n, string_agg(fragment, '' ORDER BY page_id) AS report
+FROM (SELECT regexp_extract(url, '{HOST_RE}', 1) || '/' || (page_id // 8) AS host, page_id, {_FRAGMENT} AS fragment FROM pages) f GROUP BY host
+""")
+def s11_reports(spark, sf):
+    """One report for each host and run of eight pages."""
+    host = F.concat(F.regexp_extract("url", HOST_RE, 1), F.lit("/"), F.floor(F.col("page_id") / 8).cast("string"))
+    rows = FS.report_rows(table(spark, sf, "pages").withColumn("host", host), "host", "page_id", "url", "html")
+    return FS.reports(rows, "host", "page_id")
+
+
+@register("j1_answers", """
+WITH q AS (SELECT * FROM (VALUES (0, 'quality'), (1, 'toxic')) v(q_idx, question)),
+a AS (SELECT l.doc_id, q.q_idx, CASE q.question WHEN 'quality' THEN l.quality ELSE nullif(l.toxic, 0) END AS answer FROM labels l, q)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, string_agg(CAST(answer AS VARCHAR), ',' ORDER BY q_idx) AS answers
+FROM a WHERE answer IS NOT NULL GROUP BY doc_id
+""")
+def j1_answers(spark, sf):
+    """Two questions for every labelled document; answers regrouped, those without any left out."""
+    from ..operators.joins import answers_by_sample, ask_questions
+    asked = ask_questions(table(spark, sf, "labels"), ["quality", "toxic"])
+    answer = F.when(F.col("question") == "quality", F.col("quality")).otherwise(F.nullif(F.col("toxic"), F.lit(0)))
+    got = answers_by_sample(asked.withColumn("answer", answer.cast("string")), "doc_id")
+    return got.select(F.col("doc_id").cast("bigint"), F.array_join("answers", ",").alias("answers"))
+
+
 # ---------------------------------------------------------------- J7 ----
 @register("j7_caption_join", """
 SELECT CAST(d.doc_id AS BIGINT) AS doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic
@@ -140,12 +170,43 @@ SELECT CAST(step AS BIGINT) AS step, 'chat' AS source, CAST(step % nc AS BIGINT)
 """
 
 
-@register("b7_combined_loader", B7_SQL)
-def b7_combined_loader(spark, sf, rng="portable"):
+_NB = B7_SQL[:B7_SQL.index("steps AS")].rstrip().rstrip(",")
+
+
+def _b7(spark, sf, mode, rng):
     docs = B.batch_id(B.shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id", rng=rng), 8)
     chats = B.batch_id(B.shuffle(table(spark, sf, "conversations").select("conv_id").distinct(), "conv_id",
                                  rng=rng), 8)
-    out = B.combine(docs.select("batch_id").distinct(), {"chat": chats.select("batch_id").distinct()},
-                    mode="max_size_cycle")
+    out = B.combine(docs.select("batch_id").distinct(), {"chat": chats.select("batch_id").distinct()}, mode=mode)
     return out.select(F.col("step").cast("bigint"), "source", F.col("batch_id").cast("bigint"))
 
+
+@register("b7_combined_loader", B7_SQL)
+def b7_combined_loader(spark, sf, rng="portable"):
+    return _b7(spark, sf, "max_size_cycle", rng)
+
+
+@register("b7_min_size", f"""{_NB},
+steps AS (SELECT unnest(range(least(nd, nc))) AS step FROM nb)
+SELECT CAST(step AS BIGINT) AS step, s.source, CAST(step AS BIGINT) AS batch_id
+FROM steps, (VALUES ('primary'), ('chat')) s(source)
+""")
+def b7_min_size(spark, sf, rng="portable"):
+    return _b7(spark, sf, "min_size", rng)
+
+
+@register("b7_sequential", f"""{_NB}
+SELECT CAST(i AS BIGINT) AS step, 'primary' AS source, CAST(i AS BIGINT) AS batch_id FROM (SELECT unnest(range(nd)) AS i FROM nb)
+UNION ALL
+SELECT CAST(nd + i AS BIGINT) AS step, 'chat' AS source, CAST(i AS BIGINT) AS batch_id FROM (SELECT nd, unnest(range(nc)) AS i FROM nb)
+""")
+def b7_sequential(spark, sf, rng="portable"):
+    return _b7(spark, sf, "sequential", rng)
+
+
+@register("b7_updates_per_epoch", f"""{_NB}
+SELECT CAST(nd + nc AS BIGINT) AS batches, CAST(ceil((nd + nc) / 4.0) AS BIGINT) AS updates FROM nb
+""")
+def b7_updates_per_epoch(spark, sf, rng="portable"):
+    steps = _b7(spark, sf, "sequential", rng).agg(F.count(F.lit(1)).alias("batches"))
+    return steps.select("batches", B.updates_per_epoch(F.col("batches"), 4).cast("bigint").alias("updates"))

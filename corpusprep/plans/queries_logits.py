@@ -80,8 +80,8 @@ SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(k AS BIGINT) AS k, round(x, 6) AS
 def k2_top_k(spark, sf):
     import math
     kk = math.ceil((1 - 0.9) * V)
-    t = K.top_k_rows(K.explode_scores(I.logits(spark, sf), "vec_id"), "vec_id", kk)
-    return t.select(F.col("vec_id").cast("bigint"), F.col("k").cast("bigint"), R6(F.col("x")).alias("x"))
+    t = I.logits(spark, sf).select("vec_id", F.explode(K.top_k_entries(F.col("logits"), kk)).alias("e"))
+    return t.select(F.col("vec_id").cast("bigint"), F.col("e.k").cast("bigint").alias("k"), R6(F.col("e.x")).alias("x"))
 
 
 # ------------------------------------------------------------ K3 ----
@@ -104,9 +104,9 @@ FROM c WHERE rn2 = 1 OR NOT (before > 0.5)
 
 @register("k3_top_k_top_p", K3_SQL)
 def k3_top_k_top_p(spark, sf):
-    t = K.top_k_top_p(K.explode_scores(I.logits(spark, sf), "vec_id"), "vec_id", top_k=10, top_p=0.5,
-                      vocab_size=V)
-    return t.select(F.col("vec_id").cast("bigint"), F.col("k").cast("bigint"), R6(F.col("x")).alias("x"))
+    kept = K.top_k_top_p_entries(F.col("logits"), top_k=10, top_p=0.5)
+    t = I.logits(spark, sf).select("vec_id", F.explode(kept).alias("e"))
+    return t.select(F.col("vec_id").cast("bigint"), F.col("e.k").cast("bigint").alias("k"), R6(F.col("e.x")).alias("x"))
 
 
 # ------------------------------------------------------------ N8 ----
@@ -174,11 +174,29 @@ def k5_release_step(spark, sf, rng="portable"):
     # candidate counts are a partial aggregate, ranking the skew-safe index
     n = d.groupBy("label").agg(F.sum(F.col("candidate").cast("int")).alias("_n"))
     d = d.join(n, "label").withColumn("quota", F.get(K.transfer_quota(F.col("_n"), 4), 0))
-    r = K.release(d, "label", F.col("quota"), pos="vec_id", skew_safe=True)
+    r = K.release(d, "label", F.col("quota"), pos="vec_id")
     return r.select(F.col("label").cast("bigint"), F.col("vec_id").cast("bigint"), F.col("x0").cast("bigint"),
                     "released")
 
 
+K5_BLOCK = (100, 300)
+
+
+@register("k5_release_random_block", f"""
+WITH {SOFTMAX_SQL},
+c AS (SELECT label, vec_id, {Q.u('release', 'vec_id')} AS conf,
+      {Q.u('masked', 'vec_id')} < 0.5 AND vec_id >= {K5_BLOCK[0]} AND vec_id < {K5_BLOCK[1]} AS cand FROM prob),
+q AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cand DESC, conf DESC, vec_id) AS rk FROM c)
+SELECT CAST(label AS BIGINT) AS label, CAST(vec_id AS BIGINT) AS vec_id, cand AND rk <= 3 AS released FROM q
+""")
+def k5_release_random_block(spark, sf, rng="portable"):
+    """The random strategy within one block of positions."""
+    d = (_probs(spark, sf).withColumn("conf", K.confidence("random", F.lit(0.0), "vec_id", rng=rng))
+         .withColumn("candidate", uniform("masked", "vec_id", rng=rng) < 0.5))
+    r = K.release(d, "label", F.lit(3), pos="vec_id", block=K5_BLOCK)
+    return r.select(F.col("label").cast("bigint"), F.col("vec_id").cast("bigint"), "released")
+
+
 # ---------------------------------------------------- bucket metrics ----
 def _masked(spark, sf, rng="portable"):
     """Positions with their sample (label), mask flag and sample bucket.

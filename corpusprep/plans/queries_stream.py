@@ -35,11 +35,28 @@ def r1_stream_featurise(spark, sf, rng="portable"):
                       F.col("answer_len").cast("bigint"))
 
 
+@register("r3_stream_resume", N4_SQL)
+def r3_stream_resume(spark, sf, rng="portable"):
+    """The featurisation stream stopped after half the shards and started
+    again on its checkpoint: every row once."""
+    docs, half = table(spark, sf, "documents"), F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    src, out, ckpt = scratch_path(spark, "r3-in"), scratch_path(spark, "r3-out"), scratch_path(spark, "r3-ckpt")
+    vocab = I.doc_vocab(spark, sf)
+    for part in (0, 1):
+        docs.where(half == part).write.mode("append").parquet(src)
+        R.start_featurise(spark, src, vocab, out, ckpt, seq_len=LM_LEN, max_len=I.DOC_LEN, rng=rng).awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"), F.col("token_id").cast("bigint"),
+                      F.col("noisy_id").cast("bigint"), F.round("p_mask", 6).alias("p_mask"),
+                      F.col("answer_len").cast("bigint"))
+
+
 R2_SQL = """
 SELECT event_type AS series, CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start,
        CAST(count(*) AS BIGINT) AS n, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE), 6) AS sum, round(CAST(sum(CAST(value AS DECIMAL(38,12))) AS DOUBLE) / count(*), 6) AS avg,
        round(last(value ORDER BY ts, event_id), 6) AS last
 FROM events GROUP BY 1, 2
+HAVING min(time_bucket(INTERVAL '1 hour', ts)) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'
 """
 
 

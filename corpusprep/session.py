@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.local.dir", os.path.join(scratch, "local"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
+        .config(SPREAD, str(2 * (int(cpus) if str(cpus).isdigit() else os.cpu_count() or 1)))
         .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
@@ -101,27 +102,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _row_groups(path: str) -> int | None:
-    """Row-group count from the Parquet footer (local files), else None."""
-    try:
-        import pyarrow.parquet as pq
-        return pq.ParquetFile(path).metadata.num_row_groups
-    except Exception:  # remote path or not a single file: leave the scan as is
-        return None
+#: Session setting: partitions that ``table`` deals a fixture to (unset: none).
+SPREAD = "spark.corpusprep.spread"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One fixture table (`<sf_dir>/<name>.parquet`).
-
-    A Parquet scan cannot split a row group, and the fixture files hold a
-    single one; such a table is spread round-robin over the cores right
-    after the scan (projections and filters are still pushed below it) so
-    row-local work does not run in one task. Real shard sets have many row
-    groups and are read with ``sources.shards.read_shards`` unchanged."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    groups = _row_groups(path)
-    par = spark.sparkContext.defaultParallelism
-    if groups is not None and groups < par:
-        df = df.repartition(2 * par)
-    return df
+    """One fixture table (`<sf_dir>/<name>.parquet`), read as it lies.
+
+    The small fixtures are single row groups, which a scan cannot split; a
+    local session (tests, bench) sets SPREAD to deal their rows to its cores."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    spread = int(spark.conf.get(SPREAD, "0"))
+    return df.repartition(spread) if spread else df

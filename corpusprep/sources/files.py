@@ -24,12 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
 
 
-def read_raw_csv(spark: SparkSession, path: str, *, header: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, *, header: bool = True, multi_line: bool = True) -> DataFrame:
     """S3: raw molecule records ``(cid, smiles, Description)``; malformed
-    lines kept in ``_corrupt_record`` (quarantined by the caller, C6)."""
+    lines kept in ``_corrupt_record`` (quarantined by the caller, C6). Files
+    without line breaks inside quotes can be split with ``multi_line=False``."""
     return (spark.read.schema(RAW_MOLECULE_SCHEMA).option("header", header)
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("multiLine", True).option("escape", '"').csv(path))
+            .option("multiLine", multi_line).option("escape", '"').csv(path))
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +65,13 @@ def report_rows(df: DataFrame, group: str, order: str, prompt: str, response: st
     return df.select(group, order, frag.alias("fragment"))
 
 
+def reports(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """One report per group ``(group, n, report)``, its fragments in
+    order. For groups that fit a row; ``write_report`` has no such bound."""
+    return (rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, "fragment"))).alias("_f"))
+            .select(group, F.size("_f").cast("bigint").alias("n"), F.array_join(F.transform("_f", lambda f: f["fragment"]), "").alias("report")))
+
+
 def write_report(rows: DataFrame, path: str, group: str, order: str) -> None:
     """S11 sink: one folder per group, fragments written in order; the data
     is range-partitioned, never collected."""

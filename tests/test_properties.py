@@ -124,13 +124,38 @@ def test_exact_count_mask_array_equals_window(spark):
     assert got == {(r["k"], r["pos"]) for r in win.collect()}
 
 
-def test_release_skew_safe_equals_window(spark):
+def test_release_takes_the_most_confident(spark):
     rows = [(k % 3, k, float((k * 37) % 11), (k * 7) % 5 != 0) for k in range(300)]
     df = spark.createDataFrame(rows, "seq int, pos int, conf double, candidate boolean")
-    q = F.lit(17)
-    a = {(r["seq"], r["pos"]) for r in S.release(df, "seq", q).where("released").collect()}
-    b = {(r["seq"], r["pos"]) for r in S.release(df, "seq", q, skew_safe=True).where("released").collect()}
-    assert a == b and len(a) == 3 * 17
+    for block in (None, (30, 120)):
+        got = {(r["seq"], r["pos"]) for r in S.release(df, "seq", F.lit(17), block=block).where("released").collect()}
+        able = [r for r in rows if r[3] and (block is None or block[0] <= r[1] < block[1])]
+        want = {(r[0], r[1]) for s in range(3) for r in sorted((r for r in able if r[0] == s), key=lambda r: (-r[2], r[1]))[:17]}
+        assert got == want and len(got) == 3 * 17
+
+
+def test_release_guards(spark):
+    import pytest
+    assert S.block_steps(64, 16, 8) == 2
+    for bad in ((60, 16, 8), (64, 16, 6), (64, 0, 8)):
+        with pytest.raises(ValueError):
+            S.block_steps(*bad)
+    with pytest.raises(ValueError):
+        S.confidence("entropy", F.lit(0.0), "pos")
+    drawn = spark.range(5).select(S.confidence("random", F.lit(0.0), "id").alias("c")).collect()
+    assert len({r.c for r in drawn}) == 5
+
+
+def test_entries_equal_the_long_form(spark):
+    rows = [(i, [float((i * 7 + k * 13) % 17) for k in range(n)]) for i, n in enumerate((0, 1, 5, 40))]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    long = S.explode_scores(df, "id", "v")
+    for kw in ({"top_k": 3}, {"top_p": 0.4}, {"top_k": 9, "top_p": 0.6, "min_tokens_to_keep": 3}, {"top_k": 100}):
+        a = {(r.id, r.k) for r in S.top_k_top_p(long, "id", **kw).collect()}
+        b = {(r.id, r.e.k) for r in df.select("id", F.explode(S.top_k_top_p_entries(F.col("v"), **kw)).alias("e")).collect()}
+        assert a == b
+    a = {(r.id, r.k) for r in S.top_k_rows(long, "id", 4).collect()}
+    assert a == {(r.id, r.e.k) for r in df.select("id", F.explode(S.top_k_entries(F.col("v"), 4)).alias("e")).collect()}
 
 
 def test_quota_sums(spark):
