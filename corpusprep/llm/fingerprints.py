@@ -81,11 +81,12 @@ def peel(cells: Column, width: Column) -> Column:
             left = let(placed, lambda ps: F.transform(s["cells"], lambda c, i: F.aggregate(
                 F.filter(ps, lambda p: F.array_contains(p["at"], i)), c, lambda t, p: _cell(
                     t["n"] - p["n"], t["x"].bitwiseXOR(p["x"]), t["c"].bitwiseXOR(p["c"])))))
-            return F.when(F.size(got) == 0, s).otherwise(F.struct(left.alias("cells"), F.concat(s["items"], got).alias("items")))
+            more = F.struct(left.alias("cells"), F.concat(s["items"], got).alias("items"), F.lit(False).alias("stuck"))
+            return F.when(F.size(got) == 0, F.struct(s["cells"].alias("cells"), s["items"].alias("items"), F.lit(True).alias("stuck"))).otherwise(more)
 
-        return let(items, without)
+        return F.when(s["stuck"], s).otherwise(let(items, without))
 
-    start = F.struct(cells.alias("cells"), none.alias("items"))
+    start = F.struct(cells.alias("cells"), none.alias("items"), F.lit(False).alias("stuck"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
     return let(done, lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0)).alias("ok"), s["items"].alias("items")))
 
