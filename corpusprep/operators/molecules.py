@@ -122,6 +122,13 @@ def _number_of(symbol: Column) -> Column:
     return F.coalesce(F.try_element_at(table, symbol), F.when(symbol.rlike("^[0-9]+$"), symbol.try_cast("int")), F.lit(0))
 
 
+def fit_matrix(m: Column, rows: int, cols: int) -> Column:
+    """M8: a matrix cropped to both limits and padded with zeros to them (NULL or empty: zeros)."""
+    line = F.sequence(F.lit(0), F.lit(cols - 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.transform(F.array(F.get(m, i)), lambda r: F.transform(
+        line, lambda j: F.coalesce(F.get(r, j).cast("double"), F.lit(0.0))))[0])
+
+
 def to_json_record(df: DataFrame, cols: list[str]) -> DataFrame:
     """M3: serialise array columns to JSON strings (``<col>_str``)."""
     out = df
@@ -139,6 +146,6 @@ def parse_record(df: DataFrame, *, with_matrices: bool = False) -> DataFrame:
            .withColumn("coordinates", F.from_json(F.col("coordinates_str"), "array<array<double>>")))
     if with_matrices:
         for c, t in (("edge_type", "array<array<int>>"), ("bond_type", "array<array<int>>"),
-                     ("dist", "array<array<double>>")):
+                     ("dist", "array<array<double>>"), ("rdmol2selfies", "array<array<double>>")):
             out = out.withColumn(c, F.from_json(F.col(f"{c}_str"), t))
     return out

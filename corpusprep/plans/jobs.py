@@ -80,41 +80,52 @@ def convert_molecules(atoms: DataFrame, bonds: DataFrame | None = None, *, descr
 
 
 def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: int = 256,
-                           max_selfies_len: int = 256, timesteps: int = 1000, schedule: str = "cosine",
+                           max_selfies_len: int = 256, max_text_len: int = 256, with_matrices: bool = False,
+                           timesteps: int = 1000, schedule: str = "cosine",
                            batch_size: int = 2, seed: int = 0, rng: str = "fast") -> DataFrame:
     """Converted molecule records -> one training row per molecule.
 
-    C1 (SELFIES present) -> M2 parse + C2 gate -> T2 SELFIES tokens, T5 ids
-    and the N2 timestep mask in long form (broadcast vocabulary and schedule)
-    -> regrouped per molecule (bounded by ``max_selfies_len``) -> M1 atom
-    numbers, M7 padding -> I1 shuffle -> B4 batch. The ungrouped work is
-    row-local; the shuffles are the per-molecule regroup and the shuffle index.
+    C1 (SELFIES present) -> M2 parse + C2 gate -> T2 SELFIES and T1 text
+    tokens, T5 ids and the N2 timestep mask in long form (broadcast vocabulary
+    and schedule) -> regrouped per molecule (bounded by ``max_selfies_len +
+    max_text_len``) -> M7 padding -> I1 shuffle -> B4 batch. Atom numbers and
+    matrices (``with_matrices``: edge, bond and distance N x N, the SELFIES map
+    N x L, padded or cropped) are row-local; the shuffles are the regroup, the
+    join of its result to the features, and the shuffle index.
     """
     from ..functions import arrays as AR
+    from ..functions import text as T
     from ..operators import masking as N
     from ..operators import tokens as TK
 
     recs = C.drop_empty(records, "selfies_string")
-    parsed = M.parse_record(recs).withColumn("reason", C.validity(F.col("atom_vec"), F.col("coordinates"),
+    parsed = M.parse_record(recs, with_matrices=with_matrices).withColumn("reason", C.validity(F.col("atom_vec"), F.col("coordinates"),
                                                                   max_atoms))
     ok = parsed.where(F.col("reason") == "ok").select(
-        F.col("id"), "selfies_string", "atom_vec", "coordinates")
-    toks = TK.tokenise_selfies(ok.select("id", "selfies_string"), "selfies_string", max_len=max_selfies_len)
-    rows = TK.encode_long(AR.explode_rows(toks, ["id"], "tokens", out="token"), vocab, "token", "token_id")
+        F.col("id"), "selfies_string", "text_description", "atom_vec", "coordinates",
+        *(["edge_type", "bond_type", "dist", "rdmol2selfies"] if with_matrices else []))
+    named = lambda toks, sel: F.transform(toks, lambda t: F.struct(F.lit(sel).alias("sel"), t.alias("token")))
+    both = F.concat(named(F.slice(T.selfies_tokens(F.col("selfies_string")), 1, max_selfies_len), True),
+                    named(F.slice(T.tokens(F.coalesce(F.col("text_description"), F.lit(""))), 1, max_text_len), False))
+    rows = AR.explode_rows(ok.select("id", both.alias("_t")), ["id"], "_t", out="_e").select("id", "pos", "_e.sel", "_e.token")
+    rows = TK.encode_long(rows, vocab, "token", "token_id")
     masked = N.timestep_mask(rows, "id", timesteps=timesteps, schedule=schedule, seed=seed, rng=rng)
     seqs = masked.groupBy("id").agg(
         F.first("t").alias("timestep"),
-        F.array_sort(F.collect_list(F.struct("pos", "input_id", "label"))).alias("_s"))
+        F.array_sort(F.collect_list(F.struct("pos", "sel", "input_id", "label", "token_id"))).alias("_all"))
+    seqs = seqs.withColumn("_s", F.filter("_all", lambda s: s["sel"])).withColumn("_w", F.filter("_all", lambda s: ~s["sel"]))
     seqs = seqs.select("id", "timestep",
+                       F.transform("_w", lambda s: s["token_id"]).alias("text_input_ids"),
+                       F.array_repeat(F.lit(1), F.size("_w")).alias("text_attention_mask"),
                        F.transform("_s", lambda s: s["input_id"]).alias("selfies_input_ids"),
                        F.transform("_s", lambda s: s["label"]).alias("true_selfies_labels"),
                        F.array_repeat(F.lit(1), F.size("_s")).alias("selfies_attention_mask"))
-    z = M.atom_numbers(AR.explode_rows(ok, ["id"], "atom_vec", pos="atom_idx", out="symbol"))
-    zarr = z.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "atomic_num"))).alias("_z"))
-    feats = ok.select("id", "coordinates").join(zarr, "id").withColumn(
-        "atom_ids", F.transform("_z", lambda s: s["atomic_num"]))
+    feats = ok.withColumn("atom_ids", F.transform("atom_vec", M._number_of))
     ids, xyz, mask = M.pad_atoms(F.col("atom_ids"), F.col("coordinates"), max_atoms)
-    feats = feats.select("id", ids.alias("atom_vec"), xyz.alias("coordinates"), mask.alias("atoms_mask"))
+    square = [M.fit_matrix(F.col(c), max_atoms, max_atoms).alias(c) for c in ("edge_type", "bond_type", "dist")]
+    wide = [M.fit_matrix(F.col("rdmol2selfies"), max_atoms, max_selfies_len).alias("rdmol2selfies")]
+    feats = feats.select("id", ids.alias("atom_vec"), xyz.alias("coordinates"), mask.alias("atoms_mask"),
+                         *(square + wide if with_matrices else []))
     samples = seqs.join(feats, "id")
     order = B.batch_id(B.shuffle(samples.select("id"), "id", seed=seed, rng=rng), batch_size)
     return samples.join(order.select("id", "idx", "batch_id"), "id")

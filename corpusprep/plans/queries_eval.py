@@ -168,11 +168,14 @@ seqs AS (SELECT id, any_value(t) AS timestep,
          list(CASE WHEN m THEN {K.MASK_ID} ELSE token_id END ORDER BY pos) AS ids,
          list(CASE WHEN m THEN token_id ELSE {K.IGNORE_ID} END ORDER BY pos) AS labels FROM mk GROUP BY id),
 av AS (SELECT id, list(zn ORDER BY atom_idx) AS v FROM z GROUP BY id),
-ord AS (SELECT id, row_number() OVER (ORDER BY {Q.u('shuffle', 'id')}, id) - 1 AS idx FROM av)
-SELECT s.id, CAST(o.idx AS BIGINT) AS idx, CAST(o.idx // 2 AS BIGINT) AS batch_id, CAST(s.timestep AS BIGINT) AS timestep,
+ord AS (SELECT id, row_number() OVER (ORDER BY {Q.u('shuffle', 'id')}, id) - 1 AS idx FROM av),
+txt AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, {Q.tokens('o_orderpriority')} AS toks FROM orders),
+txi AS (SELECT x.id, list(coalesce(v2.id, {K.UNK_ID}) ORDER BY x.i) AS ids
+        FROM (SELECT id, unnest(toks) AS token, unnest(range(len(toks))) AS i FROM txt) x LEFT JOIN v2 ON x.token = v2.token GROUP BY x.id)
+SELECT array_to_string(coalesce(x.ids, []), ',') AS text_ids, s.id, CAST(o.idx AS BIGINT) AS idx, CAST(o.idx // 2 AS BIGINT) AS batch_id, CAST(s.timestep AS BIGINT) AS timestep,
        array_to_string(s.ids, ',') AS ids, array_to_string(s.labels, ',') AS labels,
        array_to_string(list_concat(a.v, list_transform(range({I.MAX_ATOMS} - len(a.v)), lambda q: 0)), ',') AS atom_vec
-FROM seqs s JOIN av a ON s.id = a.id JOIN ord o ON s.id = o.id
+FROM seqs s JOIN av a ON s.id = a.id JOIN ord o ON s.id = o.id LEFT JOIN txi x ON s.id = x.id
 """
 
 
@@ -188,7 +191,8 @@ def e2_molecule_feed(spark, sf, rng="portable"):
                             ["id"], "tokens", out="token")
     vocab = base.unionByName(TK.extend_vocab(base, alpha))
     feed = molecule_training_feed(records, vocab, max_atoms=I.MAX_ATOMS, max_selfies_len=64, rng=rng)
-    return feed.select("id", F.col("idx").cast("bigint"), F.col("batch_id").cast("bigint"),
+    return feed.select("id", F.array_join(F.transform("text_input_ids", lambda v: v.cast("string")), ",").alias("text_ids"),
+                       F.col("idx").cast("bigint"), F.col("batch_id").cast("bigint"),
                        F.col("timestep").cast("bigint"),
                        F.array_join(F.transform("selfies_input_ids", lambda v: v.cast("string")), ",").alias("ids"),
                        F.array_join(F.transform("true_selfies_labels", lambda v: v.cast("string")), ",").alias("labels"),

@@ -271,3 +271,10 @@ def test_molecules_over_the_gate(spark):
     edges = M.bond_edges(M.chain_bonds(atoms.where("mol <> 1")))
     dense = {r.mol: r.bond_type for r in M.densify(edges, "bond_type", 3, molecules=atoms.where("mol <> 1").select("mol")).collect()}
     assert dense == {2: [[0, 0, 0]] * 3, 3: [[0, 1, 0], [1, 0, 2], [0, 2, 0]]}
+
+
+def test_matrices_fit_both_limits(spark):
+    df = spark.createDataFrame([([[1, 2, 3], [4, 5, 6]],), ([],), (None,)], "m array<array<int>>")
+    got = [r[0] for r in df.select(M.fit_matrix(F.col("m"), 3, 2)).collect()]
+    assert got == [[[1, 2], [4, 5], [0, 0]], [[0, 0]] * 3, [[0, 0]] * 3]
+    assert df.select(M.fit_matrix(F.col("m"), 1, 4)).first()[0] == [[1, 2, 3, 0]]
