@@ -25,7 +25,7 @@ from .ranges import _type, range_count, range_of, splitters
 PIECE = 128
 HASHES = 3
 #: Cells for each of the three hashes: of a fingerprint, and of a block's attempts.
-WIDTH, RETRIES = 8, (8, 16, 32, 64, 128)
+WIDTH, RETRIES = 4, (8, 16, 32, 64, 128)
 #: Digests that a block gets on average, rounds of peeling.
 BLOCK, ROUNDS = 8, 10
 
