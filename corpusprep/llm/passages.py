@@ -359,3 +359,23 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = passages(docs, id_col=id_col, text_col=text_col, keep_text=True)
     new = {text_col: F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+#: DuckDB SQL for the digests of `documents`.
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n,
+           coalesce(doc_id, {LAST}) AS o FROM documents),
+s AS (SELECT r, o, unnest(range(0, n - {LENGTH - 1})) AS i,
+      unnest(list_transform(range(0, n - {LENGTH - 1}), lambda i: b[i + 1:i + {LENGTH}])) AS s FROM d WHERE n >= {LENGTH}),
+f AS (SELECT s, min(o) AS o FROM s GROUP BY s),
+l AS (SELECT s.r, s.i FROM s JOIN f ON s.s = f.s WHERE f.o < s.o),
+g AS (SELECT r, i, CASE WHEN i > lag(i) OVER w + {LENGTH} OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
+u AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
+x AS (SELECT r, k, min(i) AS a, max(i) + {LENGTH} AS e FROM u GROUP BY r, k),
+t AS (SELECT r, sum(e - a) AS gone, count(*) AS spans FROM x GROUP BY r),
+c AS (SELECT r, k, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY k) AS a, a AS e FROM x
+      UNION ALL SELECT x.r, max(x.k) + 1, max(x.e), any_value(d.n) FROM x JOIN d ON x.r = d.r GROUP BY x.r),
+k AS (SELECT c.r, string_agg(hex(d.b[c.a + 1:c.e]), '' ORDER BY c.k) AS h FROM c JOIN d ON c.r = d.r WHERE c.e > c.a GROUP BY c.r)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(t.gone, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN t.r IS NULL THEN d.b ELSE unhex(coalesce(k.h, '')) END) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r LEFT JOIN k ON d.r = k.r"""

@@ -67,6 +67,9 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+ORACLES["op8_passages"] = passages.ORACLE
+
+
 @query
 def op9_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -516,10 +516,13 @@ def test_words_rule(spark, edge_rows):
         assert r.w == WORD.findall(r.text or "")
 
 
-def test_oracle_of_the_mix(spark, smoke_dir):
+@pytest.mark.parametrize("key", ["op1_mix_sources", "op8_passages"])
+def test_oracles(spark, smoke_dir, key):
     from corpusprep.llm.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{smoke_dir}/documents.parquet'")
-    got = QUERIES["op1_mix_sources"](spark, smoke_dir).collect()
-    assert Counter(tuple(r) for r in got) == Counter(con.execute(ORACLES["op1_mix_sources"]).fetchall())
+    got = QUERIES[key](spark, smoke_dir)
+    want = con.execute(ORACLES[key])
+    assert got.columns == [c[0] for c in want.description]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
