@@ -24,7 +24,7 @@ from ..session import checkpoint
 from .common import held_out, ids_as_text, ids_back
 
 #: Labelled examples at most (smallest id hashes) and terms at most: bounds on the index, which is broadcast.
-EXAMPLES, TERMS = 20_000, 4_096
+EXAMPLES, TERMS = 8_000, 4_096
 #: Rows a term must be in, and how strongly it must go with a label (the G statistic).
 LEAST_ROWS, LEAST_G = 3, 10.8
 #: The share of label 1 among a term's rows must be this many times the usual share, or the usual share this many times it.
@@ -176,10 +176,16 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[tuple] = []
             for doc_id, y, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
-                found = terms(text or "")
-                yield pd.DataFrame({"doc_id": doc_id, "label": y, "term": ["", *found], "n": [1, *found.values()]})
-
+                out.append((doc_id, y, "", 1))
+                out += [(doc_id, y, t, n) for t, n in terms(text or "").items()]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
+
+    columns = ["doc_id", "label", "term", "n"]
     rows = checkpoint(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
                       .mapInPandas(count, "doc_id long, label int, term string, n long"))
     sizes = {r.label: r["count"] for r in rows.where("term = ''").groupBy("label").count().collect()}
@@ -197,16 +203,18 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
     idf = np.log((1 + ones + zeros) / (1 + table["a"].to_numpy(float) + table["b"].to_numpy(float))) + 1
     at = {t: i for i, t in enumerate(vocabulary)}
     wanted = docs.sparkSession.createDataFrame([(t,) for t in ["", *vocabulary]], "term string")
-    entries = rows.join(F.broadcast(wanted), "term").orderBy("doc_id", "label", "term").toPandas()
+    own: dict[tuple[int, int], dict[int, float]] = {}
+    for r in rows.join(F.broadcast(wanted), "term").select("doc_id", "label", "term", "n").distinct().orderBy("doc_id", "label", "term").toPandas().itertuples(index=False):
+        known = own.setdefault((r.doc_id, r.label), {})
+        if r.term:
+            known[at[r.term]] = (1 + np.log(r.n)) * idf[at[r.term]]
     vectors, ys, ids, empty = [], [], [], []
-    for (doc_id, y), own in entries.groupby(["doc_id", "label"], sort=True):
-        known = own[own["term"] != ""].drop_duplicates("term")
-        if not len(known):
+    for (doc_id, y), known in own.items():
+        if not known:
             empty.append(float(y))
             continue
-        t = known["term"].map(at).to_numpy()
-        w = (1 + np.log(known["n"].to_numpy(float))) * idf[t]
-        vectors.append(dict(zip(t.tolist(), (w / np.sqrt(w @ w)).tolist(), strict=True)))
+        length = np.sqrt(sum(w * w for w in known.values()))
+        vectors.append({t: w / length for t, w in known.items()})
         ys.append(float(y))
         ids.append(doc_id)
     index = Index(vocabulary, idf, vectors, np.array(ys), np.array(ids, dtype=np.int64))
