@@ -16,18 +16,19 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import ids_as_text, ids_back
+from .common import slices
 
 #: The rank file; a path that the driver can read.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces whose ids a task remembers before it starts anew; bounds memory only.
 CACHED_PIECES = 200_000
-RESULT = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -229,20 +230,22 @@ def encode(docs: DataFrame, ranks_file: str = RANKS_FILE, *, id_col: str = "doc_
     a megabyte) is read on the driver and broadcast; texts never move."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_file))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
-            for doc_id, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+            for text in batch.column(1).to_pylist():
                 ids = encoder.encode(text or "")
                 back = encoder.decode(ids)
-                out.append((doc_id, len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(),
-                            hashlib.sha256(back).hexdigest()) if digest else (doc_id, ids, back))
-            yield pd.DataFrame(out, columns=columns)
-
-    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
-    schema = RESULT if digest else "doc_id string, ids array<int>, decoded binary"
-    return ids_back(docs.select(ids_as_text(docs, id_col), text_col).mapInPandas(rows, schema))
+                out.append((len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(),
+                            hashlib.sha256(back).hexdigest()) if digest else (ids, back))
+            told = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
+    types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
+    schema = RESULT if digest else "doc_id long, ids array<int>, decoded binary"
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(rows, schema)
 
 
 def digests(docs: DataFrame, ranks_file: str = RANKS_FILE) -> DataFrame:

@@ -16,11 +16,12 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import SPACES, ids_as_text, ids_back, let, null_last, words
+from .common import SPACES, let, null_last, slices, words
 from .components import components
 
 SHINGLE, DISTANCE, BITS = 3, 2, 64
@@ -46,10 +47,11 @@ def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
     return let(words(lowered), hashes)
 
 
-def _majority(hashes: pd.Series) -> pd.Series:
-    sizes = np.array([len(h) for h in hashes])
+def _majority(hashes: pa.ListArray) -> np.ndarray:
+    offsets = hashes.offsets.to_numpy()
+    sizes = np.diff(offsets)
     counts = np.zeros((len(sizes), BITS), np.int64)
-    flat = np.concatenate([*hashes, np.zeros(0, np.int64)]).astype("<i8")
+    flat = hashes.values.to_numpy()[offsets[0]:offsets[-1]].astype("<i8", copy=False)
     rows = np.repeat(np.arange(len(sizes)), sizes)
     for at in range(0, len(flat), CHUNK):
         bits = np.unpackbits(flat[at:at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,7 +59,7 @@ def _majority(hashes: pd.Series) -> pd.Series:
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         counts[row[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     ones = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little")
-    return pd.Series(np.ascontiguousarray(ones).view("<i8").ravel())
+    return np.ascontiguousarray(ones).view("<i8").ravel()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -65,13 +67,14 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shingles' hashes set it; null texts and texts without words have
     fingerprint zero. Whole texts are read; counts of 64 bits stand for any
     number of shingles."""
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": _majority(batch["h"])})
-
-    return ids_back(docs.select(ids_as_text(docs, id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
-                                shingle_hashes(F.col(text_col), shingle).alias("h"))
-                    .mapInPandas(rows, "doc_id string, text_hash long, fp long"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(_majority(batch.column("h")), pa.int64())],
+                                             names=["doc_id", "text_hash", "fp"])
+
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+                        shingle_hashes(F.col(text_col), shingle).alias("h"))
+            .mapInArrow(rows, "doc_id long, text_hash long, fp long"))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:

@@ -9,19 +9,18 @@ The neighbours vote, weighted by distance; the share of votes is calibrated on
 the examples themselves, each left out of its own vote.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import held_out, ids_as_text, ids_back
+from .common import SLICE, held_out, slices
 
 #: Labelled examples at most (smallest id hashes) and terms at most: bounds on the index, which is broadcast.
 EXAMPLES, TERMS = 8_000, 4_096
@@ -222,7 +221,7 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
     return index
 
 
-RESULT = "doc_id string, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
+RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
 
 
 def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
@@ -236,20 +235,23 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
     move: the index, of bounded size, is broadcast."""
     index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            told = [index.value.score(text or "") for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [x[0] for x in told],
-                                "predicted": [int(x[0] >= CUT) for x in told], "neighbours": [x[1] for x in told], "cosines": [x[2] for x in told]})
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            told = [index.value.score(text or "") for text in batch.column("text").to_pylist()]
+            new = [pa.array([x[0] for x in told], pa.float64()), pa.array([int(x[0] >= CUT) for x in told], pa.int32()),
+                   pa.array([x[1] for x in told], pa.list_(pa.int64())), pa.array([x[2] for x in told], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new],
+                                             names=["doc_id", "held_out", "score", "predicted", "neighbours", "cosines"])
 
-    return ids_back(docs.select(ids_as_text(docs), held_out().alias("held_out"), "text").mapInPandas(rows, RESULT))
+    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(rows, RESULT)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
     """The rows of ``docs`` whose text scores below CUT, all columns kept."""
     index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
 
-    def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series([index.value.score(text or "")[0] < CUT for text in texts], dtype=bool)
+    def keep(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
+        return pa.array([index.value.score(text or "")[0] < CUT for part in parts for text in part], pa.bool_())
 
-    return docs.where(F.pandas_udf(keep, "boolean")(F.col("text")))
+    return docs.where(F.arrow_udf(keep, "boolean")(F.col("text")))
