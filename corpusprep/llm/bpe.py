@@ -26,8 +26,8 @@ from .common import slices
 
 #: The rank file; a path that the driver can read.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces whose ids a task remembers before it starts anew; bounds memory only.
-CACHED_PIECES = 200_000
+#: Pieces whose ids a task remembers, and pairs of tokens that a worker does, before it starts anew; bounds memory only.
+CACHED_PIECES, CACHED_PAIRS = 50_000, 200_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -198,7 +198,8 @@ class Encoder:
             if ids is None:
                 if len(known) >= CACHED_PIECES:
                     known.clear()
-                    self.fits.clear()
+                    if len(self.fits) >= CACHED_PAIRS:
+                        self.fits.clear()
                 ids = tuple(self.encode_piece(piece.encode()))
                 if len(piece) < 64:
                     known[piece] = ids
@@ -241,6 +242,7 @@ def encode(docs: DataFrame, ranks_file: str = RANKS_FILE, *, id_col: str = "doc_
                             hashlib.sha256(back).hexdigest()) if digest else (ids, back))
             told = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=names)
+        encoder.known.clear()  # the worker lives on, and other stages need its memory
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]

@@ -33,7 +33,7 @@ NEIGHBOURS, BLOCK, PREFIX = 15, 64, 5
 STEP, CALIBRATED = 4, 2_000
 CUT = 0.3
 #: Votes whose result a task remembers; bounds memory only.
-REMEMBERED = 50_000
+REMEMBERED = 5_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
