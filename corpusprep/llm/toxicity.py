@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples.
 
-Texts are TF-IDF vectors over the terms that tell the labels apart. A
-block-max inverted index over the labelled examples finds a text's exact
-nearest ones by cosine: every posting list is cut into blocks of neighbouring
+Texts are TF-IDF vectors over the terms that tell the labels apart or, where a
+text has none of these, over all terms of the examples. A block-max inverted
+index over the labelled examples finds a text's exact nearest ones by cosine: every posting list is cut into blocks of neighbouring
 examples, a block's largest weights bound all its cosines, and blocks are
 scored in the order of their bounds until no bound can reach the k-th best.
 The neighbours vote, weighted by distance; the share of votes is calibrated on
@@ -22,16 +22,18 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .common import SLICE, held_out, slices
 
-#: Labelled examples at most (smallest id hashes) and terms at most: bounds on the index, which is broadcast.
+#: Labelled examples at most (smallest id hashes) and terms that tell the labels apart at most: bounds on the index, which is broadcast.
 EXAMPLES, TERMS = 8_000, 4_096
 #: Rows a term must be in, and how strongly it must go with a label (the G statistic).
 LEAST_ROWS, LEAST_G = 3, 10.8
 #: The share of label 1 among a term's rows must be this many times the usual share, or the usual share this many times it.
 LEAST_LIFT = 2
 NEIGHBOURS, BLOCK, PREFIX = 15, 64, 5
-#: Blocks scored at once, and examples that votes are calibrated on at most.
+#: Blocks scored at first (then twice as many each time), and examples that votes are calibrated on at most.
 STEP, CALIBRATED = 4, 2_000
 CUT = 0.3
+#: Commonest terms that whole texts are compared by from dense rows; bounds memory only.
+DENSE = 512
 #: Votes whose result a task remembers; bounds memory only.
 REMEMBERED = 5_000
 
@@ -57,30 +59,36 @@ def _g(a, b, rows1: int, rows0: int):
     return out
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Index:
     """Examples as unit vectors, by term: (example, weight) in example order,
-    with the place of each block in every list and its largest weight."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: list[dict[int, float]], labels: np.ndarray, ids: np.ndarray):
-        order = sorted(range(len(vectors)), key=lambda i: (labels[i], max(vectors[i], key=vectors[i].get), i))  # like to like: tight blocks
+    cut into the blocks that have the term, each with its largest weight.
+    ``vectors`` are a dict an example, or arrays (example, term, weight)."""
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors, labels: np.ndarray, ids: np.ndarray):
+        if isinstance(vectors, list):
+            vectors = (np.array([i for i, x in enumerate(vectors) for _ in x], np.int64), np.array([t for x in vectors for t in x], np.int64),
+                       np.array([w for x in vectors for w in x.values()], np.float64))
+        example, term, weight = vectors
+        first = np.lexsort((term, -weight, example))
+        first = first[np.flatnonzero(np.diff(example[first], prepend=-1))]
+        order = np.lexsort((term[first], labels))  # like to like: tight blocks
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
         self.idf, self.labels, self.ids = idf, labels[order].astype(float), ids[order]
         self.blocks = -(-len(order) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for at, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t].append((at, w))
-        self.example = np.array([e for x in lists for e, _ in x], np.int32)
-        self.weight = np.array([w for x in lists for _, w in x], np.float64)
-        starts = np.cumsum([0, *map(len, lists)])
-        edges = np.arange(self.blocks + 1) * BLOCK
-        self.place = np.array([start + np.searchsorted(self.example[start:start + len(x)], edges)
-                               for start, x in zip(starts, lists, strict=False)], np.int64).reshape(len(lists), self.blocks + 1)
-        self.most = np.zeros((len(lists), self.blocks))
-        for t, x in enumerate(lists):
-            for e, w in x:
-                self.most[t, e // BLOCK] = max(self.most[t, e // BLOCK], w)
-        self.empty = self.calibration = None
+        example = np.argsort(order)[example]
+        by = np.lexsort((example, term))
+        self.example, self.weight, term = example[by].astype(np.int32), weight[by], term[by]
+        block = self.example // BLOCK
+        new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        self.block, self.most = block[new], np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.start = np.append(new, len(term)).astype(np.int32)  # of a block's entries
+        self.first = np.searchsorted(term[new], np.arange(len(vocabulary) + 1)).astype(np.int32)  # block of a term
+        self.empty = self.calibration = self.whole = None
         self.known: dict = {}
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -95,47 +103,61 @@ class Index:
     def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         """The NEIGHBOURS examples of greatest cosine above 0, best first,
         exactly. Of equal cosines those stay that were scored first."""
-        bounds = weights @ self.most[at]
+        sizes = self.first[at + 1] - self.first[at]
+        part = _runs(self.first[at], sizes)
+        weights, block = np.repeat(weights, sizes), self.block[part]
+        bounds = np.bincount(block, weights * self.most[part], self.blocks)
         order = np.argsort(-bounds, kind="stable")
+        row = np.empty(self.blocks, np.int64)
+        row[order] = np.arange(self.blocks)
         order = order[:np.count_nonzero(bounds > 0)]
+        by = np.argsort(row[block].astype(np.int16 if self.blocks < 2**15 else np.int64), kind="stable")
+        part, weights = part[by], weights[by]
+        edges = np.append(0, np.cumsum(np.bincount(block, minlength=self.blocks)[order]))
         best, who = np.zeros(0), np.zeros(0, np.int64)
-        row = np.empty(self.blocks, np.int64)
-        for k in range(0, len(order), STEP):
-            some = order[k:k + STEP]
+        k, step = 0, STEP
+        while k < len(order):
+            some = order[k:k + step]
             if len(best) == NEIGHBOURS and bounds[some[0]] <= best[-1]:
                 break
-            starts, ends = self.place[at][:, some], self.place[at][:, some + 1]
-            sizes = (ends - starts).ravel()
-            posting = np.repeat(starts.ravel() - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            these = part[edges[k]:edges[k + len(some)]]
+            sizes = self.start[these + 1] - self.start[these]
+            posting = _runs(self.start[these], sizes)
             found = self.example[posting]
-            row[some] = np.arange(len(some))
-            scores = np.bincount(row[found // BLOCK] * BLOCK + found % BLOCK,
-                                 np.repeat(np.repeat(weights, len(some)), sizes) * self.weight[posting], len(some) * BLOCK)
+            scores = np.bincount((row[found // BLOCK] - k) * BLOCK + found % BLOCK,
+                                 np.repeat(weights[edges[k]:edges[k + len(some)]], sizes) * self.weight[posting], len(some) * BLOCK)
             if without >= 0 and without // BLOCK in some:
-                scores[row[without // BLOCK] * BLOCK + without % BLOCK] = 0
+                scores[(row[without // BLOCK] - k) * BLOCK + without % BLOCK] = 0
             seen = np.flatnonzero(scores)
             best = np.concatenate([best, scores[seen]])
             who = np.concatenate([who, some[seen // BLOCK] * BLOCK + seen % BLOCK])
             top = np.argsort(-best, kind="stable")[:NEIGHBOURS]
             best, who = best[top], who[top]
+            k, step = k + len(some), 2 * step
         return list(zip(best.tolist(), who.tolist(), strict=True))
 
+    def lengths(self) -> np.ndarray:
+        """Entries of each term."""
+        return np.diff(self.start[self.first])
+
     def share(self, near: list[tuple[float, int]]) -> float:
         """The vote for label 1, each neighbour weighted by one over its distance."""
         w = np.array([1 / (1.02 - min(s, 1.0)) for s, _ in near])
         return float(w @ self.labels[[e for _, e in near]] / w.sum())
 
-    def calibrate(self, empty_labels: list[float]) -> None:
+    def calibrate(self, empty_labels: list[float], among: np.ndarray | None = None) -> None:
         """From left-out votes to the share of label 1 among like votes, by
         isotonic regression over CALIBRATED examples spread evenly over the
-        index. Texts without a known term get the share among such examples."""
-        seen, lists = [], [[] for _ in self.labels]
-        for t in range(len(self.place)):
-            for p in range(self.place[t, 0], self.place[t, -1]):
-                lists[self.example[p]].append((t, self.weight[p]))
-        for e in range(0, len(lists), -(-len(lists) // CALIBRATED) or 1):
-            x = lists[e]
-            near = self.nearest(np.array([t for t, _ in x]), np.array([w for _, w in x]), e)
+        index (or over those ``among`` it). Texts without a known term get the
+        share among such examples."""
+        among = np.arange(len(self.labels)) if among is None else among
+        term = np.repeat(np.arange(len(self.vocabulary)), self.lengths())
+        by = np.argsort(self.example, kind="stable")
+        edges = np.searchsorted(self.example[by], np.arange(len(self.labels) + 1))
+        seen = []
+        for e in among[::-(-len(among) // CALIBRATED) or 1].tolist():
+            x = by[edges[e]:edges[e + 1]]
+            near = self.nearest(term[x], self.weight[x], e)
             if near:
                 seen.append((self.share(near), self.labels[e]))
         self.empty = (sum(empty_labels) + 0.5) / (len(empty_labels) + 10)
@@ -149,27 +171,90 @@ class Index:
                             np.array([(y + 0.05) / (n + 0.5) for n, y, _, _ in pools for _ in (0, 1)]))
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        at, weights = self.vector(terms(text))
+        counts = terms(text)
+        at, weights = self.vector(counts)
         if not len(at):
-            return self.empty, [], []
+            return self.whole.told(*self.whole.vector(counts))
         key = (at.tobytes(), weights.tobytes())
         if key not in self.known:
-            near = self.nearest(at, weights)
-            if near:
-                votes, levels = self.calibration
-                value = float(np.interp(self.share(near), votes, levels)) if len(votes) else self.empty
-                told = value, [int(self.ids[e]) for _, e in near], [round(s, 6) for s, _ in near]
-            else:
-                told = self.empty, [], []
+            told = self.told(at, weights)
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[key] = told
         return self.known[key]
 
+    def told(self, at: np.ndarray, weights: np.ndarray) -> tuple[float, list[int], list[float]]:
+        near = self.nearest(at, weights) if len(at) else []
+        if not near:
+            return self.empty, [], []
+        votes, levels = self.calibration
+        value = float(np.interp(self.share(near), votes, levels)) if len(votes) else self.empty
+        return value, [int(self.ids[e]) for _, e in near], [round(s, 6) for s, _ in near]
+
+
+class Whole(Index):
+    """Vectors of whole texts: they share terms with every block, so no bound
+    skips any. All examples are scored, common terms from dense rows."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.first = self.start[self.first]  # entries, not blocks, of a term
+        del self.start, self.block, self.most
+        sizes = np.diff(self.first)
+        self.row, common = np.full(len(sizes), -1, np.int32), np.argsort(-sizes, kind="stable")[:DENSE]
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), len(self.labels)))
+        for k, t in enumerate(common):
+            self.common[k, self.example[self.first[t]:self.first[t + 1]]] = self.weight[self.first[t]:self.first[t + 1]]
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
+        row = self.row[at]
+        rare = row < 0
+        sizes = self.first[at[rare] + 1] - self.first[at[rare]]
+        posting = _runs(self.first[at[rare]], sizes)
+        scores = weights[~rare] @ self.common[row[~rare]]
+        scores = scores + np.bincount(self.example[posting], np.repeat(weights[rare], sizes) * self.weight[posting], len(self.labels))
+        if without >= 0:
+            scores[without] = 0
+        some = np.flatnonzero(scores >= max(np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS], 1e-12)) if len(scores) > NEIGHBOURS else np.flatnonzero(scores)
+        some = some[np.argsort(-scores[some], kind="stable")][:NEIGHBOURS]
+        return list(zip(scores[some].tolist(), some.tolist(), strict=True))
+
+
+def _whole(rows: DataFrame, picked: list[tuple[int, int]]) -> Whole:
+    """The index over all terms of the examples, of which those ``picked``
+    (doc_id, label) have no other; their votes are what it is calibrated on."""
+    named = rows.where("term = ''").select("doc_id", "label").distinct().toPandas().sort_values(["doc_id", "label"])
+    ids, ys = named["doc_id"].to_numpy(np.int64), named["label"].to_numpy(np.int64)
+    each, number = np.unique(ids), np.zeros((len(named) + 1, 2), np.int64)
+    number[np.searchsorted(each, ids), ys] = np.arange(len(named))
+    got = rows.where("term <> ''").select("doc_id", F.col("label").cast("byte").alias("label"), "term", F.col("n").cast("int").alias("n")).toArrow()
+    coded = got.column("term").combine_chunks().dictionary_encode()
+    vocabulary = coded.dictionary.to_pylist()
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    term = np.argsort(np.array(order, np.int64))[coded.indices.to_numpy(zero_copy_only=False)]
+    example = number[np.searchsorted(each, got.column("doc_id").to_numpy()), got.column("label").to_numpy()]
+    n = got.column("n").to_numpy()
+    by = np.lexsort((n, term, example))
+    example, term, n = example[by], term[by], n[by]
+    last = (np.diff(example, append=-1) != 0) | (np.diff(term, append=-1) != 0)  # an id with several texts: the larger count
+    example, term, n = example[last], term[last], n[last]
+    idf = np.log((1 + len(named)) / (1 + np.bincount(term, minlength=len(order)))) + 1
+    weight = (1 + np.log(n)) * idf[term]
+    weight /= np.sqrt(np.bincount(example, weight * weight, len(named)))[example]
+    full = np.bincount(example, minlength=len(named)) > 0
+    index = Whole([vocabulary[t] for t in order], idf, ((np.cumsum(full) - 1)[example], term, weight), ys[full].astype(float), ids[full])
+    wanted = set(picked)
+    index.calibrate(ys[~full].tolist(), np.array([e for e, x in enumerate(zip(index.ids.tolist(), index.labels.tolist(), strict=True)) if x in wanted], np.int64))
+    return index
+
 
 def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Index:
     """Spark counts the terms of the examples by label; the driver gets at most
-    TERMS of them and the examples' entries for these."""
+    TERMS that tell the labels apart, and the examples' counts of all terms."""
     picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
               .select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(examples))
 
@@ -207,17 +292,18 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
         known = own.setdefault((r.doc_id, r.label), {})
         if r.term:
             known[at[r.term]] = (1 + np.log(r.n)) * idf[at[r.term]]
-    vectors, ys, ids, empty = [], [], [], []
+    vectors, ys, ids, empty = [], [], [], {}
     for (doc_id, y), known in own.items():
         if not known:
-            empty.append(float(y))
+            empty[(doc_id, y)] = float(y)
             continue
         length = np.sqrt(sum(w * w for w in known.values()))
         vectors.append({t: w / length for t, w in known.items()})
         ys.append(float(y))
         ids.append(doc_id)
     index = Index(vocabulary, idf, vectors, np.array(ys), np.array(ids, dtype=np.int64))
-    index.calibrate(empty)
+    index.calibrate(list(empty.values()))
+    index.whole = _whole(rows, list(empty))
     return index
 
 
@@ -229,9 +315,10 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
     ids and cosines of the nearest examples, best first.
 
     Examples come only from labelled rows outside the held-out part; label, id
-    and other columns never enter a score. Null, empty and other texts without
-    a known term have no neighbours and get the rate of label 1 among such
-    examples. Repeated rows repeat; null ids are never examples. Texts never
+    and other columns never enter a score. A text without a term that tells
+    the labels apart is compared by all its terms. Null and empty texts and those
+    of unknown terms only have no neighbours and get the rate of label 1 among
+    examples without terms. Repeated rows repeat; null ids are never examples. Texts never
     move: the index, of bounded size, is broadcast."""
     index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
 

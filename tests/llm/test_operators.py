@@ -306,6 +306,27 @@ def test_toxicity_edges(edge, empty, no_labels, spark):
     assert toxicity.without_toxic(edge, no_labels).columns == edge.columns
 
 
+def test_toxicity_every_text_is_searched(spark):
+    """A text without a term that tells the labels apart is compared by all its terms."""
+    rows, docs, labels = toxic_table(spark)
+    index = toxicity.build(docs, labels, "toxic", toxicity.EXAMPLES)
+    known = {r.doc_id for r in labels.collect()}
+    train = [(i, toxicity.terms(t)) for i, t, _ in rows if i in known]
+    df = Counter(t for _, c in train for t in c)
+    text = " ".join([w for w in sorted(df) if w[-1] != "-" and not index.vocabulary.keys() & toxicity.terms(w).keys()][:9])
+
+    def vector(counts):
+        w = {t: (1 + np.log(n)) * (np.log((1 + len(train)) / (1 + df[t])) + 1) for t, n in counts.items()}
+        return {t: x / np.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+
+    asked = vector(toxicity.terms(text))
+    want = sorted((sum(w * asked.get(t, 0) for t, w in vector(c).items()) for _, c in train), reverse=True)[:toxicity.NEIGHBOURS]
+    score, neighbours, cosines = index.score(text)
+    assert score < toxicity.CUT and len(set(neighbours)) == toxicity.NEIGHBOURS and cosines == pytest.approx(want, abs=2e-6)
+    assert all(len(index.score(t)[1]) == toxicity.NEIGHBOURS for _, t, _ in rows)
+    assert index.score("")[1] == index.score("unheard")[1] == [] and index.score("")[0] < toxicity.CUT
+
+
 # 7 SimHash
 
 
