@@ -327,6 +327,18 @@ def test_toxicity_every_text_is_searched(spark):
     assert index.score("")[1] == index.score("unheard")[1] == [] and index.score("")[0] < toxicity.CUT
 
 
+def test_toxicity_learns_from_even_labels(spark):
+    """Half of the labels at 1, and more than half."""
+    rows, docs, labels = toxic_table(spark)
+    known = {r.doc_id for r in labels.collect()}
+    for step in (7, 14):
+        some = labels.where((F.col("toxic") == 1) | (F.col("doc_id") % step == 0))
+        index = toxicity.build(docs, some, "toxic", toxicity.EXAMPLES)
+        assert index.labels.mean() > 0.4 and {"vilest", "rotten", "stinker"} <= index.vocabulary.keys()
+        asked = [(t, y) for i, t, y in rows if i not in known]
+        assert sum((index.score(t)[0] >= toxicity.CUT) == y for t, y in asked) >= 0.95 * len(asked)
+
+
 # 7 SimHash
 
 
