@@ -201,9 +201,19 @@ class Whole(Index):
         sizes = np.diff(self.first)
         self.row, common = np.full(len(sizes), -1, np.int32), np.argsort(-sizes, kind="stable")[:DENSE]
         self.row[common] = np.arange(len(common))
-        self.common = np.zeros((len(common), len(self.labels)))
-        for k, t in enumerate(common):
-            self.common[k, self.example[self.first[t]:self.first[t + 1]]] = self.weight[self.first[t]:self.first[t + 1]]
+        self.common = None
+
+    def __getstate__(self) -> dict:
+        """For the broadcast: dense rows are laid out anew where they are used."""
+        return self.__dict__ | {"common": None, "example": self.example.astype(np.min_scalar_type(len(self.labels)))}
+
+    def dense(self) -> np.ndarray:
+        if self.common is None:
+            self.common = np.zeros((np.count_nonzero(self.row >= 0), len(self.labels)))
+            for t in np.flatnonzero(self.row >= 0):
+                at = slice(self.first[t], self.first[t + 1])
+                self.common[self.row[t], self.example[at]] = self.weight[at]
+        return self.common
 
     def lengths(self) -> np.ndarray:
         return np.diff(self.first)
@@ -213,7 +223,7 @@ class Whole(Index):
         rare = row < 0
         sizes = self.first[at[rare] + 1] - self.first[at[rare]]
         posting = _runs(self.first[at[rare]], sizes)
-        scores = weights[~rare] @ self.common[row[~rare]]
+        scores = weights[~rare] @ self.dense()[row[~rare]]
         scores = scores + np.bincount(self.example[posting], np.repeat(weights[rare], sizes) * self.weight[posting], len(self.labels))
         if without >= 0:
             scores[without] = 0
@@ -225,28 +235,30 @@ class Whole(Index):
 def _whole(rows: DataFrame, picked: list[tuple[int, int]]) -> Whole:
     """The index over all terms of the examples, of which those ``picked``
     (doc_id, label) have no other; their votes are what it is calibrated on."""
-    named = rows.where("term = ''").select("doc_id", "label").distinct().toPandas().sort_values(["doc_id", "label"])
-    ids, ys = named["doc_id"].to_numpy(np.int64), named["label"].to_numpy(np.int64)
-    each, number = np.unique(ids), np.zeros((len(named) + 1, 2), np.int64)
-    number[np.searchsorted(each, ids), ys] = np.arange(len(named))
-    got = rows.where("term <> ''").select("doc_id", F.col("label").cast("byte").alias("label"), "term", F.col("n").cast("int").alias("n")).toArrow()
-    coded = got.column("term").combine_chunks().dictionary_encode()
-    vocabulary = coded.dictionary.to_pylist()
-    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
-    term = np.argsort(np.array(order, np.int64))[coded.indices.to_numpy(zero_copy_only=False)]
-    example = number[np.searchsorted(each, got.column("doc_id").to_numpy()), got.column("label").to_numpy()]
-    n = got.column("n").to_numpy()
+    code, number, parts = {}, {}, []
+    for r in rows.where("term = ''").select("doc_id", "label", "words", "counts").orderBy("doc_id", "label").toLocalIterator():
+        e = number.setdefault((r.doc_id, r.label), len(number))
+        got = np.array([code.setdefault(t, len(code)) for t in r.words.split()], np.int32)
+        parts.append((np.full(len(got), e, np.int32), got, np.frombuffer(r.counts, np.int32)))
+    ids, ys = np.array([i for i, _ in number], np.int64), np.array([y for _, y in number], np.int64)
+    vocabulary = sorted(code)
+    place = np.zeros(len(code), np.int32)
+    place[[code[t] for t in vocabulary]] = np.arange(len(code))
+    example, term, n = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.int32)]) for k in range(3))
+    del code, parts
+    term = place[term]
     by = np.lexsort((n, term, example))
     example, term, n = example[by], term[by], n[by]
     last = (np.diff(example, append=-1) != 0) | (np.diff(term, append=-1) != 0)  # an id with several texts: the larger count
     example, term, n = example[last], term[last], n[last]
-    idf = np.log((1 + len(named)) / (1 + np.bincount(term, minlength=len(order)))) + 1
+    idf = np.log((1 + len(ids)) / (1 + np.bincount(term, minlength=len(vocabulary)))) + 1
     weight = (1 + np.log(n)) * idf[term]
-    weight /= np.sqrt(np.bincount(example, weight * weight, len(named)))[example]
-    full = np.bincount(example, minlength=len(named)) > 0
-    index = Whole([vocabulary[t] for t in order], idf, ((np.cumsum(full) - 1)[example], term, weight), ys[full].astype(float), ids[full])
+    weight /= np.sqrt(np.bincount(example, weight * weight, len(ids)))[example]
+    full = np.bincount(example, minlength=len(ids)) > 0
+    index = Whole(vocabulary, idf, ((np.cumsum(full) - 1)[example], term, weight), ys[full].astype(float), ids[full])
     wanted = set(picked)
     index.calibrate(ys[~full].tolist(), np.array([e for e, x in enumerate(zip(index.ids.tolist(), index.labels.tolist(), strict=True)) if x in wanted], np.int64))
+    index.common = None
     return index
 
 
@@ -260,16 +272,17 @@ def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Inde
         for batch in batches:
             out: list[tuple] = []
             for doc_id, y, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
-                out.append((doc_id, y, "", 1))
-                out += [(doc_id, y, t, n) for t, n in terms(text or "").items()]
+                found = terms(text or "")
+                out.append((doc_id, y, "", 1, " ".join(found), np.array(list(found.values()), np.int32).tobytes()))
+                out += [(doc_id, y, t, n, None, None) for t, n in found.items()]
                 if len(out) > 100_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             yield pd.DataFrame(out, columns=columns)
 
-    columns = ["doc_id", "label", "term", "n"]
+    columns = ["doc_id", "label", "term", "n", "words", "counts"]  # the last two: all of an example's terms, in the row of the term ""
     rows = checkpoint(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-                      .mapInPandas(count, "doc_id long, label int, term string, n long"))
+                      .mapInPandas(count, "doc_id long, label int, term string, n long, words string, counts binary"))
     sizes = {r.label: r["count"] for r in rows.where("term = ''").groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     by_term = rows.where("term <> ''").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
