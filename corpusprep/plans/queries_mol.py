@@ -348,6 +348,10 @@ QUESTIONS = ["What is the molecular formula of this molecule?",
              "Which functional groups does it contain?"]
 
 
+#: Atoms of a molecule that are gathered at once.
+PIECE = 1_024
+
+
 def _q_values_sql() -> str:
     rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))
     return f"(SELECT * FROM (VALUES {rows}) AS q(q_idx, question))"
@@ -375,13 +379,14 @@ FROM sel CROSS JOIN qi
 def j1_molecule_questions(spark, sf):
     from ..operators.joins import ask_questions
     from ..operators.prompts import molecule_question
-    atoms = I.mol_atoms(spark, sf)
-    sym = atoms.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "symbol"))).alias("_s"))
-    sym = sym.select("mol", F.transform("_s", lambda s: F.concat(F.lit("["), s["symbol"], F.lit("]"))).alias("tokens"))
+    atoms = I.mol_atoms_all(spark, sf).select("mol", "atom_idx", F.concat(F.lit("["), F.col("symbol"), F.lit("]")).alias("token"))
     base = I.doc_vocab(spark, sf)
-    ext = TK.extend_vocab(base, I.explode_rows(sym, "mol", "tokens"))
-    vocab = base.unionByName(ext)
-    sel = TK.encode(sym, vocab, "mol", out="selfies_ids")
+    vocab = base.unionByName(TK.extend_vocab(base, atoms))
+    # molecules of any size: pieces first, so that no task sorts all atoms of a molecule
+    pieces = (TK.encode_long(atoms, vocab).groupBy("mol", F.floor(F.col("atom_idx") / PIECE).alias("piece"))
+              .agg(F.array_sort(F.collect_list(F.struct("atom_idx", "token_id"))).alias("_s")))
+    sel = (pieces.groupBy("mol").agg(F.array_sort(F.collect_list(F.struct("piece", F.col("_s.token_id").alias("ids")))).alias("_p"))
+           .select("mol", F.flatten(F.col("_p.ids")).alias("selfies_ids")))
     qs = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "q_idx int, question string")
     q_ids = TK.encode(TK.tokenise(qs, "question"), vocab, "q_idx", out="question_ids").select("q_idx", "question_ids")
     asked = ask_questions(sel, QUESTIONS).join(F.broadcast(q_ids), "q_idx")  # <= MAX_QUESTIONS rows

@@ -278,3 +278,21 @@ def test_matrices_fit_both_limits(spark):
     got = [r[0] for r in df.select(M.fit_matrix(F.col("m"), 3, 2)).collect()]
     assert got == [[[1, 2], [4, 5], [0, 0]], [[0, 0]] * 3, [[0, 0]] * 3]
     assert df.select(M.fit_matrix(F.col("m"), 1, 4)).first()[0] == [[1, 2, 3, 0]]
+
+
+def test_questions_reach_molecules_of_any_size(spark, smoke_dir, tmp_path):
+    """An order holding a third of the lines is asked every question."""
+    import duckdb
+
+    from corpusprep.plans import inputs as I
+    from corpusprep.plans import queries_mol as Q
+    spark.read.parquet(f"{smoke_dir}/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = spark.read.parquet(f"{smoke_dir}/lineitem.parquet")
+    hot = F.when(F.pmod(F.xxhash64("l_partkey", "l_suppkey", "l_extendedprice"), F.lit(3)) == 0, F.lit(7)).otherwise(F.col("l_orderkey"))
+    lines.withColumn("l_orderkey", hot.cast(lines.schema["l_orderkey"].dataType)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.mol, r.q_idx): r.ids for r in Q.j1_molecule_questions(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    for t in ("documents", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = {(m, q): ids for m, q, ids in db.execute(Q.J1_SQL.replace(I.MOL_SQL, I.MOL_ALL_SQL)).fetchall()}
+    assert len(got[7, 0].split(",")) > Q.PIECE and got == want
