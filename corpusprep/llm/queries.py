@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, mixing, passages, quality_rules, ranking, sharding, simhash, toxicity
+from . import bpe, conversations, fingerprints, hyperminhash, language, manifest, mixing, passages, quality_rules, ranking, sharding, simhash, toxicity
 from .common import n_words, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,26 @@ def op9_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs)
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"), changed=manifest.tampered_text(), proofs=False)
+
+
+ORACLES["op11_merkle"] = manifest.ORACLE
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(turns), turns.select("conv_id"))
+
+
+@query
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLES["op13_hyperminhash"] = hyperminhash.ORACLE
