@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding without running the merges.
 
-Bytes are mapped to Latin-1 characters so that an Aho-Corasick automaton finds
-every vocabulary entry in a piece in one pass. From the longest entry at each
-place the encoder goes left to right and backtracks: a token may follow another
+Bytes are mapped to Latin-1 characters, as the Aho-Corasick library's trie
+takes strings. From the trie's longest entry at each place the encoder goes
+left to right and backtracks: a token may follow another
 only if the merges would leave exactly this pair side by side, which is decided
 by undoing the merges along their common border and remembered. Places proven
 dead are never tried again, so the work is linear in the piece.
@@ -13,9 +13,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
@@ -26,8 +29,11 @@ from .common import slices
 
 #: The rank file; a path that the driver can read.
 RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Pieces whose ids a task remembers, and pairs of tokens that a worker does, before it starts anew; bounds memory only.
-CACHED_PIECES, CACHED_PAIRS = 50_000, 200_000
+#: Bytes of pieces and ids that a worker remembers (the older half goes when they are reached), the length of a piece
+#: from which it is not, and the pairs of tokens remembered; bounds memory only.
+CACHED_BYTES, LONG_PIECE, CACHED_PAIRS = 24 << 20, 64, 200_000
+#: What a remembered piece takes beside its characters and ids.
+ENTRY_BYTES = 190
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -108,7 +114,10 @@ class Encoder:
         self.decimal = {i: str(i) for i in self.token}
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Type code of an id: as narrow as the vocabulary allows.
+        self.code = "H" if max(self.token, default=0) < 1 << 16 else "I"
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _last_merge(self, word: bytes) -> tuple[int, int] | None:
         pieces = [word[i:i + 1] for i in range(len(word))]
@@ -174,8 +183,11 @@ class Encoder:
         at = last = 0
         while at < n:
             # the longest entry from here: the trie's longest path, less what is no entry
-            ahead = word[at:at + reach]
-            token = entry.get(ahead[:longest(ahead)]) or self._entry_below(ahead, longest(ahead))
+            ahead = word[at:at + reach] if at or n > reach else word
+            far = longest(ahead)
+            token = entry.get(ahead[:far])
+            if token is None:
+                token = self._entry_below(ahead, far)
             while at + size[token] in dead or out and not (
                     fits[last, token] if (last, token) in fits else self._fits(last, token)):
                 smaller = self._next_shorter(token)
@@ -191,22 +203,30 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
+        return self.ids(text).tolist()
+
+    def ids(self, text: str) -> array:
+        out = array(self.code)
+        known, add = self.known, out.frombytes
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
-                if len(known) >= CACHED_PIECES:
-                    known.clear()
-                    if len(self.fits) >= CACHED_PAIRS:
-                        self.fits.clear()
-                ids = tuple(self.encode_piece(piece.encode()))
-                if len(piece) < 64:
-                    known[piece] = ids
-            out += ids
+                ids = array(self.code, self.encode_piece(piece.encode())).tobytes()
+                if len(piece) < LONG_PIECE:
+                    self._remember(piece, ids)
+            add(ids)
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def _remember(self, piece: str, ids: bytes) -> None:
+        if self.held >= CACHED_BYTES:
+            for old in list(islice(self.known, len(self.known) // 2)):
+                self.held -= len(old) + len(self.known.pop(old)) + ENTRY_BYTES
+            if len(self.fits) >= CACHED_PAIRS:
+                self.fits.clear()
+        self.known[piece] = ids
+        self.held += len(piece) + len(ids) + ENTRY_BYTES
+
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
@@ -236,13 +256,12 @@ def encode(docs: DataFrame, ranks_file: str = RANKS_FILE, *, id_col: str = "doc_
         for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
-                ids = encoder.encode(text or "")
+                ids = encoder.ids(text or "")
                 back = encoder.decode(ids)
                 out.append((len(ids), hashlib.sha256(" ".join(map(encoder.decimal.__getitem__, ids)).encode()).hexdigest(),
-                            hashlib.sha256(back).hexdigest()) if digest else (ids, back))
+                            hashlib.sha256(back).hexdigest()) if digest else (np.frombuffer(ids, ids.typecode), back))
             told = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=names)
-        encoder.known.clear()  # the worker lives on, and other stages need its memory
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids", "decoded"]
     types = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
