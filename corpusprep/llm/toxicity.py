@@ -14,13 +14,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import dense_index
 from ..session import checkpoint
-from .common import SLICE, held_out, slices
+from .common import SLICE, held_out, least_hashes, slices
 
 #: Labelled examples at most (smallest id hashes) and terms that tell the labels apart at most: bounds on the index, which is broadcast.
 EXAMPLES, TERMS = 8_000, 4_096
@@ -32,6 +32,8 @@ STEP, CALIBRATED = 4, 2_000
 CUT = 0.3
 #: Commonest terms that whole texts are compared by from dense rows; bounds memory only.
 DENSE = 512
+#: Terms whose entries the driver fetches at once.
+FETCHED = 1 << 16
 #: Votes whose result a task remembers; bounds memory only.
 REMEMBERED = 5_000
 
@@ -67,7 +69,7 @@ class Index:
     cut into the blocks that have the term, each with its largest weight.
     ``vectors`` are a dict an example, or arrays (example, term, weight)."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors, labels: np.ndarray, ids: np.ndarray):
+    def __init__(self, vocabulary: pa.Array | list[str], idf: np.ndarray, vectors, labels: np.ndarray, ids: np.ndarray):
         if isinstance(vectors, list):
             vectors = (np.array([i for i, x in enumerate(vectors) for _ in x], np.int64), np.array([t for x in vectors for t in x], np.int64),
                        np.array([w for x in vectors for w in x.values()], np.float64))
@@ -75,20 +77,29 @@ class Index:
         first = np.lexsort((term, -weight, example))
         first = first[np.flatnonzero(np.diff(example[first], prepend=-1))]
         order = np.lexsort((term[first], labels))  # like to like: tight blocks
-        self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
+        del first
+        self.words, self.codes = vocabulary, None
         self.idf, self.labels, self.ids = idf, labels[order].astype(float), ids[order]
         self.blocks = -(-len(order) // BLOCK)
-        example = np.argsort(order)[example]
+        example = np.argsort(order)[example].astype(np.int32)
         by = np.lexsort((example, term))
-        self.example, self.weight, term = example[by].astype(np.int32), weight[by], term[by]
+        self.example, self.weight, term = example[by], weight[by], term[by]
+        del by, example, weight
         block = self.example // BLOCK
         new = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         self.block, self.most = block[new], np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
         self.start = np.append(new, len(term)).astype(np.int32)  # of a block's entries
         self.first = np.searchsorted(term[new], np.arange(len(vocabulary) + 1)).astype(np.int32)  # block of a term
-        self.empty = self.calibration = self.whole = None
         self.known: dict = {}
 
+    @property
+    def vocabulary(self) -> dict[str, int]:
+        """Term to code; laid out where it is used, not on the driver."""
+        if self.codes is None:
+            words = self.words if isinstance(self.words, list) else self.words.to_pylist()
+            self.codes = {t: i for i, t in enumerate(words)}
+        return self.codes
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms in order and unit weights (1 + log tf) * idf; both empty if no term is known."""
         got = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
@@ -134,60 +145,59 @@ class Index:
             k, step = k + len(some), 2 * step
         return list(zip(best.tolist(), who.tolist(), strict=True))
 
-    def lengths(self) -> np.ndarray:
-        """Entries of each term."""
-        return np.diff(self.start[self.first])
+    def number(self, e: int, ids: np.ndarray, labels: np.ndarray) -> int:
+        """The place of an example."""
+        return int(np.flatnonzero((self.ids == ids[e]) & (self.labels == labels[e]))[0])
 
     def share(self, near: list[tuple[float, int]]) -> float:
         """The vote for label 1, each neighbour weighted by one over its distance."""
         w = np.array([1 / (1.02 - min(s, 1.0)) for s, _ in near])
         return float(w @ self.labels[[e for _, e in near]] / w.sum())
 
-    def calibrate(self, empty_labels: list[float], among: np.ndarray | None = None) -> None:
-        """From left-out votes to the share of label 1 among like votes, by
-        isotonic regression over CALIBRATED examples spread evenly over the
-        index (or over those ``among`` it). Texts without a known term get the
-        share among such examples."""
-        among = np.arange(len(self.labels)) if among is None else among
-        term = np.repeat(np.arange(len(self.vocabulary)), self.lengths())
-        by = np.argsort(self.example, kind="stable")
-        edges = np.searchsorted(self.example[by], np.arange(len(self.labels) + 1))
-        seen = []
-        for e in among[::-(-len(among) // CALIBRATED) or 1].tolist():
-            x = by[edges[e]:edges[e + 1]]
-            near = self.nearest(term[x], self.weight[x], e)
-            if near:
-                seen.append((self.share(near), self.labels[e]))
-        self.empty = (sum(empty_labels) + 0.5) / (len(empty_labels) + 10)
+    def told(self, at: np.ndarray, weights: np.ndarray, levels: "Levels") -> tuple[float, list[int], list[float]]:
+        near = self.nearest(at, weights) if len(at) else []
+        if not near:
+            return levels.empty, [], []
+        return levels.of(self.share(near)), [int(self.ids[e]) for _, e in near], [round(s, 6) for s, _ in near]
+
+
+class Levels:
+    """From left-out votes to the share of label 1 among like votes, by isotonic regression."""
+
+    def __init__(self, seen: list[tuple[float, float]], empty: float):
         pools: list[list[float]] = []  # (votes, sum of labels, lowest vote, highest vote)
         for vote, y in sorted(seen):
             pools.append([1, y, vote, vote])
             while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
                 n, y2, _, high = pools.pop()
                 pools[-1] = [pools[-1][0] + n, pools[-1][1] + y2, pools[-1][2], high]
-        self.calibration = (np.array([v for _, _, a, b in pools for v in (a, b)]),
-                            np.array([(y + 0.05) / (n + 0.5) for n, y, _, _ in pools for _ in (0, 1)]))
+        self.empty = empty
+        self.votes = np.array([v for _, _, a, b in pools for v in (a, b)])
+        self.levels = np.array([(y + 0.05) / (n + 0.5) for n, y, _, _ in pools for _ in (0, 1)])
 
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+    def of(self, vote: float) -> float:
+        return float(np.interp(vote, self.votes, self.levels)) if len(self.votes) else self.empty
+
+
+class Model:
+    """The two indexes, and a text's way to one of them."""
+
+    def __init__(self, chosen: Index, whole: "Whole"):
+        self.chosen, self.whole = chosen, whole
+
+    def score(self, text: str, levels: tuple[Levels, Levels]) -> tuple[float, list[int], list[float]]:
         counts = terms(text)
-        at, weights = self.vector(counts)
+        at, weights = self.chosen.vector(counts)
         if not len(at):
-            return self.whole.told(*self.whole.vector(counts))
+            return self.whole.told(*self.whole.vector(counts), levels[1])
         key = (at.tobytes(), weights.tobytes())
-        if key not in self.known:
-            told = self.told(at, weights)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[key] = told
-        return self.known[key]
-
-    def told(self, at: np.ndarray, weights: np.ndarray) -> tuple[float, list[int], list[float]]:
-        near = self.nearest(at, weights) if len(at) else []
-        if not near:
-            return self.empty, [], []
-        votes, levels = self.calibration
-        value = float(np.interp(self.share(near), votes, levels)) if len(votes) else self.empty
-        return value, [int(self.ids[e]) for _, e in near], [round(s, 6) for s, _ in near]
+        known = self.chosen.known
+        if key not in known:
+            told = self.chosen.told(at, weights, levels[0])
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[key] = told
+        return known[key]
 
 
 class Whole(Index):
@@ -205,7 +215,7 @@ class Whole(Index):
 
     def __getstate__(self) -> dict:
         """For the broadcast: dense rows are laid out anew where they are used."""
-        return self.__dict__ | {"common": None, "example": self.example.astype(np.min_scalar_type(len(self.labels)))}
+        return self.__dict__ | {"common": None, "codes": None, "example": self.example.astype(np.min_scalar_type(len(self.labels)))}
 
     def dense(self) -> np.ndarray:
         if self.common is None:
@@ -215,9 +225,6 @@ class Whole(Index):
                 self.common[self.row[t], self.example[at]] = self.weight[at]
         return self.common
 
-    def lengths(self) -> np.ndarray:
-        return np.diff(self.first)
-
     def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         row = self.row[at]
         rare = row < 0
@@ -232,89 +239,138 @@ class Whole(Index):
         return list(zip(scores[some].tolist(), some.tolist(), strict=True))
 
 
-def _whole(rows: DataFrame, picked: list[tuple[int, int]]) -> Whole:
-    """The index over all terms of the examples, of which those ``picked``
-    (doc_id, label) have no other; their votes are what it is calibrated on."""
-    code, number, parts = {}, {}, []
-    for r in rows.where("term = ''").select("doc_id", "label", "words", "counts").orderBy("doc_id", "label").toLocalIterator():
-        e = number.setdefault((r.doc_id, r.label), len(number))
-        got = np.array([code.setdefault(t, len(code)) for t in r.words.split()], np.int32)
-        parts.append((np.full(len(got), e, np.int32), got, np.frombuffer(r.counts, np.int32)))
-    ids, ys = np.array([i for i, _ in number], np.int64), np.array([y for _, y in number], np.int64)
-    vocabulary = sorted(code)
-    place = np.zeros(len(code), np.int32)
-    place[[code[t] for t in vocabulary]] = np.arange(len(code))
-    example, term, n = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.int32)]) for k in range(3))
-    del code, parts
-    term = place[term]
-    by = np.lexsort((n, term, example))
-    example, term, n = example[by], term[by], n[by]
-    last = (np.diff(example, append=-1) != 0) | (np.diff(term, append=-1) != 0)  # an id with several texts: the larger count
-    example, term, n = example[last], term[last], n[last]
-    idf = np.log((1 + len(ids)) / (1 + np.bincount(term, minlength=len(vocabulary)))) + 1
-    weight = (1 + np.log(n)) * idf[term]
-    weight /= np.sqrt(np.bincount(example, weight * weight, len(ids)))[example]
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [terms(t or "") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("e"), pa.array([list(x) for x in found], pa.list_(pa.string())),
+                                          pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["e", "terms", "counts"])
+
+
+def _postings(weights: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(example, term, weight) of all entries, fetched a range of terms at a time."""
+    parts, rows, at = [], weights.select("code", "e", "w"), 0
+    while at < size:
+        part = rows.where((F.col("code") >= at) & (F.col("code") < at + FETCHED)).toArrow()
+        parts.append(tuple(part.column(c).to_numpy().astype(t) for c, t in (("e", np.int32), ("code", np.int32), ("w", np.float64))))
+        del part
+        at += FETCHED
+    return tuple(np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int32) for k in range(3))
+
+
+def _unit(example: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    return weight / np.sqrt(np.bincount(example, weight * weight, n))[example]
+
+
+class Scorer:
+    """The broadcast Model and its Levels, as tasks use them."""
+
+    def __init__(self, sent, levels: tuple[Levels, Levels]):
+        self.sent, self.levels = sent, levels
+
+    def score(self, text: str) -> tuple[float, list[int], list[float]]:
+        return self.sent.value.score(text, self.levels)
+
+    @property
+    def vocabulary(self) -> dict[str, int]:
+        return self.sent.value.chosen.vocabulary
+
+    @property
+    def labels(self) -> np.ndarray:
+        return self.sent.value.chosen.labels
+
+
+def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Scorer:
+    """The index of the labelled examples, calibrated.
+
+    Spark counts the terms of the examples, numbers them and weighs them. The
+    driver gets the numbers of the index as arrays, a range of terms at a time,
+    and the terms as one Arrow column: all bounded by ``examples``. The votes
+    for the calibration are searched on executors through the broadcast index."""
+    spark = docs.sparkSession
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label"))
+    # at most ``examples`` rows are numbered in one window
+    number = F.row_number().over(Window.orderBy("doc_id", "label")) - 1
+    sample = F.broadcast(least_hashes(known, examples, "doc_id", "label").distinct())
+    picked = checkpoint(docs.select("doc_id").join(sample, "doc_id").distinct().withColumn("e", number))
+    found = picked.orderBy("e").toArrow()
+    ids, ys = found.column("doc_id").to_numpy(), found.column("label").to_numpy().astype(float)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("e", "text")
+    counted = texts.mapInArrow(_counts, "e int, terms array<string>, counts array<int>")
+    # an id with several texts: the larger count
+    entries = checkpoint(counted.select("e", F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("e", F.col("x.terms").alias("term"))
+                         .agg(F.max("x.counts").alias("n")))
+    by_term = (entries.join(F.broadcast(picked.select("e", "label")), "e").groupBy("term")
+               .agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")))
+    vocabulary = checkpoint(dense_index(by_term, ["term"], out="code"))
+    total, ones = len(ids), int(ys.sum())
+    weight = (1 + F.log("n")) * (F.log(F.lit(1.0 + total) / (1 + F.col("a") + F.col("b"))) + 1)
+    weights = checkpoint(entries.join(vocabulary, "term").select("code", "e", weight.alias("w")).repartitionByRange("code"))
+    listed = vocabulary.orderBy("code").select("term", "a", "b").toArrow()
+    words, a, b = listed.column("term").combine_chunks(), *(listed.column(c).to_numpy().astype(float) for c in "ab")
+    idf = np.log((1 + total) / (1 + a + b)) + 1
+    # the terms that tell the labels apart
+    g = np.where(a + b >= LEAST_ROWS, _g(a, b, ones, total - ones), 0) if 0 < ones < total else np.zeros(len(a))
+    best = np.lexsort((np.arange(len(g)), -g))[:TERMS]
+    telling = np.sort(best[g[best] >= LEAST_G])
+    example, term, weight = _postings(weights, len(words))
+    model = Model(_part(words.take(pa.array(telling)), idf[telling], example, term, weight, telling, ys, ids),
+                  _part(words, idf, example, term, weight, None, ys, ids))
+    has, told = np.bincount(example, minlength=total) > 0, np.zeros(total, bool)
+    told[example[np.isin(term, telling)]] = True
+    del example, term, weight
+    sent = spark.sparkContext.broadcast(model)
+    del model
+    chosen, rest = _spread(np.flatnonzero(told)), _spread(np.flatnonzero(has & ~told))
+    votes = _votes(weights, sent, {int(e): 0 for e in chosen} | {int(e): 1 for e in rest}, {int(t): k for k, t in enumerate(telling)}, ids, ys)
+    empty = (ys[~told].sum() + 0.5) / ((~told).sum() + 10), (ys[~has].sum() + 0.5) / ((~has).sum() + 10)
+    levels = tuple(Levels([(v, ys[e]) for which, e, v in votes if which == k], float(empty[k])) for k in (0, 1))
+    return Scorer(sent, levels)
+
+
+def _part(words: pa.Array, idf: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray, telling: np.ndarray | None,
+          ys: np.ndarray, ids: np.ndarray) -> Index:
+    """The index over some terms, or over all; examples without any are not in it."""
+    if telling is not None:
+        keep = np.isin(term, telling)
+        example, term, weight = example[keep], np.searchsorted(telling, term[keep]).astype(np.int32), weight[keep]
     full = np.bincount(example, minlength=len(ids)) > 0
-    index = Whole(vocabulary, idf, ((np.cumsum(full) - 1)[example], term, weight), ys[full].astype(float), ids[full])
-    wanted = set(picked)
-    index.calibrate(ys[~full].tolist(), np.array([e for e, x in enumerate(zip(index.ids.tolist(), index.labels.tolist(), strict=True)) if x in wanted], np.int64))
-    index.common = None
-    return index
-
-
-def build(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> Index:
-    """Spark counts the terms of the examples by label; the driver gets at most
-    TERMS that tell the labels apart, and the examples' counts of all terms."""
-    picked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
-              .select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(examples))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, y, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
-                found = terms(text or "")
-                out.append((doc_id, y, "", 1, " ".join(found), np.array(list(found.values()), np.int32).tobytes()))
-                out += [(doc_id, y, t, n, None, None) for t, n in found.items()]
-                if len(out) > 100_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
-
-    columns = ["doc_id", "label", "term", "n", "words", "counts"]  # the last two: all of an example's terms, in the row of the term ""
-    rows = checkpoint(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")
-                      .mapInPandas(count, "doc_id long, label int, term string, n long, words string, counts binary"))
-    sizes = {r.label: r["count"] for r in rows.where("term = ''").groupBy("label").count().collect()}
-    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    by_term = rows.where("term <> ''").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    # a term in r rows reaches LEAST_G only if its label rows are this far from even
-    rate = ones / max(ones + zeros, 1)
-    uneven = F.abs(F.col("a") - rate * (F.col("a") + F.col("b"))) / F.sqrt(rate * (1 - rate) * (F.col("a") + F.col("b")) + 1e-9)
-    table = (by_term.where(F.col("a") + F.col("b") >= LEAST_ROWS).orderBy(uneven.desc(), "term").limit(2 * TERMS).toPandas()
-             if ones and zeros else pd.DataFrame({"term": [], "a": [], "b": []}))
-    table["g"] = _g(table["a"], table["b"], ones, zeros) if len(table) else []
-    table = table[table["g"] >= LEAST_G].sort_values(["g", "term"], ascending=[False, True]).head(TERMS)
-    vocabulary = table["term"].tolist()
-    idf = np.log((1 + ones + zeros) / (1 + table["a"].to_numpy(float) + table["b"].to_numpy(float))) + 1
-    at = {t: i for i, t in enumerate(vocabulary)}
-    wanted = docs.sparkSession.createDataFrame([(t,) for t in ["", *vocabulary]], "term string")
-    own: dict[tuple[int, int], dict[int, float]] = {}
-    for r in rows.join(F.broadcast(wanted), "term").select("doc_id", "label", "term", "n").distinct().orderBy("doc_id", "label", "term").toPandas().itertuples(index=False):
-        known = own.setdefault((r.doc_id, r.label), {})
-        if r.term:
-            known[at[r.term]] = (1 + np.log(r.n)) * idf[at[r.term]]
-    vectors, ys, ids, empty = [], [], [], {}
-    for (doc_id, y), known in own.items():
-        if not known:
-            empty[(doc_id, y)] = float(y)
-            continue
-        length = np.sqrt(sum(w * w for w in known.values()))
-        vectors.append({t: w / length for t, w in known.items()})
-        ys.append(float(y))
-        ids.append(doc_id)
-    index = Index(vocabulary, idf, vectors, np.array(ys), np.array(ids, dtype=np.int64))
-    index.calibrate(list(empty.values()))
-    index.whole = _whole(rows, list(empty))
-    return index
+    place = (np.cumsum(full) - 1).astype(np.int32)
+    return (Whole if telling is None else Index)(words, idf, (place[example], term, _unit(example, weight, len(ids))), ys[full], ids[full])
+
+
+def _spread(among: np.ndarray) -> np.ndarray:
+    """At most CALIBRATED of them, spread evenly."""
+    return among[::-(-len(among) // CALIBRATED) or 1]
+
+
+def _votes(weights: DataFrame, sent, which: dict[int, int], telling: dict[int, int], ids: np.ndarray, ys: np.ndarray) -> list[tuple[int, int, float]]:
+    """(index, example, vote) of examples that are left out of their own search."""
+    spark = weights.sparkSession
+    if not which:
+        return []
+    asked = F.broadcast(spark.createDataFrame([(e, k) for e, k in which.items()], "e int, which int"))
+    entries = weights.join(asked, "e")
+    if telling:  # of the first index, only its own terms
+        own = F.broadcast(spark.createDataFrame([(c, k) for c, k in telling.items()], "code long, place int"))
+        entries = entries.join(own, "code", "left").where("which = 1 OR place IS NOT NULL")
+    else:
+        entries = entries.withColumn("place", F.lit(None).cast("int"))
+    rows = entries.groupBy("which", "e").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("which") == 0, F.col("place").cast("long"))
+                                                                                  .otherwise(F.col("code")).alias("at"), "w"))).alias("x"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for r in batch.to_pylist():
+                index = sent.value.whole if r["which"] else sent.value.chosen
+                at, w = np.array([x["at"] for x in r["x"]]), np.array([x["w"] for x in r["x"]])
+                near = index.nearest(at, w / np.sqrt(w @ w), index.number(r["e"], ids, ys))
+                if near:
+                    out.append((r["which"], r["e"], index.share(near)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64()))],
+                                             names=["which", "e", "vote"])
+
+    return [tuple(r) for r in rows.mapInArrow(vote, "which int, e int, vote double").collect()]
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, cosines array<double>"
@@ -330,11 +386,11 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
     of unknown terms only have no neighbours and get the rate of label 1 among
     examples without terms. Repeated rows repeat; null ids are never examples. Texts never
     move: the index, of bounded size, is broadcast."""
-    index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
+    scorer = build(docs, labels, label, examples)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            told = [index.value.score(text or "") for text in batch.column("text").to_pylist()]
+            told = [scorer.score(text or "") for text in batch.column("text").to_pylist()]
             new = [pa.array([x[0] for x in told], pa.float64()), pa.array([int(x[0] >= CUT) for x in told], pa.int32()),
                    pa.array([x[1] for x in told], pa.list_(pa.int64())), pa.array([x[2] for x in told], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new],
@@ -345,10 +401,10 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
     """The rows of ``docs`` whose text scores below CUT, all columns kept."""
-    index = docs.sparkSession.sparkContext.broadcast(build(docs, labels, label, examples))
+    scorer = build(docs, labels, label, examples)
 
     def keep(texts: pa.Array) -> pa.Array:
         parts = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
-        return pa.array([index.value.score(text or "")[0] < CUT for part in parts for text in part], pa.bool_())
+        return pa.array([scorer.score(text or "")[0] < CUT for part in parts for text in part], pa.bool_())
 
     return docs.where(F.arrow_udf(keep, "boolean")(F.col("text")))
