@@ -39,8 +39,10 @@ MANTISSA = 10
 SMALLEST, BUCKETS = 12, 3
 #: An estimate may lie this many standard errors under the similarity (a chance of 1e-9) and is verified.
 ERRORS = 6.0
-#: Members that share a task with their pivot.
-FAN = 1_024
+#: Bands that a pair must share: two of 48 are missed at a similarity of 0.8 with a chance of 4e-10.
+VOTES = 2
+#: Members that share a task with their pivot, and bytes of row names up to which they are broadcast to find their texts.
+FAN, BROADCAST_BYTES = 1_024, 64 << 20
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 18
 
@@ -176,15 +178,8 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")]
 
 
-def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts that stand for some sets, once each: ``wanted`` has (id, hash) of one row of the set."""
-    return rows.join(wanted, rows["id"].eqNullSafe(wanted["_id"]) & (rows["hash"] == wanted["_hash"])).drop("id", "hash", "_id", "_hash")
-
-
-def _estimated(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b, cls) whose registers do not rule a link out."""
-    side = lambda x: sketches.select(F.col("node").alias(x), "cls", F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
-
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -196,55 +191,55 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFr
             may = estimate(*regs, n, k, m) >= s - ERRORS * np.sqrt(s * (1 - s) / REGISTERS)
             yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    joined = pairs.join(side("a"), ["a", "cls"]).join(side("b"), ["b", "cls"])
+    def side(x: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketches").alias(f"s_{x}"))
+
+    def regs(x: str) -> Column:
+        return F.filter(f"s_{x}", lambda r: r["cls"] == F.col("cls"))[0]["regs"].alias(f"regs_{x}")
+
+    one = pairs.join(side("a"), "a").select("a", "b", "cls", "n_a", regs("a"))
     # sizes alone rule out many
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
-    return joined.where(near).select("a", "b", "cls", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(keep, "a long, b long")
+    both = one.join(side("b"), "b").where(near).select("a", "b", "cls", "n_a", "n_b", "regs_a", regs("b"))
+    return both.mapInArrow(keep, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: int, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar.
 
-    ``a`` is the pivot: its set goes to as many tasks as its partners need, each
-    partner's set to one of them, where they stream past it. A task holds one
-    pivot's set and a slice of partners."""
+    ``a`` is the pivot: its text goes to as many tasks as its partners need,
+    each partner's to one of them, where they stream past it. A task holds one
+    pivot's set and a slice of partners. Only texts that take part move, once
+    for each part they play, as long as their names fit a broadcast."""
+    pairs = checkpoint(pairs)
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).alias("parts"))
     member = pairs.join(fan, "a").select(F.col("b").alias("node"), F.col("a").alias("pivot"),
                                          F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).alias("kind"))
     head = fan.select(F.col("a").alias("node"), F.col("a").alias("pivot"),
                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
-    roles = (member.unionByName(head).groupBy("node").agg(F.collect_list(F.struct("pivot", "part", "kind")).alias("roles"))
-             .join(nodes.select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "node"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for batch in slices(batches):
-            h, offsets = shingle_sets(batch.column("text").to_pylist(), known, size)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("roles"),
-                 pa.array([h[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())], names=["node", "roles", "shingles"])
+    wanted = checkpoint(member.unionByName(head).join(nodes.select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "node"))
+    if wanted.count() * 48 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, None
+        known, held = Words(), None
         for batch in slices(batches):
-            a, b = [], []
-            for r in batch.to_pylist():
-                mine = np.frombuffer(r["shingles"], np.uint64)
-                if r["kind"] == 0:
-                    pivot, held = r["pivot"], mine
+            h, offsets = shingle_sets(batch.column("text").to_pylist(), known, size)
+            links: list[tuple[int, int]] = []
+            for node, pivot, kind, at, end in zip(*(batch.column(c).to_pylist() for c in ("node", "pivot", "kind")), offsets, offsets[1:]):
+                mine = h[at:end]
+                if kind == 0:
+                    held = mine
                     continue
                 both = len(np.intersect1d(held, mine, assume_unique=True))
                 if 100 * both >= similarity * (len(held) + len(mine) - both):
-                    a.append(pivot)
-                    b.append(r["node"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    links.append((pivot, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sized = (_texts(rows, roles).select("node", "roles", "text")
-             .mapInArrow(sets, "node long, roles array<struct<pivot:long,part:long,kind:int>>, shingles binary"))
-    met = (sized.select("node", F.explode("roles").alias("r"), "shingles").select("node", "r.*", "shingles")
-           .repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", "kind"))
-    return checkpoint(met.select("node", "pivot", "kind", "shingles").mapInArrow(compare, "a long, b long"))
+    met = rows.join(wanted, rows["id"].eqNullSafe(wanted["_id"]) & (rows["hash"] == wanted["_hash"])).select("node", "pivot", "part", "kind", "text")
+    sorted_ = met.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", "kind").select("node", "pivot", "kind", "text")
+    return checkpoint(sorted_.mapInArrow(compare, "a long, b long"))
 
 
 def links(nodes: DataFrame, rows: DataFrame, *, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
@@ -255,27 +250,27 @@ def links(nodes: DataFrame, rows: DataFrame, *, similarity: int = SIMILARITY, si
     not connected yet are compared. In a band where most sets are connected by
     then, only the others are paired with the rest, so a large group of near
     copies never gives its pairs."""
-    sketches = nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.*")
-    banded = sketches.select("node", "cls", F.explode(_bands(F.col("regs"), F.col("cls"))).alias("key"))
+    banded = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.cls", F.explode(_bands(F.col("s.regs"), F.col("s.cls"))).alias("key"))
     shared = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
               .where("pivot < other").select("key", "pivot"))
     met = checkpoint(banded.join(shared, "key"))
-    votes = met.where("node <> pivot").groupBy("node", "pivot", "cls").agg(F.count(F.lit(1)).alias("votes"))
+    votes = met.where("node <> pivot").groupBy("node", "pivot", "cls").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
     best = votes.groupBy("node").agg(F.max(F.struct("votes", -F.col("pivot"), "cls", "pivot")).alias("x"))
     firsts = best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b"), "x.cls")
-    found = _verified(_estimated(firsts, sketches, similarity), nodes, rows, similarity, size)
+    found = _verified(_estimated(firsts, nodes, similarity), nodes, rows, similarity, size)
     grouped = components(found)
-    named = checkpoint(met.join(grouped, "node", "left").select("key", "cls", "node", F.coalesce("component", "node").alias("comp")))
+    named = met.join(grouped, "node", "left").select("key", "cls", "node", F.coalesce("component", "node").alias("comp"))
+    named = checkpoint(named)
     crowd = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
     most = (crowd.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.count(F.lit(1)).alias("kinds"))
             .where("kinds > 1").select("key", F.col("m.comp").alias("main")))
-    mixed = checkpoint(named.join(most, "key"))
+    mixed = named.join(most, "key")
     few = mixed.where("comp <> main").select("key", "cls", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    rest = (few.join(mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_main")), "key")
-            .where("comp_a <> comp_b AND (in_main OR a < b)").select("a", "b", "cls").groupBy("a", "b").agg(F.min("cls").alias("cls")))
-    rest = rest.join(firsts.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti") \
-        .join(firsts.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(_estimated(rest, sketches, similarity), nodes, rows, similarity, size)
+    others = mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_main"))
+    rest = (few.join(others, "key").where("comp_a <> comp_b AND (in_main OR a < b)").groupBy("a", "b", "cls")
+            .agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.min("cls").alias("cls")))
+    tried = firsts.select("a", "b").unionByName(firsts.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = _verified(_estimated(rest.join(tried, ["a", "b"], "left_anti"), nodes, similarity), nodes, rows, similarity, size)
     return found.unionByName(more)
 
 
@@ -297,11 +292,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(*_row_key(docs, id_col, text_col))
     sketched = checkpoint(rows.mapInArrow(lambda b: _sketch(b, size), "id long, hash long, n long, key binary, "
                                                                       "sketches array<struct<cls:int,regs:binary>>"))
-    nodes = (sketched.where("n > 0").groupBy("key").agg(F.min(F.struct(null_last("id", 0).alias("id"), "hash")).alias("first"), F.any_value("n").alias("n"),
-                                                        F.any_value("sketches").alias("sketches")))
-    # numbers that hold, as they are read from what was written
-    nodes = checkpoint(checkpoint(nodes).select(F.monotonically_increasing_id().alias("node"), "key", "n", F.col("first.id").alias("first"),
-                                                F.when(~F.col("first.id.n"), F.col("first.id.v")).alias("id"), F.col("first.hash").alias("hash"), "sketches"))
+    # the row number that stands for a set holds, as it is read from what was written
+    numbered = sketched.where("n > 0").withColumn("row", F.monotonically_increasing_id())
+    firsts = numbered.groupBy("key").agg(F.min("row").alias("node"), F.min(F.struct(null_last("id", 0).alias("id"), "hash")).alias("first"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = numbered.select("row", "n", "sketches").repartition(parts, "row").join(firsts, F.col("row") == F.col("node"))
+    nodes = checkpoint(sets.select("node", "key", "n", F.col("first.id").alias("first"), F.when(~F.col("first.id.n"), F.col("first.id.v")).alias("id"),
+                                   F.col("first.hash").alias("hash"), "sketches"))
     marked = sketched.drop("sketches")
     found = components(links(nodes, rows, similarity=similarity, size=size))
     joined = nodes.join(found, "node", "left").select("key", "first", F.coalesce("component", "node").alias("component"))
