@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordering import dense_index
+from ..operators.ordering import BROADCAST_BYTES, dense_index
 from ..session import checkpoint
 from .common import null_last
 
@@ -127,6 +127,12 @@ def _stages(nodes: DataFrame, depth: int) -> list[DataFrame]:
     return stages
 
 
+def _by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows with what is known of their source; a hot source's rows stay where they are if the sources fit a broadcast."""
+    width = sources.agg(F.sum(F.octet_length("name") + 128)).first()[0] or 0
+    return rows.join(F.broadcast(sources) if width <= BROADCAST_BYTES else sources, GROUP)
+
+
 def _with_ways(nodes: DataFrame, ways: DataFrame, depth: int) -> DataFrame:
     return _grouped(nodes, depth).join(ways.withColumnRenamed("idx", "block"), [*GROUP, "block"])
 
@@ -186,7 +192,7 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = FIELDS, id_col: str = "
     rows = docs.select((~source["n"]).alias("flag"), source["v"].cast("string").alias("name"), F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        found.alias("digest"), other.alias("other"))
     leaves = checkpoint(dense_index(rows, ["doc_id", "digest", "other"], group_by=GROUP))
-    leaves = leaves.join(leaves.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")), GROUP)
+    leaves = _by_source(leaves, checkpoint(leaves.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))))
     stages = _stages(leaves.select(*GROUP, "idx", "n", "digest"), depth)
     # the tree over subroots is one group of its own
     subroots = checkpoint(dense_index(stages[-1].select(*GROUP, F.col("digest").alias("subroot")), GROUP, out="nth"))
@@ -200,7 +206,7 @@ def manifest(docs: DataFrame, *, fields: Sequence[str] = FIELDS, id_col: str = "
     ways = subroots.join(ways.select(F.col("idx").alias("nth"), "way"), "nth").select(*GROUP, F.lit(0).cast("long").alias("idx"), "way")
     for stage in reversed(stages[1:-1]):
         ways = _stage_down(stage, ways, depth)
-    return _fold(leaves.join(subroots.drop("nth"), GROUP), ways, top.digest if top else "", proofs, depth)
+    return _fold(_by_source(leaves, subroots.drop("nth")), ways, top.digest if top else "", proofs, depth)
 
 
 _CRC = ("list_reduce(list_prepend(4294967295::BIGINT, [unicode(c)::BIGINT for c in string_split(doc_id::VARCHAR, '')]), "
