@@ -245,15 +245,19 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: i
 def links(nodes: DataFrame, rows: DataFrame, *, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(a, b): enough of the verified links between distinct sets to connect all that any of them connect.
 
-    First every set is compared with one pivot, the least set of the bands it is
-    in that shares most bands with it. Then all pairs that share a band and are
+    First every set is compared with one pivot, the set that shares most bands
+    with it among those that stand for the bands it is in. Then all pairs that share a band and are
     not connected yet are compared. In a band where most sets are connected by
     then, only the others are paired with the rest, so a large group of near
     copies never gives its pairs."""
     banded = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.cls", F.explode(_bands(F.col("s.regs"), F.col("s.cls"))).alias("key"))
-    shared = (banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other"))
-              .where("pivot < other").select("key", "pivot"))
-    met = checkpoint(banded.join(shared, "key"))
+    # how many share a band, and how many a set meets in all of its bands: the text that a family was
+    # copied from shares bands with most of it, so it becomes their pivot
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = checkpoint(banded.join(shared, "key"))
+    standing = crowded.groupBy("node").agg(F.sum("members").alias("met"))
+    ranked = crowded.join(standing, "node").groupBy("key").agg(F.max(F.struct("met", -F.col("node"), "node"))["node"].alias("pivot"))
+    met = checkpoint(crowded.drop("members").join(ranked, "key"))
     votes = met.where("node <> pivot").groupBy("node", "pivot", "cls").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
     best = votes.groupBy("node").agg(F.max(F.struct("votes", -F.col("pivot"), "cls", "pivot")).alias("x"))
     firsts = best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b"), "x.cls")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +79,10 @@ class Index:
         first = first[np.flatnonzero(np.diff(example[first], prepend=-1))]
         order = np.lexsort((term[first], labels))  # like to like: tight blocks
         del first
-        self.words, self.codes = vocabulary, None
+        self.words = vocabulary
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in self._terms()), np.uint64, len(vocabulary))
+        self.code = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.code]
         self.idf, self.labels, self.ids = idf, labels[order].astype(float), ids[order]
         self.blocks = -(-len(order) // BLOCK)
         example = np.argsort(order)[example].astype(np.int32)
@@ -92,21 +96,28 @@ class Index:
         self.first = np.searchsorted(term[new], np.arange(len(vocabulary) + 1)).astype(np.int32)  # block of a term
         self.known: dict = {}
 
+    def _terms(self) -> list[str]:
+        return self.words if isinstance(self.words, list) else self.words.to_pylist()
+
     @property
     def vocabulary(self) -> dict[str, int]:
-        """Term to code; laid out where it is used, not on the driver."""
-        if self.codes is None:
-            words = self.words if isinstance(self.words, list) else self.words.to_pylist()
-            self.codes = {t: i for i, t in enumerate(words)}
-        return self.codes
+        return {t: i for i, t in enumerate(self._terms())}
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order and unit weights (1 + log tf) * idf; both empty if no term is known."""
-        got = sorted((self.vocabulary[t], n) for t, n in counts.items() if t in self.vocabulary)
-        if not got:
+        """Terms in order and unit weights (1 + log tf) * idf; both empty if no
+        term is known. Terms are found by a 64-bit hash, in a sorted array: a dict
+        of them would take a task some twenty times the memory."""
+        if not len(counts) or not len(self.hashes):
             return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([t for t, _ in got])
-        w = (1 + np.log([n for _, n in got])) * self.idf[at]
+        asked = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
+        place = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        known = self.hashes[place] == asked
+        at = self.code[place[known]].astype(np.int64)
+        if not len(at):
+            return at, np.zeros(0)
+        n = np.fromiter(counts.values(), np.float64, len(counts))[known]
+        order = np.argsort(at)
+        at, w = at[order], ((1 + np.log(n)) * self.idf[at])[order]
         return at, w / np.sqrt(w @ w)
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
@@ -215,11 +226,11 @@ class Whole(Index):
 
     def __getstate__(self) -> dict:
         """For the broadcast: dense rows are laid out anew where they are used."""
-        return self.__dict__ | {"common": None, "codes": None, "example": self.example.astype(np.min_scalar_type(len(self.labels)))}
+        return self.__dict__ | {"common": None, "words": [], "weight": self.weight.astype(np.float32), "example": self.example.astype(np.min_scalar_type(len(self.labels)))}
 
     def dense(self) -> np.ndarray:
         if self.common is None:
-            self.common = np.zeros((np.count_nonzero(self.row >= 0), len(self.labels)))
+            self.common = np.zeros((np.count_nonzero(self.row >= 0), len(self.labels)), np.float32)
             for t in np.flatnonzero(self.row >= 0):
                 at = slice(self.first[t], self.first[t + 1])
                 self.common[self.row[t], self.example[at]] = self.weight[at]
@@ -230,7 +241,7 @@ class Whole(Index):
         rare = row < 0
         sizes = self.first[at[rare] + 1] - self.first[at[rare]]
         posting = _runs(self.first[at[rare]], sizes)
-        scores = weights[~rare] @ self.dense()[row[~rare]]
+        scores = weights[~rare].astype(np.float32) @ self.dense()[row[~rare]]
         scores = scores + np.bincount(self.example[posting], np.repeat(weights[rare], sizes) * self.weight[posting], len(self.labels))
         if without >= 0:
             scores[without] = 0
