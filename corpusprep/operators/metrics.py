@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows, map_with
+from ..session import checkpoint
+from . import exact
 from .ordering import dense_index
 
 N_BUCKETS = 10
@@ -52,32 +54,14 @@ def smoothed_ce(lp: Column, target: Column, eps: float) -> Column:
     return F.lit(1.0 - eps) * nll + F.lit(eps) * smooth
 
 
-EXACT = "decimal(38,12)"
-#: Below this size every value has its full precision in EXACT or is finer than it needs.
-_COARSEST, _LARGEST = 1e-6, 1e20
-
-
-def exact_sum(c: Column) -> Column:
-    """Sum as a double. Ordinary values are accumulated in DECIMAL, so the
-    result does not depend on partitioning or merge order; what DECIMAL cannot
-    hold (NaN, infinities, very large and very small values) is added as
-    doubles, so nothing is lost and a NaN or infinity shows."""
-    d = c.cast("double")
-    ordinary = ~F.isnan(d) & ((d == 0) | ((F.abs(d) >= _COARSEST) & (F.abs(d) < _LARGEST)))
-    exact = F.sum(F.when(ordinary, d.cast(EXACT))).cast("double")
-    rest = F.sum(F.when(~ordinary, d))
-    return F.when(exact.isNull(), rest).when(rest.isNull(), exact).otherwise(exact + rest)
-
-
 def meter(df: DataFrame, group: list[str], val: str, n: str | None, step: str) -> DataFrame:
     """A10: last value (by step), sum(val*n), count(n), weighted mean (the
-    reference divides blindly; an empty count gives NULL here)."""
+    reference divides blindly; an empty count gives NULL here). Sums are exact
+    by exponent bin, so they are bit-equal under any partitioning (``exact``)."""
     w = F.col(n) if n else F.lit(1)
-    return df.groupBy(*group).agg(
-        F.max_by(F.col(val), F.col(step)).alias("last"),
-        exact_sum(F.col(val) * w).cast("double").alias("sum"),
-        F.sum(w).alias("count"),
-    ).withColumn("avg", F.try_divide(F.col("sum"), F.col("count")))
+    parts = exact.bins(df, group, F.col(val) * w, [F.max(F.struct(F.col(step).alias("s"), F.col(val).alias("v"))).alias("_last"), F.sum(w).alias("_n")])
+    out = parts.groupBy(*group).agg(F.max("_last")["v"].alias("last"), exact.total("sum"), F.sum("_n").alias("count"))
+    return out.withColumn("avg", F.try_divide(F.col("sum"), F.col("count")))
 
 
 def step_index(df: DataFrame, series: str, order_by: list[str], out: str = "step") -> DataFrame:
@@ -122,59 +106,40 @@ def ema_series(df: DataFrame, series: str, step: str, val: str, **decay_kw) -> D
     return s.select(series, F.col("_i").alias(step), (F.col("_a") * F.col("_in") + F.col("_b")).alias("ema"))
 
 
+#: Steps that one row of the scan folds.
+CHUNK = 128
+
+
 def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk: int | None = None) -> DataFrame:
     """Prefix composition of affine maps ``x -> a x + b`` applied in ``idx``
     order within each series, starting from 0: adds ``_in`` = the value
     entering each row.
 
-    Blocked parallel scan: rows are cut into chunks of ``chunk`` consecutive
-    indices; each chunk is folded in one task (``applyInPandas``, at most
-    ``chunk`` rows) into local prefixes and one composed map; the composed
-    maps (one per chunk) are scanned the same way, recursively, until a
-    series has at most ``chunk`` of them. Every task sees at most ``chunk``
-    rows at every level; the folded chunks are checkpointed once and reused.
-    """
-    from itertools import accumulate
-
-    import numpy as np
-    import pandas as pd
-
-    from ..session import checkpoint
-
+    A blocked scan in built-in expressions: ``chunk`` consecutive steps are
+    gathered in a row and folded to their local prefixes and one composed map;
+    the composed maps are scanned the same way until a series has one chunk of
+    them, and the values that enter the chunks are handed back down. No task
+    holds a series at any level."""
     chunk = int(chunk or CHUNK)
-    d = maps.withColumn("_c", F.floor(F.col(idx) / F.lit(chunk)).cast("long"))
-    stype = dict(maps.dtypes)[series]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        maps_ = zip(pdf[a].tolist(), pdf[b].tolist(), strict=True)
-        q = list(accumulate(maps_, lambda v, m: m[0] * v + m[1], initial=0.0))  # values before each row, and after the last
-        p = np.cumprod(np.append(1.0, pdf[a].to_numpy()))
-        out = pdf[[series, idx, "_c", a, b]].copy()
-        out["_q"], out["_p"] = q[:-1], p[:-1]
-        out["_ma"], out["_mb"] = p[-1], q[-1]   # the chunk's composed map, on every row
-        return out
-
-    schema = f"{series} {stype}, {idx} long, _c long, {a} double, {b} double, _q double, _p double, _ma double, _mb double"
-    folded = checkpoint(d.select(series, idx, "_c", a, b).groupBy(series, "_c").applyInPandas(fold, schema))
-    summary = folded.select(series, "_c", "_ma", "_mb").dropDuplicates([series, "_c"])
-    n_chunks = summary.groupBy(series).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if n_chunks <= chunk:
-        def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_c")
-            before = accumulate(zip(pdf["_ma"].tolist(), pdf["_mb"].tolist(), strict=True), lambda v, m: m[0] * v + m[1], initial=0.0)
-            return pd.DataFrame({series: pdf[series].to_numpy(), "_c": pdf["_c"].to_numpy(), "_carry": list(before)[:-1]})
-        carries = summary.groupBy(series).applyInPandas(carry, f"{series} {stype}, _c long, _carry double")
+    d = maps.select(series, F.col(idx).alias("_i"), F.col(a).alias("_a"), F.col(b).alias("_b"), F.floor(F.col(idx) / F.lit(chunk)).alias("_c"))
+    line = F.array_sort(F.collect_list(F.struct("_i", "_a", "_b")))
+    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("q"),
+                     F.array().cast("array<struct<i:bigint,a:double,b:double,p:double,q:double>>").alias("out"))
+
+    def step(s, m):
+        here = F.struct(m["_i"].cast("long").alias("i"), m["_a"].alias("a"), m["_b"].alias("b"), s["p"].alias("p"), s["q"].alias("q"))
+        return F.struct((m["_a"] * s["p"]).alias("p"), (m["_a"] * s["q"] + m["_b"]).alias("q"), F.concat(s["out"], F.array(here)).alias("out"))
+
+    folded = checkpoint(d.groupBy(series, "_c").agg(line.alias("_x")).select(series, "_c", F.aggregate("_x", start, step).alias("_f")))
+    composed = folded.select(series, "_c", F.col("_f.p").alias("_p"), F.col("_f.q").alias("_q"))
+    if composed.groupBy(series).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        inner = affine_scan(composed, series, "_c", "_p", "_q", chunk=chunk)
+        entering = folded.join(inner.select(series, "_c", F.col("_in").alias("_carry")), [series, "_c"])
     else:
-        inner = affine_scan(summary.select(series, F.col("_c").alias("_ci"), F.col("_ma").alias("_ca"),
-                                           F.col("_mb").alias("_cb")),
-                            series, "_ci", "_ca", "_cb", chunk=chunk)
-        carries = inner.select(series, F.col("_ci").alias("_c"), F.col("_in").alias("_carry"))
-    res = folded.join(carries, [series, "_c"])
-    return res.select(series, idx, a, b, (F.col("_p") * F.col("_carry") + F.col("_q")).alias("_in"))
-
-
-CHUNK = 65536  # steps folded per task in the EMA scan
+        entering = folded.withColumn("_carry", F.lit(0.0))
+    each = entering.select(series, "_carry", F.explode("_f.out").alias("m"))
+    return each.select(series, F.col("m.i").alias(idx), F.col("m.a").alias(a), F.col("m.b").alias(b),
+                       (F.col("m.p") * F.col("_carry") + F.col("m.q")).alias("_in"))
 
 
 def coords_loss(atoms: DataFrame, true_xyz: list[str], pred_xyz: list[str], mask: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import exact as X
 from ..operators import metrics as A
 from . import inputs as I
 from .registry import register
@@ -68,8 +69,9 @@ def a12_weighted_mean(spark, sf):
     sample counts (the gather-then-mean over processes)."""
     m = _windowed(spark, sf)
     # sum(loss * n) / sum(n) with loss * n = the window's exact loss sum
-    out = m.groupBy("window").agg((A.exact_sum(F.col("sum")).cast("double") / F.sum("count")).alias("weighted_loss"),
-                                  F.sum("count").alias("n"))
+    parts = X.bins(m, ["window"], F.col("sum"), [F.sum("count").alias("_n")])
+    out = (parts.groupBy("window").agg(X.total("_s"), F.sum("_n").alias("n"))
+           .select("window", (F.col("_s") / F.col("n")).alias("weighted_loss"), "n"))
     return out.select(F.col("window").cast("bigint").alias("log_window"), R6(F.col("weighted_loss")).alias("weighted_loss"),
                       F.col("n").cast("bigint"))
 
