@@ -5,9 +5,9 @@ the source is row-local (tokens, P6 in long form, a stream-static broadcast
 join to the vocabulary, the deterministic diffusion mask), so the query is
 stateless and its output equals the batch result row for row.
 
-R2 keeps windowed meters over a metric stream (event-time windows with a
-watermark). R3 — resume without re-emitting — is the checkpoint location:
-a restarted query continues from the last committed offsets.
+R2 keeps windowed meters over a metric stream as mergeable parts, one set for
+each micro-batch. R3 — resume without re-emitting — is the checkpoint location
+between batches and a commit record for each batch within them (``sinks``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from ..functions import constants as K
 from ..functions import text as T
 from ..functions.rng import uniform
 from ..operators import tokens as TK
+from .sinks import WindowedMeters, merge_meters, partial_meters, start_committed
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -75,26 +76,24 @@ def start_featurise(spark: SparkSession, src: str, vocab: DataFrame, out: str, c
     return w.outputMode("append").start()
 
 
-def windowed_meters(events: DataFrame, *, window: str = "1 hour", watermark: str = "2 hours",
-                    series: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
-    """R2: per (series, event-time window) count, sum, mean and last value.
-    ``ts`` without zone is read as UTC (watermarks need a zoned timestamp)."""
-    # zone-less wall clock read as UTC whatever the session zone is
-    tz = events.sparkSession.conf.get("spark.sql.session.timeZone")
-    e = events.withColumn("_ts", F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz)).withWatermark("_ts", watermark)
-    g = e.groupBy(F.col(series).alias("series"), F.window("_ts", window).alias("w"))
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(38,12)")).cast("double").alias("sum"),
-                 F.max_by(F.col(value), F.struct("_ts", "event_id")).alias("last")) \
-            .select("series", F.unix_timestamp(F.col("w.start")).alias("window_start"), "n", "sum",
-                    (F.col("sum") / F.col("n")).alias("avg"), "last")
+def windowed_meters(events: DataFrame, *, window: str = "1 hour", series: str = "event_type",
+                    value: str = "value", ts: str = "ts") -> DataFrame:
+    """R2 as a batch: per (series, event-time window) count, exact sum, mean and
+    last value. ``ts`` without zone is read as UTC."""
+    return merge_meters(partial_meters(events, window=window, series=series, value=value, ts=ts))
 
 
 def start_windowed_meters(spark: SparkSession, src: str, out: str, checkpoint: str, *, window: str = "1 hour",
-                          watermark: str = "2 hours", max_bytes_per_trigger: int = BATCH_BYTES) -> StreamingQuery:
-    """R2 as a running job in append mode: a window is written once, when the
-    watermark has passed its end, and its state is freed. Windows still open
-    when the stream stops stay in the checkpoint for the next start."""
+                          lateness: str = "2 hours", max_bytes_per_trigger: int = BATCH_BYTES) -> StreamingQuery:
+    """R2 as a running job: every micro-batch commits its mergeable parts, so
+    the meters are complete whatever order and size batches have
+    (``sinks.WindowedMeters``)."""
     stream = read_shard_stream(spark, src, EVENT_SCHEMA, max_bytes_per_trigger=max_bytes_per_trigger)
-    meters = windowed_meters(stream, window=window, watermark=watermark)
-    return (meters.writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return WindowedMeters(out, window=window, lateness=lateness).start(stream, checkpoint)
+
+
+def start_featurise_committed(spark: SparkSession, src: str, vocab: DataFrame, out: str, checkpoint: str, *, seq_len: int = 512,
+                              max_len: int = 512, max_bytes_per_trigger: int = BATCH_BYTES, rng: str = "fast", hook=None) -> StreamingQuery:
+    """R1 into committed batches (R3): a batch that fails half way gives each row once after a restart."""
+    stream = read_shard_stream(spark, src, DOCUMENT_SCHEMA, max_bytes_per_trigger=max_bytes_per_trigger)
+    return start_committed(featurise(stream, vocab, seq_len=seq_len, max_len=max_len, rng=rng), out, checkpoint, hook=hook)

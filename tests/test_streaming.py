@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusprep.plans import inputs as I
 from corpusprep.session import table
 from corpusprep.streaming import feeds as R
+from corpusprep.streaming.sinks import WindowedMeters
 
 
 def _tmp(name):
@@ -44,9 +45,14 @@ def test_windowed_meters_equal_batch(spark, smoke_dir):
     src, out, ckpt = _tmp("ev"), _tmp("meters") + "/o", _tmp("ckpt2") + "/c"
     ev.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(src + "/in")
     R.start_windowed_meters(spark, src + "/in", out, ckpt).awaitTermination()
-    got = spark.read.parquet(out)
-    # a window is written when the watermark, two hours behind the last event, has passed its end
-    last = ev.agg(F.unix_timestamp(F.max("ts").cast("timestamp"))).first()[0]
-    batch = R.windowed_meters(ev).where(F.col("window_start") + 3600 <= last - 7200)
+    meters = WindowedMeters(out)
+    batch = R.windowed_meters(ev)
+    got = meters.current(spark)
     assert got.count() == batch.count() > 0
-    assert got.select("series", "window_start", "n").exceptAll(batch.select("series", "window_start", "n")).count() == 0
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
+    # open windows are those that the watermark, two hours behind the last event, has not passed
+    last = ev.agg(F.unix_timestamp(F.max("ts").cast("timestamp"))).first()[0]
+    closed = batch.where(F.col("window_start") + 3600 <= last - 7200)
+    assert meters.closed(spark).exceptAll(closed).count() == closed.exceptAll(meters.closed(spark)).count() == 0
+    meters.finish(spark)
+    assert meters.closed(spark).count() == batch.count()
