@@ -2,8 +2,8 @@
 
 The vocabulary is a ``(token string, id int)`` table. Word ids come from
 corpus frequency (0 .. ``MAX_WORD_VOCAB``-1), special markers have fixed ids
-(``constants.SPECIAL_TOKENS``). Its size is bounded by ``max_size`` plus the
-specials, which is what makes the broadcast joins below safe.
+(``constants.SPECIAL_TOKENS``). Its size is checked before every broadcast; a
+larger one is looked up in two steps.
 """
 
 from __future__ import annotations
@@ -83,19 +83,54 @@ def extend_vocab(vocab: DataFrame, alphabet: DataFrame, token_col: str = "token"
     return ranked.select("token", (F.lit(int(base)) + 1 + F.col("_r")).cast("int").alias("id"))
 
 
+#: Up to this many bytes a vocabulary is broadcast whole; of a larger one, its most frequent tokens are.
+BROADCAST_BYTES = 64 << 20
+#: What a vocabulary row takes beside its token's bytes.
+ROW_BYTES = 48
+
+
+def broadcast_share(vocab: DataFrame, limit: int) -> tuple[int | None, int]:
+    """(cut, bytes): ids below ``cut`` fit a broadcast of ``limit`` bytes together
+    with the special tokens (None: all do). Ids follow frequency, so the tokens
+    below the cut are the most frequent ones. Sizes are counted, not assumed."""
+    wide = F.octet_length("token") + ROW_BYTES
+    size, most, ids = vocab.agg(F.sum(wide), F.max(wide), F.max("id")).first()
+    if (size or 0) <= limit:
+        return None, size or 0
+    # token widths are uneven: count bytes below candidate cuts, then take the largest that fits
+    cuts = sorted({int((ids + 1) * k / 64) for k in range(1, 65)} | {limit // most})
+    below = vocab.agg(*[F.sum(F.when(F.col("id") < c, wide)).alias(f"c{c}") for c in cuts]).first()
+    return max([c for c in cuts if (below[f"c{c}"] or 0) <= limit], default=0), size
+
+
+def _looked_up(rows: DataFrame, vocab: DataFrame, key: str, on: str, give: str, limit: int) -> DataFrame:
+    """``rows`` with ``_found``, the vocabulary's ``give`` where its ``on`` equals ``key``.
+
+    A vocabulary that fits is broadcast. Of a larger one the frequent ids and the
+    special tokens are, which settles nearly all rows in place; only rows of rare
+    tokens are shuffled, and no rare token is a hot key."""
+    v = vocab.select(F.col(on).alias("_on"), F.col(give).alias("_found"), F.col("id").alias("_vid"))
+    cut, _ = broadcast_share(vocab, limit)
+    if cut is None:
+        return rows.join(F.broadcast(v.drop("_vid")), F.col(key) == F.col("_on"), "left").drop("_on")
+    heavy = (F.col("_vid") < cut) | F.col("_vid").isin(*K.SPECIAL_TOKENS.values())
+    near = rows.join(F.broadcast(v.where(heavy).drop("_vid")), F.col(key) == F.col("_on"), "left").drop("_on")
+    open_ = F.col("_found").isNull() & F.col(key).isNotNull()
+    far = near.where(open_).drop("_found").join(v.where(~heavy).drop("_vid"), F.col(key) == F.col("_on"), "left").drop("_on")
+    return near.where(~open_).unionByName(far)
+
+
 def encode_long(token_rows: DataFrame, vocab: DataFrame, token_col: str = "token",
-                out: str = "token_id") -> DataFrame:
-    """T5 (long form): one row per token, id by broadcast lookup, unknown -> unk.
+                out: str = "token_id", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """T5 (long form): one row per token, its id looked up, unknown -> unk.
 
-    ``vocab`` must come from ``build_vocab``/``with_specials`` (bounded size)."""
-    v = F.broadcast(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id")))
-    return (token_rows.join(v, F.col(token_col) == F.col("_tok"), "left")
-            .withColumn(out, F.coalesce(F.col("_id"), F.lit(K.UNK_ID)))
-            .drop("_tok", "_id"))
+    ``vocab`` may have any size, see ``_looked_up``."""
+    rows = _looked_up(token_rows, vocab, token_col, "token", "id", broadcast_bytes)
+    return rows.withColumn(out, F.coalesce(F.col("_found"), F.lit(K.UNK_ID))).drop("_found")
 
 
 def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], tokens_col: str = "tokens",
-           out: str = "ids") -> DataFrame:
+           out: str = "ids", *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """T5 (dense form): array of tokens -> array of ids, order kept.
 
     Explodes, looks ids up through a broadcast join and regroups by ``key``
@@ -105,7 +140,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], tokens_col: st
     # posexplode_outer keeps rows with no tokens (their null entry is not
     # collected), so no join back to the input is needed.
     rows = df.select(*keys, *rest, F.posexplode_outer(tokens_col).alias("_pos", "_word"))
-    rows = encode_long(rows, vocab, "_word", "_wid")
+    rows = encode_long(rows, vocab, "_word", "_wid", broadcast_bytes=broadcast_bytes)
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_wid"))
     ids = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest],
                                   F.array_sort(F.collect_list(entry)).alias("_pairs"))
@@ -113,12 +148,8 @@ def encode(df: DataFrame, vocab: DataFrame, key: str | list[str], tokens_col: st
 
 
 def decode_long(id_rows: DataFrame, vocab: DataFrame, id_col: str = "token_id",
-                out: str = "token", skip_special: bool = True) -> DataFrame:
-    """T6 (long form): ids -> tokens; special ids dropped when asked."""
-    spark = id_rows.sparkSession
-    v = F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("token").alias(out)))
-    res = id_rows.join(v, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    if skip_special:
-        specials = F.broadcast(special_tokens(spark).select(F.col("id").alias("_sid")))
-        res = res.join(specials, F.col(id_col) == F.col("_sid"), "left_anti")
-    return res
+                out: str = "token", skip_special: bool = True, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """T6 (long form): ids -> tokens; special ids dropped when asked. A
+    vocabulary of any size, as in ``encode_long``."""
+    res = _looked_up(id_rows, vocab, id_col, "id", "token", broadcast_bytes).withColumnRenamed("_found", out)
+    return res.where(~F.coalesce(F.col(id_col).isin(*K.SPECIAL_TOKENS.values()), F.lit(False))) if skip_special else res
