@@ -69,6 +69,26 @@ def dense_index(df: DataFrame, order_by: Sequence[str | Column], *,
                  .drop("_pid", "_mid", "_m0", "_off")
 
 
+def running_sum(df: DataFrame, order_by: Sequence[str | Column], size: Column, *, group_by: Sequence[str] = (),
+                out: str = "before", partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = the sum of ``size`` over the rows before each row in
+    ``order_by`` order (within ``group_by`` if given). Like ``dense_index``:
+    ranges of the order, a sum within each, and the ranges' totals as offsets;
+    a group may lie in any number of ranges. Hand it keys and sizes, not
+    payloads: its rows move twice."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*_cols(group_by), *_cols(order_by)]
+    ranged = checkpoint(df.withColumn("_size", size.cast("long")).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                        .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    within = Window.partitionBy("_pid", *group_by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_pid", *group_by).agg(F.sum("_size").alias("_t"))
+               .withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t"))
+    summed = ranged.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    return (summed.join(F.broadcast(offsets) if not group_by else offsets, ["_pid", *group_by])
+            .withColumn(out, F.col("_off") + F.col("_in")).drop("_pid", "_mid", "_in", "_off", "_size"))
+
+
 def top_k_per_group(df: DataFrame, group_by: Sequence[str],
                     order_by: Sequence[str | Column], k: int, *,
                     salts: int | None = None, salt_key: Column | None = None,

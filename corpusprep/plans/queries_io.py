@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import batching as B
 from ..session import table
 from ..sources import files as FS
-from ..sources.shards import read_shards, write_records
+from ..sources.shards import quarantine, read_shards, write_records, write_sized
 from .registry import register
 
 
@@ -35,6 +35,25 @@ def s3_read_raw_csv(spark, sf):
     return FS.read_raw_csv(spark, path).select("cid", "smiles", "Description")
 
 
+def _descriptions(spark, sf):
+    """Raw records whose descriptions hold line breaks, commas and quotes: whole texts."""
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("cid"), F.concat(F.lit("["), "lang", F.lit("]")).alias("smiles"),
+                    F.concat(F.lit('say "'), F.translate("text", "\r", " "), F.lit('",\n"end"')).alias("Description"))
+
+
+@register("s3_csv_blocks", """
+SELECT CAST(doc_id AS VARCHAR) AS cid, '[' || lang || ']' AS smiles,
+       'say "' || replace(text, chr(13), ' ') || '",' || chr(10) || '"end"' AS Description
+FROM documents
+""")
+def s3_csv_blocks(spark, sf):
+    """Quoted line breaks, each file cut to blocks that many tasks read."""
+    path = FS.scratch_path(spark, "csv-blocks")
+    _descriptions(spark, sf).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return FS.read_csv_blocks(spark, path + "/*.csv", block_bytes=1 << 16).select("cid", "smiles", "Description")
+
+
 @register("s4_read_questions", "SELECT text AS question FROM conversations WHERE role = 'user'")
 def s4_read_questions(spark, sf):
     path = FS.scratch_path(spark, "questions")
@@ -73,6 +92,68 @@ def s5_read_chat_json(spark, sf):
     return r.select("file_name", F.col("turn").cast("bigint"), "role", "text")
 
 
+@register("s5_json_array", S5_SQL)
+def s5_json_array(spark, sf):
+    """The same items as one JSON array a file, each file cut to blocks that many tasks read."""
+    path = FS.scratch_path(spark, "json-array")
+    p = table(spark, sf, "pages")
+    msgs = F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content")),
+                   F.struct(F.lit("assistant").alias("role"), F.col("html").alias("content")))
+    items = p.select(F.col("page_id"), F.to_json(F.struct(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_name"),
+                                                          msgs.alias("messages"))).alias("item"))
+    # a line an item; the first of a file opens the array, the others follow a comma, a last line closes it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = items.repartition(parts, "page_id").withColumn("_p", F.spark_partition_id()).sortWithinPartitions("page_id")
+    lines = dealt.select("_p", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"), "item")
+    ends = lines.select("_p").distinct().select("_p", F.lit(1 << 40).alias("n"), F.lit("]").alias("item"))
+    text = F.when(F.col("item") == "]", F.col("item")).when(F.col("n") == 0, F.concat(F.lit("["), "item")).otherwise(F.concat(F.lit(","), "item"))
+    (lines.select("_p", "n", text.alias("value")).unionByName(ends.select("_p", "n", F.col("item").alias("value")))
+     .repartitionById(parts, "_p").sortWithinPartitions("n").select("value").write.text(path))
+    turns, _ = FS.read_chat_array(spark, path + "/*.txt", block_bytes=1 << 16)
+    return turns.select("file_name", F.col("turn").cast("bigint"), "role", "text")
+
+
+@register("s9_sized_files", """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, text FROM documents
+""")
+def s9_sized_files(spark, sf):
+    """Files of about a quarter of a megabyte of row bytes each, read back."""
+    path = FS.scratch_path(spark, "sized")
+    write_sized(table(spark, sf, "documents").select("doc_id", "lang", "text"), path, ["doc_id"], target_bytes=1 << 18)
+    return read_shards(spark, [path]).select(F.col("doc_id").cast("bigint"), "lang", "text")
+
+
+@register("s9_file_plan", """
+WITH b AS (SELECT doc_id, strlen(text) AS w FROM documents),
+f AS (SELECT w, (sum(w) OVER (ORDER BY doc_id) - w) // 262144 AS file FROM b)
+SELECT CAST(file AS BIGINT) AS file, CAST(count(*) AS BIGINT) AS n, CAST(sum(w) AS BIGINT) AS bytes FROM f GROUP BY file
+""")
+def s9_file_plan(spark, sf):
+    """Which file every row goes to, from a running sum of its text's bytes."""
+    path = FS.scratch_path(spark, "sized-plan")
+    files = write_sized(table(spark, sf, "documents").select("doc_id", "text"), path, ["doc_id"], target_bytes=1 << 18, size=F.octet_length("text"))
+    return files.select(F.col("file").cast("bigint"), F.col("rows").alias("n"), F.col("bytes").cast("bigint"))
+
+
+@register("s1_quarantine", """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, n_chars, text FROM documents
+""")
+def s1_quarantine(spark, sf):
+    """Good shards beside one that is no Parquet file: all rows of the former, the latter a reject."""
+    path = FS.scratch_path(spark, "quarantine")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    d.write.parquet(f"{path}/good")
+    spark.range(1).select(F.lit("PAR1 cut short").alias("value")).coalesce(1).write.text(f"{path}/text")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    broken = next(s.getPath() for s in fs.listStatus(hadoop(f"{path}/text")) if s.getPath().getName().endswith(".txt"))
+    fs.rename(broken, hadoop(f"{path}/good/part-broken.parquet"))
+    rows, rejects = quarantine(spark, f"{path}/good", pages=True)
+    if rejects.count() != 1:
+        raise ValueError("one shard is broken")
+    return rows.select(F.col("doc_id").cast("bigint"), "n_chars", "text")
+
+
 @register("s9_write_records", """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, lang, CAST(n_chars AS BIGINT) AS n_chars FROM documents
 """)
@@ -119,6 +200,29 @@ def s11_reports(spark, sf):
     return FS.reports(rows, "host", "page_id")
 
 
+@register("s11_report_parts", f"""
+WITH f AS (SELECT regexp_extract(url, '{HOST_RE}', 1) AS host, page_id, {_FRAGMENT} AS fragment FROM pages),
+p AS (SELECT *, (sum(strlen(fragment)) OVER (PARTITION BY host ORDER BY page_id) - strlen(fragment)) // 65536 AS part FROM f)
+SELECT host, CAST(part AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS n, string_agg(fragment, '' ORDER BY page_id) AS report FROM p GROUP BY host, part
+""")
+def s11_report_parts(spark, sf):
+    """One report for each host, in numbered parts; read back in order."""
+    path = FS.scratch_path(spark, "report-parts")
+    rows = FS.report_rows(table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", HOST_RE, 1)), "host", "page_id", "url", "html")
+    FS.write_report_parts(rows, path, "host", "page_id", part_bytes=1 << 16)
+    return FS.read_report_parts(spark, path, "host").select("host", F.col("part").cast("bigint"), F.col("n").cast("bigint"), "report")
+
+
+@register("s11_report_manifest", f"""
+WITH f AS (SELECT regexp_extract(url, '{HOST_RE}', 1) AS host, page_id, {_FRAGMENT} AS fragment FROM pages),
+p AS (SELECT *, (sum(strlen(fragment)) OVER (PARTITION BY host ORDER BY page_id) - strlen(fragment)) // 65536 AS part FROM f)
+SELECT host, CAST(count(DISTINCT part) AS BIGINT) AS parts, CAST(count(*) AS BIGINT) AS n, CAST(sum(strlen(fragment)) AS BIGINT) AS bytes FROM p GROUP BY host
+""")
+def s11_report_manifest(spark, sf):
+    rows = FS.report_rows(table(spark, sf, "pages").withColumn("host", F.regexp_extract("url", HOST_RE, 1)), "host", "page_id", "url", "html")
+    return FS.report_manifest(FS.report_parts(rows, "host", "page_id", part_bytes=1 << 16), "host")
+
+
 @register("j1_answers", """
 WITH q AS (SELECT * FROM (VALUES (0, 'quality'), (1, 'toxic')) v(q_idx, question)),
 a AS (SELECT l.doc_id, q.q_idx, CASE q.question WHEN 'quality' THEN l.quality ELSE nullif(l.toxic, 0) END AS answer FROM labels l, q)

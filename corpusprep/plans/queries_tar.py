@@ -76,3 +76,19 @@ def s7_read_tar_shards(spark, sf):
     s = TR.read_tar_samples(spark, folder + "/*.tar")
     return s.select(F.regexp_extract("url", r"shard-[0-9]+", 0).alias("url"), F.col("sample_no").cast("bigint"),
                     "key", F.array_join("suffixes", ",").alias("suffixes"))
+
+
+@register("s7_tar_payloads", f"""
+WITH s AS ({S7_SQL})
+SELECT 'shard-' || lpad(CAST(event_id // {SHARD_ROWS} AS VARCHAR), 5, '0') AS url, 'k' || CAST(event_id // 4 AS VARCHAR) AS key,
+       CAST(count(*) AS BIGINT) AS members, CAST(sum(strlen(props)) AS BIGINT) AS bytes, md5(string_agg(md5(props), '' ORDER BY md5(props))) AS payloads
+FROM events GROUP BY 1, 2
+""")
+def s7_tar_payloads(spark, sf):
+    """Every payload of every sample, read from its place in the shard."""
+    folder = scratch_path(spark, "tar-payloads")
+    TR.write_tar_shards(_members(spark, sf), folder).write.parquet(folder + "/_manifest")
+    s = TR.read_tar_samples(spark, folder + "/*.tar")
+    each = s.select(F.regexp_extract("url", r"shard-[0-9]+", 0).alias("url"), "key", F.explode(F.map_values("data")).alias("d"))
+    digest = F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("d"))), "").cast("binary"))
+    return each.groupBy("url", "key").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("d")).cast("bigint").alias("bytes"), digest.alias("payloads"))

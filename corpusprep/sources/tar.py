@@ -1,8 +1,8 @@
 """Tar shards -> samples (S7) and sample key filtering.
 
-Only unpacking a tar file needs Python: one task streams a shard's members, a
-bounded batch at a time. Grouping members into samples is a plan over the
-member table. A sample is a run of neighbouring members of one key, cut again
+Only reading tar files needs Python: headers are listed, one task a shard, and
+payloads read by stretches of a shard, a bounded batch at a time. Grouping
+members into samples is a plan over their names. A sample is a run of neighbouring members of one key, cut again
 where a suffix comes back. Names without an extension are skipped; suffixes
 are lower-cased; suffixes outside an allow-list are dropped and cut nothing.
 """
@@ -14,13 +14,14 @@ import tarfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # FIXED VALUE: "dir/name.ext.more" is the key "dir/name" and the suffix "ext.more".
 NAME_RE = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
-#: Bytes of members that a task hands on at once.
-BATCH_BYTES = 32 << 20
+#: Bytes of members that a task hands on at once, bytes of a shard that go to one task, and headers handed on at once.
+BATCH_BYTES, STRETCH_BYTES, INDEXED = 32 << 20, 64 << 20, 10_000
 
 
 def split_name(fname: Column) -> tuple[Column, Column]:
@@ -75,38 +76,162 @@ def group_samples(members: DataFrame, *, url: str = "url", idx: str = "idx", fna
                        F.map_from_entries(F.transform("_own", lambda m: F.struct(m["_s"], m["_d"]))).alias("data"))
 
 
-def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Tar files -> ``(url, idx, fname, data, damaged)``, members in file order.
-
-    Files are listed without their contents and dealt to one partition each.
-    A damaged tail ends its shard with one row that has ``damaged`` set; an
-    error of the storage fails the task, which Spark tries again."""
+def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path) of every shard, one partition each; contents are not read."""
     listing = spark.read.format("binaryFile").load(paths).select("path")
-    files = max(1, len(listing.inputFiles()))
-    urls = listing.repartition(files, "path")
+    return listing.repartition(max(1, len(listing.inputFiles())), "path")
+
+
+def index_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Tar files -> ``(url, idx, fname, offset, size, damaged)``, members in file order.
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Only headers are read, payloads are skipped. Members of plain tar files have
+    the offset of their payload; those of compressed ones, which cannot be read
+    from the middle, have none. A damaged tail ends its shard with one row that
+    has ``damaged`` set; an error of the storage fails the task, which Spark tries
+    again."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                filesystem, inner = _arrow_fs(path)
-                held, size = [], 0
-                with filesystem.open_input_stream(inner) as raw:
-                    for row in _members(raw, path):
-                        held.append(row)
-                        size += len(row[3] or b"")
-                        if size >= BATCH_BYTES:
-                            yield pd.DataFrame(held, columns=columns)
-                            held, size = [], 0
-                yield pd.DataFrame(held, columns=columns)
+                held: list[tuple] = []
+                for row in _headers(path):
+                    held.append(row)
+                    if len(held) >= INDEXED:
+                        yield pd.DataFrame(held, columns=columns).astype(kinds)
+                        held = []
+                yield pd.DataFrame(held, columns=columns).astype(kinds)
+
+    columns = ["url", "idx", "fname", "offset", "size", "damaged"]
+    kinds = {"idx": "int64", "offset": "Int64", "size": "Int64", "damaged": "bool"}
+    return _listed(spark, paths).mapInPandas(run, "url string, idx long, fname string, offset long, size long, damaged boolean")
+
+
+def _headers(path: str) -> Iterator[tuple[str, int, str, int | None, int | None, bool]]:
+    """The regular files of one tar: (url, idx, name, payload offset, size, damaged)."""
+    filesystem, inner = _arrow_fs(path)
+    with filesystem.open_input_file(inner) as raw:
+        length, n = raw.size(), 0
+        try:
+            tar = tarfile.open(fileobj=raw, mode="r:")
+        except (tarfile.TarError, EOFError):
+            tar = None
+        if tar is not None:
+            try:
+                for info in tar:
+                    if info.isfile():
+                        if info.offset_data + info.size > length:
+                            yield path, n, "", None, None, True
+                            return
+                        yield path, n, info.name, info.offset_data, info.size, False
+                        n += 1
+                    tar.members = []  # headers are not kept
+            except (tarfile.TarError, EOFError):
+                yield path, n, "", None, None, True
+            return
+    with filesystem.open_input_stream(inner) as raw:  # compressed, or no tar at all
+        for url, idx, name, data, damaged in _members(raw, path):
+            yield url, idx, name, None, None if damaged else len(data), damaged
+
+
+def _dealt(rows: DataFrame, offset: Column) -> DataFrame:
+    """Rows dealt to tasks by stretches of their shard, in file order."""
+    stretch = F.coalesce(F.floor(offset / STRETCH_BYTES), F.lit(0))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_at", offset).withColumn("_part", stretch).repartition(parts, "url", "_part").sortWithinPartitions("url", "_part", "_at")
+
+
+class _Payloads:
+    """Reads payloads of members; keeps the file it read last open. Members of a
+    compressed shard come from reading it on from where it stands."""
+
+    def __init__(self):
+        self.url = self.file = self.rows = None
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.url = self.file = self.rows = None
+
+    def read(self, url: str, idx: int, offset: int | None, size: int) -> bytes:
+        if offset is not None:
+            if url != self.url or self.rows is not None:
+                self.close()
+                filesystem, inner = _arrow_fs(url)
+                self.url, self.file = url, filesystem.open_input_file(inner)
+            self.file.seek(offset)
+            return self.file.read(size)
+        if url != self.url or self.rows is None or idx < self.next:
+            self.close()
+            filesystem, inner = _arrow_fs(url)
+            self.url, self.file, self.next = url, filesystem.open_input_stream(inner), 0
+            self.rows = _members(self.file, url)
+        for _, n, _, data, _ in self.rows:
+            self.next = n + 1
+            if n == idx:
+                return data
+        raise EOFError(f"{url} has no member {idx}")
+
 
+def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Tar files -> ``(url, idx, fname, data, damaged)``. Headers are listed
+    first; payloads are then read by stretches of each shard, so that one large
+    shard keeps all tasks busy."""
     columns = ["url", "idx", "fname", "data", "damaged"]
-    return urls.mapInPandas(unpack, "url string, idx long, fname string, data binary, damaged boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        payloads, held, bytes_ = _Payloads(), [], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                data = None if r.damaged else payloads.read(r.url, int(r.idx), _int(r.offset), int(r.size))
+                held.append((r.url, int(r.idx), r.fname, data, bool(r.damaged)))
+                bytes_ += len(data or b"")
+                if bytes_ >= BATCH_BYTES:
+                    yield pd.DataFrame(held, columns=columns)
+                    held, bytes_ = [], 0
+        payloads.close()
+        yield pd.DataFrame(held, columns=columns)
+
+    index = _dealt(index_members(spark, paths), F.coalesce(F.col("offset"), F.lit(0))).sortWithinPartitions("url", "idx")
+    return (index.select("url", "idx", "fname", "offset", "size", "damaged")
+            .mapInPandas(run, "url string, idx long, fname string, data binary, damaged boolean"))
+
+
+def _int(x) -> int | None:
+    return None if x is None or x != x else int(x)
 
 
 def read_tar_samples(spark: SparkSession, paths: str | list[str], *, lcase: bool = True,
                      suffixes: Iterable[str] | None = None) -> DataFrame:
-    """S7 end to end; shards that end early are listed by ``read_members``."""
-    return group_samples(read_members(spark, paths).where("NOT damaged"), lcase=lcase, suffixes=suffixes)
+    """S7 end to end: ``(url, sample_no, key, suffixes, data map)``; shards that
+    end early are listed by ``index_members``.
+
+    Members are grouped to samples by their names alone. A sample's payloads are
+    then read in the task that gets it, by stretches of the shard: no payload is
+    ever exchanged, sorted or held in a window."""
+    where = F.struct("idx", "offset", "size")
+    index = index_members(spark, paths).where("NOT damaged").select("url", "idx", "fname", where.alias("data"))
+    samples = group_samples(index, lcase=lcase, suffixes=suffixes)
+    places = F.transform("suffixes", lambda s: F.try_element_at("data", s))
+    rows = samples.select("url", "sample_no", "key", "suffixes", places.alias("places"))
+    first = F.coalesce(F.array_min(F.transform("places", lambda p: p["offset"])), F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        payloads, out, held = _Payloads(), [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                read = [(s, payloads.read(r["url"], p["idx"], p["offset"], p["size"])) for s, p in zip(r["suffixes"], r["places"], strict=True)]
+                out.append({k: r[k] for k in ("url", "sample_no", "key", "suffixes")} | {"data": read})
+                held += sum(len(x) for _, x in read)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+                    out, held = [], 0
+        payloads.close()
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("url", pa.string()), ("sample_no", pa.int64()), ("key", pa.string()), ("suffixes", pa.list_(pa.string())),
+                        ("data", pa.map_(pa.string(), pa.binary()))])
+    dealt = _dealt(rows, first).sortWithinPartitions("url", "sample_no").select("url", "sample_no", "key", "suffixes", "places")
+    return dealt.mapInArrow(run, "url string, sample_no long, key string, suffixes array<string>, data map<string,binary>")
 
 
 def _arrow_fs(path: str):
