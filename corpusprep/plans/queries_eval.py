@@ -37,7 +37,7 @@ def _noise_sql() -> str:
                      f"cos(2.0 * {math.pi!r} * {Q.u(f'coord{i}:bm2', 'mol', 'atom_idx')})")
     cols = ", ".join(f"(sa * CAST({c} AS DOUBLE) + sqrt(greatest(1.0 - sa * sa, 0.0)) * {box(i)}) AS {c}_t"
                      for i, c in enumerate("xyz"))
-    return f"""{I.MOL_SQL},
+    return f"""{I.MOL_ALL_SQL},
 s AS (SELECT CAST(range AS INTEGER) AS t FROM range({T_NOISE})),
 b AS (SELECT t, 0.0001 + CAST(t AS DOUBLE) * {(0.02 - 0.0001) / (T_NOISE - 1)!r} AS beta FROM s),
 sab AS (SELECT t, sqrt(exp(sum(ln(1.0 - beta)) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS sa FROM b),
@@ -108,6 +108,8 @@ SELECT CAST(av.mol AS VARCHAR) AS id, selfies AS selfies_string, coalesce(o.o_or
        CAST(to_json(edge) AS VARCHAR) AS edge_type_str, CAST(to_json(bond) AS VARCHAR) AS bond_type_str,
        CAST(to_json(dist) AS VARCHAR) AS dist_str, '[]' AS rdmol2selfies_str
 FROM av JOIN mats ON av.mol = mats.mol LEFT JOIN orders o ON av.mol = o.o_orderkey
+UNION ALL BY NAME
+SELECT CAST(l_orderkey AS VARCHAR) AS id FROM lineitem GROUP BY l_orderkey HAVING count(*) > {CONVERT_GATE}
 """
 
 
@@ -120,7 +122,9 @@ def _convert(spark, sf, max_atoms):
 
 @register("m9_convert_job", M9_SQL)
 def m9_convert_job(spark, sf):
-    return _convert(spark, sf, CONVERT_GATE)[0]
+    """Molecules over the gate stay in the result as rejects: their id alone."""
+    rejects = I.mol_rejects(spark, sf, CONVERT_GATE).select(F.col("mol").cast("string").alias("id"))
+    return _convert(spark, sf, CONVERT_GATE)[0].unionByName(rejects, allowMissingColumns=True)
 
 
 @register("m9_convert_counts", f"""

@@ -358,7 +358,7 @@ def _q_values_sql() -> str:
 
 
 J1_SQL = f"""
-WITH {I.DOC_SQL()}, {I.MOL_SQL},
+WITH {I.DOC_SQL()}, {I.MOL_ALL_SQL},
 sym AS (SELECT mol, list('[' || symbol || ']' ORDER BY atom_idx) AS toks FROM atoms GROUP BY mol),
 alpha AS (SELECT DISTINCT unnest(toks) AS token FROM sym),
 missing AS (SELECT token FROM alpha WHERE token NOT IN (SELECT token FROM vocab)),

@@ -11,7 +11,9 @@ from corpusprep.session import table
 # are checked through the operators they wrap.
 SIDE_EFFECTS = {"s3_read_raw_csv", "s4_read_questions", "s5_read_chat_json", "s6_read_prompt_lines",
                 "s9_write_records", "s7_read_tar_shards",
-                "r1_stream_featurise", "r2_stream_windowed_meters", "r3_stream_resume"}
+                "r1_stream_featurise", "r2_stream_windowed_meters", "r3_stream_resume",
+                "r2_late_rows", "r3_batch_failure", "s1_quarantine", "s3_csv_blocks", "s5_json_array", "s7_tar_payloads",
+                "s9_sized_files", "s9_file_plan", "s11_report_parts", "s11_report_manifest"}
 registry.load_all()
 KEYS = sorted(k for k in registry.QUERIES if k not in SIDE_EFFECTS)
 
