@@ -107,7 +107,7 @@ def ema_series(df: DataFrame, series: str, step: str, val: str, **decay_kw) -> D
 
 
 #: Steps that one row of the scan folds.
-CHUNK = 128
+CHUNK = 256
 
 
 def affine_scan(maps: DataFrame, series: str, idx: str, a: str, b: str, *, chunk: int | None = None) -> DataFrame:

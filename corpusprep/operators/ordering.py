@@ -8,8 +8,8 @@ None of them puts a whole group or the whole table into one task:
   partition, checkpoints the frame so partition ids and positions are frozen,
   then adds per-(partition, group) offsets computed from a small statistics
   table (a prefix sum over at most ``P`` rows per group).
-* ``top_k_per_group`` cuts every group to k rows within (group, salt) first,
-  so a hot group reaches its own window already cut.
+* ``top_k_per_group`` cuts every group to k rows before its own window, in the
+  input tasks or, for a large k, within (group, salt).
 """
 
 from __future__ import annotations
@@ -96,17 +96,20 @@ def top_k_per_group(df: DataFrame, group_by: Sequence[str],
     """Keep the first ``k`` rows of every group in ``order_by`` order
     (ties broken by the order key itself, which should be unique).
 
-    Two steps for every ``k``: first within (group, salt), then within the
-    group on what is left, at most ``salts * k`` rows. There are as many salts
-    as shuffle partitions, so a hot group's rows are spread over all of them."""
+    Up to the planner's limit for it (1,000 rows unless set), every input task
+    cuts each group to ``k`` rows before the one exchange, so a hot group arrives
+    already cut. A larger ``k`` is cut in two steps: within (group, salt), then
+    within the group on what is left; there are as many salts as shuffle
+    partitions. Both give the same rows."""
     order_cols = _cols(order_by)
-    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Salt only spreads rows; the result does not depend on it (every salt
-    # keeps its own top k). Row position spreads even identical rows.
-    salt = F.pmod(F.monotonically_increasing_id() if salt_key is None else F.xxhash64(salt_key), F.lit(salts))
-    pre = df.withColumn("_salt", salt)
-    w1 = Window.partitionBy(*group_by, "_salt").orderBy(*order_cols)
-    pre = pre.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
+    pre = df
+    if k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Salt only spreads rows; the result does not depend on it (every salt
+        # keeps its own top k). Row position spreads even identical rows.
+        salt = F.pmod(F.monotonically_increasing_id() if salt_key is None else F.xxhash64(salt_key), F.lit(salts))
+        w1 = Window.partitionBy(*group_by, "_salt").orderBy(*order_cols)
+        pre = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(*group_by).orderBy(*order_cols)
     res = pre.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k)
     return res.withColumnRenamed("_r", rank_col) if rank_col else res.drop("_r")

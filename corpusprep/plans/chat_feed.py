@@ -67,7 +67,7 @@ def chat_vocab(conv: DataFrame, *, max_size: int = K.MAX_WORD_VOCAB,
 
 
 def chat_positions(conv: DataFrame, max_seq_len: int, *, add_generation_prompt: bool = False,
-                   close_tag: str = K.EOT_TOKEN, salts: int = 16) -> DataFrame:
+                   close_tag: str = K.EOT_TOKEN, salts: int | None = None) -> DataFrame:
     """P1 + T1 + P6 padding in long form: ``(conv_id, pos, token)`` for
     ``pos`` in ``[0, max_seq_len)``: bos, turn tokens, then eos to the end
     (the sequence is ``([bos] + tokens + [eos]*L)[:L]``)."""

@@ -133,10 +133,12 @@ def _headers(path: str) -> Iterator[tuple[str, int, str, int | None, int | None,
             yield url, idx, name, None, None if damaged else len(data), damaged
 
 
-def _dealt(rows: DataFrame, offset: Column) -> DataFrame:
-    """Rows dealt to tasks by stretches of their shard, in file order."""
+def _dealt(rows: DataFrame, offset: Column, paths: str | list[str]) -> DataFrame:
+    """Rows dealt to tasks by stretches of their shard, in file order; as many tasks as shards at least."""
     stretch = F.coalesce(F.floor(offset / STRETCH_BYTES), F.lit(0))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    files = len(spark.read.format("binaryFile").load(paths).inputFiles())
+    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return rows.withColumn("_at", offset).withColumn("_part", stretch).repartition(parts, "url", "_part").sortWithinPartitions("url", "_part", "_at")
 
 
@@ -191,7 +193,7 @@ def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         payloads.close()
         yield pd.DataFrame(held, columns=columns)
 
-    index = _dealt(index_members(spark, paths), F.coalesce(F.col("offset"), F.lit(0))).sortWithinPartitions("url", "idx")
+    index = _dealt(index_members(spark, paths), F.coalesce(F.col("offset"), F.lit(0)), paths).sortWithinPartitions("url", "idx")
     return (index.select("url", "idx", "fname", "offset", "size", "damaged")
             .mapInPandas(run, "url string, idx long, fname string, data binary, damaged boolean"))
 
@@ -230,7 +232,7 @@ def read_tar_samples(spark: SparkSession, paths: str | list[str], *, lcase: bool
 
     schema = pa.schema([("url", pa.string()), ("sample_no", pa.int64()), ("key", pa.string()), ("suffixes", pa.list_(pa.string())),
                         ("data", pa.map_(pa.string(), pa.binary()))])
-    dealt = _dealt(rows, first).sortWithinPartitions("url", "sample_no").select("url", "sample_no", "key", "suffixes", "places")
+    dealt = _dealt(rows, first, paths).sortWithinPartitions("url", "sample_no").select("url", "sample_no", "key", "suffixes", "places")
     return dealt.mapInArrow(run, "url string, sample_no long, key string, suffixes array<string>, data map<string,binary>")
 
 
