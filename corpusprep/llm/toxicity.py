@@ -33,6 +33,8 @@ STEP, CALIBRATED = 4, 2_000
 CUT = 0.3
 #: Commonest terms that whole texts are compared by from dense rows; bounds memory only.
 DENSE = 512
+#: Texts whose common terms are multiplied at once.
+TOGETHER = 64
 #: Terms whose entries the driver fetches at once.
 FETCHED = 1 << 16
 #: Votes whose result a task remembers; bounds memory only.
@@ -165,8 +167,7 @@ class Index:
         w = np.array([1 / (1.02 - min(s, 1.0)) for s, _ in near])
         return float(w @ self.labels[[e for _, e in near]] / w.sum())
 
-    def told(self, at: np.ndarray, weights: np.ndarray, levels: "Levels") -> tuple[float, list[int], list[float]]:
-        near = self.nearest(at, weights) if len(at) else []
+    def told(self, near: list[tuple[float, int]], levels: "Levels") -> tuple[float, list[int], list[float]]:
         if not near:
             return levels.empty, [], []
         return levels.of(self.share(near)), [int(self.ids[e]) for _, e in near], [round(s, 6) for s, _ in near]
@@ -196,19 +197,27 @@ class Model:
     def __init__(self, chosen: Index, whole: "Whole"):
         self.chosen, self.whole = chosen, whole
 
-    def score(self, text: str, levels: tuple[Levels, Levels]) -> tuple[float, list[int], list[float]]:
-        counts = terms(text)
-        at, weights = self.chosen.vector(counts)
-        if not len(at):
-            return self.whole.told(*self.whole.vector(counts), levels[1])
-        key = (at.tobytes(), weights.tobytes())
-        known = self.chosen.known
-        if key not in known:
-            told = self.chosen.told(at, weights, levels[0])
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[key] = told
-        return known[key]
+    def scores(self, texts: list[str], levels: tuple[Levels, Levels]) -> list[tuple[float, list[int], list[float]]]:
+        out: list = [None] * len(texts)
+        known, waiting = self.chosen.known, []
+        for i, text in enumerate(texts):
+            counts = terms(text)
+            at, weights = self.chosen.vector(counts)
+            if not len(at):
+                waiting.append((i, *self.whole.vector(counts)))
+                continue
+            key = (at.tobytes(), weights.tobytes())
+            if key not in known:
+                told = self.chosen.told(self.chosen.nearest(at, weights), levels[0])
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[key] = told
+            out[i] = known[key]
+        for k in range(0, len(waiting), TOGETHER):
+            some = waiting[k:k + TOGETHER]
+            for (i, at, weights), common in zip(some, self.whole.common_scores(some), strict=True):
+                out[i] = self.whole.told(self.whole.nearest(at, weights, common=common) if len(at) else [], levels[1])
+        return out
 
 
 class Whole(Index):
@@ -236,13 +245,21 @@ class Whole(Index):
                 self.common[self.row[t], self.example[at]] = self.weight[at]
         return self.common
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        row = self.row[at]
-        rare = row < 0
+    def common_scores(self, vectors: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms give each of some vectors (number, terms, weights) with every example: one product."""
+        dense = self.dense()
+        asked = np.zeros((len(vectors), len(dense)), np.float32)
+        for i, (_, at, weights) in enumerate(vectors):
+            row = self.row[at]
+            asked[i, row[row >= 0]] = weights[row >= 0]
+        return asked @ dense
+
+    def nearest(self, at: np.ndarray, weights: np.ndarray, without: int = -1, common: np.ndarray | None = None) -> list[tuple[float, int]]:
+        rare = self.row[at] < 0
         sizes = self.first[at[rare] + 1] - self.first[at[rare]]
         posting = _runs(self.first[at[rare]], sizes)
-        scores = weights[~rare].astype(np.float32) @ self.dense()[row[~rare]]
-        scores = scores + np.bincount(self.example[posting], np.repeat(weights[rare], sizes) * self.weight[posting], len(self.labels))
+        common = self.common_scores([(0, at, weights)])[0] if common is None else common
+        scores = common + np.bincount(self.example[posting], np.repeat(weights[rare], sizes) * self.weight[posting], len(self.labels))
         if without >= 0:
             scores[without] = 0
         some = np.flatnonzero(scores >= max(np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS], 1e-12)) if len(scores) > NEIGHBOURS else np.flatnonzero(scores)
@@ -279,7 +296,10 @@ class Scorer:
         self.sent, self.levels = sent, levels
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        return self.sent.value.score(text, self.levels)
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int], list[float]]]:
+        return self.sent.value.scores(texts, self.levels)
 
     @property
     def vocabulary(self) -> dict[str, int]:
@@ -401,7 +421,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", examples
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            told = [scorer.score(text or "") for text in batch.column("text").to_pylist()]
+            told = scorer.scores([text or "" for text in batch.column("text").to_pylist()])
             new = [pa.array([x[0] for x in told], pa.float64()), pa.array([int(x[0] >= CUT) for x in told], pa.int32()),
                    pa.array([x[1] for x in told], pa.list_(pa.int64())), pa.array([x[2] for x in told], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new],
@@ -416,6 +436,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", e
 
     def keep(texts: pa.Array) -> pa.Array:
         parts = (texts.slice(at, SLICE).to_pylist() for at in range(0, len(texts), SLICE))
-        return pa.array([scorer.score(text or "")[0] < CUT for part in parts for text in part], pa.bool_())
+        return pa.array([x[0] < CUT for part in parts for x in scorer.scores([text or "" for text in part])], pa.bool_())
 
     return docs.where(F.arrow_udf(keep, "boolean")(F.col("text")))
