@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .ordering import dense_index
+from ..session import checkpoint
+from .ordering import BROADCAST_BYTES, dense_index, running_sum
+
+#: Bytes of an entry (two hashes, two counts) of C7's table.
+LATER_BYTES = 192
 
 
 def drop_empty(df: DataFrame, col: str) -> DataFrame:
@@ -30,22 +34,27 @@ def drop_missing(df: DataFrame, col: str) -> DataFrame:
 def ensure_id(df: DataFrame, content_cols: Sequence[str], id_col: str = "id") -> DataFrame:
     """Keep ``id_col`` when present; otherwise ``sha256(content) + '#' +
     n`` where n numbers rows of equal content 1, 2, ..., in the order of
-    their other columns, whatever the partitioning. Only rows that are
-    copies in every column are sorted, by the skew-safe grouped index."""
+    their other columns, whatever the partitioning.
+
+    Rows are counted by two hashes (content, whole row) and only the counts are
+    ordered, by a running sum that splits a hot content over ranges. The first
+    row of a content needs no entry there, so rows meet a table of the others
+    only, broadcast if it fits; rows move only where they are copies in every
+    column, which the skew-safe grouped index numbers."""
     if id_col in df.columns:
         return df
     content = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in content_cols])
     hashed = df.withColumn("_h", F.sha2(content, 256)).withColumn("_all", F.xxhash64(*df.columns))
-    # Only hashes are sorted and written; rows with the same content and the
-    # same other columns are the same row, so any of them may have any number.
     keys = hashed.groupBy("_h", "_all").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy("_h").orderBy("_all").rowsBetween(Window.unboundedPreceding, -1)
-    keys = keys.withColumn("_base", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    single, many = keys.where("_c = 1"), keys.where("_c > 1")
-    one = hashed.join(single, ["_h", "_all"]).withColumn("_n", F.col("_base"))
-    more = dense_index(hashed.join(many.select("_h", "_all", "_base"), ["_h", "_all"]),
-                       [F.monotonically_increasing_id()], group_by=["_h", "_all"], out="_i")
-    d = one.drop("_c").unionByName(more.withColumn("_n", F.col("_base") + F.col("_i")).drop("_i"))
+    keys = running_sum(keys, ["_all"], F.col("_c"), group_by=["_h"], out="_base")
+    later = checkpoint(keys.where("_base > 0 OR _c > 1"))
+    if later.count() * LATER_BYTES <= BROADCAST_BYTES:
+        later = F.broadcast(later)
+    marked = hashed.join(later, ["_h", "_all"], "left")
+    one = marked.where(F.coalesce("_c", F.lit(1)) == 1).withColumn("_n", F.coalesce("_base", F.lit(0)))
+    # rows with the same content and the same other columns are the same row, so any of them may have any number
+    more = dense_index(marked.where("_c > 1"), [F.monotonically_increasing_id()], group_by=["_h", "_all"], out="_i")
+    d = one.unionByName(more.withColumn("_n", F.col("_base") + F.col("_i")).drop("_i"))
     return d.withColumn(id_col, F.concat(F.col("_h"), F.lit("#"), (F.col("_n") + 1).cast("string"))) \
             .select(id_col, *df.columns)
 

@@ -106,20 +106,24 @@ def exact_count_mask_array(seq: Column, key: str, ratio: Column, *, is_pad=None,
 def diffusion_mask(rows: DataFrame, key: str, *, pos: str = "pos", tok: str = "token_id",
                    prompt_mask: str | None = None, eps: float = 1e-3,
                    answer_len: str = "non_prompt", clamp_min: bool = True, seq_len: int | None = None,
-                   mask_id: int = K.MASK_ID, seed: int = 0, rng: str = "portable") -> DataFrame:
+                   n_col: str | None = None, mask_id: int = K.MASK_ID, seed: int = 0, rng: str = "portable") -> DataFrame:
     """Per-sequence ``p = (1-eps)*u('t', key) + eps``; a position
     is masked when ``u('mask', key, pos) < p`` and it is not a prompt
     position. ``noisy_id`` = mask id or token; ``label`` = token.
 
     ``answer_len``: ``"non_prompt"`` = count of non-prompt positions (N5/N6),
     or ``"attention"`` = sequence length (N4, all-ones attention mask, X7).
+    ``n_col`` has that count where the sequence knew it before it was exploded:
+    then no window, and no exchange of token rows, is needed.
     """
     p = (1.0 - eps) * uniform("t", key, seed=seed, rng=rng) + eps
     masked = uniform("mask", key, pos, seed=seed, rng=rng) < F.col("p_mask")
     if prompt_mask is not None:
         masked = masked & (F.col(prompt_mask) == 0)
     w = Window.partitionBy(key)
-    if answer_len == "attention":
+    if n_col:
+        ans = F.col(n_col)
+    elif answer_len == "attention":
         ans = F.lit(int(seq_len)) if seq_len is not None else F.count(F.lit(1)).over(w)
     elif prompt_mask is not None:
         ans = F.sum(F.lit(1) - F.col(prompt_mask)).over(w)

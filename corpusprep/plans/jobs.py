@@ -90,8 +90,10 @@ def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: i
     and schedule) -> regrouped per molecule (bounded by ``max_selfies_len +
     max_text_len``) -> M7 padding -> I1 shuffle -> B4 batch. Atom numbers and
     matrices (``with_matrices``: edge, bond and distance N x N, the SELFIES map
-    N x L, padded or cropped) are row-local; the shuffles are the regroup, the
-    join of its result to the features, and the shuffle index.
+    N x L, padded or cropped) are row-local. Records are dealt by id before their
+    tokens are exploded: the regroup and the join to the features keep that
+    dealing, token rows never move, and the shuffle index orders ids only.
+    ``records`` are read three times: hand over what was written, not a plan.
     """
     from ..functions import arrays as AR
     from ..functions import text as T
@@ -107,7 +109,9 @@ def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: i
     named = lambda toks, sel: F.transform(toks, lambda t: F.struct(F.lit(sel).alias("sel"), t.alias("token")))
     both = F.concat(named(F.slice(T.selfies_tokens(F.col("selfies_string")), 1, max_selfies_len), True),
                     named(F.slice(T.tokens(F.coalesce(F.col("text_description"), F.lit(""))), 1, max_text_len), False))
-    rows = AR.explode_rows(ok.select("id", both.alias("_t")), ["id"], "_t", out="_e").select("id", "pos", "_e.sel", "_e.token")
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ok.select("id", "selfies_string", "text_description").repartition(parts, "id").select("id", both.alias("_t"))
+    rows = AR.explode_rows(dealt, ["id"], "_t", out="_e").select("id", "pos", "_e.sel", "_e.token")
     rows = TK.encode_long(rows, vocab, "token", "token_id")
     masked = N.timestep_mask(rows, "id", timesteps=timesteps, schedule=schedule, seed=seed, rng=rng)
     seqs = masked.groupBy("id").agg(
@@ -120,14 +124,14 @@ def molecule_training_feed(records: DataFrame, vocab: DataFrame, *, max_atoms: i
                        F.transform("_s", lambda s: s["input_id"]).alias("selfies_input_ids"),
                        F.transform("_s", lambda s: s["label"]).alias("true_selfies_labels"),
                        F.array_repeat(F.lit(1), F.size("_s")).alias("selfies_attention_mask"))
-    feats = ok.withColumn("atom_ids", F.transform("atom_vec", M._number_of))
+    feats = ok.drop("selfies_string", "text_description").repartition(parts, "id").withColumn("atom_ids", F.transform("atom_vec", M._number_of))
     ids, xyz, mask = M.pad_atoms(F.col("atom_ids"), F.col("coordinates"), max_atoms)
     square = [M.fit_matrix(F.col(c), max_atoms, max_atoms).alias(c) for c in ("edge_type", "bond_type", "dist")]
     wide = [M.fit_matrix(F.col("rdmol2selfies"), max_atoms, max_selfies_len).alias("rdmol2selfies")]
     feats = feats.select("id", ids.alias("atom_vec"), xyz.alias("coordinates"), mask.alias("atoms_mask"),
                          *(square + wide if with_matrices else []))
     samples = seqs.join(feats, "id")
-    order = B.batch_id(B.shuffle(samples.select("id"), "id", seed=seed, rng=rng), batch_size)
+    order = B.batch_id(B.shuffle(ok.where(F.size(both) > 0).select("id"), "id", seed=seed, rng=rng), batch_size)
     return samples.join(order.select("id", "idx", "batch_id"), "id")
 
 

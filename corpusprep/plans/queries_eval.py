@@ -12,7 +12,7 @@ from ..functions import schedules as S
 from ..operators import batching as B
 from ..operators import masking as N
 from ..operators import metrics as A
-from ..session import table
+from ..session import checkpoint, table
 from ..sources.shards import read_shards
 from . import inputs as I
 from . import sqlkit as Q
@@ -189,7 +189,8 @@ def e2_molecule_feed(spark, sf, rng="portable"):
     the timestep mask, padded atoms, shuffled batches."""
     from ..operators import tokens as TK
     from ..functions import arrays as AR
-    records = _convert(spark, sf, I.MAX_ATOMS)[0]
+    # written once, without the matrices that the feed does not ask for
+    records = checkpoint(_convert(spark, sf, I.MAX_ATOMS)[0].select("id", "selfies_string", "text_description", "atom_vec_str", "coordinates_str"))
     base = I.doc_vocab(spark, sf)
     alpha = AR.explode_rows(TK.tokenise_selfies(records.select("id", "selfies_string"), "selfies_string"),
                             ["id"], "tokens", out="token")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import arrays as AR
 from ..functions import constants as K
 from ..functions.rng import uniform
 from ..operators import batching as B
@@ -239,10 +240,11 @@ FROM m
 def n6_mmu_mask(spark, sf, rng="portable"):
     from ..operators import masking as N
     d = _pairs(spark, sf).withColumn("r", P.mmu_prompt(F.col("image"), F.col("ids"), TEXT_LEN, with_labels=False))
-    d = d.select("doc_id", F.arrays_zip(F.col("r.input_ids").alias("t"), F.col("r.mask").alias("m")).alias("_z"))
-    rows = I.explode_rows(d, "doc_id", "_z", out="z").select(
-        "doc_id", "pos", F.col("z.t").alias("token_id"), F.col("z.m").alias("prompt_mask"))
-    m = N.diffusion_mask(rows, "doc_id", prompt_mask="prompt_mask", clamp_min=False, rng=rng)
+    d = d.select("doc_id", F.arrays_zip(F.col("r.input_ids").alias("t"), F.col("r.mask").alias("m")).alias("_z"),
+                 F.size(F.filter("r.mask", lambda x: x == 0)).alias("_n"))
+    rows = AR.explode_rows(d, ["doc_id", "_n"], "_z", out="z").select(
+        "doc_id", "pos", F.col("z.t").alias("token_id"), F.col("z.m").alias("prompt_mask"), "_n")
+    m = N.diffusion_mask(rows, "doc_id", prompt_mask="prompt_mask", clamp_min=False, n_col="_n", rng=rng)
     return m.select(F.col("doc_id").cast("bigint"), F.col("pos").cast("bigint"), F.col("token_id").cast("bigint"),
                     F.col("noisy_id").cast("bigint"), F.round("p_mask", 6).alias("p_mask"),
                     F.col("answer_len").cast("bigint"))

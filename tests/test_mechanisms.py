@@ -1,5 +1,6 @@
 """Sources, sinks and sums on inputs that are large, cut in odd places, damaged or out of order."""
 
+import hashlib
 import io
 import json
 import math
@@ -7,6 +8,7 @@ import os
 import random
 import tarfile
 from fractions import Fraction
+from unittest import mock
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -312,3 +314,48 @@ def test_meters_are_complete_in_any_order(spark, tmp_path):
     meters.finish(spark)
     assert list(map(str, sorted(meters.closed(spark).collect(), key=key))) == list(map(str, current))
     assert sinks.compact(meters.sink, spark).count() <= meters.sink.read(spark, "parts").count()
+
+
+def test_ensure_id_splits_a_hot_content(spark):
+    """One content holds most rows, some as copies in every column: every row gets an id of its own,
+    numbered from 1 in the order of the other columns, whether the table of later rows is broadcast or not."""
+    from corpusprep.operators import clean as C
+    rows = [("hot", i // 2) for i in range(400)] + [("hot", None)] * 3 + [(f"one {i}", i) for i in range(50)] + [(None, 1), ("", 1)]
+    df = spark.createDataFrame(rows, "text string, other int").repartition(5)
+    seen = []
+    for limit in (C.BROADCAST_BYTES, 0):
+        with mock.patch.object(C, "BROADCAST_BYTES", limit):
+            found = C.ensure_id(df, ["text"]).collect()
+        ids = [r.id for r in found]
+        assert len(ids) == len(rows) == len(set(ids))
+        assert sorted((r.text, r.other) for r in found if r.text and r.other is not None) == sorted(x for x in rows if x[0] and x[1] is not None)
+        hot = hashlib.sha256(b"hot").hexdigest()
+        assert {i for i in ids if i.startswith(hot)} == {f"{hot}#{n}" for n in range(1, 404)}
+        seen.append(sorted((r.id, str(r.text), str(r.other)) for r in found))
+    assert seen[0] == seen[1]
+
+
+def test_answer_length_known_before_the_explode(spark):
+    """The diffusion mask gives the same rows with the count that the sequence knew, and asks for no exchange."""
+    from corpusprep.operators import masking as N
+    rows = spark.createDataFrame([(k, p, 100 + p, int(p < k), 6 - k) for k in range(4) for p in range(6)],
+                                 "key int, pos int, token_id int, prompt_mask int, n int")
+    plain = N.diffusion_mask(rows, "key", prompt_mask="prompt_mask", clamp_min=False)
+    known = N.diffusion_mask(rows, "key", prompt_mask="prompt_mask", clamp_min=False, n_col="n")
+    assert sorted(plain.collect()) == sorted(known.collect())
+    assert "Exchange" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+def test_feed_shuffles_records_not_tokens(spark, smoke_dir):
+    """The training feed numbers exactly the molecules it returns, and no exchange carries token rows."""
+    from corpusprep.plans.jobs import molecule_training_feed
+    records = spark.createDataFrame([(str(i), "" if i == 3 else "[C][O]", None, '["C","O"]', "[[0,0,0],[1,0,0]]") for i in range(9)],
+                                    "id string, selfies_string string, text_description string, atom_vec_str string, coordinates_str string")
+    vocab = spark.createDataFrame([("[C]", 1), ("[O]", 2)], "token string, id int")
+    feed = molecule_training_feed(records, vocab, max_atoms=4, max_selfies_len=8)
+    found = feed.collect()
+    assert {r.id for r in found} == {str(i) for i in range(9) if i != 3}
+    assert sorted(r.idx for r in found) == list(range(8))
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "hashpartitioning" in x]
+    assert exchanges and not any("REPARTITION" not in x and "token" in x for x in exchanges), plan
