@@ -10,7 +10,7 @@ Documents then move once, to the range that the splitters give them.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -26,8 +26,8 @@ OVERHEAD = 8
 TOLERANCE = 0.001
 #: Keys drawn from a stretch for the next round, rounds at most (each narrows a stretch about 17 times).
 DRAWN, ROUNDS = 16, 40
-#: Ranges inside a shard for each shuffle partition: a shard is numbered in pieces.
-PIECES = 4
+#: Ranges inside a shard for each shuffle partition: a shard is numbered in pieces, as even as this share of one.
+PIECES, PIECE_TOLERANCE = 4, 0.25
 
 
 def _size(text: str) -> Column:
@@ -101,26 +101,37 @@ def shard(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text
     run from 0 in the order (hash of the text, id); rows equal in text and id
     are interchangeable and stay together. A null text counts as an empty one
     (8 bytes, checksum 0), null ids come last among equal texts; an empty table
-    gives no shards; columns of any name pass through inside ``doc``."""
+    gives no shards; columns of any name pass through inside ``doc``.
+
+    The shards follow from the rows, ``shards`` and ``tolerance`` alone. The
+    number of pieces follows the session's partitions; pieces only cut a shard
+    for its numbering."""
     pieces = max(1, -(-PIECES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     text = F.coalesce(F.col(text_col), F.lit(""))
     placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _size(text_col).alias("size"),
                          F.crc32(text.cast("binary")).alias("text_crc32"),
                          F.struct(F.xxhash64(text).alias("h"), null_last(id_col, 0).alias("id")).alias("k"))
     keys = checkpoint(placed.select("k", "size"))
-    cuts = histogram_splitters(keys, shards * pieces, tolerance)
-    # every piece lies in the shard that its middle byte falls into
-    at = range_of(cuts, F.col("k"))
+    of_shards = histogram_splitters(keys, shards, tolerance)
+    cuts = {_order(c): c for c in [*histogram_splitters(keys, shards * pieces, PIECE_TOLERANCE), *of_shards]}
+    borders, places = [_order(c) for c in of_shards], sorted(cuts)
+    at = range_of([cuts[o] for o in places], F.col("k"))
     counts = {r["piece"]: r for r in keys.groupBy(at.alias("piece")).agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}  # one row for each piece
-    total, before, homes, firsts, filled = sum(r.bytes for r in counts.values()), 0, [], [], {}
-    for piece in range(len(cuts) + 1):
-        size, rows = (counts[piece].bytes, counts[piece].rows) if piece in counts else (0, 0)
-        home = min(shards - 1, int((before + size / 2) * shards / total)) if total else 0
-        homes.append(home)
-        firsts.append(filled.get(home, 0))
-        filled[home] = firsts[-1] + rows
+    # the stretch between two shard splitters lies in the shard that its middle byte falls into
+    stretch = [0, *(bisect_right(borders, o) for o in places)]
+    sizes = [0] * (len(borders) + 1)
+    for piece, r in counts.items():
+        sizes[stretch[piece]] += r.bytes
+    total, before, home_of = sum(sizes), 0, []
+    for size in sizes:
+        home_of.append(min(shards - 1, int((before + size / 2) * shards / total)) if total else 0)
         before += size
+    homes, firsts, filled = [], [], {}
+    for piece, part in enumerate(stretch):
+        homes.append(home_of[part])
+        firsts.append(filled.get(homes[-1], 0))
+        filled[homes[-1]] = firsts[-1] + (counts[piece].rows if piece in counts else 0)
     inside = Window.partitionBy("piece").orderBy("k")
     return (placed.withColumn("piece", at).withColumn("nth", F.row_number().over(inside) - 1)
             .select("doc", "size", "text_crc32", F.lit("bytes").alias("law"),

@@ -173,6 +173,24 @@ def check_shards(docs, shards=24):
     return rows
 
 
+def test_shards_do_not_follow_the_partition_setting(spark, small):
+    """Same shards with 3 and 29 shuffle partitions, and each border lies where plain byte quantiles have it:
+    within the tolerance, or as near as whole documents allow."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts in ("3", "29"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            seen.append(sorted((r.shard, r.slot, r.doc.doc_id, r["size"]) for r in sharding.shard(small).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+    total, below, most = sum(r[3] for r in seen[0]), 0, max(r[3] for r in seen[0])
+    for shard in range(24):
+        assert abs(below - total * shard / 24) <= max(most / 2, sharding.TOLERANCE * total / 24) + 1
+        below += sum(r[3] for r in seen[0] if r[0] == shard)
+
+
 def test_shards(spark, small, edge, empty):
     assert len(check_shards(small)) == small.count()
     assert len(check_shards(edge, 3)) == edge.count()
