@@ -577,3 +577,81 @@ def test_oracles(spark, smoke_dir, key):
     want = con.execute(ORACLES[key])
     assert got.columns == [c[0] for c in want.description]
     assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
+# ------------------------------------------------------------- learned models against plain forms
+
+
+def test_ranking_like_plain_descent(spark):
+    """Weights, cut and scores equal those of plain gradient descent on the same preference pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, len(ranking.FEATURES))).round(2)
+    y = (x[:, 0] - x[:, 2] + rng.normal(size=80) > -0.8).astype(int)
+    table = spark.createDataFrame([(int(b), *map(float, a)) for a, b in zip(x, y)], ["label", *ranking.FEATURES]).coalesce(1)
+    model = ranking.learn(table)
+    columns = []
+    for j, name in enumerate(ranking.FEATURES):
+        cuts = sorted({float(np.quantile(x[:, j], i / ranking.BINS)) for i in range(1, ranking.BINS)})
+        assert cuts == model.cuts[name]
+        bins = [sum(c < v for c in cuts) for v in x[:, j]]
+        columns += [[float(b == k) for b in bins] for k in range(len(cuts) + 1)]
+    hot = np.array(columns).T
+    good, bad = np.flatnonzero(y), np.flatnonzero(1 - y)
+    few, many = (bad, good) if len(bad) <= len(good) else (good, bad)
+    draws = np.random.default_rng(0).integers(0, len(many), len(few) * ranking.OPPONENTS)
+    pairs = [(few[n // ranking.OPPONENTS], many[d]) for n, d in enumerate(draws)]
+    pairs = [(b, a) if few is bad else (a, b) for a, b in pairs]  # (better, worse)
+    diff = np.array([hot[a] - hot[b] for a, b in pairs])
+    w = np.zeros(hot.shape[1])
+    for _ in range(20_000):
+        w += 0.3 * (diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff) - ranking.RIDGE * w)
+    assert np.allclose(np.concatenate([model.weights[n] for n in ranking.FEATURES]), w, atol=1e-5)
+    raw = hot @ w
+    assert abs(model.place - np.quantile(raw, len(bad) / len(y))) < 1e-4
+    scored = table.withColumn("raw", model.raw()).withColumn("score", model.score()).toPandas()
+    assert np.allclose(scored["raw"], raw, atol=1e-4)
+    assert set(np.flatnonzero(scored["score"] >= ranking.CUT)) >= set(np.flatnonzero(raw > model.place + 1e-3))
+    assert not set(np.flatnonzero(scored["score"] >= ranking.CUT)) & set(np.flatnonzero(raw < model.place - 1e-3))
+
+
+def plain_counts(text):
+    """Hashed trigrams of a text, byte by byte."""
+    data = [32, *text.encode(), 32]
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in data]
+    grams = [(data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2654435761 % 2**32 >> 16 for i in range(len(data) - 2)]
+    return Counter(grams)
+
+
+def test_language_model_and_sets_by_brute_force(small):
+    """The counts equal plain ones, and no single language and no pair of them, each fitted by long plain
+    expectation maximisation, has a better penalised likelihood than the set that was chosen."""
+    names, logs = language.fit(small)
+    rows = small.collect()
+    learned = [r for r in rows if r.lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    table = np.full((language.BUCKETS, len(names)), language.SMOOTHING)
+    for r in learned:
+        for gram, n in plain_counts(r.text).items():
+            table[gram, names.index(r.lang)] += n
+    assert names == sorted({r.lang for r in learned}) and np.allclose(logs, np.log(table / table.sum(axis=0)), atol=1e-4)
+
+    def penalised(counts, among, iterations=300):
+        p = np.exp(logs[list(counts)][:, among].astype(float))
+        n, part = np.array(list(counts.values()), float), np.full(len(among), 1 / len(among))
+        for _ in range(iterations):
+            part = part * ((n / (p @ part)) @ p) / n.sum()
+        penalty = language.PENALTY + 0.5 * np.log(max(n.sum() * language.INDEPENDENT, 1))
+        return float(n @ np.log(p @ part)) * language.INDEPENDENT - (len(among) - 1) * penalty
+
+    texts = [r.text for r in rows if r.text][:60]
+    texts += [a + " " + b for a, b in zip(texts[:20], texts[20:40])]
+    told = language.Mixture(names, logs).predict([t.encode() for t in texts])
+    sizes = Counter()
+    for text, (top, share, spelled) in zip(texts, told):
+        parts = {x.rpartition(":")[0]: float(x.rpartition(":")[2]) for x in spelled.split()}
+        assert top == max(parts, key=parts.get) and abs(parts[top] - share) < 1e-3
+        counts, chosen = plain_counts(text), [names.index(x) for x in parts]
+        every = range(len(names))
+        best = max(penalised(counts, s) for s in [[i] for i in every] + [[i, j] for i in every for j in every if i < j])
+        assert penalised(counts, chosen) >= best - 0.5, (spelled, text[:80])
+        sizes[len(chosen)] += 1
+    assert sizes[1] and len(sizes) > 1

@@ -45,3 +45,26 @@ def test_run_is_registered(spark, smoke_dir):
     out = entry.queries()["pipeline"](spark, smoke_dir)
     assert out.columns == ["doc_id", "ids", "decoded"] and out.where(F.col("ids").isNull()).count() == 0
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in entry.queries()}
+
+
+def test_stages_on_odd_rows(spark, smoke_dir, edge, empty):
+    """Nulls, empty and long texts, repeated rows, null and repeated ids, clashing names, and no rows at all."""
+    odd, none = (d.withColumn("n_chars", F.length("text")) for d in (edge, empty))
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, none, smoke_dir).count() == 0, name
+        out = stage(spark, odd, smoke_dir)
+        rows = out.collect()
+        if at < 4:
+            assert out.columns == odd.columns, name
+        asked, got = (Counter(r.doc_id for r in x) for x in (odd.collect(), rows))
+        if at == 0:
+            assert got == asked  # no label in reach: nothing is rejected
+        elif at == 1:
+            assert got.keys() <= asked.keys() and all(n <= asked[i] for i, n in got.items()) and sum(got.values()) < sum(asked.values())
+            assert len({r.text for r in rows if r.text and r.text.startswith("one two")}) == 1
+        elif at == 2:
+            assert got == asked and sum(r.text is None for r in rows) <= 2
+        elif at == 3:
+            assert all(n <= 2 * asked[i] for i, n in got.items())
+        else:
+            assert got == asked and Counter(bytes(r.decoded) for r in rows) == Counter((r.text or "").encode() for r in odd.collect())
