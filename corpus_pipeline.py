@@ -1,7 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage is a function (spark, docs, sf_dir) over all that its predecessor
-kept; its result is written before the next one reads it.
+kept; its result is written before the next one reads it. Empty tables stay
+empty, and columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,27 +17,42 @@ from corpusprep.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score as toxic go.
+
+    Null and empty texts get the rate of such examples; equal texts share a
+    decision, repeated rows all stay or all go; an id plays no part."""
     return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of its smallest id.
+
+    Null ids come last; of rows that share the id that of the smallest text hash
+    stays, of rows equal in both any one. Null, empty and wordless texts are one
+    group (fingerprint zero)."""
     return simhash.representatives(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that stand in an earlier document go; every document stays."""
+    """Bytes of passages that stand in an earlier document go; every document stays.
+
+    Null texts become empty ones, and so does a text that was nothing but a
+    repeat; n_chars is counted anew. Very long texts are read whole."""
     return passages.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target weight asks for it."""
+    """Every document as often as its source's target weight asks for it.
+
+    A null source is one of its own, the last; documents without a word add
+    nothing to a target; repeated rows are drawn each for itself."""
     return mixing.repeated(mixing.mix_sources(docs, n_words("text")))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, and the bytes that they decode to."""
+    """The token ids of every text, and the bytes that they decode to.
+
+    Null and empty texts have no ids; a row for each row, equal ids included."""
     return bpe.encode(docs)
 
 
