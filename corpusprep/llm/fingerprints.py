@@ -5,9 +5,12 @@ added to three cells of a table: cells hold a count, the XOR of the digests and
 the XOR of their checks. Subtracting two texts' cells cancels what they share.
 A cell with one digest left gives it away; taking it out of its other cells
 frees more, until the cells are empty and every differing digest is known. If
-peeling gets stuck, the digests are split into blocks with sketches of their
-own, and a block that gets stuck is tried again with twice the cells. All of it
-is built-in expressions over the row.
+peeling gets stuck, each text makes a sketch of twice the cells, with other
+places, and these are subtracted. A fingerprint has a size of its own, by the
+number of the text's digests, and tells it. All of it is built-in expressions
+over the row; cells that nothing is in are not kept, and a table is made by
+sorting entries by cell and adding up the runs, so that work follows a text's
+length.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from .ranges import _type, range_count, range_of, splitters
 #: Characters of a paragraph's pieces.
 PIECE = 128
 HASHES = 3
-#: Cells for each of the three hashes: of a fingerprint, and of a block's attempts.
-WIDTH, RETRIES = 4, (8, 16, 32, 64, 128)
-#: Digests that a block gets on average, rounds of peeling.
-BLOCK, ROUNDS = 8, 10
+#: Cells for each of the three hashes at least; how often a pair is tried again with twice the cells.
+WIDTH, RETRIES = 4, 8
+#: Rounds of peeling.
+ROUNDS = 40
 
 
 def digests(text: Column) -> Column:
@@ -36,110 +39,124 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
+def width_for(found: Column) -> Column:
+    """Cells for each hash in the sketch of some digests: a power of two, at
+    least half their number, so that a sketch holds 0.75 to 1.5 times as many
+    differing digests as its text has."""
+    half = F.greatest(F.size(found) / F.lit(2.0), F.lit(float(WIDTH)))
+    return F.pow(F.lit(2.0), F.ceil(F.log2(half))).cast("int")
+
+
 def _check(x: Column) -> Column:
     return F.xxhash64(x, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cells_of(x: Column, width: Column) -> Column:
-    """The places of a digest's cells, one in each third of the table."""
-    return let(F.xxhash64(x, width), lambda g: F.array(*[
-        (F.shiftrightunsigned(g, 20 * k).bitwiseAND(width.cast("long") - 1) + width * k).cast("int") for k in range(HASHES)]))
+def _cell(at, n, x, c) -> Column:
+    return F.struct(at.cast("long").alias("at"), n.cast("long").alias("n"), x.cast("long").alias("x"), c.cast("long").alias("c"))
+
+
+def _entries(found: Column, n: int, width: Column) -> Column:
+    """What some digests put into cells: three entries each, one in each third of the table."""
+    def of(x):
+        return let(F.struct(F.xxhash64(x, width).alias("g"), _check(x).alias("c")), lambda s: F.array(*[
+            _cell(F.shiftrightunsigned(s["g"], 20 * k).bitwiseAND(width.cast("long") - 1) + width * k, F.lit(n), x, s["c"])
+            for k in range(HASHES)]))
+    return F.flatten(F.transform(found, of))
+
+
+def _added(entries: Column) -> Column:
+    """Entries of one cell added up; cells in order, empty ones left out."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in "nxc"])
 
+    def runs(es):
+        starts = F.filter(F.transform(es, lambda e, i: F.when(F.get(es, i - 1)["at"].eqNullSafe(e["at"]), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
 
-def _cell(n, x, c) -> Column:
-    return F.struct(n.cast("long").alias("n"), x.cast("long").alias("x"), c.cast("long").alias("c"))
+        def total(a, b):
+            one = F.get(es, a)
+            many = let(F.aggregate(F.slice(es, a + 1, b - a), zero, lambda s, e: F.struct(
+                (s["n"] + e["n"]).alias("n"), s["x"].bitwiseXOR(e["x"]).alias("x"), s["c"].bitwiseXOR(e["c"]).alias("c"))),
+                lambda s: _cell(one["at"], s["n"], s["x"], s["c"]))
+            return F.when(b - a == 1, one).otherwise(many)
 
+        return let(starts, lambda st: F.transform(st, lambda a, k: total(a, F.coalesce(F.get(st, k + 1), F.size(es)))))
 
-def sketch(entries: Column, width: Column) -> Column:
-    """The cells of entries (x, n): the digest and how often it counts, 1 or -1."""
-    marked = F.transform(entries, lambda e: F.struct(e["x"].alias("x"), e["n"].alias("n"), _check(e["x"]).alias("c"), _cells_of(e["x"], width).alias("at")))
-    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-    return let(marked, lambda ms: F.transform(
-        F.sequence(F.lit(0), width * HASHES - 1),
-        lambda i: F.aggregate(F.filter(ms, lambda m: F.array_contains(m["at"], i)), zero, lambda s, m: _cell(
-            s["n"] + m["n"], s["x"].bitwiseXOR(m["x"]), s["c"].bitwiseXOR(m["c"])))))
+    added = let(F.sort_array(entries), runs)
+    return F.filter(added, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["c"] != 0))
 
 
-def counted(found: Column, n: int = 1) -> Column:
-    return F.transform(found, lambda x: F.struct(x.alias("x"), F.lit(n).cast("long").alias("n")))
+def sketch(found: Column, width: Column) -> Column:
+    """The cells of some distinct digests, ``width`` (a power of two) for each hash."""
+    return _added(_entries(found, 1, width))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda p, q: _cell(p["n"] - q["n"], p["x"].bitwiseXOR(q["x"]), p["c"].bitwiseXOR(q["c"])))
+    """The cells of one sketch less those of another of the same width."""
+    return _added(F.concat(a, F.transform(b, lambda c: _cell(c["at"], -c["n"], c["x"], c["c"]))))
 
 
 def peel(cells: Column, width: Column) -> Column:
-    """(ok, items): the differing digests (x, n), n telling the side; ok if no cell kept anything."""
-    none = F.array().cast("array<struct<x: bigint, n: bigint>>")
+    """(ok, plus, minus): the digests that only the first sketch had and those
+    that only the second had; ok if no cell kept anything."""
+    none = F.array().cast("array<bigint>")
 
     def turn(s, _):
         pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["x"])))
-        items = F.array_distinct(F.transform(pure, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
+        side = lambda ps, n: F.array_distinct(F.transform(F.filter(ps, lambda c: c["n"] == n), lambda c: c["x"]))
 
         def without(got):
-            placed = F.transform(got, lambda p: F.struct(p["x"].alias("x"), p["n"].alias("n"), _check(p["x"]).alias("c"), _cells_of(p["x"], width).alias("at")))
-            left = let(placed, lambda ps: F.transform(s["cells"], lambda c, i: F.aggregate(
-                F.filter(ps, lambda p: F.array_contains(p["at"], i)), c, lambda t, p: _cell(
-                    t["n"] - p["n"], t["x"].bitwiseXOR(p["x"]), t["c"].bitwiseXOR(p["c"])))))
-            more = F.struct(left.alias("cells"), F.concat(s["items"], got).alias("items"), F.lit(False).alias("stuck"))
-            return F.when(F.size(got) == 0, F.struct(s["cells"].alias("cells"), s["items"].alias("items"), F.lit(True).alias("stuck"))).otherwise(more)
+            left = _added(F.concat(s["cells"], _entries(got["plus"], -1, width), _entries(got["minus"], 1, width)))
+            return F.struct(left.alias("cells"), F.concat(s["plus"], got["plus"]).alias("plus"), F.concat(s["minus"], got["minus"]).alias("minus"),
+                            F.lit(False).alias("stuck"))
 
-        return F.when(s["stuck"], s).otherwise(let(items, without))
+        stuck = F.struct(s["cells"].alias("cells"), s["plus"].alias("plus"), s["minus"].alias("minus"), F.lit(True).alias("stuck"))
+        sides = lambda ps: let(F.struct(side(ps, 1).alias("plus"), side(ps, -1).alias("minus")), without)
+        return F.when(s["stuck"] | (F.size(s["cells"]) == 0), s).otherwise(
+            let(pure, lambda ps: F.when(F.size(ps) == 0, stuck).otherwise(sides(ps))))
 
-    start = F.struct(cells.alias("cells"), none.alias("items"), F.lit(False).alias("stuck"))
+    start = F.struct(cells.alias("cells"), none.alias("plus"), none.alias("minus"), F.lit(False).alias("stuck"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return let(done, lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["x"] == 0) & (c["c"] == 0)).alias("ok"), s["items"].alias("items")))
-
-
-def _block_difference(entries: Column) -> Column:
-    """The differing digests of one block, with twice the cells until peeling
-    ends. (Should the largest table fail too, digests are compared directly.)"""
-    failed = F.struct(F.lit(False).alias("ok"), F.array().cast("array<struct<x: bigint, n: bigint>>").alias("items"))
-
-    def attempt(s, width):
-        return F.when(s["ok"], s).otherwise(peel(sketch(entries, width), width))
-
-    side = lambda n: F.transform(F.filter(entries, lambda e: e["n"] == n), lambda e: e["x"])
-    direct = F.concat(counted(F.array_except(side(1), side(-1))), counted(F.array_except(side(-1), side(1)), -1))
-    tried = F.aggregate(F.array(*map(F.lit, RETRIES)), failed, attempt)
-    return let(tried, lambda s: F.when(s["ok"], s["items"]).otherwise(direct))
-
+    return let(done, lambda s: F.struct((F.size(s["cells"]) == 0).alias("ok"), s["plus"].alias("plus"), s["minus"].alias("minus")))
 
-def difference(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """The digests (x, n) in one of two arrays only: n is 1 in ``a``, -1 in ``b``.
 
-    The two fingerprints are subtracted and peeled first. If they hold too much,
-    digests go to about as many blocks as BLOCK of them ask for, by way of the
-    square root of that number of groups: blocks stay small however long the
-    texts are."""
-    width = F.lit(WIDTH)
+def difference(a: Column, b: Column, own_a: Column, own_b: Column) -> Column:
+    """(tries, plus, minus): the digests in ``a`` only and in ``b`` only, out of
+    two arrays of digests and their fingerprints' cells.
 
-    def blocks(entries):
-        side = F.ceil(F.sqrt(F.size(entries) / F.lit(float(BLOCK)))).cast("int")
+    Each try subtracts two sketches, each made from one text's digests alone.
+    The first has the larger fingerprint's width, so that the fingerprints
+    serve as they are where their widths agree; later ones have twice the cells
+    each, RETRIES times. (Should the last fail too, which only a whole table of
+    like places can bring about, digests are compared directly: 0 tries.)"""
+    def tried(w):
+        first = F.greatest(w["a"], w["b"])
 
-        def split(groups):
-            def inner(mine):
-                return F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda j: let(
-                    F.filter(mine, lambda e: F.pmod(F.shiftrightunsigned(e["x"], 32), groups) == j), _block_difference)))
-            return F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), lambda i: let(
-                F.filter(entries, lambda e: F.pmod(e["x"].bitwiseAND(F.lit(0x7FFFFFFF)), groups) == i), inner)))
+        def attempt(s, k):
+            def at(width):
+                made = lambda found, own, mine: F.when(width == mine, own).otherwise(sketch(found, width))
+                done = peel(subtract(made(a, own_a, w["a"]), made(b, own_b, w["b"])), width)
+                return let(done, lambda d: F.struct(d["ok"].alias("ok"), k.alias("tries"), d["plus"].alias("plus"), d["minus"].alias("minus")))
+            return F.when(s["ok"], s).otherwise(let((first * F.pow(F.lit(2.0), k - 1)).cast("int"), at))
 
-        return let(side, split)
+        none = F.array().cast("array<bigint>")
+        start = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("tries"), none.alias("plus"), none.alias("minus"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES + 1)), start, attempt)
 
-    larger = let(F.concat(counted(a), counted(b, -1)), blocks)
-    return let(peel(subtract(cells_a, cells_b), width), lambda s: F.when(s["ok"], s["items"]).otherwise(larger))
+    direct = F.struct(F.lit(0).alias("tries"), F.array_except(a, b).alias("plus"), F.array_except(b, a).alias("minus"))
+    widths = F.struct(width_for(a).alias("a"), width_for(b).alias("b"))
+    return let(let(widths, tried), lambda s: F.when(s["ok"], F.struct(
+        s["tries"].alias("tries"), s["plus"].alias("plus"), s["minus"].alias("minus"))).otherwise(direct))
 
 
-def likeness(a: Column, b: Column, differing: Column) -> Column:
+def likeness(a: Column, b: Column, apart: Column) -> Column:
     """The share of both texts' digests that they have in common (two empty texts: 1)."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / both)
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(apart["plus"]) - F.size(apart["minus"])) / both)
 
 
-def spelled(cells: Column) -> Column:
-    """Cells as a string of hexadecimal digits."""
-    text = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(text(c["n"], 8), text(c["x"], 16), text(c["c"], 8))), "")
+def spelled(width: Column, cells: Column) -> Column:
+    """A fingerprint: the width, then place, count, digests and checks of each cell, in hexadecimal digits."""
+    cell = lambda c: F.concat_ws(".", *[F.lower(F.hex(c[k])) for k in ("at", "n", "x", "c")])
+    return F.concat_ws(":", F.lower(F.hex(width)), F.array_join(F.transform(cells, cell), ","))
 
 
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,19 +195,22 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The fingerprint of every text and of its edited form, and how like the
-    text's is to the edited one's and to the next document's.
+    """The fingerprint of every text and of its edited form, how like the
+    text's is to the edited one's and to the next document's, and at which try
+    the two sketches told all their differences (``tries_edited``, ``tries_next``).
 
-    Null texts count as empty ones (a fingerprint of zeros); equal texts have
-    equal fingerprints, and repeated paragraphs count once; repeated rows keep
-    a row each; an only document is its own next one."""
-    width = F.lit(WIDTH)
+    Null texts count as empty ones (a fingerprint without a filled cell); equal
+    texts have equal fingerprints, and repeated paragraphs count once; repeated
+    rows keep a row each; an only document is its own next one."""
     texts = with_next(docs, id_col=id_col, text_col=text_col)
     texts = texts.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     found = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                          digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("e"), digests(F.col("next_text")).alias("x"))
-    cells = found.select("*", *[sketch(counted(F.col(c)), width).alias(f"cells_{c}") for c in "aex"])
+    cells = found.select("*", *[sketch(F.col(c), width_for(F.col(c))).alias(f"cells_{c}") for c in "aex"])
     apart = lambda c: difference(F.col("a"), F.col(c), F.col("cells_a"), F.col(f"cells_{c}"))
-    near = lambda c: let(apart(c), lambda d: likeness(F.col("a"), F.col(c), d))
-    return cells.select("doc_id", "n_chars", "edited_sha256", spelled(F.col("cells_a")).alias("fingerprint"),
-                        spelled(F.col("cells_e")).alias("edited_fingerprint"), near("e").alias("near_edited"), near("x").alias("near_next"))
+    told = lambda c: let(apart(c), lambda d: F.struct(likeness(F.col("a"), F.col(c), d).alias("near"), d["tries"].alias("tries")))
+    out = cells.select("doc_id", "n_chars", "edited_sha256", *[spelled(width_for(F.col(c)), F.col(f"cells_{c}")).alias(f"print_{c}") for c in "ae"],
+                       told("e").alias("edited"), told("x").alias("next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("print_a").alias("fingerprint"), F.col("print_e").alias("edited_fingerprint"),
+                      F.col("edited.near").alias("near_edited"), F.col("next.near").alias("near_next"),
+                      F.col("edited.tries").alias("tries_edited"), F.col("next.tries").alias("tries_next"))

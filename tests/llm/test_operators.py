@@ -253,12 +253,32 @@ def test_peeling_recovers_every_digest(spark):
         a = rng.integers(-2**63, 2**63 - 1, n).tolist()
         rows.append((a, a[: n // 2] + rng.integers(-2**63, 2**63 - 1, n).tolist()))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>")
-    w = F.lit(fingerprints.WIDTH)
-    cells = [fingerprints.sketch(fingerprints.counted(F.col(c)), w) for c in "ab"]
+    cells = [fingerprints.sketch(F.col(c), fingerprints.width_for(F.col(c))) for c in "ab"]
     got = df.select("a", "b", fingerprints.difference(F.col("a"), F.col("b"), *cells).alias("d")).collect()
     for r in got:
-        assert {x.x for x in r.d if x.n == 1} == set(r.a) - set(r.b)
-        assert {x.x for x in r.d if x.n == -1} == set(r.b) - set(r.a)
+        assert sorted(r.d.plus) == sorted(set(r.a) - set(r.b))
+        assert sorted(r.d.minus) == sorted(set(r.b) - set(r.a))
+        assert r.d.tries > 0  # told by two sketches
+
+
+def test_two_stored_sketches_tell_versions_apart(spark):
+    """Cells alone are enough: no digest array of either text is looked at."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (20, 300, 3000):
+        a = rng.integers(-2**63, 2**63 - 1, n).tolist()
+        rows.append((a, a[: n - n // 8] + rng.integers(-2**63, 2**63 - 1, n // 8).tolist()))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").withColumn("w", fingerprints.width_for(F.col("a")))
+    stored = spark.createDataFrame(df.select("w", *[fingerprints.sketch(F.col(c), F.col("w")).alias(c) for c in "ab"]).collect(),
+                                   "w int, " + ", ".join(f"{c} array<struct<at: long, n: long, x: long, c: long>>" for c in "ab"))
+    got = stored.select(fingerprints.peel(fingerprints.subtract(F.col("a"), F.col("b")), F.col("w")).alias("d")).collect()
+    for (a, b), r in zip(rows, sorted(got, key=lambda r: len(r.d.plus)), strict=True):
+        assert r.d.ok and set(r.d.plus) == set(a) - set(b) and set(r.d.minus) == set(b) - set(a)
+
+
+def test_most_pairs_are_told_by_sketches(small):
+    rows = fingerprints.fingerprints(small).select("tries_edited", "tries_next").collect()
+    assert sum((r.tries_edited > 0) + (r.tries_next > 0) for r in rows) >= 0.95 * 2 * len(rows)
 
 
 # 6 toxicity
