@@ -14,7 +14,7 @@ import json
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import least_hashes, let
 
 #: Ranges for each shuffle partition: hashed to partitions, they even out.
 RANGES_PER_PARTITION = 8
@@ -42,10 +42,10 @@ def splitters(keys: DataFrame, key: Column, ranges: int) -> list[Row]:
     """At most ``ranges - 1`` ordered key values that cut the rows about evenly.
 
     They come from the ``ranges * KEYS_PER_RANGE`` keys with the smallest
-    hashes, a uniform sample that does not depend on partitioning. The sample
-    only steers balance: rows are never dropped by it."""
-    sample = (keys.select(key.alias("k")).orderBy(F.xxhash64("k"), "k")
-              .limit(ranges * KEYS_PER_RANGE).orderBy("k").collect())
+    hashes, a uniform sample that does not depend on partitioning; a hash cut
+    keeps the other keys out of the sort. The sample only steers balance: rows
+    are never dropped by it."""
+    sample = least_hashes(keys.select(key.alias("k")), ranges * KEYS_PER_RANGE, "k").orderBy("k").collect()
     cuts = [sample[i * len(sample) // ranges].k for i in range(1, ranges)] if sample else []
     return list(dict.fromkeys(cuts))
 
