@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import let, words
+from .common import least_hashes, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: The base rule: fewer words fail, and more than this percentage of repeated words.
@@ -219,9 +219,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, label: str = "quality", l
     the smallest hashes). Null texts have no words and fail the base rule;
     null ids keep a row each; repeated rows repeat. Without labels only the
     base rule decides."""
-    examples = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-                .select("doc_id", F.col(label).alias("_label"))
-                .orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(labelled_rows))
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("_label"))
+    examples = least_hashes(known, labelled_rows, "doc_id", "_label")
     plain = docs.select("doc_id", "text")
     seen = statistics(plain.join(F.broadcast(examples), "doc_id"))  # bounded by labelled_rows
     rules = learn(seen, "_label")
