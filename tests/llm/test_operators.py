@@ -675,3 +675,20 @@ def test_language_model_and_sets_by_brute_force(small):
         assert penalised(counts, chosen) >= best - 0.5, (spelled, text[:80])
         sizes[len(chosen)] += 1
     assert sizes[1] and len(sizes) > 1
+
+
+def test_ranking_repeated_ids(spark):
+    """The sample is that of the join of all rows, whatever repeats; a frequent id does not empty it."""
+    docs = spark.createDataFrame([(k % 5, "word " * (k % 7 + 1) + "## " * (k % 3)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 5, k % 2) for k in range(40)], "doc_id long, quality int")
+    known = labels.select("doc_id", labels.quality.alias("label"))
+    got = ranking._examples(docs, known, 300).toPandas()
+    whole = ranking._features(docs.join(known, "doc_id")).orderBy(F.xxhash64("doc_id"), *ranking.FEATURES, "label").limit(300).toPandas()
+    flat = got.loc[np.repeat(got.index, got["times"])].head(300)
+    assert flat[["label", *ranking.FEATURES]].values.tolist() == whole[["label", *ranking.FEATURES]].values.tolist()
+    ids = spark.range(200).where(F.xxhash64("id") > 0).where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).limit(2).collect()
+    hot = spark.createDataFrame([(ids[0].id, 1)] * 50 + [(ids[1].id, 0)] * 3, "doc_id long, quality int")
+    two = spark.createDataFrame([(ids[0].id, "Good words in a line"), (ids[1].id, "## ## ##")], "doc_id long, text string")
+    scores = {r.score for r in ranking.rank(two, hot, labelled_rows=53).collect()} | {r.score for r in ranking.rank(two, hot, labelled_rows=10).collect()}
+    assert sum(r.times for r in ranking._examples(two, hot.select("doc_id", hot.quality.alias("label")), 10).collect()) >= 10
+    assert len(scores) > 1
