@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 from .tar import _arrow_fs
 
-#: Bytes of a block, bytes read at once, and bytes of records handed on at once.
-BLOCK_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 8 << 20
+#: Bytes of a block, bytes read at once (past the block's end: fewer), and bytes of records handed on at once.
+BLOCK_BYTES, READ_BYTES, TAIL_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 64 << 10, 8 << 20
 QUOTE, NEWLINE, RETURN, BACKSLASH, COMMA = b'"\n\r\\,'
 
 
@@ -32,16 +32,23 @@ def blocks(spark: SparkSession, path: str | list[str], block_bytes: int = BLOCK_
     cut = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
     dealt = cut.select("path", "length", "block", (F.col("block") * block_bytes).alias("at"),
                        F.least((F.col("block") + 1) * block_bytes, F.col("length")).alias("end"))
-    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "block")
+    return _dealt(dealt)
 
 
-def _chunks(path: str, at: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of a stretch of a file, a bounded read at a time."""
+def _dealt(cut: DataFrame) -> DataFrame:
+    """Blocks dealt to all tasks. A block's row says little of the bytes behind
+    it, so the number of tasks is given: rows this small would be put into one."""
+    return cut.repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "block")
+
+
+def _chunks(path: str, at: int, end: int, most: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of a stretch of a file, a bounded read at a time. No read
+    crosses ``end``; with ``most``, short ones follow up to there, as far as they are asked for."""
     filesystem, inner = _arrow_fs(path)
     with filesystem.open_input_file(inner) as f:
         f.seek(at)
-        while at < end:
-            got = f.read(min(READ_BYTES, end - at))
+        while at < (end if most is None else most):
+            got = f.read(min(READ_BYTES, end - at) if at < end else min(TAIL_BYTES, most - at))
             if not got:
                 return
             yield at, got
@@ -65,7 +72,7 @@ def csv_blocks(cut: DataFrame) -> DataFrame:
     running sum over one small row a block."""
     counted = checkpoint(cut.mapInArrow(_quotes, "path string, length long, block long, at long, end long, odd long"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).drop("odd")
+    return _dealt(counted.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).drop("odd"))
 
 
 def _line_ends(got: bytes, inside: int) -> tuple[np.ndarray, int]:
@@ -80,7 +87,7 @@ def csv_records_of(path: str, at: int, end: int, inside: int, length: int) -> It
     started = at == 0
     start, held = (0, []) if started else (None, None)
     place = at
-    for offset, got in _chunks(path, at, length):
+    for offset, got in _chunks(path, at, end, length):
         breaks, inside = _line_ends(got, inside)
         low = 0
         for b in breaks.tolist():
@@ -94,6 +101,8 @@ def csv_records_of(path: str, at: int, end: int, inside: int, length: int) -> It
             started, start, held, low = True, place, [], b + 1
         if started:
             held.append(got[low:])
+        elif offset + len(got) >= end:  # the block lies within one record
+            return
     if started and held:
         yield start, b"".join(held)
 
@@ -178,29 +187,39 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             ways = [[s, 0] for s in (OUT, IN, ESCAPED)]
             for _, got in _chunks(r["path"], r["at"], r["end"]):
+                told: dict[int, tuple[int, int]] = {}
                 for way in ways:
-                    change, _, way[0] = json_scan(got, way[0])
-                    way[1] += int(change.sum())
+                    # what a backslash takes matters only if it is a quote or a backslash
+                    state = IN if way[0] == ESCAPED and got[0] not in (QUOTE, BACKSLASH) else way[0]
+                    if state not in told:
+                        change, _, after = json_scan(got, state)
+                        told[state] = int(change.sum()), after
+                    way[0], way[1] = told[state][1], way[1] + told[state][0]
             out.append([x for way in ways for x in way])
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "length", "block", "at", "end")), pa.array(out, pa.list_(pa.int64()))],
                                          names=["path", "length", "block", "at", "end", "ways"])
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole files in order -> state and depth at the start of each; what is kept is one state."""
+    path, state, depth = None, OUT, 0
+    for batch in batches:
+        states, depths = [], []
+        for name, ways in zip(batch.column("path").to_pylist(), batch.column("ways").to_pylist(), strict=True):
+            if name != path:
+                path, state, depth = name, OUT, 0
+            states.append(state)
+            depths.append(depth)
+            state, depth = ways[2 * state], depth + ways[2 * state + 1]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "length", "block", "at", "end")), pa.array(states, pa.int64()), pa.array(depths, pa.int64())],
+                                         names=["path", "length", "block", "at", "end", "state", "depth"])
+
+
 def json_blocks(cut: DataFrame) -> DataFrame:
     """The blocks with ``state`` and ``depth`` at their start: an ordered fold of one small row a block."""
     told = checkpoint(cut.mapInArrow(_summaries, "path string, length long, block long, at long, end long, ways array<long>"))
-    start = F.struct(F.lit(0).cast("long").alias("state"), F.lit(0).cast("long").alias("depth"),
-                     F.array().cast("array<struct<block:bigint,state:bigint,depth:bigint>>").alias("out"))
-
-    def step(s, b):
-        way = (s["state"] * 2).cast("int")
-        here = F.struct(b["block"].alias("block"), s["state"].alias("state"), s["depth"].alias("depth"))
-        return F.struct(F.get(b["ways"], way).alias("state"), (s["depth"] + F.get(b["ways"], way + 1)).alias("depth"),
-                        F.concat(s["out"], F.array(here)).alias("out"))
-
-    ordered = told.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block", "ways"))).alias("b"))
-    states = ordered.select("path", F.explode(F.aggregate("b", start, step)["out"]).alias("s")).select("path", "s.*")
-    return told.drop("ways").join(states, ["path", "block"])
+    ordered = told.repartition("path").sortWithinPartitions("path", "block")
+    return _dealt(ordered.mapInArrow(_fold, "path string, length long, block long, at long, end long, state long, depth long"))
 
 
 def json_items_of(path: str, at: int, end: int, state: int, depth: int, length: int) -> Iterator[tuple[int, bytes]]:
@@ -208,7 +227,7 @@ def json_items_of(path: str, at: int, end: int, state: int, depth: int, length:
 
     An item starts after the array's opening bracket or a comma at depth 1."""
     started, start, held = False, None, []
-    for offset, got in _chunks(path, at, length):
+    for offset, got in _chunks(path, at, end, length):
         data = np.frombuffer(got, np.uint8)
         change, outside, state = json_scan(got, state)
         after = depth + np.cumsum(change)
@@ -228,7 +247,7 @@ def json_items_of(path: str, at: int, end: int, state: int, depth: int, length:
                 started, start, low = True, place, b + 1
         if started:
             held.append(got[low:])
-        elif offset + len(got) > end:
+        elif offset + len(got) >= end:
             return
         depth = int(after[-1])
     if started and held:

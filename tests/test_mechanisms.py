@@ -359,3 +359,27 @@ def test_feed_shuffles_records_not_tokens(spark, smoke_dir):
     plan = feed._jdf.queryExecution().executedPlan().toString()
     exchanges = [x for x in plan.splitlines() if "hashpartitioning" in x]
     assert exchanges and not any("REPARTITION" not in x and "token" in x for x in exchanges), plan
+
+
+def test_blocks_are_dealt_to_all_tasks(spark, tmp_path):
+    """The few bytes of the blocks' rows do not put all reading into one task, and no block reads far past its end."""
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("".join(f'"{i}","a ""b""\n{i}"\n' for i in range(200)))
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"a": [i, "x\\\"]"]} for i in range(200)]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for records in (blocks.csv_records(spark, str(tmp_path / "*.csv"), 256), blocks.json_items(spark, str(tmp_path / "*.json"), 256)):
+        assert records.rdd.getNumPartitions() == parts and records.count() == 600
+    long = tmp_path / "long.csv"
+    long.write_bytes(b'"' + b"x" * 400_000 + b'"\n1\n')
+    read = []
+    chunks = blocks._chunks
+
+    def counted(*args):
+        for at, got in chunks(*args):
+            read.append(len(got))
+            yield at, got
+
+    with mock.patch.object(blocks, "_chunks", counted):
+        size = os.path.getsize(long)
+        got = [r for at in range(0, size, 1000) for r in blocks.csv_records_of(f"file:{long}", at, min(at + 1000, size), int(0 < at), size)]
+    assert [len(r) for _, r in got] == [400_002, 1] and sum(read) < 3 * size
