@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 NAME_RE = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
 #: Bytes of members that a task hands on at once, bytes of a shard that go to one task, and headers handed on at once.
 BATCH_BYTES, STRETCH_BYTES, INDEXED = 32 << 20, 64 << 20, 10_000
+#: Shards whose headers one task lists, where there are more shards than tasks.
+SHARDS_A_TASK = 64
 
 
 def split_name(fname: Column) -> tuple[Column, Column]:
@@ -77,9 +79,18 @@ def group_samples(members: DataFrame, *, url: str = "url", idx: str = "idx", fna
 
 
 def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path) of every shard, one partition each; contents are not read."""
+    """(path) of every shard, dealt to tasks; contents are not read. Tasks must
+    not grow with the shards one for one: those of the exchanges after them would
+    meet in pairs."""
     listing = spark.read.format("binaryFile").load(paths).select("path")
-    return listing.repartition(max(1, len(listing.inputFiles())), "path")
+    files, _, tasks = _extent(spark, paths)
+    return listing.repartition(max(1, min(files, max(tasks, -(-files // SHARDS_A_TASK)))), "path")
+
+
+def _extent(spark: SparkSession, paths: str | list[str]) -> tuple[int, int, int]:
+    """(shards, their bytes, tasks of an exchange); contents are not read."""
+    files, size = spark.read.format("binaryFile").load(paths).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return files, size, int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def index_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -134,11 +145,11 @@ def _headers(path: str) -> Iterator[tuple[str, int, str, int | None, int | None,
 
 
 def _dealt(rows: DataFrame, offset: Column, paths: str | list[str]) -> DataFrame:
-    """Rows dealt to tasks by stretches of their shard, in file order; as many tasks as shards at least."""
+    """Rows dealt to tasks by stretches of their shard, in file order; as many
+    tasks as shards at least, unless they are smaller than a stretch: then as many as stretches."""
     stretch = F.coalesce(F.floor(offset / STRETCH_BYTES), F.lit(0))
-    spark = rows.sparkSession
-    files = len(spark.read.format("binaryFile").load(paths).inputFiles())
-    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files, size, tasks = _extent(rows.sparkSession, paths)
+    parts = max(tasks, min(files, -(-size // STRETCH_BYTES)))
     return rows.withColumn("_at", offset).withColumn("_part", stretch).repartition(parts, "url", "_part").sortWithinPartitions("url", "_part", "_at")
 
 
@@ -306,5 +317,6 @@ def write_tar_shards(members: DataFrame, folder: str, *, shard: str = "shard", i
             yield close()
 
     folder = _qualified(members.sparkSession, folder)
-    ordered = members.select(shard, idx, fname, data).repartition(shard).sortWithinPartitions(shard, idx)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given: small members take long for their bytes
+    ordered = members.select(shard, idx, fname, data).repartition(parts, shard).sortWithinPartitions(shard, idx)
     return ordered.mapInPandas(run, "shard long, path string, members long")

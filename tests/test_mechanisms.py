@@ -383,3 +383,14 @@ def test_blocks_are_dealt_to_all_tasks(spark, tmp_path):
         size = os.path.getsize(long)
         got = [r for at in range(0, size, 1000) for r in blocks.csv_records_of(f"file:{long}", at, min(at + 1000, size), int(0 < at), size)]
     assert [len(r) for _, r in got] == [400_002, 1] and sum(read) < 3 * size
+
+
+def test_shards_do_not_make_a_task_each(spark, tmp_path):
+    """Many small shards are read by the tasks there are; partitions do not grow with them one for one."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = spark.range(400).select((F.col("id") / 2).cast("long").alias("shard"), F.col("id").alias("idx"), F.concat(F.lit("k"), F.col("id"), F.lit(".txt")).alias("fname"),
+                                      F.col("id").cast("string").cast("binary").alias("data"))
+    assert tar.write_tar_shards(members, str(tmp_path)).count() == 200
+    samples = tar.read_tar_samples(spark, str(tmp_path / "*.tar"))
+    assert samples.rdd.getNumPartitions() == parts
+    assert sorted(int(r.data["txt"]) for r in samples.collect()) == list(range(400))
