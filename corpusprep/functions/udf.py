@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+#: Rows whose tokens are Python objects at once; a whole Arrow batch would hold too many.
+SLICE = 256
+
+
 def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list]], return_type: str = "array<string>"):
     """Wrap ``make_tokenizer()`` (called once per task) into an
     iterator pandas UDF ``string -> array``."""
@@ -25,7 +29,8 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list]], return_ty
     def _tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = make_tokenizer()
         for s in batches:
-            yield s.map(lambda t: [] if t is None else list(fn(t)))
+            for at in range(0, len(s), SLICE):
+                yield s.iloc[at:at + SLICE].map(lambda t: [] if t is None else list(fn(t)))
 
     return _tok
 

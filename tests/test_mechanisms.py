@@ -394,3 +394,12 @@ def test_shards_do_not_make_a_task_each(spark, tmp_path):
     samples = tar.read_tar_samples(spark, str(tmp_path / "*.tar"))
     assert samples.rdd.getNumPartitions() == parts
     assert sorted(int(r.data["txt"]) for r in samples.collect()) == list(range(400))
+
+
+def test_tokens_leave_the_tokenizer_in_slices(spark):
+    from corpusprep.functions import udf
+    fn = udf.tokenizer_udf(lambda: str.split).func
+    import pandas as pd
+    texts = pd.Series(["a b"] * 1000 + [None])
+    out = list(fn(iter([texts, texts[:0]])))
+    assert max(map(len, out)) <= udf.SLICE and [t for s in out for t in s] == [["a", "b"]] * 1000 + [[]]
