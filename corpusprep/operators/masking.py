@@ -103,10 +103,15 @@ def exact_count_mask_array(seq: Column, key: str, ratio: Column, *, is_pad=None,
     return map_with(by_pos, k, lambda s, kk: ~s["p"] & (s["r"] < kk))
 
 
+def mask_probability(key: str, eps: float = 1e-3, *, seed: int = 0, rng: str = "portable") -> Column:
+    """A sequence's probability of masking."""
+    return (1.0 - eps) * uniform("t", key, seed=seed, rng=rng) + eps
+
+
 def diffusion_mask(rows: DataFrame, key: str, *, pos: str = "pos", tok: str = "token_id",
                    prompt_mask: str | None = None, eps: float = 1e-3,
                    answer_len: str = "non_prompt", clamp_min: bool = True, seq_len: int | None = None,
-                   n_col: str | None = None, mask_id: int = K.MASK_ID, seed: int = 0, rng: str = "portable") -> DataFrame:
+                   n_col: str | None = None, p_col: str | None = None, mask_id: int = K.MASK_ID, seed: int = 0, rng: str = "portable") -> DataFrame:
     """Per-sequence ``p = (1-eps)*u('t', key) + eps``; a position
     is masked when ``u('mask', key, pos) < p`` and it is not a prompt
     position. ``noisy_id`` = mask id or token; ``label`` = token.
@@ -114,9 +119,10 @@ def diffusion_mask(rows: DataFrame, key: str, *, pos: str = "pos", tok: str = "t
     ``answer_len``: ``"non_prompt"`` = count of non-prompt positions (N5/N6),
     or ``"attention"`` = sequence length (N4, all-ones attention mask, X7).
     ``n_col`` has that count where the sequence knew it before it was exploded:
-    then no window, and no exchange of token rows, is needed.
+    then no window, and no exchange of token rows, is needed. ``p_col`` has
+    ``mask_probability`` where that was found once for each sequence.
     """
-    p = (1.0 - eps) * uniform("t", key, seed=seed, rng=rng) + eps
+    p = F.col(p_col) if p_col else mask_probability(key, eps, seed=seed, rng=rng)
     masked = uniform("mask", key, pos, seed=seed, rng=rng) < F.col("p_mask")
     if prompt_mask is not None:
         masked = masked & (F.col(prompt_mask) == 0)

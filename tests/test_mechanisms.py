@@ -403,3 +403,18 @@ def test_tokens_leave_the_tokenizer_in_slices(spark):
     texts = pd.Series(["a b"] * 1000 + [None])
     out = list(fn(iter([texts, texts[:0]])))
     assert max(map(len, out)) <= udf.SLICE and [t for s in out for t in s] == [["a", "b"]] * 1000 + [[]]
+
+
+def test_one_shard_is_featurised_by_all_tasks(spark, tmp_path):
+    """A stream's shard of one row group is read in one task; its documents are dealt before they become rows."""
+    spark.range(64).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"),
+                           F.lit(5).cast("bigint").alias("n_chars")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "token string, id int")
+    q = feeds.start_featurise(spark, str(tmp_path / "in"), vocab, str(tmp_path / "out"), str(tmp_path / "ckpt"), seq_len=8)
+    q.awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 64 * 8 and len(written.inputFiles()) > 1
+    once = feeds.featurise(spark.read.parquet(str(tmp_path / "in")), vocab, seq_len=8)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftrightunsigned" in plan[plan.index("Generate"):]  # the probability is found below the explode, once a document
+    assert once.select("doc_id", "pos", "p_mask").distinct().count() == 64 * 8
