@@ -692,3 +692,16 @@ def test_ranking_repeated_ids(spark):
     scores = {r.score for r in ranking.rank(two, hot, labelled_rows=53).collect()} | {r.score for r in ranking.rank(two, hot, labelled_rows=10).collect()}
     assert sum(r.times for r in ranking._examples(two, hot.select("doc_id", hot.quality.alias("label")), 10).collect()) >= 10
     assert len(scores) > 1
+
+
+def test_texts_without_words_under_ansi(spark):
+    """Shares of nothing are 0 where a division by zero is an error."""
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, "Some words in a line")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    try:
+        assert ranking.rank(docs, labels).count() == len(ranking.rank(docs, labels).collect()) == 4
+        assert [r.kept for r in quality_rules.apply_rules(docs, labels).orderBy("doc_id").collect()] == [False] * 4
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
