@@ -21,7 +21,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
@@ -205,7 +205,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar.
+    """The pairs (a, b) with the sizes n_a, n_b of their full sets, whether these
+    are similar (``linked``), and the shingles that only one of them has (``apart``).
 
     ``a`` is the pivot: its text goes to as many tasks as its partners need,
     each partner's to one of them, where they stream past it. A task holds one
@@ -225,32 +226,64 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: i
         known, held = Words(), None
         for batch in slices(batches):
             h, offsets = shingle_sets(batch.column("text").to_pylist(), known, size)
-            links: list[tuple[int, int]] = []
+            told: list[tuple[int, int, int, int, bool, np.ndarray]] = []
             for node, pivot, kind, at, end in zip(*(batch.column(c).to_pylist() for c in ("node", "pivot", "kind")), offsets, offsets[1:]):
                 mine = h[at:end]
                 if kind == 0:
                     held = mine
                     continue
-                both = len(np.intersect1d(held, mine, assume_unique=True))
-                if 100 * both >= similarity * (len(held) + len(mine) - both):
-                    links.append((pivot, node))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                apart = np.setxor1d(held, mine, assume_unique=True)
+                total = len(held) + len(mine)
+                told.append((pivot, node, len(held), len(mine), 100 * (total - len(apart)) >= similarity * (total + len(apart)),
+                             apart.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in told], t) for k, t in enumerate(
+                (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())))], names=["a", "b", "n_a", "n_b", "linked", "apart"])
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = rows.join(wanted, rows["id"].eqNullSafe(wanted["_id"]) & (rows["hash"] == wanted["_hash"])).select("node", "pivot", "part", "kind", "text")
     sorted_ = met.repartition(parts, "pivot", "part").sortWithinPartitions("pivot", "part", "kind").select("node", "pivot", "kind", "text")
-    return checkpoint(sorted_.mapInArrow(compare, "a long, b long"))
+    return sorted_.mapInArrow(compare, "a long, b long, n_a long, n_b long, linked boolean, apart array<long>")
+
+
+def _within(families: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): the pairs of a pivot's partners that may be similar though one of them, ``a``, is not similar to the pivot.
+
+    Two partners differ where one of them differs from the pivot and the other
+    does not. So similar ones must share a number of their differences that
+    follows from the sizes (one at least, as ``a`` is unlike the pivot). Each
+    lists its differences, the family's rarest first; the first one that a pair
+    shares must have that many from there on in both. No pair is lost, and what
+    a whole family differs in pairs nobody, as it comes last."""
+    less, more = 100 - similarity, 100 + similarity
+    split = families.where(~F.col("linked")).select("a").distinct()
+    every = families.join(split, "a").select(F.col("a").alias("pivot"), "b", F.col("n_a").alias("p"), F.col("n_b").alias("n"), "linked",
+                                             F.size("apart").cast("long").alias("d"), F.explode("apart").alias("x"))
+    seen = every.groupBy("pivot", "x").agg(F.count(F.lit(1)).alias("members"))
+    ordered = every.join(seen, ["pivot", "x"]).withColumn("before", F.row_number().over(Window.partitionBy("pivot", "b").orderBy("members", "x")) - 1)
+    # differences from this one on; those nobody else has, and those too late for any partner, pair nobody
+    some = ordered.withColumn("left", F.col("d") - F.col("before")).where("members > 1").where(
+        F.when(F.col("linked"), more * F.col("d") + less * (F.col("p") - F.col("n")) < 2 * more * F.col("left"))
+        .otherwise(similarity * F.col("d") - less * F.col("n") <= similarity * F.col("left")))
+    some = checkpoint(some.select("pivot", "x", "b", "n", "d", "left", "linked"))
+    one = some.where(~F.col("linked")).select("pivot", "x", F.col("b").alias("a"), F.col("n").alias("n_a"), F.col("d").alias("d_a"), F.col("left").alias("left_a"))
+    two = some.withColumnsRenamed({"n": "n_b", "d": "d_b", "left": "left_b"})
+    both = (one.join(two, ["pivot", "x"]).where("linked OR a < b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity)
+            .where(more * F.abs(F.col("d_a") - F.col("d_b")) <= less * (F.col("n_a") + F.col("n_b")))
+            .where(more * (F.col("d_a") + F.col("d_b")) - less * (F.col("n_a") + F.col("n_b")) <= 2 * more * F.least("left_a", "left_b")))
+    return both.select("a", "b").distinct()
 
 
 def links(nodes: DataFrame, rows: DataFrame, *, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(a, b): enough of the verified links between distinct sets to connect all that any of them connect.
 
     First every set is compared with one pivot, the set that shares most bands
-    with it among those that stand for the bands it is in. Then all pairs that share a band and are
-    not connected yet are compared. In a band where most sets are connected by
-    then, only the others are paired with the rest, so a large group of near
-    copies never gives its pairs."""
-    banded = nodes.select("node", F.explode("sketches").alias("s")).select("node", "s.cls", F.explode(_bands(F.col("s.regs"), F.col("s.cls"))).alias("key"))
+    with it among those that stand for the bands it is in. A pivot's partners that
+    are not similar to it find each other by what they differ in from it
+    (``_within``). Then all other pairs that share a band and are not connected
+    yet are compared. In a band where most sets are connected by then, only the
+    others are paired with the rest. So a large group of near copies never gives
+    its pairs."""
+    banded = nodes.select("node", "n", F.explode("sketches").alias("s")).select("node", "n", "s.cls", F.explode(_bands(F.col("s.regs"), F.col("s.cls"))).alias("key"))
     # how many share a band, and how many a set meets in all of its bands: the text that a family was
     # copied from shares bands with most of it, so it becomes their pivot
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -261,20 +294,26 @@ def links(nodes: DataFrame, rows: DataFrame, *, similarity: int = SIMILARITY, si
     votes = met.where("node <> pivot").groupBy("node", "pivot", "cls").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES)
     best = votes.groupBy("node").agg(F.max(F.struct("votes", -F.col("pivot"), "cls", "pivot")).alias("x"))
     firsts = best.select(F.col("x.pivot").alias("a"), F.col("node").alias("b"), "x.cls")
-    found = _verified(_estimated(firsts, nodes, similarity), nodes, rows, similarity, size)
+    families = checkpoint(_verified(_estimated(firsts, nodes, similarity), nodes, rows, similarity, size))
+    found = families.where("linked").select("a", "b")
     grouped = components(found)
-    named = met.join(grouped, "node", "left").select("key", "cls", "node", F.coalesce("component", "node").alias("comp"))
+    # pairs of one family are named by what they differ in from its pivot; bands pair the others
+    named = (met.join(grouped, "node", "left").join(families.select(F.col("b").alias("node"), F.col("a").alias("family")), "node", "left")
+             .select("key", "cls", "node", "n", F.coalesce("component", "node").alias("comp"), "family"))
     named = checkpoint(named)
     crowd = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
     most = (crowd.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("m"), F.count(F.lit(1)).alias("kinds"))
             .where("kinds > 1").select("key", F.col("m.comp").alias("main")))
     mixed = named.join(most, "key")
-    few = mixed.where("comp <> main").select("key", "cls", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    others = mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_main"))
-    rest = (few.join(others, "key").where("comp_a <> comp_b AND (in_main OR a < b)").groupBy("a", "b", "cls")
+    few = mixed.where("comp <> main").select("key", "cls", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("family").alias("family_a"))
+    others = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("family").alias("family_b"),
+                          (F.col("comp") == F.col("main")).alias("in_main"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * similarity
+    rest = (few.join(others, "key").where("comp_a <> comp_b AND (in_main OR a < b) AND coalesce(family_a <> family_b, true)").where(near).groupBy("a", "b", "cls")
             .agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= VOTES).groupBy("a", "b").agg(F.min("cls").alias("cls")))
     tried = firsts.select("a", "b").unionByName(firsts.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = _verified(_estimated(rest.join(tried, ["a", "b"], "left_anti"), nodes, similarity), nodes, rows, similarity, size)
+    asked = _estimated(rest.join(tried, ["a", "b"], "left_anti"), nodes, similarity).unionByName(_within(families, similarity))
+    more = checkpoint(_verified(asked, nodes, rows, similarity, size).where("linked").select("a", "b"))
     return found.unionByName(more)
 
 

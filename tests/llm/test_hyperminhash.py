@@ -91,6 +91,31 @@ def test_large_groups(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
 
 
+def test_family_below_the_similarity(spark, monkeypatch):
+    """Copies of one text that are unlike it and each other, and some that are alike, are found without pairing all."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+
+    def changed(words, k, tag):
+        at = set(rng.sample(range(len(words)), k))
+        return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+    rows = [(0, " ".join(base))] + [(1 + i, " ".join(changed(base, 4, f"n{i}_"))) for i in range(120)]
+    for i in range(120):  # about 0.7 like the base; every fourth has a partner
+        far = changed(base, 14, f"f{i}_")
+        rows += [(1000 + 2 * i, " ".join(far))] + [(1001 + 2 * i, " ".join(changed(far, 3, f"g{i}_")))] * (i % 4 == 0)
+    asked, verified = [], hyperminhash._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(hyperminhash, "_verified", counted)
+    got = check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sum(i == c for i, _, c, _ in got) < 150 and sum(i != c and i >= 1000 for i, _, c, _ in got) >= 30
+    assert sum(asked) < 4 * len(rows)  # all pairs: over 20,000
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(4)
     for n, share in ((200, 0.0), (200, 0.5), (3000, 0.8), (3000, 0.0), (90, 0.9)):
