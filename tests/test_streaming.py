@@ -2,9 +2,12 @@
 
 import tempfile
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from corpusprep.plans import inputs as I
+from corpusprep.plans.queries_stream import r3_batch_failure
 from corpusprep.session import table
 from corpusprep.streaming import feeds as R
 from corpusprep.streaming.sinks import WindowedMeters
@@ -56,3 +59,51 @@ def test_windowed_meters_equal_batch(spark, smoke_dir):
     assert meters.closed(spark).exceptAll(closed).count() == closed.exceptAll(meters.closed(spark)).count() == 0
     meters.finish(spark)
     assert meters.closed(spark).count() == batch.count()
+
+
+def _few_docs(spark, folder, n):
+    docs = spark.createDataFrame([(k, f"word{k} in a text", "en", "web", 14) for k in range(n)], R.DOCUMENT_SCHEMA)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def _watched(monkeypatch, also=lambda start, batch_id, step: None):
+    """The failures that the hook of r3_batch_failure raises; ``also`` is called after it, with the number of the start."""
+    start, starts, planned = R.start_featurise_committed, [], []
+
+    def watched(*args, hook=None, **more):
+        starts.append(len(starts))
+
+        def both(batch_id, step):
+            try:
+                if hook:
+                    hook(batch_id, step)
+            except RuntimeError:
+                planned.append(batch_id)
+                raise
+            also(starts[-1], batch_id, step)
+
+        return start(*args, hook=both, **more)
+
+    monkeypatch.setattr(R, "start_featurise_committed", watched)
+    return planned
+
+
+def test_failure_after_the_planned_one_is_no_result(spark, tmp_path, monkeypatch):
+    """A restart that fails is raised; its committed batches alone are not the table."""
+    def full(start, batch_id, step):
+        if start == 1 and (batch_id, step) == (2, "begin"):
+            raise OSError("no space left")
+
+    _watched(monkeypatch, full)
+    with pytest.raises(StreamingQueryException, match="no space left"):
+        r3_batch_failure(spark, _few_docs(spark, tmp_path, 40))
+
+
+@pytest.mark.parametrize(("n", "batch"), [(0, 0), (1, 0), (40, 1)])
+def test_planned_failure_comes_on_any_table(spark, tmp_path, monkeypatch, n, batch):
+    """A table of one shard, or of no rows, has its only batch fail; all rows are there once."""
+    planned = _watched(monkeypatch)
+    rows = r3_batch_failure(spark, _few_docs(spark, tmp_path, n))
+    assert planned == [batch]
+    assert rows.count() == rows.select("doc_id", "pos").distinct().count() == n * 512
