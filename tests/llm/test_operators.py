@@ -694,6 +694,24 @@ def test_ranking_repeated_ids(spark):
     assert len(scores) > 1
 
 
+def test_ranking_labels_without_documents(spark):
+    """Labels whose document is missing do not use up the rows that are learned from."""
+    ids = [r.id for r in spark.range(400).where(~ranking.held_out("id")).orderBy(F.xxhash64("id")).collect()]
+    docs = spark.createDataFrame([(i, "Good words in a line" if i % 2 else "## ## ##") for i in ids[-100:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    assert sum(r.times for r in ranking._examples(docs, labels.select("doc_id", labels.quality.alias("label")), 40).collect()) == 40
+    assert all(r.predicted == r.doc_id % 2 for r in ranking.rank(docs, labels, labelled_rows=40).collect())
+
+
+def test_ranking_repeated_words(spark):
+    """Texts that differ in repeated words only are told apart."""
+    words = "one two three four five six seven eight nine ten".split()
+    plain, repeats = " ".join([*words, *words[::-1]]), " ".join(words * 2)
+    docs = spark.createDataFrame([(i, plain if i % 2 else repeats) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    assert all(r.predicted == r.doc_id % 2 for r in ranking.rank(docs, labels).collect())
+
+
 def test_texts_without_words_under_ansi(spark):
     """Shares of nothing are 0 where a division by zero is an error."""
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t"), (4, "Some words in a line")], "doc_id long, text string")
