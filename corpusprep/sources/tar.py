@@ -24,6 +24,8 @@ NAME_RE = r"^((?:.*/|)[^.]+)[.]([^/]*)$"
 BATCH_BYTES, STRETCH_BYTES, INDEXED = 32 << 20, 64 << 20, 10_000
 #: Shards whose headers one task lists, where there are more shards than tasks.
 SHARDS_A_TASK = 64
+#: Times the tasks that members of small shards are dealt to at most, so that hashing spreads them.
+WAVES = 4
 
 
 def split_name(fname: Column) -> tuple[Column, Column]:
@@ -144,12 +146,13 @@ def _headers(path: str) -> Iterator[tuple[str, int, str, int | None, int | None,
             yield url, idx, name, None, None if damaged else len(data), damaged
 
 
-def _dealt(rows: DataFrame, offset: Column, paths: str | list[str]) -> DataFrame:
+def _dealt(rows: DataFrame, offset: Column, paths: str | list[str], waves: int = 1) -> DataFrame:
     """Rows dealt to tasks by stretches of their shard, in file order; as many
-    tasks as shards at least, unless they are smaller than a stretch: then as many as stretches."""
+    tasks as shards at least, unless they are smaller than a stretch: then as many
+    as stretches, or ``waves`` times the tasks of an exchange."""
     stretch = F.coalesce(F.floor(offset / STRETCH_BYTES), F.lit(0))
     files, size, tasks = _extent(rows.sparkSession, paths)
-    parts = max(tasks, min(files, -(-size // STRETCH_BYTES)))
+    parts = max(tasks, min(files, max(-(-size // STRETCH_BYTES), waves * tasks)))
     return rows.withColumn("_at", offset).withColumn("_part", stretch).repartition(parts, "url", "_part").sortWithinPartitions("url", "_part", "_at")
 
 
@@ -204,7 +207,7 @@ def read_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         payloads.close()
         yield pd.DataFrame(held, columns=columns)
 
-    index = _dealt(index_members(spark, paths), F.coalesce(F.col("offset"), F.lit(0)), paths).sortWithinPartitions("url", "idx")
+    index = _dealt(index_members(spark, paths), F.coalesce(F.col("offset"), F.lit(0)), paths, WAVES).sortWithinPartitions("url", "idx")
     return (index.select("url", "idx", "fname", "offset", "size", "damaged")
             .mapInPandas(run, "url string, idx long, fname string, data binary, damaged boolean"))
 
